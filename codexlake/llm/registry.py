@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import quality, sharding, toxicity, warc
+from codexlake.llm import fingerprints, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_warc": warc.op2_warc,
+        "op4_packing": packing.op4_packing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
