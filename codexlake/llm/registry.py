@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import fingerprints, packing, quality, sharding, toxicity, warc
+from codexlake.llm import embeddings, fingerprints, jaccard, packing, pieces, quality, scoring, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_warc": warc.op2_warc,
+        "op3_embeddings": embeddings.op3_embeddings,
         "op4_packing": packing.op4_packing,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_pieces": pieces.op7_pieces,
+        "op8_scoring": scoring.op8_scoring,
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
     }
