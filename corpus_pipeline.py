@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from codexlake.cluster import shared_dir
-from codexlake.llm import quality, toxicity
+from codexlake.llm import jaccard, packing, quality, toxicity
 from codexlake.llm.common import table
 
 
@@ -26,7 +26,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality", good_quality), ("toxicity", not_toxic)]
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar by 0.8 or more."""
+    return jaccard.one_of_each(docs, 5, 80, 100)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", without_near_duplicates), ("packing", packed)]
 
 #: No SQL: the classifiers' updates run one row after another. tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
