@@ -320,6 +320,12 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     entries = index_entries(docs, n, num, den)
     # one shuffle by token finds the lists of two and more
     listed = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    # skipping by position: what an entry's place leaves of its set bounds the size of its partners, so
+    # one whose bound stays below the next larger size, and above whose size no smaller one's bound lies, has none
+    by_size = Window.partitionBy("token").orderBy("size", "node")
+    listed = listed.withColumn("most", F.expr(f"(size - pos) * {num + den} div {num} - size"))
+    listed = listed.withColumn("below", F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))).withColumn("above", F.lead("size").over(by_size))
+    listed = listed.where("below >= size or above <= most").drop("most", "below", "above")
     # one shuffle by node adds its bitmap and its home: the first of its lists
     listed = listed.join(node_bodies(docs, n, bits=True), "node")
     listed = listed.withColumn("home", F.first("token").over(Window.partitionBy("node").orderBy("pos")))
