@@ -30,7 +30,7 @@ def seek(targets: DataFrame, at: str, ids: DataFrame) -> DataFrame:
     tagged = targets.select(F.struct(*names).alias("_row"), F.col(at).cast("long").alias("_v")).withColumn("_t", F.lit(1))
     both = marked.withColumn("_row", F.lit(None).cast(tagged.schema["_row"].dataType)).select("_v", "_id", "_t", "_row").unionByName(tagged.withColumn("_id", F.lit(None).cast("long")))
     both = both.withColumn("_s", span("_v"))
-    ahead = F.first("_id", ignorenulls=True).over(Window.partitionBy("_s").orderBy("_v", F.desc("_t")).rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("_id", ignorenulls=True).over(Window.partitionBy("_s").orderBy(F.desc("_v"), "_t").rowsBetween(Window.unboundedPreceding, 0))
     near = both.withColumn("_near", ahead).where("_t = 1")
     spans = ids.withColumn("_s", span("id")).groupBy("_s").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     last = ids.agg(F.max("id").alias("_last"))
@@ -38,7 +38,7 @@ def seek(targets: DataFrame, at: str, ids: DataFrame) -> DataFrame:
     wanted = near.where("_near is null").select("_s").distinct()
     # spans without ids of their own look for the next span that has some
     order = steps.select("_s", "_lo", F.lit(0).alias("_q")).unionByName(wanted.select("_s", F.lit(None).cast("long").alias("_lo"), F.lit(1).alias("_q")))
-    following = order.withColumn("_next", F.first("_lo", ignorenulls=True).over(Window.orderBy("_s", F.desc("_q")).rowsBetween(1, Window.unboundedFollowing))).where("_q = 1")
+    following = order.withColumn("_next", F.last("_lo", ignorenulls=True).over(Window.orderBy(F.desc("_s"), "_q").rowsBetween(Window.unboundedPreceding, -1))).where("_q = 1")
     later = order.where("_q = 0").select(F.col("_s").alias("_own"))
     fixed = following.join(later, F.col("_s") == F.col("_own"), "left").select("_s", F.col("_next"), F.col("_own"))
     skip = steps.select("_s", F.col("_next").alias("_after"))
