@@ -28,6 +28,10 @@ FREQUENT = 1 << 16
 SHORT = 16
 #: Longer lists are dealt in blocks of about so many sets.
 BLOCK = 2048
+#: List entries that are compared in one group, about.
+BUNDLE = 2000
+#: Names of sets that a task remembers (8 bytes each) so that copies enter the index once; older ones are forgotten, and deduplicated later.
+REMEMBERED = 1 << 20
 #: Up to so many nodes (8 bytes each) are broadcast to pick the sets to verify; more are joined.
 MOST_BROADCAST = 1 << 20
 
@@ -114,9 +118,12 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rank = shared.value
+        known = np.zeros(0, np.int64)
         for b in batches:
             h, cuts, names = sets(*utf8(b.column(0)), n)
             rows = fresh_rows(cuts, names)
+            rows = rows[~np.isin(names[rows], known)]
+            known = np.concatenate([known, names[rows]])[-REMEMBERED:]
             size = np.diff(cuts)[rows]
             h, own = _take(h, cuts, rows)
             order = np.zeros(len(h), np.int64)
@@ -132,7 +139,8 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             own, pos = own[on], pos[on]
             yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(names[rows][own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "node", "size", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, node bigint, size int, pos int").dropDuplicates(["token", "node"])
+    # dealt by token alone, so that the lists need no second shuffle; a task has sent each of its sets once already
+    return docs.select("text").mapInArrow(run, "token bigint, node bigint, size int, pos int").repartition("token").dropDuplicates(["token", "node"])
 
 
 def node_bodies(docs: DataFrame, n: int, bits: bool, wanted: DataFrame | None = None) -> DataFrame:
@@ -319,28 +327,38 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     docs = only(docs, "doc_id", "text")
     entries = index_entries(docs, n, num, den)
     # one shuffle by token finds the lists of two and more
-    listed = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    by_token = Window.partitionBy("token")
+    listed = entries.withColumn("n", F.count(F.lit(1)).over(by_token)).where("n > 1")
     # skipping by position: what an entry's place leaves of its set bounds the size of its partners, so
     # one whose bound stays below the next larger size, and above whose size no smaller one's bound lies, has none
-    by_size = Window.partitionBy("token").orderBy("size", "node")
+    by_size = by_token.orderBy("size", "node")
     listed = listed.withColumn("most", F.expr(f"(size - pos) * {num + den} div {num} - size"))
     listed = listed.withColumn("below", F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))).withColumn("above", F.lead("size").over(by_size))
     listed = listed.where("below >= size or above <= most").drop("most", "below", "above")
-    # one shuffle by node adds its bitmap and its home: the first of its lists
-    listed = listed.join(node_bodies(docs, n, bits=True), "node")
+    listed = listed.withColumn("n", F.count(F.lit(1)).over(by_token)).where("n > 1")
+    # lists of the same smallest node hold much the same nodes, so they are compared in one bundle, to which a bitmap
+    # comes as repeats that compress; lists too many or too long for one bundle are dealt to several by token
+    listed = listed.withColumn("least", F.min(F.struct("node", "size")).over(by_token))
+    lists = F.expr(f"least.size - (least.size * {num} + {den - 1}) div {den} + 1")
+    listed = listed.withColumn("part", F.xxhash64("least.node", F.pmod(F.xxhash64("token"), F.ceil(lists * F.col("n") / BUNDLE)))).drop("least")
+    # one shuffle by node finds its home: the first of its lists
     listed = listed.withColumn("home", F.first("token").over(Window.partitionBy("node").orderBy("pos")))
-    listed = listed.withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int")).withColumn("label", F.col("node"))
+    listed = listed.withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int"))
     listed = settle(listed)
     rows = listed.count()
+    bodies = settle(node_bodies(docs, n, bits=True))
 
     def dealt(part: DataFrame) -> DataFrame:
         out = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         out = out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        return out.withColumn("bundle", F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, rows // 10_000)))).select("bundle", "token", "node", "size", "pos", "home", "label", "own", "i", "j", "body")
+        out = out.withColumn("bundle", F.pmod(F.xxhash64("part", "i", "j"), F.lit(max(1, rows // BUNDLE))))
+        return out.join(bodies, "node").select("bundle", "token", "node", "size", "pos", "home", "label", "own", "i", "j", "body")
 
-    first = settle(verified(docs, settle(candidate_pairs(dealt(listed), num, den, nearest=True)), n, num, den))
+    first = settle(verified(docs, settle(candidate_pairs(dealt(listed.withColumn("label", F.col("node"))), num, den, nearest=True)), n, num, den))
     joined = settle(components(first))
-    long = listed.where(F.col("n") > SHORT).drop("label").join(joined.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    long = listed.where(F.col("n") > SHORT).join(joined.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # lists whose sets are all joined already answer nothing new
+    long = long.withColumn("apart", F.min("label").over(by_token) < F.max("label").over(by_token)).where("apart")
     second = verified(docs, settle(candidate_pairs(dealt(long), num, den, nearest=False)), n, num, den)
     links = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
 
