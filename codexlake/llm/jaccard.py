@@ -3,8 +3,9 @@
 An inverted index over set prefixes lists, for each shingle, the sets that have it early in a global
 order (rare shingles first). Lists are cut into blocks by set size and position; block pairs whose
 best case stays below the threshold are skipped. What a set's pairs answer is then derived from the
-answers of its near neighbours: links found with the nearest sets of a list join sets, and only pairs
-that this leaves apart are verified, until none is left.
+answers of its near neighbours, in three rounds. The first tries a forest of nearest pairs in each
+list; the second, where the first left groups apart, a forest of nearest pairs of these groups; the
+third tries every pair that is then still apart. A link found joins all sets of its two groups.
 
 Sets are arrays of 64-bit shingle hashes. Equal sets are one node, named by a 64-bit hash of the set.
 """
@@ -63,14 +64,18 @@ def _take(h: np.ndarray, cuts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node, body) of every row; body is the set's bitmap, with the first row of a batch that has the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, cuts, names = sets(*utf8(b.column(1)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(cuts)), pa.array(names)], names=["doc_id", "n_shingles", "node"])
+            h, cuts, names = sets(*utf8(b.column(1)), n)
+            rows, body = fresh_rows(cuts, names), np.full(len(names), None, object)
+            body[rows] = bitmaps(*_take(h, cuts, rows), np.diff(cuts)[rows])
+            for lo in range(0, len(names), 500):
+                part = slice(lo, lo + 500)
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(np.diff(cuts)[part]), pa.array(names[part]), pa.array(body[part], pa.binary())], names=["doc_id", "n_shingles", "node", "body"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, body binary")
 
 
 def frequent_shingles(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +148,10 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token bigint, node bigint, size int, pos int").repartition("token").dropDuplicates(["token", "node"])
 
 
-def node_bodies(docs: DataFrame, n: int, bits: bool, wanted: DataFrame | None = None) -> DataFrame:
-    """(node, body) of distinct sets: their bitmap, or all their hashes, ascending; of the wanted nodes only, if given."""
+def node_bodies(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, body) of the wanted distinct sets: all their hashes, ascending."""
     few = None
-    if wanted is not None and wanted.count() <= MOST_BROADCAST:
+    if wanted.count() <= MOST_BROADCAST:
         few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +161,15 @@ def node_bodies(docs: DataFrame, n: int, bits: bool, wanted: DataFrame | None =
             if few is not None:
                 at = np.minimum(np.searchsorted(few.value, names[rows]), max(0, len(few.value) - 1))
                 rows = rows[few.value[at] == names[rows]] if len(few.value) else rows[:0]
-            h, own = _take(h, cuts, rows)
+            h, _ = _take(h, cuts, rows)
             size = np.diff(cuts)[rows]
             ends = np.cumsum(size)
-            body = bitmaps(h, own, size) if bits else [h[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)]
+            body = [h[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)]
             for lo in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows][lo : lo + 500]), pa.array(body[lo : lo + 500], pa.binary())], names=["node", "body"])
 
     found = docs.select("text").mapInArrow(run, "node bigint, body binary")
-    if wanted is not None and few is None:
+    if few is None:
         found = found.join(wanted, "node", "left_semi")
     return found.groupBy("node").agg(F.first("body").alias("body"))
 
@@ -186,6 +191,9 @@ class Lists:
         self.size, self.pos = self.size.astype(np.int64), self.pos.astype(np.int64)
         self.body = group["body"].combine_chunks()
         self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: rows of one label are one unit; pairs tried join units to teams
+        _, self.unit = np.unique(self.label, return_inverse=True)
+        self.team = np.arange(int(self.unit.max(initial=-1)) + 1)
 
     def words(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Bitmaps of rows at a width that none of theirs is below."""
@@ -242,9 +250,42 @@ class Lists:
             out += [(parts[k], parts[k + int(m)]) for m in np.flatnonzero(fits)]
         return out
 
-    def long(self, start: int, end: int, nearest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of one long list: every pair in reach, or for each set in its home list the nearest before and after it."""
+    def forest(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Nearest pairs that join all teams which these pairs can join; each team picks its nearest, until none has another."""
+        out, none = [], np.iinfo(np.int64).max
+        while True:
+            u, v = self.team[self.unit[a]], self.team[self.unit[b]]
+            on = u != v
+            a, b, apart, u, v = a[on], b[on], apart[on], u[on], v[on]
+            if not len(a):
+                return out
+            order = apart * len(a) + np.arange(len(a))
+            best = np.full(len(self.team), none)
+            np.minimum.at(best, u, order)
+            np.minimum.at(best, v, order)
+            pick = np.unique(best[best < none] % len(a))
+            out.append((a[pick], b[pick]))
+            head = np.arange(len(self.team))
+            for x, y in zip(u[pick].tolist(), v[pick].tolist(), strict=True):
+                while head[x] != x:
+                    x = head[x]
+                while head[y] != y:
+                    y = head[y]
+                head[max(x, y)] = min(x, y)
+            while (head[head] != head).any():
+                head = head[head]
+            self.team = head[self.team]
+
+    def long(self, start: int, end: int, tried: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one long list that are in reach and have different labels.
+
+        tried = "homes": a forest of the sets that have their home here, and the nearest other set of each of these;
+        "teams": a forest of all labels; "pairs": every pair.
+        """
         rows = np.arange(start, end)
+        homes, team = self.home == self.token, self.team[self.unit[start:end]]
+        if (tried == "homes" and not homes[rows].any()) or (team == team[0]).all():
+            return []
         cross = self.i[start] != self.j[start]
         found = []
         for p, q in self.blocks(rows):
@@ -254,6 +295,10 @@ class Lists:
                 on = (a < b) if p is q else np.ones(len(a), bool)
                 if cross:
                     on &= self.own[a] != self.own[b]
+                if tried == "homes":
+                    on &= homes[a] | homes[b]
+                if tried != "pairs":
+                    on &= self.team[self.unit[a]] != self.team[self.unit[b]]
                 on[on] = self.possible(a[on], b[on])
                 a, b = a[on], b[on]
                 on, apart = self.near(a, b)
@@ -261,21 +306,20 @@ class Lists:
         if not found:
             return []
         a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not nearest:
+        if tried == "pairs":
             return [(a, b)]
-        out = []
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        for one, other in ((a, b), (b, a)):
-            order = np.lexsort((other, apart, one))
-            first = np.concatenate([[True], one[order][1:] != one[order][:-1]]) if len(order) else np.zeros(0, bool)
-            pick = order[first]
-            pick = pick[self.home[one[pick]] == self.token[one[pick]]]
-            out.append((one[pick], other[pick]))
-        return out
+        if tried == "teams":
+            return self.forest(a, b, apart)
+        both = homes[a] & homes[b]
+        out = self.forest(a[both], b[both], apart[both])
+        one, other, apart = np.where(homes[a], a, b)[~both], np.where(homes[a], b, a)[~both], apart[~both]
+        order = np.lexsort((other, apart, one))
+        first = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])] if len(order) else order
+        return [*out, (one[first], other[first])]
 
 
-def candidate_pairs(entries: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Distinct (a, b), a > b, of nodes whose list entries leave the threshold in reach."""
+def candidate_pairs(entries: DataFrame, num: int, den: int, tried: str) -> DataFrame:
+    """Distinct (a, b, la, lb), a > b, of nodes whose list entries leave the threshold in reach, and their labels."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("token", "i", "j", "node")])
@@ -283,22 +327,25 @@ def candidate_pairs(entries: DataFrame, num: int, den: int, nearest: bool) -> Da
         edge = np.flatnonzero(np.concatenate([[True], (lists.token[1:] != lists.token[:-1]) | (lists.i[1:] != lists.i[:-1]) | (lists.j[1:] != lists.j[:-1])]))
         lens = np.diff(np.concatenate([edge, [len(lists.token)]]))
         whole = lists.i[edge] == lists.j[edge]
-        short = (lens <= SHORT) & (lens > 1) & whole
+        short = (lens <= SHORT) & (lens > 1) & whole & (tried != "teams")
         found = lists.short(edge[short], lens[short])
-        for s, n in zip(edge[~short & (lens > 1)], lens[~short & (lens > 1)], strict=True):
-            found += lists.long(int(s), int(s + n), nearest)
-        a = lists.node[np.concatenate([f[0] for f in found])] if found else np.zeros(0, np.int64)
-        b = lists.node[np.concatenate([f[1] for f in found])] if found else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        rest = np.flatnonzero(~short & (lens > 1))
+        # the longest first, for what it joins needs no trying in the others
+        for k in rest[np.argsort(-lens[rest], kind="stable")]:
+            found += lists.long(int(edge[k]), int(edge[k] + lens[k]), tried)
+        x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        x, y = np.where(lists.node[x] > lists.node[y], x, y), np.where(lists.node[x] > lists.node[y], y, x)
+        _, first = np.unique(np.stack([lists.node[x], lists.node[y]]), axis=1, return_index=True)
+        x, y = x[first], y[first]
+        return pa.table({"a": lists.node[x], "b": lists.node[y], "la": lists.label[x], "lb": lists.label[y]})
 
-    return entries.groupBy("bundle").applyInArrow(run, "a bigint, b bigint").distinct()
+    return entries.groupBy("bundle").applyInArrow(run, "a bigint, b bigint, la bigint, lb bigint").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets reach the threshold, from the whole sets."""
+    """(a, b): the distinct labels la, lb of the pairs whose sets reach the threshold, from the whole sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    body = settle(node_bodies(docs, n, bits=False, wanted=nodes))
+    body = settle(node_bodies(docs, n, nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,8 +358,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
                 keep.append(den * common >= num * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wide = pairs.join(body.toDF("a", "x"), "a").join(body.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return wide.mapInArrow(run, "a bigint, b bigint")
+    wide = pairs.join(body.toDF("a", "x"), "a").join(body.toDF("b", "y"), "b").select("la", "lb", "x", "y")
+    return wide.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -346,7 +393,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     listed = listed.withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int"))
     listed = settle(listed)
     rows = listed.count()
-    bodies = settle(node_bodies(docs, n, bits=True))
+    own = settle(document_sets(docs, n))
+    bodies = settle(own.where("body is not null").groupBy("node").agg(F.first("body").alias("body")))
 
     def dealt(part: DataFrame) -> DataFrame:
         out = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
@@ -354,15 +402,20 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         out = out.withColumn("bundle", F.pmod(F.xxhash64("part", "i", "j"), F.lit(max(1, rows // BUNDLE))))
         return out.join(bodies, "node").select("bundle", "token", "node", "size", "pos", "home", "label", "own", "i", "j", "body")
 
-    first = settle(verified(docs, settle(candidate_pairs(dealt(listed.withColumn("label", F.col("node"))), num, den, nearest=True)), n, num, den))
-    joined = settle(components(first))
-    long = listed.where(F.col("n") > SHORT).join(joined.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # lists whose sets are all joined already answer nothing new
-    long = long.withColumn("apart", F.min("label").over(by_token) < F.max("label").over(by_token)).where("apart")
-    second = verified(docs, settle(candidate_pairs(dealt(long), num, den, nearest=False)), n, num, den)
-    links = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
+    listed = listed.withColumn("label", F.col("node"))
+    links = settle(components(verified(docs, settle(candidate_pairs(dealt(listed), num, den, "homes")), n, num, den)))
+    for tried in ("teams", "pairs"):
+        long = listed.where(F.col("n") > SHORT).drop("label").join(links.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # lists whose sets are all joined already answer nothing new
+        long = long.withColumn("apart", F.min("label").over(by_token) < F.max("label").over(by_token)).where("apart").drop("apart")
+        pairs = settle(candidate_pairs(dealt(long), num, den, tried))
+        if pairs.isEmpty():
+            break
+        joined = components(verified(docs, pairs, n, num, den)).toDF("component", "wider")
+        # a node without a link until now is a group of its own
+        links = links.union(pairs.select("a", "la")).union(pairs.select("b", "lb")).distinct()
+        links = settle(links.join(joined, "component", "left").select("node", F.coalesce("wider", "component").alias("component")))
 
-    own = settle(document_sets(docs, n))
     ids = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = ids.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
