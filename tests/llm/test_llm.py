@@ -182,6 +182,28 @@ def test_jaccard_brute_force(spark, docs, n, num):
     assert {i: (got[i].n_shingles, got[i].component_id) for i in sets} == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_jaccard_rounds(spark, monkeypatch):
+    """Groups of copies with edits at few places: lists are long, and links are left to the later rounds."""
+    rng, rows, tried = random.Random(3), [], []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for k in range(70):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[10 * rng.randrange(12)] = rng.choice(["new", "other"])
+            rows.append((1000 * g + k, " ".join(w)))
+    pairs = jaccard.candidate_pairs
+    monkeypatch.setattr(jaccard, "candidate_pairs", lambda entries, num, den, which: tried.append(which) or pairs(entries, num, den, which))
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, SCHEMA), 5, 80, 100).collect()}
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    label = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(50):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == label and tried[:2] == ["homes", "teams"]
+
+
 def test_jaccard_odd(odd, none):
     got = jaccard.similar(odd, 3, 90, 100).collect()
     assert Counter((r.doc_id, r.component_id) for r in got)[(4, 3)] == 2 and len(got) == len(ODD)
