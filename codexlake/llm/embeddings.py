@@ -65,8 +65,25 @@ def bucketed(vectors: DataFrame, tables: int, signs: int, seed: int, narrow: boo
     return vectors.mapInArrow(run, "dim int, t int, code int, node bigint, weight bigint, vector binary, codes binary")
 
 
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The roots (least places) of all nodes after the pairs p, q are joined too; `root` has those before."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return root
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def links(rows: DataFrame, cosine: float, narrow: bool, block: int = BLOCK) -> DataFrame:
-    """(node, other, n): per block a node's number of links found there, weighted by copies, and for components the least node it is joined to.
+    """(node, other, n): per block a node's number of links found there, weighted by copies, and the least node that the block's links join it to.
+
+    The rows (node, other) of a block are stars, one for each group of nodes that its links join, so
+    components lose no link though every node has one row a block.
 
     A bucket of s blocks is dealt to s (s + 1) / 2 block pairs; which block a row is in comes from its hash.
     """
@@ -84,7 +101,7 @@ def links(rows: DataFrame, cosine: float, narrow: bool, block: int = BLOCK) -> D
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         codes = np.frombuffer(b"".join(group["codes"].to_pylist()), np.int16).reshape(len(node), -1)
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        count, low = np.zeros(len(node), np.int64), node.copy()
+        count, root = np.zeros(len(node), np.int64), np.arange(len(node))
         for lo in range(0, len(a), 512):
             x = a[lo : lo + 512]
             hit = unit[x] @ unit[b].T >= cosine
@@ -99,12 +116,9 @@ def links(rows: DataFrame, cosine: float, narrow: bool, block: int = BLOCK) -> D
                 p, q = p[fresh], q[fresh]
             np.add.at(count, p, weight[q])
             np.add.at(count, q, weight[p])
-            np.minimum.at(low, p, node[q])
-            np.minimum.at(low, q, node[p])
-            # one step more: a node that links with p is joined to the least that p is joined to
-            np.minimum.at(low, q, low[p])
+            root = joined(root, p, q)
         on = count > 0
-        return pa.table({"node": node[on], "other": low[on], "n": count[on]})
+        return pa.table({"node": node[on], "other": node[root[on]], "n": count[on]})
 
     found = dealt.groupBy("dim", "t", "code", "i", "j").applyInArrow(run, "node bigint, other bigint, n bigint")
     return found

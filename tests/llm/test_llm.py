@@ -118,6 +118,38 @@ def test_embeddings_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_keep_hubs_and_chains_whole(spark):
+    # one table of one sign puts all into one bucket: neighbours are 17 degrees apart, others 34 and more
+    up = np.random.Generator(np.random.Philox(embeddings.SEED)).standard_normal((2, 1))[:, 0]
+
+    def turned(degrees):
+        a = math.radians(degrees)
+        return [float(x) for x in np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]]) @ up]
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, tables=1, signs=1).collect()}
+
+    assert found([(3, turned(-17)), (5, turned(17)), (11, turned(0))]) == {3: (1, 3, True), 5: (1, 3, False), 11: (2, 3, False)}
+    # a - p, p - q, z - q with a < p and z < q
+    assert found([(1, turned(-26)), (8, turned(-9)), (9, turned(8)), (2, turned(25))]) == {1: (1, 1, True), 8: (2, 1, False), 9: (2, 1, False), 2: (1, 1, False)}
+    chain = [4, 9, 2, 8, 3, 7, 1]
+    got = found([(i, turned(17 * k - 51)) for k, i in enumerate(chain)])
+    assert {i: r[1] for i, r in got.items()} == dict.fromkeys(chain, 1)
+
+
+def test_joined_brute_force():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 0), (2, 1), (60, 30), (60, 60), (300, 290), (300, 2000)]:
+        p, q = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(label, p, label[q])
+            np.minimum.at(label, q, label[p])
+        root = embeddings.joined(np.arange(n), p[: m // 2], q[: m // 2])
+        assert (embeddings.joined(root, p[m // 2 :], q[m // 2 :]) == label).all()
+
+
 def test_components_brute_force(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
