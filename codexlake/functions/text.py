@@ -34,10 +34,19 @@ def was_truncated(c, n: int) -> Column:
     return F.length(code(c)) > n
 
 
+def byte_head(c, limit: int) -> Column:
+    """The longest start of whole characters in at most `limit` UTF-8 bytes."""
+    raw = F.left(code(c), F.lit(limit + 1)).cast("binary")
+    # bytes 80 to BF continue a character: if one follows the limit, the character that it belongs to goes
+    follows = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
+    end = F.when(~follows(limit + 1), limit).when(~follows(limit), limit - 1).when(~follows(limit - 1), limit - 2).otherwise(limit - 3)
+    return raw.substr(F.lit(1), end).cast("string")
+
+
 def sentence_cut(c, limit: int) -> Column:
-    """Text of at most `limit` ASCII bytes as it is; else cut after its last full stop, with an ellipsis."""
+    """Text of at most `limit` UTF-8 bytes as it is; else whole characters of so many bytes, cut after the last full stop, with an ellipsis."""
     c = code(c)
-    head = F.left(c, F.lit(limit))
+    head = byte_head(c, limit)
     upto = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
     return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(F.rtrim(F.when(upto != "", upto).otherwise(head)), F.lit("…")))
 

@@ -23,6 +23,12 @@ def _(spark, d):
     return docs.select("doc_id", X.snippet("text").alias("snippet"))
 
 
+@query("C5_snippet_all")
+def _(spark, d):
+    # all languages; C5_snippet holds the English ASCII texts against SQL
+    return table(spark, d, "documents").select("doc_id", X.snippet("text").alias("snippet"))
+
+
 @query("C6_truncate", "SELECT doc_id, CASE WHEN length(text) > 400 THEN concat(substring(text, 1, 400), '…') ELSE text END AS body, length(text) > 400 AS truncated FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncate("text", 400).alias("body"), X.was_truncated("text", 400).alias("truncated"))
@@ -33,6 +39,12 @@ def _(spark, d):
     return table(spark, d, "documents").where("octet_length(text) = length(text)").select("doc_id", X.sentence_cut("text", 300).alias("cut"))
 
 
+@query("C7_truncate_at_sentence_all")
+def _(spark, d):
+    # all texts; C7_truncate_at_sentence holds the ASCII ones against SQL
+    return table(spark, d, "documents").select("doc_id", X.sentence_cut("text", 300).alias("cut"))
+
+
 @query("C8_preview", "SELECT doc_id, substring(text, 1, 2000) AS preview FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.preview("text").alias("preview"))

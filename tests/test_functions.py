@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from codexlake.functions import text as X
 from codexlake.operators.retrieval import cover_density
+from codexlake.plans import scalars  # noqa: F401  it registers its queries
+from codexlake.plans.registry import QUERIES
 from codexlake.sources.reader import chunk_text, strip_html
 
 
@@ -36,6 +38,30 @@ def test_redaction_and_names(spark):
     assert column(spark, ["HTTP 401", "x4012", "port 40152", "(403)", None], X.access_error("v")) == [True, False, False, True, False]
 
 
+def floored(text, limit):
+    """Plain version: whole characters of `limit` bytes, cut after the last stop."""
+    if text is None or len(text.encode()) <= limit:
+        return text
+    head = text.encode()[:limit].decode(errors="ignore")
+    stop = max(head.rfind(x) for x in ".!?") + 1
+    return head[: stop or None].rstrip(" ") + "…"
+
+
+def test_sentence_cut_in_bytes(spark):
+    texts = [None, "", "é" * 150, "é" * 151, "a" + "é" * 150, "ab" + "字" * 100, "字" * 101, "a" + "𓀀" * 75, "ab" + "𓀀" * 75, "abc" + "𓀀" * 75, "é" * 30 + "a" * 260, "ü" * 140 + ". " + "x" * 30, "x. " + "é" * 290 + ".", "a" * 301]
+    assert column(spark, texts, X.sentence_cut("v", 300)) == [floored(t, 300) for t in texts]
+
+
+def test_snippets_and_cuts_of_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = QUERIES["C7_truncate_at_sentence_all"](spark, "/root/testdata/sf0.001")
+    texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert any(t and len(t) < len(t.encode()) for _, t in texts)
+    assert sorted(((r.doc_id, r.cut) for r in got.collect()), key=repr) == sorted(((i, floored(t, 300)) for i, t in texts), key=repr)
+    cut = QUERIES["C5_snippet_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len(cut) == len(texts) and all(r.snippet is None or len(r.snippet.encode()) <= 303 or len(r.snippet) == 200 for r in cut)
+
+
 def test_similarity_is_symmetric(spark):
     df = spark.createDataFrame([("red widget", "widget red"), ("", "a"), ("abc", "xyz"), ("abc", "abc")], "a string, b string")
     a, b = X.trigrams("a"), X.trigrams("b")
