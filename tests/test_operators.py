@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from codexlake.operators import ledger as G
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
+from codexlake.plans import search  # noqa: F401  it registers its queries
+from codexlake.plans.registry import QUERIES
 from codexlake.sources import reader
 
 #: The words of the golden corpus.
@@ -74,6 +76,24 @@ def test_ann_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_vector_queries_search_every_row(spark):
+    for name in ("T9_vector_arm_all", "T10_vector_arm_ann"):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        found = {r.query_id for r in rows if r.id == r.query_id}
+        assert found == {r.query_id for r in rows} and all(i % 100 == 0 for i in found)
+
+
+def test_ann_recall_by_its_own_rules(spark):
+    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    v = e.select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert v.count() >= 10_000
+    exact = {(r.query_id, r.id) for r in R.vector_arm(q, v, 10).collect()}
+    near = {(r.query_id, r.id) for r in R.vector_arm_ann(q, v, 10).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    assert {(r.query_id, r.id) for r in R.vector_arm_ann(q, v, 10, most_queries=40).collect()} == near
+
+
 def test_feed_and_articles(spark, tmp_path):
     (tmp_path / "feed.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>a</id><title>A</title><link rel="x/acquisition" href="http://h/a_2024-01.zim" type="t"/></entry><entry><title>B</title></entry><entry></entry></feed>')
     rows = reader.read_feed(spark, str(tmp_path / "feed.xml")).orderBy("title").collect()
