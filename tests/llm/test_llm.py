@@ -289,6 +289,23 @@ def test_scoring(spark, docs, odd, none):
     assert scoring.score_texts(odd).count() == len(ODD) and scoring.score_texts(none).count() == 0
 
 
+def test_scoring_knows_the_end_of_few_long_texts(spark, monkeypatch):
+    # every word is more frequent than the texts are many, so the end is not among the broadcast tokens
+    monkeypatch.setattr(scoring, "HEAVY", 2)
+    texts = [(i, "one two three four " * 40) for i in range(6)]
+    got = scoring.score_texts(spark.createDataFrame(texts, SCHEMA)).collect()
+    counts = Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*words(t), ""])
+    n, v = sum(counts.values()), len(counts)
+    assert counts[""] and len(got) == 6
+    for r in got:
+        w = [*words(texts[r.doc_id][1]), ""]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), len(w), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+
+
 def test_model_spreads_one_over_bytes(spark, docs):
     counts = scoring.token_counts(docs)
     seen, ones = scoring.predictor_counts(counts, 10)
