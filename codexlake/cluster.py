@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,14 +31,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset, a local session gets one of its own; a cluster is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codexlake-ckpt-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for tables that a result still reads; `release` removes it, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(release)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Remove all scratch folders. Results that read them must have been written or collected before."""
+    while _SCRATCH:
+        delete_path(*_SCRATCH.pop())
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read back: later steps read only the columns that they need."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
