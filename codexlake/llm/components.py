@@ -13,12 +13,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of every node that has an edge (columns a, b); component is the smallest node reached.
 
     Each step joins the edges with the smallest neighbour of their node, which is aggregated before
     the shuffle; a hub's edges are only ever one side of that join, so a skewed one can be split.
-    Rounds end when the edge set, by then a star for each component, stays the same.
+    Rounds end when the edge set, by then a star for each component, stays the same. Their number grows
+    with the logarithm of the longest path; a set still in change after `most_rounds` is an error.
+    Edges with a null end and loops link nothing. No edges give no rows.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = _state(edges)
@@ -37,4 +39,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components are still changing after {most_rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())

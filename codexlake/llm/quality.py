@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codexlake.llm.common import lowered, mix, slices, table, word_hashes, word_spans
-from codexlake.llm.linear import Ftrl, Model, score, train
+from codexlake.llm.linear import Ftrl, Model, chosen, score, train
 
 SETTINGS = Ftrl(bits=20, alpha=0.3, l1=0.3, l2=0.5, epochs=5, train_rows=8000)
 THRESHOLD = 0.3
@@ -57,14 +56,16 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, settings: Ftrl = SETTINGS) -> Model:
+    """A model of labels.quality; see `linear.train` for nulls, repeats and missing labels."""
     return train(docs, labels, "quality", features, settings)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least the threshold, with their columns."""
-    return score(docs, model, features, threshold, keep=docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    """The documents that score at least the threshold, with all their columns; see `linear.chosen`. A model without labels keeps all."""
+    return chosen(docs, model, features, lambda s: s >= threshold)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text in `documents`. Null and empty texts score the model's bias; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_quality(docs, table(spark, sf_dir, "labels")), features, THRESHOLD)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codexlake.llm.common import distinct_by_row, lowered, mix, slices, table, word_hashes, word_spans
-from codexlake.llm.linear import Ftrl, Model, score, train
+from codexlake.llm.linear import Ftrl, Model, chosen, score, train
 
-SETTINGS = Ftrl(bits=22, alpha=2.0, l1=3.0, l2=0.5, epochs=3, train_rows=12000)
+SETTINGS = Ftrl(bits=22, alpha=2.0, l1=3.0, l2=0.5, epochs=3, train_rows=12000, prior=0.05)
 THRESHOLD = 0.5
 #: What a pair of words counts against a single word.
 PAIR_VALUE = 0.3
@@ -51,14 +50,16 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Ftrl = SETTINGS) -> Model:
+    """A model of labels.toxic; see `linear.train` for nulls, repeats and missing labels."""
     return train(docs, labels, "toxic", features, settings)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with their columns."""
-    return score(docs, model, features, threshold, keep=docs.columns).where(F.col("score") < threshold).select(*docs.columns)
+    """The documents that score below the threshold, with all their columns; see `linear.chosen`. A model without labels drops none."""
+    return chosen(docs, model, features, lambda s: s < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text in `documents`. Null and empty texts score the model's bias; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), features, THRESHOLD)
