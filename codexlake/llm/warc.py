@@ -2,7 +2,8 @@
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, raw or itself
 Zstandard-compressed; then every record is one frame. The reader loads the dictionary, walks the
-frames one by one and checks each record's version line, headers, block length and payload digest.
+frames one by one and checks each record's version line, headers, block length and digests. It takes
+archives of other writers too: every record type, unknown content sizes, chunked bodies.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.cluster import shared_dir
+from codexlake.cluster import scratch
 from codexlake.llm.common import only, prepare, table
 
 #: Fixed values of the format.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
-VERSION = b"WARC/1.1"
+VERSION, VERSIONS = b"WARC/1.1", (b"WARC/1.1", b"WARC/1.0")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: An archive is closed after so many payload bytes.
@@ -35,7 +36,10 @@ LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("9b1c9f3e-2f55-5c1e-9b62-6f0d6ad3a001")
 
-RECORD_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+#: Parts that a digest's copies are dealt to when pages meet the digests that repeat.
+SALTS = 16
+
+RECORD_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, record_id string, refers_to_id string"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -101,54 +105,162 @@ def read_dictionary(data: bytes) -> tuple[bytes | None, int]:
     return (zstd.ZstdDecompressor().decompress(body, max_output_size=1 << 27) if body[:4] == ZSTD_MAGIC else body), 8 + n
 
 
+def frame_end(view: memoryview, at: int) -> int:
+    """Where the frame at a place ends: its header, then its blocks one by one, then a checksum if it has one."""
+    try:
+        end = at + zstd.frame_header_size(view[at : at + 18])
+        checked = zstd.get_frame_parameters(view[at : at + 18]).has_checksum
+    except zstd.ZstdError as e:
+        raise BadArchive(f"no frame at byte {at}: {e}") from e
+    last = False
+    while not last:
+        if end + 3 > len(view):
+            raise BadArchive(f"the frame at byte {at} is cut off")
+        word = int.from_bytes(view[end : end + 3], "little")
+        last, kind, size = bool(word & 1), word >> 1 & 3, word >> 3
+        if kind == 3:
+            raise BadArchive(f"the frame at byte {at} has a block of no known type")
+        end += 3 + (1 if kind == 1 else size)
+    end += 4 * checked
+    if end > len(view):
+        raise BadArchive(f"the frame at byte {at} is cut off")
+    return end
+
+
 def read_archive(data: bytes) -> Iterator[bytes]:
-    """Each record's bytes, one frame at a time; other skippable frames are passed over."""
+    """Each record's bytes, one frame at a time; other skippable frames are passed over. Time grows with the archive's size."""
     view = memoryview(data)
     words, at = read_dictionary(view)
     engine = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(words) if words else None)
     while at < len(view):
         if len(view) - at >= 8 and 0x184D2A50 <= struct.unpack_from("<I", view, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if at > len(view):
+                raise BadArchive("a skippable frame is cut off")
             continue
+        end = frame_end(view, at)
         try:
             frame = engine.decompressobj()
-            out = frame.decompress(view[at:])
+            out = frame.decompress(view[at:end])
         except zstd.ZstdError as e:
             raise BadArchive(f"no whole frame at byte {at}: {e}") from e
         if not frame.eof:
             raise BadArchive(f"the frame at byte {at} is cut off")
-        at = len(view) - len(frame.unused_data)
+        at = end
         yield out
 
 
+def headers(raw: bytes, what: str) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank continues the one before. A repeated field keeps its first value."""
+    out: dict[str, str] = {}
+    last = None
+    for line in raw.decode("utf-8", "surrogateescape").split("\r\n"):
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name.strip():
+            raise BadArchive(f"a {what} header line has no name: {line[:80]!r}")
+        last = name.strip().lower()
+        if last in out:
+            last = None
+        else:
+            out[last] = value.strip()
+    return out
+
+
+def _length(fields: dict[str, str], what: str) -> int | None:
+    text = fields.get("content-length")
+    if text is None:
+        return None
+    if not text.isascii() or not text.isdigit():
+        raise BadArchive(f"the {what} Content-Length is no number: {text[:40]!r}")
+    return int(text)
+
+
+def _agrees(digest: str, body: bytes) -> bool:
+    """Whether a labelled digest is that of these bytes, in base32 or hex; of an unknown algorithm nothing can be said."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    sum_ = hashlib.new(kind.lower(), body).digest()
+    return value.rstrip("=").upper() in (base64.b32encode(sum_).decode().rstrip("="), sum_.hex().upper())
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked HTTP message."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        try:
+            n = int(size, 16)
+        except ValueError:
+            raise BadArchive("a chunk has no length") from None
+        if n == 0:
+            return b"".join(out)
+        if len(body) < end + 2 + n:
+            raise BadArchive("a chunk is cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
 def parse_record(raw: bytes) -> dict:
-    """The fields of one record, after checks of version, headers, lengths and digests."""
+    """The fields of one record, after checks of version, headers, lengths and digests; whatever breaks them is a BadArchive.
+
+    A response or revisit of type application/http has the HTTP body as payload, a revisit's length comes
+    from its HTTP head; other records, such as warcinfo, request or metadata, have their block as payload.
+    """
     end = raw.find(b"\r\n\r\n")
-    if not raw.startswith(VERSION + b"\r\n") or end < 0:
-        raise BadArchive("no WARC/1.1 header")
-    head = dict(line.split(": ", 1) for line in raw[len(VERSION) + 2 : end].decode().split("\r\n"))
+    line = raw[: raw.find(b"\r\n")]
+    if line not in VERSIONS or end < 0:
+        raise BadArchive("no WARC/1.1 or WARC/1.0 header")
+    head = headers(raw[len(line) + 2 : end], "WARC")
     for need in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
-        if need not in head:
+        if not head.get(need.lower()):
             raise BadArchive(f"{need} is missing")
-    n = int(head["Content-Length"])
+    n = _length(head, "WARC")
     block = raw[end + 4 : end + 4 + n]
     if len(block) != n or raw[end + 4 + n :] != b"\r\n\r\n":
         raise BadArchive("Content-Length differs from the block's length")
-    if head.get("WARC-Block-Digest", "sha1:" + payload_digest(block)) != "sha1:" + payload_digest(block):
+    if not _agrees(head.get("warc-block-digest", ""), block):
         raise BadArchive("the block digest differs")
-    cut = block.find(b"\r\n\r\n") + 4
-    http = dict(line.split(": ", 1) for line in block[:cut].decode("latin-1").split("\r\n")[1:] if line)
-    payload, full = block[cut:], int(http["Content-Length"])
-    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = head["WARC-Type"]
-    if kind == "response" and (len(payload) != full or payload_digest(payload) != digest):
-        raise BadArchive("the payload's length or digest differs")
-    if kind == "revisit" and (payload or "WARC-Refers-To" not in head):
-        raise BadArchive("a revisit has a payload or refers to nothing")
-    page, refers = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")
+    kind, cut_short = head["warc-type"].lower(), "warc-truncated" in head
+    payload, full = block, len(block)
+    if kind in ("response", "revisit") and head.get("content-type", "").lower().startswith("application/http") and block:
+        cut = block.find(b"\r\n\r\n")
+        if cut < 0:
+            raise BadArchive("the HTTP head does not end")
+        status, _, rest = block[:cut].partition(b"\r\n")
+        if not status.startswith(b"HTTP/"):
+            raise BadArchive("the HTTP head has no status line")
+        http = headers(rest, "HTTP") if rest else {}
+        payload, said = block[cut + 4 :], _length(http, "HTTP")
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            said, whole = None, unchunked(payload) if payload and not cut_short else payload
+        else:
+            whole = payload
+        if kind == "response" and said is not None and said != len(payload) and not cut_short:
+            raise BadArchive("the payload's length differs from the HTTP head's")
+        if kind == "response" and not cut_short and not (_agrees(head.get("warc-payload-digest", ""), payload) or _agrees(head.get("warc-payload-digest", ""), whole)):
+            raise BadArchive("the payload's digest differs")
+        payload, full = whole, len(whole) if kind == "response" else said
+    elif kind == "response" and not cut_short and not _agrees(head.get("warc-payload-digest", ""), block):
+        raise BadArchive("the payload's digest differs")
+    if kind == "revisit":
+        if payload is not block and payload:
+            raise BadArchive("a revisit has a payload")
+        if "warc-refers-to" not in head and "warc-refers-to-target-uri" not in head:
+            raise BadArchive("a revisit refers to nothing")
+    digest = head.get("warc-payload-digest", "")
+    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+    for name, value in (("X-Page-Id", page), ("X-Refers-To-Page-Id", refers)):
+        if value is not None and not value.lstrip("-").isdigit():
+            raise BadArchive(f"{name} is no number")
     return {
-        "page_id": None if page is None else int(page), "url": None if "X-No-Url" in head else head.get("WARC-Target-URI", ""), "record_type": kind,
-        "refers_to": None if refers is None else int(refers), "payload_bytes": full, "payload_digest": digest, "payload": payload if kind == "response" else None,
+        "page_id": None if page is None else int(page), "url": None if "x-no-url" in head else head.get("warc-target-uri", ""), "record_type": kind,
+        "refers_to": None if refers is None else int(refers), "payload_bytes": full, "payload_digest": digest.partition(":")[2] or (None if kind == "revisit" else payload_digest(payload)),
+        "payload": None if kind == "revisit" else payload, "record_id": head["warc-record-id"], "refers_to_id": head.get("warc-refers-to"),
     }
 
 
@@ -163,7 +275,10 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     keyed = pages.withColumn("digest", F.sha2(html.cast("binary"), 256))
     groups = keyed.where(F.octet_length(html) >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return keyed.join(groups, "digest", "left").select("page_id", "url", html.alias("html"), refers.alias("refers_to"))
+    # a digest that a third of the pages share is dealt to several tasks; the groups are narrow, so they repeat instead
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return keyed.join(groups, ["digest", "salt"], "left").select("page_id", "url", html.alias("html"), refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> int:
@@ -209,7 +324,11 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: i
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives below a path. A broken archive raises BadArchive with its name."""
+    """Every record of the archives (*.warc.zst) below a path. A broken archive raises BadArchive with its name.
+
+    Records of other writers have no page_id and refers_to; record_id and refers_to_id have what the
+    archive says. A folder without archives gives no rows; an archive's records keep their order.
+    """
     prepare(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +353,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     return files.mapInArrow(decode, RECORD_SCHEMA)
 
 
-_RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """Every row of `pages` written as a record and read back; nulls and repeats as in `write_warc`, an empty table gives no rows."""
+    path = scratch(spark, "warc")
     path = path if "://" in path else f"file://{path}"
     if not write_warc(table(spark, sf_dir, "pages"), path):
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")

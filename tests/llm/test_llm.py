@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codexlake.llm import embeddings, fingerprints, jaccard, packing, pieces, quality, registry, scoring, sharding, toxicity, warc
+from codexlake.llm import embeddings, fingerprints, jaccard, linear, packing, pieces, quality, registry, scoring, sharding, toxicity, warc
 from codexlake.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -98,6 +98,69 @@ def test_warc_refuses_broken_archives():
         warc.parse_record(warc.record(1, "u", b"abc", warc.payload_digest(b"abd"), None))
 
 
+def _foreign(kind, block, *more, version="WARC/1.0"):
+    head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reads_archives_of_other_writers(spark, tmp_path):
+    """No dictionary, frames of unknown content size, all record types, folded and lower-case headers, a chunked body."""
+    import zstandard
+
+    chunked = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n4\r\nWiki\r\n5;x=y\r\npedia\r\n0\r\n\r\n"
+    http = "Content-Type: application/http; msgtype=response"
+    records = [
+        _foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        _foreign("response", chunked, http, "warc-target-uri: http://a/", "WARC-Payload-Digest: sha1:" + warc.payload_digest(b"Wikipedia")),
+        _foreign("response", b"HTTP/1.0 200 OK\r\nX-A: b\r\n c\r\n\r\nbody", http),
+        _foreign("response", b"raw dns", "Content-Type: text/dns", "WARC-Target-URI: dns:a"),
+        _foreign("revisit", b"", http, "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: sha1:ABC"),
+        _foreign("metadata", b"", "Content-Type: application/warc-fields"),
+        _foreign("resource", b"file", "WARC-Target-URI: file:a", version="WARC/1.1"),
+    ]
+    frames = []
+    for k, r in enumerate(records):
+        c = zstandard.ZstdCompressor(write_checksum=bool(k % 2), write_content_size=False).compressobj()
+        frames.append(c.compress(r) + c.flush())
+    (tmp_path / "f.warc.zst").write_bytes(b"".join(frames) + b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc")
+    got = [(r.record_type, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert got == [("warcinfo", 13, b"software: x\r\n"), ("request", 18, b"GET / HTTP/1.1\r\n\r\n"), ("response", 9, b"Wikipedia"), ("response", 4, b"body"), ("response", 7, b"raw dns"), ("revisit", 0, None), ("metadata", 0, b""), ("resource", 4, b"file")]
+
+
+def test_warc_names_every_fault():
+    http = "Content-Type: application/http"
+    ok = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nbody"
+    faults = [
+        b"", b"WARC/9.9\r\n\r\n", _foreign("response", ok, http).replace(b"WARC-Type", b"X-Type"), _foreign("response", ok, http).replace(b"WARC-Date: ", b"WARC-Date "),
+        _foreign("response", ok, http) + b"x", _foreign("response", ok, http).replace(b"Content-Length: 42", b"Content-Length: 4x"), _foreign("response", ok.replace(b"h: 4", b"h: 5"), http),
+        _foreign("response", ok.replace(b"h: 4", b"h: four"), http), _foreign("response", b"no head", http), _foreign("response", b"junk\r\n\r\n", http), _foreign("response", ok, http, "WARC-Payload-Digest: sha1:AAAA"),
+        _foreign("response", ok, http, "WARC-Block-Digest: md5:00"), _foreign("revisit", b"", http), _foreign("revisit", ok, http, "WARC-Refers-To: x"), _foreign("response", ok, http, "X-Page-Id: one"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n", http), _foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\nab", http),
+    ]
+    assert warc.parse_record(_foreign("response", ok, http))["payload"] == b"body"
+    for raw in faults:
+        with pytest.raises(warc.BadArchive):
+            warc.parse_record(raw)
+    good = warc.write_archive([warc.record(1, "u", b"abc" * 50, warc.payload_digest(b"abc" * 50), None)])
+    for broken in (good + b"\x50\x2a\x4d\x18\x09\x00\x00\x00ab", good + b"junk", good[:20], good[:-1]):
+        with pytest.raises(warc.BadArchive):
+            list(warc.read_archive(broken))
+
+
+def test_warc_walk_is_linear():
+    import time
+
+    body = b"x" * 900
+    took = []
+    for n in (2000, 8000):
+        data = warc.write_archive([warc.record(i, "u", body + str(i).encode(), "", None) for i in range(n)])
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.read_archive(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.3
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
@@ -120,7 +183,7 @@ def test_embeddings_brute_force(spark):
 
 def test_embeddings_keep_hubs_and_chains_whole(spark):
     # one table of one sign puts all into one bucket: neighbours are 17 degrees apart, others 34 and more
-    up = np.random.Generator(np.random.Philox(embeddings.SEED)).standard_normal((2, 1))[:, 0]
+    up = np.random.Generator(np.random.Philox(embeddings.SEED)).standard_normal((2, embeddings.SIGNATURE_BITS))[:, 0]
 
     def turned(degrees):
         a = math.radians(degrees)
@@ -138,6 +201,41 @@ def test_embeddings_keep_hubs_and_chains_whole(spark):
     assert {i: r[1] for i, r in got.items()} == dict.fromkeys(chain, 1)
 
 
+def test_embeddings_blocks_and_recall(spark, monkeypatch):
+    """Chains whose hub has the largest id, and blocks of four; every link of 2,000 vectors just above the threshold counts."""
+    monkeypatch.setattr(embeddings, "BLOCK", 4)
+    rng, rows = np.random.default_rng(8), []
+    for dim in (8, 24):
+        for g in range(100):
+            hub = rng.normal(size=dim)
+            hub /= np.linalg.norm(hub)
+            for k in range(3):
+                side = rng.normal(size=dim)
+                side -= (side @ hub) * hub
+                side /= np.linalg.norm(side)
+                a = math.radians([16.5, 17, 0][k])
+                rows.append((1000 * dim + [g, 100 + g, 900 + g][k], [float(x) for x in math.cos(a) * hub + math.sin(a) * side]))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    found = wanted = 0
+    for dim in (8, 24):
+        own = [(i, v) for i, v in rows if len(v) == dim]
+        u = np.array([v for _, v in own])
+        near = u @ u.T >= 0.95
+        label = np.array([i for i, _ in own])
+        for _ in range(12):
+            label = np.array([label[near[k]].min() for k in range(len(own))])
+        wanted += int(near.sum()) - len(own)
+        found += sum(got[i].n_links for i, _ in own)
+        assert [got[i].component_id for i, _ in own] == label.tolist()
+    assert found == wanted
+
+
+def test_embeddings_layout_follows_the_rows():
+    for n in (0, 1, 10**4, 10**6, 10**9):
+        tables, signs = embeddings.layout(n)
+        assert (1 - embeddings.agreement(0.95) ** signs) ** tables <= 1e-4 and n / 2**signs <= embeddings.BUCKET
+
+
 def test_joined_brute_force():
     rng = np.random.default_rng(3)
     for n, m in [(1, 0), (2, 1), (60, 30), (60, 60), (300, 290), (300, 2000)]:
@@ -244,6 +342,39 @@ def test_jaccard_odd(odd, none):
     assert kept == sorted([1, 2, 3, None, 5, 6, 7, 8], key=str)
 
 
+def test_one_of_each_decides_rows(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, a, "x"), (5, a + " .", "y"), (5, "another text altogether with words of its own here", "z"), (5, "another text altogether with words of its own here", "z"), (7, "", "e"), (7, "", "e"), (None, a, "n"), (8, a, "dup")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string").withColumn("stays", F.lit(1)).withColumn("c1", F.lit("c"))
+    got = jaccard.one_of_each(docs, 5, 80, 100)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.node) for r in got.collect()), key=str) == sorted([(1, "x"), (5, "z"), (7, "e"), (7, "e"), (None, "n")], key=str)
+
+
+def test_jaccard_long_lists_of_many_sizes(spark, monkeypatch):
+    """Lists longer than a block are dealt by bands of size; no link may be lost between bands."""
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    rng, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(400)]
+    for k in range(150):
+        rows.append((k, " ".join(base[: rng.randrange(40, 400)])))
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, SCHEMA), 5, 80, 100).collect()}
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    label = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(60):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == label
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="still changing"):
+        components(path, most_rounds=2)
+    assert {r.component for r in components(path).collect()} == {0}
+
+
 def test_classifiers(spark, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -254,8 +385,60 @@ def test_classifiers(spark, odd, none):
         assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
         assert np.mean([r.predicted == r[label] for r in held]) >= least
         assert toxicity.score(odd, model, features, threshold).count() == len(ODD) and toxicity.score(none, model, features, threshold).count() == 0
-        unlabelled = fit(d, labels.limit(0))
-        assert unlabelled.bias == 0 and not len(unlabelled.index)
+
+
+def test_classifiers_without_labels_reject_nothing(docs, odd, none):
+    labels = docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for part in (docs, odd, none):
+        n = part.count()
+        good, bad = quality.fit_quality(part, labels), toxicity.fit_toxicity(part, labels)
+        assert not len(good.index) and not len(bad.index) and abs(linear.sigmoid(np.array(bad.bias)) - 0.05) < 1e-6
+        assert quality.keep_good(part, good).count() == n and toxicity.drop_toxic(part, bad).count() == n
+
+
+def test_classifiers_keep_clashing_columns(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    wide = docs.withColumns({"score": F.col("doc_id") * 2, "predicted": F.lit("p"), "TEXT2": F.lit(None).cast("string"), "c0": F.lit(1)})
+    for keep, fit in ((quality.keep_good, quality.fit_quality), (toxicity.drop_toxic, toxicity.fit_toxicity)):
+        model = fit(docs, labels)
+        got = keep(wide, model)
+        assert got.columns == wide.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in keep(docs, model).collect()) and got.where("score = doc_id * 2").count() == got.count()
+
+
+def plain_ftrl(rows, s):
+    """The same updates, one coordinate at a time."""
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for epoch in range(s.epochs):
+        for k in np.random.Generator(np.random.Philox(epoch)).permutation(len(rows)):
+            idx, x, y = rows[k]
+            w = [weight(i) for i in idx]
+            b = -bz * s.alpha / (s.beta + math.sqrt(bn))
+            g = 1 / (1 + math.exp(-(sum(a * c for a, c in zip(w, x)) + b))) - y
+            for i, v, old in zip(idx, x, w):
+                step = (math.sqrt(n[i] + (g * v) ** 2) - math.sqrt(n[i])) / s.alpha
+                z[i] += g * v - step * old
+                n[i] += (g * v) ** 2
+            step = (math.sqrt(bn + g * g) - math.sqrt(bn)) / s.alpha
+            bz, bn = bz + g - step * b, bn + g * g
+    return {i: weight(i) for i in z if weight(i)}, -bz * s.alpha / (s.beta + math.sqrt(bn))
+
+
+def test_ftrl_updates_match_a_plain_version():
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(200):
+        i = np.unique(rng.integers(0, 60, 12))
+        rows.append((i.astype(np.int32), rng.random(len(i)).astype(np.float32), int(i[0] < 4)))
+    s = linear.Ftrl(bits=6, alpha=0.4, l1=0.4, l2=0.3, epochs=3)
+    model = linear.fit(rows, s)
+    w, b = plain_ftrl([(i.tolist(), [float(v) for v in x], y) for i, x, y in rows], s)
+    assert sorted(w) == model.index.tolist() and 0 < len(w) < 60
+    assert np.allclose([w[i] for i in model.index.tolist()], model.weight, atol=1e-5) and abs(b - model.bias) < 1e-9
 
 
 def test_pieces_match_the_library(spark, docs, odd, none):
