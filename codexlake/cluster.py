@@ -66,6 +66,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(kept: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    for spark, path in [s for s in _SCRATCH if any(f"{s[1]}/" in f for f in kept.inputFiles()[:1])]:
+        _SCRATCH.remove((spark, path))
+        delete_path(spark, path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
