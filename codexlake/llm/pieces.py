@@ -6,11 +6,16 @@ are the edges of a lattice, sorted by where they end, and relaxed in that order:
 end at a place, the one stays whose piece may follow the piece before it. For a BPE model that is
 the case if merging the two pieces' symbols by rank never joins across their boundary, and then
 the path left is the model's own encoding. Symbols outside the vocabulary become their bytes.
+
+A long segment is matched in overlapping windows, side by side. Any two chains of pieces whose
+neighbours may follow each other make one such chain if the pieces at the seam may too, so windows are
+joined where both have a boundary at which this holds, and the result is the encoding of the whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
 import zlib
@@ -26,6 +31,8 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of distinct segments that are indexed at a time.
 INDEX_CHARS = 400_000
+#: Characters of a window, and by how many the next one overlaps it; segments of up to both together are matched whole.
+WINDOW, OVERLAP = 256, 64
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -78,15 +85,29 @@ class Pieces:
         self._spines()
 
     def merge(self, text: str) -> tuple[list[str], str | None]:
-        """Plain merging by score, leftmost first among equals: symbols, and the left part of the last merge."""
+        """Merging by score, leftmost first among equals: symbols, and the left part of the last merge. A heap holds the possible merges."""
         symbols, left = list(text), None
-        while True:
-            best = min(((-self.score[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
-                return symbols, left
-            k = best[1]
-            left = symbols[k]
-            symbols[k : k + 2] = [left + symbols[k + 1]]
+        after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(symbols) and symbols[k] + symbols[after[k]] in self.score:
+                heapq.heappush(heap, (-self.score[symbols[k] + symbols[after[k]]], k, symbols[k], symbols[after[k]]))
+
+        for k in range(len(symbols) - 1):
+            offer(k)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            # a merge is still possible if both its symbols are as they were
+            if symbols[k] == x and after[k] < len(symbols) and symbols[after[k]] == y:
+                left, gone = x, after[k]
+                symbols[k], symbols[gone] = x + y, ""
+                after[k] = after[gone]
+                if after[k] < len(symbols):
+                    before[after[k]] = k
+                offer(before[k])
+                offer(k)
+        return [x for x in symbols if x], left
 
     def last_merge(self, text: str) -> str | None:
         symbols, left = self.merge(text)
@@ -136,8 +157,8 @@ class Pieces:
             on = on[~crossed & ((tx < far) | (ty < far))]
         return ok
 
-    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cuts) of distinct segments; cuts has where each segment's ids begin."""
+    def match(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ends, cuts) of segments: pieces, where in its segment each ends, and where each segment's pieces begin. A symbol that no piece spells has the id `unknown`."""
         lens = np.fromiter(map(len, segments), np.int64, len(segments))
         text = np.array(["".join(segments)]).view(np.uint32) if len(segments) else np.zeros(0, np.uint32)
         ends = np.cumsum(lens)
@@ -178,51 +199,113 @@ class Pieces:
             more = nxt >= starts[seg]
             seg, spot = seg[more], nxt[more]
         if not found_seg:
-            return np.zeros(0, np.int64), np.zeros(len(segments) + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(segments) + 1, np.int64)
         spots = np.concatenate(found_at)
         by = np.argsort(spots)
         ids, own, spots = np.concatenate(found_id)[by], np.concatenate(found_seg)[by], spots[by]
-        if (ids == self.unknown).any():
-            lost = np.flatnonzero(ids == self.unknown)
-            spelled = [chr(int(text[spots[i]])).encode() for i in lost]
-            count = np.ones(len(ids), np.int64)
-            count[lost] = [len(b) for b in spelled]
-            first = np.cumsum(count) - count
-            own = np.repeat(own, count)
-            wide = np.repeat(ids, count)
-            for i, b in zip(lost, spelled, strict=True):
-                wide[first[i] : first[i] + len(b)] = self.byte[list(b)]
-            ids = wide
-        return ids, np.searchsorted(own, np.arange(len(segments) + 1))
+        return ids, spots + 1 - starts[own], np.searchsorted(own, np.arange(len(segments) + 1))
+
+    def spelled(self, ids: np.ndarray, ends: np.ndarray, segment: str) -> np.ndarray:
+        """The ids of one segment, its unknown symbols as their bytes."""
+        if not (ids == self.unknown).any():
+            return ids
+        return np.concatenate([self.byte[list(segment[e - 1].encode())] if i == self.unknown else [i] for i, e in zip(ids.tolist(), ends.tolist(), strict=True)]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; equal segments of a batch are encoded once."""
         known: dict[str, int] = {}
         runs = [[known.setdefault(s, len(known)) for s in _SEGMENT.findall(BLANK + t.replace(" ", BLANK))] if t else [] for t in texts]
         segments = list(known)
-        parts: list[np.ndarray] = []
-        batch, size = [], 0
-        plain = [not s.startswith(BLANK * 2) for s in segments]
-        by_index: dict[int, np.ndarray] = {}
+        done: dict[int, np.ndarray] = {}
+        parts: list[tuple[int, int, str]] = []
         for k, s in enumerate(segments):
-            if not plain[k]:
+            if s.startswith(BLANK * 2):
                 # runs of blanks have pieces of equal scores, which only merging itself orders
-                by_index[k] = np.array([i for p in self.merge(s)[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64)
-                continue
-            batch.append(k)
-            size += len(s)
-            if size >= INDEX_CHARS:
-                parts.append(self._spread(batch, segments, by_index))
-                batch, size = [], 0
-        if batch:
-            parts.append(self._spread(batch, segments, by_index))
+                done[k] = np.array([i for p in self.merge(s)[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64)
+            elif len(s) <= WINDOW + OVERLAP:
+                parts.append((k, 0, s))
+            else:
+                parts += [(k, at, s[at : at + WINDOW + OVERLAP]) for at in range(0, len(s) - OVERLAP, WINDOW)]
+        matched: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        lo = 0
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and size < INDEX_CHARS:
+                size += len(parts[hi][2])
+                hi += 1
+            ids, ends, cuts = self.match([p[2] for p in parts[lo:hi]])
+            for (k, at, _), a, b in zip(parts[lo:hi], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                matched.setdefault(k, []).append((at, ids[a:b], ends[a:b] + at))
+            lo = hi
+        for k, windows in matched.items():
+            ids, ends = windows[0][1:] if len(windows) == 1 else self.joined(segments[k], windows)
+            done[k] = self.spelled(ids, ends, segments[k])
         empty = np.zeros(0, np.int64)
-        return [np.concatenate([by_index[k] for k in run]) if run else empty for run in runs]
-
-    def _spread(self, batch: list[int], segments: list[str], by_index: dict[int, np.ndarray]) -> np.ndarray:
-        ids, cuts = self.encode_segments([segments[k] for k in batch])
-        by_index.update({k: ids[a:b] for k, a, b in zip(batch, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)})
-        return ids
+        return [np.concatenate([done[k] for k in run]) if run else empty for run in runs]
+
+    def seams(self, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, int]]:
+        """For each window, where its chain and the next one's may be joined: the last piece to keep and the first to go on with; windows without such a place are left out."""
+        place, left, right, left_at, right_at = ([np.zeros(0, np.int64)] for _ in range(5))
+        for w, ((_, a, a_end), (at, b, b_end)) in enumerate(zip(windows, windows[1:], strict=False)):
+            _, x, y = np.intersect1d(a_end, np.concatenate([[at], b_end[:-1]]), return_indices=True)
+            for kept, new in ((place, np.full(len(x), w)), (left, a[x]), (right, b[y]), (left_at, x), (right_at, y)):
+                kept.append(new)
+        place, left, right, left_at, right_at = (np.concatenate(c) for c in (place, left, right, left_at, right_at))
+        fits = self.may_follow(left, right)
+        out: dict[int, tuple[int, int]] = {}
+        for w, x, y in zip(place[fits].tolist(), left_at[fits].tolist(), right_at[fits].tolist(), strict=True):
+            # a window is left no earlier than it was entered
+            if w not in out and x >= out.get(w - 1, (0, 0))[1]:
+                out[w] = (x, y)
+        return out
+
+    def joined(self, segment: str, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """One chain from the chains of overlapping windows.
+
+        Where windows do not fit, those that follow are matched anew from a boundary of the last one that
+        does, twice as many in each round, so that texts with a period fall into step; a window that then
+        still does not fit is matched as one with the next.
+        """
+        shifted: set[int] = set()
+        reach = 1
+        while True:
+            fit = self.seams(windows)
+            if len(fit) == len(windows) - 1:
+                break
+            spans, kept, w = [], {}, 0
+            while w < len(windows):
+                at, _, ends = windows[w]
+                x = w
+                while x < len(windows) - 1 and x not in fit:
+                    x += 1
+                x = x if x == w else max(x, min(w + reach, len(windows) - 1))
+                if x == w:
+                    kept[len(spans)] = windows[w]
+                    spans.append((at, int(ends[-1])))
+                    w += 1
+                    continue
+                stop, near = int(windows[x][2][-1]), ends[ends <= windows[w + 1][0] + OVERLAP // 2]
+                if at in shifted or not len(near):
+                    spans.append((at, int(windows[w + 1][2][-1])))
+                    spans += [(n[0], int(n[2][-1])) for n in windows[w + 2 : x + 1]]
+                else:
+                    shifted.add(at)
+                    kept[len(spans)] = windows[w]
+                    spans.append((at, int(ends[-1])))
+                    spans += [(b, min(stop, b + WINDOW + OVERLAP)) for b in range(int(near[-1]), max(stop - OVERLAP, int(near[-1]) + 1), WINDOW)]
+                w = x + 1
+            fresh = [k for k in range(len(spans)) if k not in kept]
+            ids, ends, cuts = self.match([segment[slice(*spans[k])] for k in fresh])
+            for k, a, b in zip(fresh, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                kept[k] = (spans[k][0], ids[a:b], ends[a:b] + spans[k][0])
+            windows, reach = [kept[k] for k in range(len(spans))], 2 * reach
+        ids, ends, begin = [], [], 0
+        for w, (_, a, a_end) in enumerate(windows):
+            stop = fit[w][0] + 1 if w in fit else len(a)
+            ids.append(a[begin:stop])
+            ends.append(a_end[begin:stop])
+            begin = fit[w][1] if w in fit else 0
+        return np.concatenate(ids), np.concatenate(ends)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; broken bytes are replaced, and the blank put before the text goes."""
@@ -288,7 +371,12 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and round_trip of every text."""
+    """doc_id, n_chars, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and round_trip of every text.
+
+    Null and empty texts have no ids, the crc of nothing and an empty decoded text. Texts of any length and
+    without any blank are encoded whole. Rows that repeat an id or text repeat; other columns are not
+    carried; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,4 +395,5 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` encoded and decoded; nulls, repeats and empty tables as in `digests`."""
     return digests(table(spark, sf_dir, "documents"))

@@ -454,6 +454,39 @@ def test_pieces_match_the_library(spark, docs, odd, none):
     assert pieces.digests(odd).where("round_trip").count() == len(ODD) and pieces.digests(none).count() == 0
 
 
+def test_pieces_of_long_runs():
+    """Runs without blanks and runs of blanks equal the library's ids, in time that grows with their length."""
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    tables, rng = pieces.pieces_of(pieces.MODEL), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [
+        "".join(rng.choice(letters) for _ in range(30_000)), "ab" * 20_000, "a" * 30_001, "=" * 5000, "é字𓀀" * 3000, "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(50_000)),
+        "thequickbrownfoxjumpsoverthelazydog" * 900, " " * 5000, "x" + " " * 4000 + "y", "\n" * 3000, "a\tb" * 2000, "".join(rng.choice("aab") for _ in range(20_000)),
+    ]
+    assert [g.tolist() for g in tables.encode(texts)] == sp.encode(texts)
+    for text in (" " * 100_000, "".join(rng.choice(letters) for _ in range(1_000_000))):
+        began = time.perf_counter()
+        tables.encode([text])
+        assert time.perf_counter() - began < 15
+
+
+def test_pieces_seams_without_a_fit(monkeypatch):
+    """Windows so small that seams often do not fit are matched anew, and the ids stay the same."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("internationalization") for _ in range(400)) for _ in range(20)] + ["international" * 30, "aaaaaaaa" * 50]
+    tables = pieces.pieces_of(pieces.MODEL)
+    whole = [g.tolist() for g in tables.encode(texts)]
+    for window, overlap in ((6, 2), (9, 4), (20, 1)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        monkeypatch.setattr(pieces, "OVERLAP", overlap)
+        assert [g.tolist() for g in tables.encode(texts)] == whole
+
+
 def test_scoring(spark, docs, odd, none):
     got = scoring.score_texts(docs).collect()
     counts, toks = Counter(), {}
