@@ -152,6 +152,39 @@ def access_error(c) -> Column:
     return F.coalesce(code(c).rlike(ACCESS), F.lit(False))
 
 
+def like_escape(c) -> Column:
+    """A text in which no character means anything to LIKE with a backslash as escape."""
+    return F.regexp_replace(code(c), r"([\\%_])", r"\\$1")
+
+
+def contains_text(c, part) -> Column:
+    """Whether a text contains another, taken literally, as a LIKE pattern."""
+    return F.like(code(c), F.concat(F.lit("%"), like_escape(part), F.lit("%")), F.lit("\\"))
+
+
+def starts_with_text(c, part) -> Column:
+    return F.like(code(c), F.concat(like_escape(part), F.lit("%")), F.lit("\\"))
+
+
+def is_wiki_archive(name, language) -> Column:
+    """Whether an archive is a wiki: its language is a code and its name says so."""
+    lower = F.lower(code(name))
+    return code(language).rlike("^[A-Za-z]") & (lower.contains("wikipedia") | lower.contains("wiki_"))
+
+
+def is_complete(progress, state) -> Column:
+    return (code(progress) >= 0.999) & code(state).isin(*COMPLETE_STATES)
+
+
+def is_fatal(state) -> Column:
+    return code(state).isin(*FATAL_STATES)
+
+
+def sha256_hex(c) -> Column:
+    """SHA-256 of the UTF-8 bytes in lower-case hex."""
+    return F.sha2(code(c).cast("binary"), 256)
+
+
 def clean_fraction(c) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(code(c), F.lit(0.0)), F.lit(0.0))))
 

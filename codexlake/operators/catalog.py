@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexlake.cluster import settle
 from codexlake.functions.text import base_name, catalog_name, version
 
 
-def reindex(old: DataFrame, new: DataFrame) -> DataFrame:
+def reindex(old: DataFrame, new: DataFrame, spans: int = 256) -> DataFrame:
     """Articles after a run: those of the new extraction, with the old id and embedding where (archive, path) was known; others go.
 
-    New rows get ids after the greatest, in order of (archive, path); ids are numbered within archives
-    and shifted by the archives' totals, so no task numbers all rows.
+    New rows get ids after the greatest, in order of (archive, path). Rows are ranged by (archive, path),
+    numbered within each range and shifted by the ranges' totals, so an archive of any size is shared by
+    many tasks. An empty catalog starts at 0.
     """
     kept = old.select("archive", "path", F.col("id").alias("old_id"), "embedding")
     both = new.join(kept, ["archive", "path"], "left")
     top = old.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    fresh = both.where("old_id is null").withColumn("n", F.row_number().over(Window.partitionBy("archive").orderBy("path")))
-    totals = fresh.groupBy("archive").agg(F.count(F.lit(1)).alias("t"))
-    base = totals.select("archive", (F.sum("t").over(Window.orderBy("archive")) - F.col("t")).alias("base"))
-    numbered = fresh.join(base, "archive").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("base") + F.col("n"))
+    fresh = settle(both.where("old_id is null").select("archive", "path", "title", "embedding").repartitionByRange(spans, "archive", "path").withColumn("span", F.spark_partition_id()))
+    totals = fresh.groupBy("span").agg(F.count(F.lit(1)).alias("t"))
+    base = totals.select("span", (F.sum("t").over(Window.orderBy("span")) - F.col("t")).alias("base"))
+    numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("span").orderBy("archive", "path")))
+    numbered = numbered.join(F.broadcast(base), "span").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("base") + F.col("n"))
     cols = ["archive", "path", "title", "embedding"]
     return both.where("old_id is not null").select(F.col("old_id").alias("id"), *cols).unionByName(numbered.select("id", *cols))
 
@@ -75,3 +78,9 @@ def verify_claims(claims: DataFrame, observed: DataFrame) -> DataFrame:
     """(id, verdict): a claim that differs from what was measured is a mismatch; without either it is unverified."""
     v = F.when(F.col("claim").isNull() | F.col("measured").isNull(), "unverified").when(F.lower("claim") == F.lower("measured"), "verified").otherwise("mismatch")
     return claims.join(observed, "id", "left").select("id", v.alias("verdict"))
+
+
+def record_integrity(ledger: DataFrame, listing: DataFrame) -> DataFrame:
+    """(id, content, publisher): the hash that the listing (id, hash, name) found, beside the ledger's claim or, without one, the listed name."""
+    seen = listing.select("id", F.col("hash").alias("content"), F.col("name").alias("_name"))
+    return ledger.join(seen, "id").select("id", "content", F.coalesce("digest", "_name").alias("publisher"))

@@ -32,8 +32,19 @@ def poison(failures: DataFrame, most: int = 3) -> DataFrame:
 
 
 def hashing_vectors(df: DataFrame, text: str, size: int = 64) -> DataFrame:
-    """Term counts hashed to a fixed size, scaled to length one: a vectoriser that needs no model."""
+    """Term counts hashed to a fixed size, scaled to length one: a vectoriser that needs no model. Texts without words get none."""
     words = df.select("id", F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w"))
-    counts = words.groupBy("id", F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    counts = words.groupBy("id", F.pmod(F.conv(F.left(F.md5(F.col("w").cast("binary")), F.lit(12)), 16, 10).cast("bigint"), F.lit(size)).cast("int").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     rows = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
+
+
+def dimension_check(vectors: DataFrame, size: int) -> DataFrame:
+    """(dimension, n, fits): how many vectors have each dimension, and whether it is the one asked for."""
+    return vectors.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n")).withColumn("fits", F.col("dimension") == size)
+
+
+def apply_vectors(articles: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """The articles with their new vector and the model that made it; both null where there is none."""
+    new = vectors.select("id", "embedding")
+    return articles.drop("embedding", "model").join(new, "id", "left").withColumn("model", F.when(F.col("embedding").isNotNull(), model))

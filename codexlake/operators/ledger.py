@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.functions.text import COMPLETE_STATES, FATAL_STATES, access_error, is_direct, retryable_error
@@ -89,16 +89,64 @@ def last_digest(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("previous", F.last(seen, ignorenulls=True).over(w))
 
 
+def listing_candidates(ledger: DataFrame, listing: DataFrame, category: str = "") -> DataFrame:
+    """(id, seq): listing rows that may be what a ledger row has just added: the same name, upper and lower case alike, and the category that additions get.
+
+    A row without a category fits only where additions get none. A listing without a column `category` has none.
+    """
+    given = F.col("category") if "category" in listing.columns else F.lit(None).cast("string")
+    fits = F.when(given.isNull(), F.lit(category == "")).otherwise(F.lower(given) == category.lower())
+    named = listing.where(fits).select("seq", F.lower("name").alias("_name"))
+    return ledger.select("id", F.lower("name").alias("_name")).join(named, "_name").select("id", "seq")
+
+
 def match_listing(ledger: DataFrame, listing: DataFrame) -> DataFrame:
-    """(id, seq): a ledger row meets the listing row of its name or, failing that, of its url, upper and lower case alike; one to one.
+    """(id, seq): the listing row of each ledger row.
 
-    Candidates are ranked from both sides; a pair stays when each is the other's first.
+    A row with a digest matches by hash only; one without takes the last listing row of its name or,
+    failing that, of its url, upper and lower case alike. Of several ledger rows without a digest that
+    reach one listing row the smallest id gets it, since a row found by name is used up.
     """
-    name = ledger.join(listing, F.lower(ledger["name"]) == F.lower(listing["name"])).select(ledger["id"], listing["seq"], F.lit(0).alias("tier"))
-    url = ledger.join(listing, F.lower(ledger["url"]) == F.lower(listing["name"])).select(ledger["id"], listing["seq"], F.lit(1).alias("tier"))
-    both = name.unionByName(url)
-    both = both.withColumn("a", F.row_number().over(Window.partitionBy("id").orderBy("tier", "seq"))).withColumn("b", F.row_number().over(Window.partitionBy("seq").orderBy("tier", "id")))
-    return both.where("a = 1 and b = 1").select("id", "seq")
+    by_hash = listing.where("hash is not null and hash <> ''").groupBy("hash").agg(F.max("seq").alias("seq"))
+    bound = ledger.where("digest is not null").join(by_hash, F.col("digest") == F.col("hash")).select("id", "seq")
+    by_name = listing.groupBy(F.lower("name").alias("_key")).agg(F.max("seq").alias("seq"))
+    free = ledger.where("digest is null").select("id", F.lower("name").alias("_name"), F.lower("url").alias("_url"))
+    first = free.join(by_name.toDF("_name", "_named"), "_name", "left").join(by_name.toDF("_url", "_linked"), "_url", "left")
+    found = first.select("id", F.coalesce("_named", "_linked").alias("seq")).where("seq is not null")
+    return bound.unionByName(found.groupBy("seq").agg(F.min("id").alias("id")).select("id", "seq"))
+
+
+def duplicate_active(ledger: DataFrame) -> DataFrame:
+    """(name, n) of names with several active rows."""
+    return ledger.where(F.col("status").isin(*ACTIVE)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def active_work(ledger: DataFrame) -> DataFrame:
+    """How many rows (n) still need the transfer client."""
+    s = F.col("status")
+    return ledger.where(s.isin("queued", "seeding") | ((s == "downloading") & ~is_direct("url")) | ((s == "cancelled") & F.col("digest").isNotNull())).agg(F.count(F.lit(1)).alias("n"))
+
+
+def apply_live(ledger: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, progress, state): what the listing (id, progress, state) says of each row, 0 and unknown where it says nothing."""
+    said = live.select("id", F.col("progress").cast("double").alias("_p"), F.col("state").alias("_s"))
+    return ledger.join(said, "id", "left").select("id", F.coalesce("_p", F.lit(0.0)).alias("progress"), F.coalesce("_s", F.lit("unknown")).alias("state"))
+
+
+def apply_stats(ledger: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
+    """(id, progress, updated_at): rows with new stats (id, progress) get them and the time `now`; others keep theirs, with no progress."""
+    new = stats.select("id", F.col("progress").cast("double").alias("_p"))
+    return ledger.join(new, "id", "left").select("id", F.coalesce("_p", F.lit(0.0)).alias("progress"), F.when(F.col("_p").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def requeue_interrupted(ledger: DataFrame) -> DataFrame:
+    """The ledger after a restart: direct downloads under way are queued again."""
+    return ledger.withColumn("status", F.when((F.col("status") == "downloading") & is_direct("url"), "queued").otherwise(F.col("status")))
+
+
+def drain_cancelled(ledger: DataFrame) -> DataFrame:
+    """The ledger with the digests of cancelled rows let go."""
+    return ledger.withColumn("digest", F.when(F.col("status") != "cancelled", F.col("digest")))
 
 
 def reconcile_actions(ledger: DataFrame, matched: DataFrame, as_of: DataFrame, grace_minutes: int = 10) -> DataFrame:

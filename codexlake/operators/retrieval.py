@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codexlake.cluster import ship
 from codexlake.functions.text import similarity, tokens, trigrams
+from codexlake.operators import websearch
 
 #: Weights of the arms, the least similarity, limits of a page, and the weights of title and preview.
 WEIGHTS = {"fts": 0.6, "trgm": 0.4, "vector": 0.5}
@@ -44,98 +45,71 @@ def postings(articles: DataFrame) -> DataFrame:
 
 def top_k(scored: DataFrame, k: int, arm: str) -> DataFrame:
     """The k best of each query by score, then id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("arm_pos", F.row_number().over(w)).where(F.col("arm_pos") <= k).select("query_id", "id", "score", F.lit(arm).alias("arm"), "arm_pos")
 
 
 def fts_match(queries: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, id, score): documents with every word of the query and none of its words after a minus.
-
-    The score of a document is the sum of the class weights of its occurrences of the words.
-    """
-    words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("q"), r"\s+"), lambda w: w != "")).alias("w"))
-    words = words.select("query_id", F.col("w").startswith("-").alias("no"), F.regexp_replace("w", r"[^\p{L}\p{N}]+", "").alias("token")).where("token <> ''").distinct()
-    need = words.where("not no").groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = posted.join(words.where("not no"), "token").groupBy("query_id", "id").agg(F.countDistinct("token").alias("n"), F.sum(F.col("weight") * F.size("positions")).alias("score"))
-    found = hits.join(need, "query_id").where("n = need").select("query_id", "id", "score")
-    barred = posted.join(words.where("no"), "token").select("query_id", "id").distinct()
-    return found.join(barred, ["query_id", "id"], "left_anti")
+    """(query_id, id, score) of the documents that satisfy each query: words, "quoted phrases", or, -barred; ranked by cover density."""
+    return websearch.ranked(websearch.parsed(queries), posted)
 
 
 def phrase_match(queries: DataFrame, posted: DataFrame) -> DataFrame:
     """(query_id, id): documents where the query's words stand one after the other."""
-    words = queries.select("query_id", F.posexplode(tokens("q")).alias("k", "token"))
-    need = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    at = posted.join(words, "token").select("query_id", "id", "k", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("k"))
-    runs = at.groupBy("query_id", "id", "start").agg(F.countDistinct("k").alias("n"))
-    return runs.join(need, "query_id").where("n = need").select("query_id", "id").distinct()
+    quoted = queries.withColumn("q", F.concat(F.lit('"'), F.translate(F.coalesce("q", F.lit("")), '"', " "), F.lit('"')))
+    return websearch.matches(websearch.parsed(quoted), posted)
 
 
 def cover_rank(queries: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, id, score) of matching documents by cover density: the sum over minimal covers of the words.
+    """(query_id, id, score) of matching documents by cover density; the same as `fts_match`."""
+    return fts_match(queries, posted)
 
-    A cover of n entries counts n / (sum of 1 / weight), divided by one plus the words between.
-    Only matching documents reach the Arrow function, a document at a time.
-    """
-    ship(queries.sparkSession)
-    words = queries.select("query_id", F.explode(tokens("q")).alias("token")).distinct()
-    need = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = posted.join(words, "token").join(fts_match(queries, posted).select("query_id", "id"), ["query_id", "id"], "left_semi")
-    rows = hits.select("query_id", "id", "token", "weight", F.explode("positions").alias("pos")).groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "weight"))).alias("hits")).join(need, "query_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [cover_density([(h["pos"], h["token"], h["weight"]) for h in hits], n) for hits, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], names=["query_id", "id", "score"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select("query_id", "id", "hits", "need").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+def cover_density(hits: list[tuple[int, str, float]], need: int) -> float:
+    """Score of sorted (position, token, weight) hits for a query of all these tokens; with fewer than `need` different ones, none."""
+    words = sorted({h[1] for h in hits})
+    return websearch.density(hits, [[(w,) for w in words]]) if len(words) >= need else 0.0
 
 
-def cover_density(hits: list[tuple[int, str, float]], need: int) -> float:
-    """Score of sorted (position, token, weight) hits: every minimal window with all tokens is a cover."""
-    if need == 1:
-        return sum(h[2] for h in hits)
-    total, lo, held = 0.0, 0, {}
-    for pos, token, _ in hits:
-        held[token] = held.get(token, 0) + 1
-        while len(held) == need:
-            first = hits[lo]
-            if held[first[1]] == 1:
-                window = [h for h in hits[lo:] if h[0] <= pos]
-                total += len(window) / sum(1 / h[2] for h in window) / (1 + (pos - first[0] + 1 - len(window)))
-            held[first[1]] -= 1
-            if not held[first[1]]:
-                del held[first[1]]
-            lo += 1
-    return total
-
-
-def highlight(text, term: str, words: int = 30):
-    """The window of at most `words` words with the most hits of a term, hits in bold."""
+def highlight(text, terms, words: int = 30):
+    """The window of at most `words` words with the most hits of a term, or of the terms of an array column, hits in bold."""
+    terms = F.array(F.lit(terms)) if isinstance(terms, str) else terms
     w = F.split(text, r"\s+")
-    hit = F.transform(w, lambda x: F.when(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "") == term, 1).otherwise(0))
+    hit = F.transform(w, lambda x: F.arrays_overlap(tokens(x), terms).cast("int"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1))
     sums = F.transform(starts, lambda s: F.aggregate(F.slice(hit, s, words), F.lit(0), lambda a, x: a + x))
     best = F.array_position(sums, F.array_max(sums)).cast("int")
-    return F.regexp_replace(F.array_join(F.slice(w, best, words), " "), rf"(?i)(?<![\p{{L}}\p{{N}}])({term})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
+    edge = r"[\p{L}\p{N}]"
+    pattern = F.concat(F.lit(f"(?i)(?<!{edge})("), F.array_join(terms, "|"), F.lit(f")(?!{edge})"))
+    return F.regexp_replace(F.array_join(F.slice(w, best, words), " "), pattern, F.lit("<b>$1</b>"))
+
+
+def prefix_scores(queries: DataFrame, titles: DataFrame, weight: float) -> DataFrame:
+    """Titles that start with the query: titles are cut to each length that the batch's queries have, and meet the queries by equality."""
+    q = queries.select("query_id", F.lower("q").alias("q")).where("q <> ''")
+    lengths = q.agg(F.array_sort(F.collect_set(F.length("q"))).alias("lengths"))
+    cut = titles.select("id", "title_lower").join(F.broadcast(lengths)).select("id", "title_lower", F.explode(F.filter("lengths", lambda n: n <= F.length("title_lower"))).alias("n"))
+    hit = cut.withColumn("q", F.left("title_lower", F.col("n"))).join(q, "q")
+    return hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score"))
 
 
 def prefix_arm(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
-    """Titles that start with the query. Queries and titles meet on their first character, then are checked."""
-    q = queries.select("query_id", F.lower("q").alias("q")).where("q <> ''").withColumn("c", F.left("q", F.lit(1)))
-    t = titles.select("id", "title_lower").withColumn("c", F.left("title_lower", F.lit(1)))
-    hit = t.join(q, "c").where(F.col("title_lower").startswith(F.col("q")))
-    return top_k(hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score")), k, "prefix")
+    """The k best titles that start with each query."""
+    return top_k(prefix_scores(queries, titles, weight), k, "prefix")
 
 
-def contains_arm(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+def contains_scores(queries: DataFrame, titles: DataFrame, weight: float) -> DataFrame:
     """Titles that contain the query of three characters and more: candidates share its first three, then are checked."""
     q = queries.select("query_id", F.lower("q").alias("q")).where("length(q) >= 3").withColumn("g", F.left("q", F.lit(3)))
     raw = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("title_lower") - 2), lambda i: F.substring("title_lower", i, F.lit(3))))
     t = titles.where("length(title_lower) >= 3").select("id", "title_lower", F.explode(raw).alias("g"))
     hit = t.join(q, "g").where(F.col("title_lower").contains(F.col("q")))
-    return top_k(hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score")), k, "contains")
+    return hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score"))
+
+
+def contains_arm(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+    """The k best titles that contain each query."""
+    return top_k(contains_scores(queries, titles, weight), k, "contains")
 
 
 def similar_titles(queries: DataFrame, titles: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -154,50 +128,56 @@ def similarity_arm(queries: DataFrame, titles: DataFrame, k: int, least: float =
 
 
 def vector_arm(queries: DataFrame, vectors: DataFrame, k: int, weight: float = WEIGHTS["vector"], most_queries: int = 10_000) -> DataFrame:
-    """The k nearest vectors of each query by cosine, exactly; columns query_id, q (array).
+    """The k nearest vectors of each query by cosine, exactly; columns query_id, q (array). Of equal cosines the smallest ids.
 
     The queries' matrix is broadcast up to `most_queries` rows; a larger batch is taken in such parts.
     Each task keeps its own k best of a query, so what is shuffled is bounded by k, queries and tasks.
+    Queries and vectors of different dimensions never meet; null, zero and non-finite ones find nothing.
     """
     spark = queries.sparkSession
     ship(spark)
     n = queries.count()
     if n > most_queries:
-        parts = -(-n // most_queries)
-        marked = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts * 2)))
-        out = None
-        for i in range(parts * 2):
-            one = vector_arm(marked.where(F.col("_part") == i).drop("_part"), vectors, k, weight, most_queries * 4)
-            out = one if out is None else out.unionByName(one)
-        return out
-    rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
-    ids = rows["query_id"].to_numpy()
-    matrix = np.array(rows["q"].to_pylist(), np.float64).reshape(len(ids), -1)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((ids, np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)))
+        parts = 2 * -(-n // most_queries)
+        marked = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        return reduce(DataFrame.unionByName, [vector_arm(marked.where(F.col("_part") == i).drop("_part"), vectors, k, weight, most_queries * 4) for i in range(parts)])
+    asked: dict[int, tuple[list, list]] = {}
+    rows = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+    for i, v in zip(rows["query_id"].to_pylist(), rows["q"].to_pylist(), strict=True):
+        size = np.linalg.norm(np.array([np.nan if x is None else x for x in v], np.float64))
+        if np.isfinite(size) and size > 0:
+            ids, unit = asked.setdefault(len(v), ([], []))
+            ids.append(i)
+            unit.append(np.array(v, np.float64) / size)
+    shared = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), np.stack(unit)) for d, (ids, unit) in asked.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
+        matrix = shared.value
         best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for b in batches:
-            v = np.array([x if x is not None and len(x) == m.shape[1] else [0.0] * m.shape[1] for x in b.column(1).to_pylist()], np.float64).reshape(len(b), -1)
-            size = np.linalg.norm(v, axis=1)
-            fine = np.isfinite(size) & (size > 0)
-            if not fine.any() or not len(ids):
-                continue
-            sims = (v[fine] / size[fine, None]) @ m.T
-            names = b.column(0).to_numpy()[fine]
-            top = np.argsort(-np.round(sims, 12), axis=0, kind="stable")[:k] if len(names) > k else np.tile(np.arange(len(names))[:, None], (1, len(ids)))
-            col = np.tile(np.arange(len(ids)), (len(top), 1))
-            best = tuple(np.concatenate([o, x]) for o, x in zip(best, (ids[col].ravel(), names[top].ravel(), sims[top, col].ravel()), strict=True))
-            if len(best[0]) > 20 * k * max(1, len(ids)):
+            found, values = b.column(0).to_numpy(), b.column(1).to_pylist()
+            width = np.array([-1 if x is None else len(x) for x in values])
+            for d, (ids, m) in matrix.items():
+                at = np.flatnonzero(width == d)
+                if not len(at):
+                    continue
+                v = np.array([[np.nan if x is None else x for x in values[i]] for i in at], np.float64)
+                size = np.linalg.norm(v, axis=1)
+                fine = np.isfinite(size) & (size > 0)
+                # by id first, so that a stable sort leaves equals in that order
+                by = np.argsort(found[at][fine], kind="stable")
+                names, sims = found[at][fine][by], (v[fine][by] / size[fine][by, None]) @ m.T
+                top = np.argsort(-np.round(sims, 9), axis=0, kind="stable")[:k]
+                col = np.broadcast_to(np.arange(len(ids)), top.shape)
+                best = tuple(np.concatenate([o, x]) for o, x in zip(best, (ids[col].ravel(), names[top].ravel(), sims[top, col].ravel()), strict=True))
+            if len(best[0]) > 20 * k * max(1, sum(len(i) for i, _ in matrix.values())):
                 best = _best(best, k)
         q, i, s = _best(best, k)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "id", "sim"])
 
     near = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id bigint, id bigint, sim double")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id"))).where(F.col("r") <= k)
-    return top_k(ranked.select("query_id", "id", (F.lit(weight) * F.greatest("sim", F.lit(0.0))).alias("score")), k, "vector")
+    return ranked.select("query_id", "id", (F.lit(weight) * F.greatest("sim", F.lit(0.0))).alias("score"), F.lit("vector").alias("arm"), F.col("r").alias("arm_pos"))
 
 
 def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
@@ -269,6 +249,15 @@ def vector_arm_ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int |
     return top_k(ranked.select("query_id", "id", (F.lit(weight) * F.greatest("sim", F.lit(0.0))).alias("score")), k, "vector")
 
 
+def with_vectors(queries: DataFrame, known: DataFrame, model: str, size: int) -> DataFrame:
+    """Queries with the vector that a model of some dimension gave their trimmed text before, null where it is not known.
+
+    known: model, size, q, vector. Upper and lower case differ; of several vectors of one text any is taken.
+    """
+    had = known.where((F.col("model") == model) & (F.col("size") == size)).groupBy(F.trim("q").alias("_q")).agg(F.first("vector").alias("vector"))
+    return queries.withColumn("_q", F.trim("q")).join(had, "_q", "left").drop("_q")
+
+
 def arm_gate(queries: DataFrame) -> DataFrame:
     """Which arms a query runs: by its mode, and by its length in code points."""
     mode = F.lower(F.coalesce("mode", F.lit("hybrid")))
@@ -301,7 +290,7 @@ def merge_arms(*arms: DataFrame) -> DataFrame:
     for a in arms[1:]:
         both = both.unionByName(a)
     both = both.withColumn("arm_rank", rank[F.col("arm")])
-    order = [F.desc("score"), "arm_rank", "arm_pos"]
+    order = [F.desc(F.round("score", 9)), "arm_rank", "arm_pos"]
     one = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(*order))).where("r = 1")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select("query_id", "id", "score", "arm", "rank")
 
@@ -314,22 +303,61 @@ def trigram_arms(queries: DataFrame, titles: DataFrame, k: int, weight: float =
     return premerge_trigram(prefix_arm(queries, titles, k, weight), contains_arm(queries, titles, k, weight), similarity_arm(queries, titles, k, weight=weight))
 
 
-def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame, vectors: DataFrame | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
-    """Ranked articles of every query: full text, titles and vectors merged, one page, texts joined last.
+def within_scope(scored: DataFrame, asked: DataFrame, articles: DataFrame, arm: str, budget: str = "fetch") -> DataFrame:
+    """The best rows of each query in its own archive and language, as many as it fetches."""
+    scored = scored.join(asked.select("query_id", F.col("archive").alias("_archive"), F.col("language").alias("_language"), F.col(budget).alias("_most")), "query_id")
+    inside = scored.where("_archive is not null or _language is not null").join(articles.select("id", "archive", "language"), "id")
+    inside = inside.where("(_archive is null or archive = _archive) and (_language is null or language = _language)").drop("archive", "language")
+    both = scored.where("_archive is null and _language is null").unionByName(inside)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    # the constant bound lets each task drop rows before the shuffle
+    best = both.withColumn("arm_pos", F.row_number().over(w)).where(F.col("arm_pos") <= MOST_FETCH).where("arm_pos <= _most")
+    return best.select("query_id", "id", "score", F.lit(arm).alias("arm"), "arm_pos")
+
 
-    queries: query_id, q and optionally mode and vector. Blank queries give nothing; one longer than 500 code points is an error.
+def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame, vectors: DataFrame | None = None, limit: int = 10, offset: int = 0, highlighted: bool = False) -> DataFrame:
+    """Ranked articles of every query: full text, titles and vectors merged, one page each, texts joined last.
+
+    queries: query_id, q and optionally mode, vector, archive, language, limit and offset; a null of the
+    last four means any archive, any language and this call's limit and offset. Null and blank queries
+    give nothing; one longer than 500 code points is an error. With `highlighted` there is a column
+    snippet: the preview's words around the hits of a query's words, else the article's own snippet or
+    the preview's first 200 characters.
     """
-    fetch = min(min(limit, MOST_ROWS) + min(offset, MOST_OFFSET), MOST_FETCH)
     checked = queries.where("trim(q) <> ''").withColumn("q", F.when(F.length("q") <= 500, F.trim("q")).otherwise(F.raise_error(F.lit("a query is longer than 500 characters"))))
-    gated = arm_gate(checked if "mode" in queries.columns else checked.withColumn("mode", F.lit("hybrid")))
+    for name, value in (("mode", F.lit("hybrid")), ("archive", F.lit(None).cast("string")), ("language", F.lit(None).cast("string")), ("limit", F.lit(limit)), ("offset", F.lit(offset))):
+        checked = checked.withColumn(name, F.coalesce(name, value) if name in queries.columns else value)
+    checked = checked.withColumn("filtered", F.col("archive").isNotNull() | F.col("language").isNotNull())
+    gated = fetch_budget(arm_gate(checked))
+    scoped = {"archive", "language"} & set(queries.columns)
+
+    def best(scored: DataFrame, arm: str, budget: str = "fetch") -> DataFrame:
+        if not scoped and not {"limit", "offset"} & set(queries.columns):
+            fetch = min(min(limit, MOST_ROWS) + min(offset, MOST_OFFSET), MOST_FETCH)
+            return top_k(scored, fetch if budget == "fetch" else min(2 * fetch, MOST_FETCH), arm)
+        return within_scope(scored, gated, articles, arm, budget)
+
     titles = articles.select("id", F.lower("title").alias("title_lower"))
-    fts = top_k(fts_match(gated.where("run_fts"), posted).withColumn("score", F.col("score") * WEIGHTS["fts"]), fetch, "fts")
-    trgm = premerge_trigram(prefix_arm(gated.where("run_prefix"), titles, fetch), contains_arm(gated.where("run_long"), titles, fetch), similarity_arm(gated.where("run_long"), titles, fetch))
+    weight = WEIGHTS["trgm"]
+    terms = websearch.parsed(gated.where("run_fts"))
+    fts = best(websearch.ranked(terms, posted).withColumn("score", F.col("score") * WEIGHTS["fts"]), "fts")
+    similar = similar_titles(gated.where("run_long"), titles).select("query_id", "id", (F.lit(weight) * F.col("sim")).alias("score"))
+    trgm = premerge_trigram(best(prefix_scores(gated.where("run_prefix"), titles, weight), "prefix"), best(contains_scores(gated.where("run_long"), titles, weight), "contains"), best(similar, "similarity"))
     arms = [fts, trgm]
     if vectors is not None and "vector" in queries.columns:
-        arms.append(vector_arm(gated.where("run_vec and vector is not null").select("query_id", F.col("vector").alias("q")), vectors, min(2 * fetch, MOST_FETCH)))
-    ranked = page(merge_arms(*arms), min(limit, MOST_ROWS), min(offset, MOST_OFFSET))
-    return ranked.join(articles.select("id", "archive", "path", "title", F.left("content_preview", F.lit(600)).alias("content_preview"), "language"), "id")
+        asked = gated.where("run_vec and vector is not null")
+        most = asked.agg(F.max("vec_fetch")).first()[0] or 1
+        arms.append(best(vector_arm(asked.select("query_id", F.col("vector").alias("q")), vectors, most).select("query_id", "id", "score"), "vector", "vec_fetch"))
+    pages = gated.select("query_id", F.col("limit").alias("_limit"), F.col("offset").alias("_offset"))
+    ranked = merge_arms(*arms).join(pages, "query_id").where("rank > _offset and rank <= _offset + _limit").drop("_limit", "_offset")
+    texts = articles.select("id", "archive", "path", "title", F.left("content_preview", F.lit(600)).alias("content_preview"), "language", *([F.left("content_preview", F.lit(2000)).alias("_text"), (F.col("snippet") if "snippet" in articles.columns else F.left("content_preview", F.lit(200))).alias("_snippet")] if highlighted else []))
+    out = ranked.join(texts, "id")
+    if not highlighted:
+        return out
+    words = terms.where("not barred").groupBy("query_id").agg(F.collect_set("token").alias("_words"))
+    out = out.join(words, "query_id", "left")
+    shown = F.when((F.col("arm") == "fts") & F.arrays_overlap(tokens("_text"), F.col("_words")), highlight(F.col("_text"), F.col("_words"))).otherwise(F.col("_snippet"))
+    return out.withColumn("snippet", shown).drop("_text", "_snippet", "_words")
 
 
 def suggest(queries: DataFrame, titles: DataFrame, limit: int = 10) -> DataFrame:

@@ -55,8 +55,7 @@ def _(spark, d):
 
 @query("K8_record_integrity", "SELECT t.id, l.hash AS content, coalesce(t.digest, l.name) AS publisher FROM v_transfers t JOIN v_listing l ON l.seq = t.id")
 def _(spark, d):
-    l = view(spark, d, "v_listing").select(F.col("seq").alias("id"), "hash", F.col("name").alias("given"))
-    return view(spark, d, "v_transfers").join(l, "id").select("id", F.col("hash").alias("content"), F.coalesce("digest", "given").alias("publisher"))
+    return C.record_integrity(view(spark, d, "v_transfers"), view(spark, d, "v_listing").select(F.col("seq").alias("id"), "hash", "name"))
 
 
 @query("K9_skip_unchanged", "SELECT c.name, CASE WHEN s.file_size IS NULL THEN 'keep' WHEN c.index_status = 'ready' AND s.file_size = c.file_size THEN 'skip' ELSE 'index' END AS decision FROM v_catalog c LEFT JOIN v_snapshot s ON c.name = s.name")

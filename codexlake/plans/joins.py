@@ -1,19 +1,22 @@
 """Queries over sources, joins, aggregates and windows (S, J, A, W)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codexlake.functions.text import is_direct
+from codexlake.cluster import scratch
 from codexlake.operators import ledger as G
+from codexlake.operators import library as B
+from codexlake.operators.catalog import download_link
 from codexlake.operators.lookup import fetch_by_key
 from codexlake.plans.registry import query
 from codexlake.sources import reader
 from codexlake.sources.views import table, view
 
 
-@query("S1_read_pages", "SELECT page_id, url, length(html) AS n FROM pages WHERE starts_with('text/html', 'text/')")
+@query("S1_read_pages", "SELECT page_id, url, length(html) AS n FROM pages WHERE NOT contains(url, 'page=')")
 def _(spark, d):
-    return reader.read_pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").cast("bigint").alias("n"))
+    # pages beyond the first of a listing count as another type, so that the filter has something to leave out
+    kind = F.when(F.col("url").contains("page="), "application/x-listing").otherwise("TEXT/html; charset=utf-8")
+    return reader.read_pages(spark, f"{d}/pages.parquet", kind).select("page_id", "url", F.length("html").cast("bigint").alias("n"))
 
 
 @query("S2_pages_to_articles")
@@ -36,6 +39,26 @@ def _(spark, d):
     return view(spark, d, "v_snapshot").select("name", "file_size")
 
 
+@query("S4_read_feed", "SELECT concat('urn:', feed_pos) AS id, href, updated FROM v_feed")
+def _(spark, d):
+    # the feed is written as XML and read back
+    path = scratch(spark, "feed")
+    links = F.array(F.struct(F.lit("http://opds-spec.org/acquisition").alias("_rel"), F.col("href").alias("_href"), F.lit("application/zim").alias("_type")))
+    entries = view(spark, d, "v_feed").select(F.concat(F.lit("urn:"), "feed_pos").alias("id"), F.lit("t").alias("title"), "updated", links.alias("link"))
+    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    return reader.read_feed(spark, path).select("id", download_link(F.col("links")).alias("href"), "updated")
+
+
+@query("S5_write_articles", "SELECT id, archive, title FROM v_articles")
+def _(spark, d):
+    path = scratch(spark, "articles")
+    rows = view(spark, d, "v_articles").select("id", "archive", "title")
+    reader.write_articles(rows, path)
+    # a second run over some archives replaces these only
+    reader.write_articles(rows.where("archive <= 'src3'"), path)
+    return spark.read.schema("id bigint, title string, archive string").parquet(path).select("id", "archive", "title")
+
+
 @query("S6_fetch_by_key", "SELECT a.id, a.title FROM v_articles a JOIN v_entity_links l ON a.path = l.path AND a.archive_id = l.archive_id WHERE l.qid = 7")
 def _(spark, d):
     a, l = view(spark, d, "v_articles"), view(spark, d, "v_entity_links").where("qid = 7")
@@ -45,7 +68,7 @@ def _(spark, d):
 
 @query("S7_list_archives", "SELECT id, name, language, indexed_entries, index_status FROM v_archives")
 def _(spark, d):
-    return view(spark, d, "v_archives").orderBy("name").select("id", "name", "language", "indexed_entries", "index_status")
+    return B.list_archives(view(spark, d, "v_archives"))
 
 
 @query("S8_redact", "SELECT id, '[redacted]' AS url, CASE WHEN error IS NOT NULL THEN '[redacted]' END AS error, status FROM v_transfers")
@@ -55,102 +78,89 @@ def _(spark, d):
 
 @query("J1_articles_archives", "SELECT a.id, z.name, z.indexed_entries FROM v_articles a JOIN v_archives z ON a.archive_id = z.id")
 def _(spark, d):
-    z = view(spark, d, "v_archives").select(F.col("id").alias("archive_id"), "name", "indexed_entries")
-    return view(spark, d, "v_articles").join(z, "archive_id").select("id", "name", "indexed_entries")
+    return B.with_archive(view(spark, d, "v_articles"), view(spark, d, "v_archives"), "name", "indexed_entries").select("id", "name", "indexed_entries")
 
 
 @query("J3_cross_language", "SELECT l.path, concat('Q', l.qid) AS qid, z.name AS archive, o.path AS other_path, a.title FROM v_entity_links l JOIN v_entity_links o ON l.qid = o.qid AND l.archive_id <> o.archive_id JOIN v_archives z ON z.id = o.archive_id LEFT JOIN v_articles a ON a.archive_id = o.archive_id AND a.path = o.path")
 def _(spark, d):
-    l = view(spark, d, "v_entity_links")
-    o = l.select(F.col("archive_id").alias("oid"), F.col("path").alias("other_path"), "qid")
-    z = view(spark, d, "v_archives").select(F.col("id").alias("oid"), F.col("name").alias("archive"))
-    a = view(spark, d, "v_articles").select(F.col("archive_id").alias("oid"), F.col("path").alias("other_path"), "title")
-    return l.join(o, "qid").where("archive_id <> oid").join(z, "oid").join(a, ["oid", "other_path"], "left").select("path", F.concat(F.lit("Q"), "qid").alias("qid"), "archive", "other_path", "title")
+    return B.cross_language(view(spark, d, "v_entity_links"), view(spark, d, "v_archives"), view(spark, d, "v_articles"))
 
 
 @query("J4_embeddable_archives", "SELECT name FROM v_archives z WHERE embed_enabled AND index_status = 'ready' AND EXISTS (SELECT 1 FROM v_articles a WHERE a.archive_id = z.id AND NOT EXISTS (SELECT 1 FROM v_vectors v WHERE v.id = a.id))")
 def _(spark, d):
-    bare = view(spark, d, "v_articles").join(view(spark, d, "v_vectors").select("id"), "id", "left_anti").select(F.col("archive_id").alias("id"))
-    return view(spark, d, "v_archives").where("embed_enabled and index_status = 'ready'").join(bare, "id", "left_semi").select("name")
+    return B.embeddable_archives(view(spark, d, "v_archives"), view(spark, d, "v_articles"), view(spark, d, "v_vectors"))
 
 
 @query("J5_orphan_links", "SELECT l.path FROM v_entity_links l WHERE NOT EXISTS (SELECT 1 FROM v_articles a WHERE a.path = l.path AND a.id % 3 = 0)")
 def _(spark, d):
-    return view(spark, d, "v_entity_links").join(view(spark, d, "v_articles").where("id % 3 = 0").select("path"), "path", "left_anti").select("path")
+    return B.without_match(view(spark, d, "v_entity_links"), view(spark, d, "v_articles").where("id % 3 = 0"), "path", "path").select("path")
 
 
 @query("J6_adopt_missing", "SELECT seq, name FROM v_listing l WHERE NOT EXISTS (SELECT 1 FROM v_transfers t WHERE t.digest = l.hash)")
 def _(spark, d):
-    return view(spark, d, "v_listing").join(view(spark, d, "v_transfers").where("digest is not null").select(F.col("digest").alias("hash")), "hash", "left_anti").select("seq", "name")
+    return B.without_match(view(spark, d, "v_listing"), view(spark, d, "v_transfers"), "hash", "digest").select("seq", "name")
 
 
 @query("J7_collection_members", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 4 THEN '' ELSE (SELECT string_agg(name, ',' ORDER BY p) FROM (SELECT unnest([CAST(r_regionkey * 2 + 2 AS INT), 99999, CAST(r_regionkey + 1 AS INT)]) AS i, unnest([0, 1, 2]) AS p) x JOIN v_archives z ON z.id = x.i) END AS names FROM region")
 def _(spark, d):
     sets = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.expr("CASE WHEN r_regionkey = 4 THEN array() ELSE array(int(r_regionkey * 2 + 2), 99999, int(r_regionkey + 1)) END").alias("ids"))
-    z = view(spark, d, "v_archives").select(F.col("id").alias("member"), "name")
-    got = sets.select("id", F.posexplode_outer("ids").alias("pos", "member")).join(z, "member", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("pos", "name")))).alias("m"))
-    return got.select("id", F.array_join(F.transform("m", lambda x: x["name"]), ",").alias("names"))
+    return B.collection_members(sets, view(spark, d, "v_archives"))
 
 
 @query("J8_names_to_ids", "SELECT s.name, z.id, z.id IS NULL AS unknown FROM (SELECT concat('src', c_custkey) AS name FROM customer) s LEFT JOIN v_archives z ON z.name = s.name")
 def _(spark, d):
-    s = table(spark, d, "customer").select(F.concat(F.lit("src"), "c_custkey").alias("name"))
-    return s.join(view(spark, d, "v_archives").select("name", "id"), "name", "left").select("name", "id", F.col("id").isNull().alias("unknown"))
+    return B.names_to_ids(table(spark, d, "customer").select(F.concat(F.lit("src"), "c_custkey").alias("name")), view(spark, d, "v_archives"))
 
 
-@query("J9_match_listing", "WITH c AS (SELECT t.id, l.seq FROM v_transfers t JOIN v_listing l ON lower(t.name) = lower(l.name)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS a, row_number() OVER (PARTITION BY seq ORDER BY id) AS b FROM c) SELECT id, seq FROM r WHERE a = 1 AND b = 1")
+@query("J9_match_listing", "WITH h AS (SELECT t.id, max(l.seq) AS seq FROM v_transfers t JOIN v_listing l ON t.digest = l.hash GROUP BY t.id), n AS (SELECT lower(name) AS k, max(seq) AS seq FROM v_listing GROUP BY 1), f AS (SELECT t.id, coalesce(a.seq, b.seq) AS seq FROM v_transfers t LEFT JOIN n a ON a.k = lower(t.name) LEFT JOIN n b ON b.k = lower(t.url) WHERE t.digest IS NULL) SELECT id, seq FROM h UNION ALL SELECT min(id), seq FROM f WHERE seq IS NOT NULL GROUP BY seq")
 def _(spark, d):
     return G.match_listing(view(spark, d, "v_transfers"), view(spark, d, "v_listing"))
 
 
 @query("J10_update_by_id", "SELECT t.id, coalesce(l.progress, 0.0) AS progress, coalesce(l.state, 'unknown') AS state FROM v_transfers t LEFT JOIN v_listing l ON l.seq = t.id")
 def _(spark, d):
-    l = view(spark, d, "v_listing").select(F.col("seq").alias("id"), "progress", "state")
-    return view(spark, d, "v_transfers").join(l, "id", "left").select("id", F.coalesce(F.col("progress").cast("double"), F.lit(0.0)).alias("progress"), F.coalesce("state", F.lit("unknown")).alias("state"))
+    return G.apply_live(view(spark, d, "v_transfers"), view(spark, d, "v_listing").select(F.col("seq").alias("id"), "progress", "state"))
 
 
 @query("A1_library_summary", "SELECT count(*) AS archives, CAST(sum(indexed_entries) AS BIGINT) AS entries FROM v_archives")
 def _(spark, d):
-    return view(spark, d, "v_archives").agg(F.count(F.lit(1)).alias("archives"), F.sum("indexed_entries").alias("entries"))
+    return B.library_summary(view(spark, d, "v_archives"))
 
 
 @query("A2_id_bounds", "SELECT archive, min(id) AS lo, max(id) AS hi FROM v_articles GROUP BY archive")
 def _(spark, d):
-    return view(spark, d, "v_articles").groupBy("archive").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return B.id_bounds(view(spark, d, "v_articles"))
 
 
 @query("A3_embedded_count", "SELECT archive, count(*) AS n, count(v.id) AS embedded FROM v_articles a LEFT JOIN v_vectors v ON v.id = a.id GROUP BY archive")
 def _(spark, d):
-    v = view(spark, d, "v_vectors").select("id", F.lit(1).alias("has"))
-    return view(spark, d, "v_articles").join(v, "id", "left").groupBy("archive").agg(F.count(F.lit(1)).alias("n"), F.count("has").alias("embedded"))
+    return B.embedded_count(view(spark, d, "v_articles"), view(spark, d, "v_vectors"))
 
 
 @query("A4_flag_presence", "SELECT label, CASE WHEN count(*) FILTER (WHERE vec_id % 4 = 0) > 0 THEN 'present' WHEN count(*) FILTER (WHERE vec_id % 2 = 0) > 0 THEN 'present_invalid' ELSE 'absent' END AS flag FROM embeddings GROUP BY label")
 def _(spark, d):
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.bool_or(F.expr("vec_id % 4 = 0")).alias("valid"), F.bool_or(F.expr("vec_id % 2 = 0")).alias("some"))
-    return e.select("label", F.when(F.col("valid"), "present").when(F.col("some"), "present_invalid").otherwise("absent").alias("flag"))
+    return B.flag_presence(table(spark, d, "embeddings"), "label", F.expr("vec_id % 4 = 0"), F.expr("vec_id % 2 = 0"))
 
 
 @query("A5_integrity_report", "SELECT name, count(digest) AS with_digest, count(*) FILTER (WHERE status = 'error') AS drifted FROM v_transfers GROUP BY name HAVING count(digest) > 0 OR count(*) FILTER (WHERE status = 'error') > 0")
 def _(spark, d):
-    return view(spark, d, "v_transfers").groupBy("name").agg(F.count("digest").alias("with_digest"), F.count_if(F.col("status") == "error").alias("drifted")).where("with_digest > 0 or drifted > 0")
+    return B.integrity_report(view(spark, d, "v_transfers"))
 
 
 @query("A6_wait_stats", "SELECT event_type AS site, count(*) AS n, max(CAST(value AS BIGINT)) AS most, coalesce(sum(CAST(value AS BIGINT)) // count(*), 0)::BIGINT AS mean FROM events GROUP BY ROLLUP (event_type)")
 def _(spark, d):
     # DuckDB rounds half away when it casts, Spark cuts off: round first
-    v = table(spark, d, "events").select(F.col("event_type").alias("site"), F.rint("value").cast("bigint").alias("v"))
-    return v.rollup("site").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("most"), F.expr("coalesce(sum(v) div count(1), 0)").alias("mean"))
+    return B.wait_stats(table(spark, d, "events").withColumn("value", F.rint("value")), "event_type", "value")
 
 
 @query("A8_progress", "SELECT archive, count(*) FILTER (WHERE id % 3 = 0) * 1.0::DOUBLE / count(*) AS progress FROM v_articles GROUP BY archive")
 def _(spark, d):
-    return view(spark, d, "v_articles").groupBy("archive").agg((F.count_if(F.expr("id % 3 = 0")) / F.count(F.lit(1))).alias("progress"))
+    return B.progress(view(spark, d, "v_articles"), "archive", F.expr("id % 3 = 0"))
 
 
 @query("A9_duplicate_active", "SELECT name, count(*) AS n FROM v_transfers WHERE status IN ('queued', 'downloading') GROUP BY name HAVING count(*) > 1")
 def _(spark, d):
-    return view(spark, d, "v_transfers").where(F.col("status").isin(*G.ACTIVE)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return G.duplicate_active(view(spark, d, "v_transfers"))
 
 
 _PREV = "last_value(CASE WHEN status IN ('complete', 'seeding') THEN digest END IGNORE NULLS) OVER (PARTITION BY url ORDER BY updated_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

@@ -17,15 +17,14 @@ def _(spark, d):
     return view(spark, d, "v_articles").select("id", X.derive_title("path").alias("title"))
 
 
-@query("C5_snippet", """WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: strlen(trim(x)) >= 50 AND NOT regexp_matches(lower(trim(x)), '^(for other uses|this article is about|not to be confused|redirects here|see also|main article|from wikipedia|coordinates:|may refer to)'))[1] AS line FROM documents WHERE lang = 'en' AND strlen(text) = length(text)), t AS (SELECT doc_id, text, trim(line) AS s FROM l), u AS (SELECT *, regexp_extract(substring(s, 1, 300), '^(.*[.!?])', 1, 's') AS upto FROM t) SELECT doc_id, coalesce(CASE WHEN s IS NULL THEN NULL WHEN strlen(s) <= 300 THEN s ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE substring(s, 1, 300) END), '…') END, substring(text, 1, 200)) AS snippet FROM u""")
-def _(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' AND octet_length(text) = length(text)")
-    return docs.select("doc_id", X.snippet("text").alias("snippet"))
+#: The longest start of a text within some bytes, in DuckDB.
+_HEAD = "substring({0}, 1, list_max(list_filter(range(0, {1} + 1), lambda n: strlen(substring({0}, 1, n)) <= {1})))"
+_SNIPPET = f"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: strlen(trim(x)) >= 50 AND NOT regexp_matches(lower(trim(x)), '^(for other uses|this article is about|not to be confused|redirects here|see also|main article|from wikipedia|coordinates:|may refer to)'))[1] AS line FROM documents), t AS (SELECT doc_id, text, trim(line) AS s FROM l), h AS (SELECT *, {_HEAD.format('s', 300)} AS head FROM t), u AS (SELECT *, regexp_extract(head, '^(.*[.!?])', 1, 's') AS upto FROM h) SELECT doc_id, coalesce(CASE WHEN s IS NULL THEN NULL WHEN strlen(s) <= 300 THEN s ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE head END), '…') END, substring(text, 1, 200)) AS snippet FROM u"""
 
 
-@query("C5_snippet_all")
+@query("C5_snippet", _SNIPPET)
+@query("C5_snippet_all", _SNIPPET)
 def _(spark, d):
-    # all languages; C5_snippet holds the English ASCII texts against SQL
     return table(spark, d, "documents").select("doc_id", X.snippet("text").alias("snippet"))
 
 
@@ -34,14 +33,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncate("text", 400).alias("body"), X.was_truncated("text", 400).alias("truncated"))
 
 
-@query("C7_truncate_at_sentence", "WITH t AS (SELECT doc_id, text, regexp_extract(substring(text, 1, 300), '^(.*[.!?])', 1, 's') AS upto FROM documents WHERE strlen(text) = length(text)) SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE substring(text, 1, 300) END), '…') END AS cut FROM t")
-def _(spark, d):
-    return table(spark, d, "documents").where("octet_length(text) = length(text)").select("doc_id", X.sentence_cut("text", 300).alias("cut"))
+_CUT = f"WITH h AS (SELECT doc_id, text, {_HEAD.format('text', 300)} AS head FROM documents), t AS (SELECT *, regexp_extract(head, '^(.*[.!?])', 1, 's') AS upto FROM h) SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE head END), '…') END AS cut FROM t"
 
 
-@query("C7_truncate_at_sentence_all")
+@query("C7_truncate_at_sentence", _CUT)
+@query("C7_truncate_at_sentence_all", _CUT)
 def _(spark, d):
-    # all texts; C7_truncate_at_sentence holds the ASCII ones against SQL
     return table(spark, d, "documents").select("doc_id", X.sentence_cut("text", 300).alias("cut"))
 
 
@@ -100,7 +97,7 @@ def _(spark, d):
 
 @query("C20_sha256_hex", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", X.sha256_hex("text").alias("digest"))
 
 
 @query("C21_display_title", "SELECT name, replace(name, '_', ' ') AS display_title FROM v_local")
@@ -113,9 +110,9 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.redact_url(F.expr("concat(CASE WHEN page_id % 2 = 0 THEN 'http://u:p@h/' ELSE 'http://h/' END, page_id, '?q=a@b')")).alias("url"))
 
 
-@query("C2_head_cap", "SELECT page_id, length(substring(html, 1, 1000)) AS n FROM pages")
+@query("C2_head_cap", f"SELECT page_id, strlen({_HEAD.format('html', 1000)}) AS n FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(F.left("html", F.lit(1000))).cast("bigint").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.octet_length(X.byte_head("html", 1000)).cast("bigint").alias("n"))
 
 
 @query("P1_scope_filter", "SELECT id, archive, language FROM v_articles WHERE archive = 'src1' AND language = 'en'")
@@ -125,21 +122,25 @@ def _(spark, d):
     return scope_filter(view(spark, d, "v_articles"), "src1", "en").select("id", "archive", "language")
 
 
-@query("P2_like_escape", "SELECT id FROM v_titles WHERE contains(title_lower, 'red%') OR starts_with(title_lower, 'red_') OR contains(title_lower, 'red')")
+_MARKED = "concat(title_lower, CASE id % 4 WHEN 0 THEN ' 50% off' WHEN 1 THEN ' a_b' WHEN 2 THEN ' c\\\\d' ELSE ' 50x off axb' END)"
+
+
+@query("P2_like_escape", f"SELECT id, contains(t, '50%') AS percent, contains(t, 'a_b') AS underscore, contains(t, 'c\\d') AS backslash, starts_with(t, 'red_') AS head FROM (SELECT id, {_MARKED.replace(chr(92) * 2, chr(92))} AS t FROM v_titles)")
 def _(spark, d):
-    t = F.col("title_lower")
-    return view(spark, d, "v_titles").where(t.contains("red%") | t.startswith("red_") | t.contains("red")).select("id")
+    t = view(spark, d, "v_titles").select("id", F.expr(_MARKED).alias("t"))
+    return t.select("id", *[X.contains_text("t", F.lit(q)).alias(n) for q, n in (("50%", "percent"), ("a_b", "underscore"), ("c\\d", "backslash"))], X.starts_with_text("t", F.lit("red_")).alias("head"))
 
 
 @query("P3_result_projection", "SELECT id, archive_id, path, title, substring(content_preview, 1, 600) AS content_preview, language, archive FROM v_articles")
 def _(spark, d):
-    return view(spark, d, "v_articles").select("id", "archive_id", "path", "title", F.left("content_preview", F.lit(600)).alias("content_preview"), "language", "archive")
+    from codexlake.operators.library import result_projection
+
+    return result_projection(view(spark, d, "v_articles"))
 
 
 @query("P4_is_wiki_archive", "SELECT name, regexp_matches(language, '^[A-Za-z]') AND (contains(lower(concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)), 'wikipedia') OR contains(lower(concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)), 'wiki_')) AS wiki FROM v_archives")
 def _(spark, d):
-    name = F.lower(F.expr("concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)"))
-    return view(spark, d, "v_archives").select("name", (F.col("language").rlike("^[A-Za-z]") & (name.contains("wikipedia") | name.contains("wiki_"))).alias("wiki"))
+    return view(spark, d, "v_archives").select("name", X.is_wiki_archive(F.expr("concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)"), "language").alias("wiki"))
 
 
 @query("P5_is_direct_url", "SELECT id, lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim' AS direct FROM v_transfers")
@@ -162,13 +163,14 @@ def _(spark, d):
 
 @query("P8_active_work_count", "SELECT count(*) AS n FROM v_transfers WHERE status IN ('queued', 'seeding') OR (status = 'downloading' AND NOT lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim') OR (status = 'cancelled' AND digest IS NOT NULL)")
 def _(spark, d):
-    s = F.col("status")
-    return view(spark, d, "v_transfers").where(s.isin("queued", "seeding") | ((s == "downloading") & ~X.is_direct("url")) | ((s == "cancelled") & F.col("digest").isNotNull())).agg(F.count(F.lit(1)).alias("n"))
+    from codexlake.operators.ledger import active_work
+
+    return active_work(view(spark, d, "v_transfers"))
 
 
 @query("P9_state_flags", "SELECT seq, progress >= 0.999 AND state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') AS complete, state IN ('error', 'missingFiles') AS fatal FROM v_listing")
 def _(spark, d):
-    return view(spark, d, "v_listing").select("seq", ((F.col("progress") >= 0.999) & F.col("state").isin(*X.COMPLETE_STATES)).alias("complete"), F.col("state").isin(*X.FATAL_STATES).alias("fatal"))
+    return view(spark, d, "v_listing").select("seq", X.is_complete("progress", "state").alias("complete"), X.is_fatal("state").alias("fatal"))
 
 
 @query("P10_sanitize_numeric", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, value / 100)) END AS progress FROM events")
@@ -187,7 +189,11 @@ def _(spark, d):
     return view(spark, d, "v_transfers").select("id", X.valid_name(F.expr("CASE WHEN id % 3 = 0 THEN concat('../', name) WHEN id % 5 = 0 THEN concat('.', name) ELSE name END")).alias("valid"))
 
 
-@query("P13_listing_candidate", "SELECT t.id, l.seq FROM v_transfers t JOIN v_listing l ON lower(t.name) = lower(l.name)")
+_CATEGORY = "CASE seq % 3 WHEN 0 THEN 'Books' WHEN 1 THEN 'films' END"
+
+
+@query("P13_listing_candidate", f"SELECT t.id, l.seq FROM v_transfers t JOIN (SELECT *, {_CATEGORY} AS category FROM v_listing) l ON lower(t.name) = lower(l.name) WHERE lower(category) = 'books'")
 def _(spark, d):
-    t, l = view(spark, d, "v_transfers"), view(spark, d, "v_listing")
-    return t.join(l, F.lower(t["name"]) == F.lower(l["name"])).select("id", "seq")
+    from codexlake.operators.ledger import listing_candidates
+
+    return listing_candidates(view(spark, d, "v_transfers"), view(spark, d, "v_listing").withColumn("category", F.expr(_CATEGORY)), "bookS")

@@ -1,11 +1,11 @@
 """Queries over the retrieval operators (T, M)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codexlake.functions.text import similarity, tokens, trigrams, truncate
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
+from codexlake.operators.library import set_difference
 from codexlake.plans.registry import query
 from codexlake.sources.views import table, view
 
@@ -26,9 +26,25 @@ def _(spark, d):
     return R.postings(view(spark, d, "v_articles")).select("token", "id", "weight", F.size("positions").cast("bigint").alias("n"))
 
 
-@query("T2_fts_match", f"WITH {_POST} SELECT 0 AS query_id, id FROM post WHERE token IN ('the', 'of') GROUP BY id HAVING count(DISTINCT token) = 2 AND id NOT IN (SELECT id FROM post WHERE token = 'with')")
+#: Places of all tokens in title and preview, and which documents hold a phrase.
+_POS = f"tk AS (SELECT id, {_TOK.format('title')} AS t, {_TOK.format('content_preview')} AS p FROM v_articles), pos AS (SELECT id, unnest(t) AS token, CAST(1.0 AS DOUBLE) AS w, unnest(range(len(t))) AS at FROM tk UNION ALL SELECT id, unnest(p), CAST(0.4 AS DOUBLE), unnest(range(len(t), len(t) + len(p))) FROM tk)"
+_TEXT = "concat(' ', array_to_string(t, ' '), ' ', array_to_string(p, ' '), ' ')"
+
+
+def _has(phrase):
+    return f"contains({_TEXT}, ' {phrase} ')"
+
+
+#: Queries in the language of full-text search, and the condition in SQL that each means.
+_ASKED = {
+    "the of -with": f"{_has('the')} AND {_has('of')} AND NOT {_has('with')}", '"of the"': _has("of the"), "der or que": f"{_has('der')} OR {_has('que')}", "of-the": _has("of the"),
+    'the "of the" or die -der': f"({_has('the')} AND {_has('of the')}) OR ({_has('die')} AND NOT {_has('der')})", 'the -"of the"': f"{_has('the')} AND NOT {_has('of the')}",
+}
+
+
+@query("T2_fts_match", f"WITH {_POS} " + " UNION ALL ".join(f"SELECT {k} AS query_id, id FROM tk WHERE {c}" for k, c in enumerate(_ASKED.values())))
 def _(spark, d):
-    return R.fts_match(_q(spark, "the of -with"), R.postings(view(spark, d, "v_articles"))).select(F.col("query_id").cast("int").alias("query_id"), "id")
+    return R.fts_match(_q(spark, *_ASKED), R.postings(view(spark, d, "v_articles"))).select(F.col("query_id").cast("int").alias("query_id"), "id")
 
 
 @query("T2_phrase", "SELECT CAST(0 AS BIGINT) AS query_id, id FROM v_articles WHERE contains(concat(' ', array_to_string(" + _TOK.format("title") + ", ' '), ' ', array_to_string(" + _TOK.format("content_preview") + ", ' '), ' '), ' of the ')")
@@ -42,9 +58,14 @@ def _(spark, d):
     return R.top_k(found, 10, "fts").select(F.col("query_id").cast("int").alias("query_id"), "id", "score", F.col("arm_pos").cast("bigint").alias("rank"))
 
 
-@query("T3_cover_rank")
+#: Of a query of two words the covers are neighbouring hits of different words.
+_COVER = "l AS (SELECT q.query_id, pos.*, lag(pos.token) OVER o AS lt, lag(w) OVER o AS lw, lag(at) OVER o AS la FROM pos JOIN q ON q.token = pos.token WINDOW o AS (PARTITION BY q.query_id, id ORDER BY at)), s AS (SELECT query_id, id, round(sum(2 / (1 / w + 1 / lw) / (at - la)), 9) AS score FROM l WHERE lt <> token GROUP BY query_id, id)"
+
+
+@query("T3_cover_rank", f"WITH {_POS}, q AS (SELECT unnest([0, 0, 1, 1]) AS query_id, unnest(['the', 'of', 'der', 'die']) AS token), {_COVER}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
 def _(spark, d):
-    return R.top_k(R.cover_rank(_q(spark, "the of", "der die"), R.postings(view(spark, d, "v_articles"))), 20, "fts")
+    found = R.cover_rank(_q(spark, "the of", "der die"), R.postings(view(spark, d, "v_articles"))).withColumn("score", F.round("score", 9))
+    return R.top_k(found, 20, "fts").select(F.col("query_id").cast("int").alias("query_id"), "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("rank"))
 
 
 @query("T4_highlight")
@@ -78,10 +99,10 @@ def _(spark, d):
 _VEC = "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), q.e) AS sim FROM v_vectors v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS k FROM s) SELECT query_id, id, CAST(round(0.5 * greatest(sim, 0), 6) AS DOUBLE) AS score FROM r WHERE k <= 10"
 
 
-@query("T9_vector_arm", _VEC)
+@query("T9_vector_arm", _VEC.replace("v_vectors v", "(SELECT vec_id AS id, embedding FROM embeddings) v"))
 def _(spark, d):
     q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_arm(q, view(spark, d, "v_vectors"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    return R.vector_arm(q, _all_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _all_vectors(spark, d):
@@ -90,7 +111,6 @@ def _all_vectors(spark, d):
 
 @query("T9_vector_arm_all", _VEC.replace("v_vectors v", "(SELECT vec_id AS id, embedding FROM embeddings) v"))
 def _(spark, d):
-    # every vector is searched; T9_vector_arm leaves out those that the backlog queries take as missing
     q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.vector_arm(q, _all_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -115,9 +135,9 @@ def _(spark, d):
 
 @query("T13_query_vector_lookup", "SELECT p.p_partkey AS query_id, e.vec_id IS NOT NULL AS cached FROM part p LEFT JOIN embeddings e ON concat('m|64|', trim(p.p_partkey::VARCHAR)) = concat('m|64|', e.vec_id)")
 def _(spark, d):
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("m|64|"), F.trim(F.col("p_partkey").cast("string"))).alias("key"))
-    v = table(spark, d, "embeddings").select(F.concat(F.lit("m|64|"), F.col("vec_id").cast("string")).alias("key"), "vec_id")
-    return q.join(v, "key", "left").select("query_id", F.col("vec_id").isNotNull().alias("cached"))
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" ")).alias("q"))
+    v = table(spark, d, "embeddings").select(F.lit("m").alias("model"), F.lit(64).alias("size"), F.col("vec_id").cast("string").alias("q"), F.col("embedding").alias("vector"))
+    return R.with_vectors(q, v, "m", 64).select("query_id", F.col("vector").isNotNull().alias("cached"))
 
 
 _ARMS = f"{_TITLES}, pre AS (SELECT id, 0.4 * sim AS score, row_number() OVER (ORDER BY sim DESC, id) AS p FROM ts WHERE starts_with(title_lower, q)), con AS (SELECT id, 0.4 * sim AS score, row_number() OVER (ORDER BY sim DESC, id) AS p FROM ts WHERE contains(title_lower, q)), sim AS (SELECT id, 0.4 * sim AS score, row_number() OVER (ORDER BY sim DESC, id) AS p FROM ts WHERE sim > 0.3), u AS (SELECT id, score, 0 AS o, p FROM pre WHERE p <= 40 UNION ALL SELECT id, score, 1, p FROM con WHERE p <= 40 UNION ALL SELECT id, score, 2, p FROM sim WHERE p <= 40), one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, p) AS r FROM u), trg AS (SELECT id, score, row_number() OVER (ORDER BY o, p) AS pos FROM one WHERE r = 1)"
@@ -128,11 +148,12 @@ def _(spark, d):
     return R.trigram_arms(_q(spark, "red widget"), view(spark, d, "v_titles"), 40).select("id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("pos"))
 
 
-@query("M1_merge_arms", f"WITH {_ARMS}, vec AS (SELECT id, 0.5 * (id % 7) / 7.0 AS score, row_number() OVER (ORDER BY (id % 7) DESC, id) AS pos FROM v_titles WHERE id % 3 = 0), a AS (SELECT id, score, 1 AS arm, pos FROM trg UNION ALL SELECT id, score, 2, pos FROM vec), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, arm, pos) AS r FROM a) SELECT id, CAST(round(score, 6) AS DOUBLE) AS score, CASE arm WHEN 1 THEN 'trgm' ELSE 'vector' END AS arm FROM f WHERE r = 1")
+@query("M1_merge_arms", f"WITH {_ARMS}, near AS (SELECT e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])) AS c FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) o), vec AS (SELECT id, round(0.5 * greatest(c, 0), 9) AS score, row_number() OVER (ORDER BY round(c, 9) DESC, id) AS pos FROM near QUALIFY pos <= 200), a AS (SELECT id, score, 1 AS arm, pos FROM trg UNION ALL SELECT id, score, 2, pos FROM vec), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, arm, pos) AS r FROM a) SELECT id, CAST(round(score, 6) AS DOUBLE) AS score, CASE arm WHEN 1 THEN 'trgm' ELSE 'vector' END AS arm FROM f WHERE r = 1")
 def _(spark, d):
     t = view(spark, d, "v_titles")
     trgm = R.trigram_arms(_q(spark, "red widget"), t, 40).withColumn("score", F.round("score", 9))
-    vec = R.top_k(t.where("id % 3 = 0").select(F.lit(0).cast("bigint").alias("query_id"), "id", F.round(F.expr("0.5D * (id % 7) / 7.0D"), 9).alias("score")), 10**9, "vector")
+    asked = table(spark, d, "embeddings").where("vec_id = 1").select(F.lit(0).cast("bigint").alias("query_id"), F.col("embedding").alias("q"))
+    vec = R.vector_arm(asked, _all_vectors(spark, d), 200).withColumn("score", F.round("score", 9))
     return R.merge_arms(trgm, vec).select("id", F.round("score", 6).alias("score"), "arm")
 
 
@@ -142,9 +163,36 @@ def _(spark, d):
     return R.hybrid_search(_q(spark, "the"), a, R.postings(a), limit=10, offset=10).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _hybrid_sql(words, archive, limit, offset, vector):
+    """Hybrid search of two words in one archive with the vector of a vec_id, as SQL."""
+    q = " ".join(words)
+    fetch = limit + offset
+    grams = _GRAMS.format("title_lower")
+    near = f"nn AS (SELECT e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])) AS c FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {vector}) o), nk AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, id) AS k FROM nn), v0 AS (SELECT nk.id, 0.5 * greatest(c, 0) AS score, row_number() OVER (ORDER BY round(0.5 * greatest(c, 0), 9) DESC, nk.id) AS p FROM nk JOIN sc ON sc.id = nk.id WHERE k <= {4 * fetch}), vec AS (SELECT id, score, p FROM v0)"
+    arm = "SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS p FROM sm"
+    return (
+        f"WITH {_POS}, sc AS (SELECT id FROM v_articles WHERE archive = '{archive}'), q AS (SELECT 0 AS query_id, unnest(['{words[0]}', '{words[1]}']) AS token), {_COVER}, "
+        f"fts AS (SELECT s.id, round(0.6 * score, 9) AS score, row_number() OVER (ORDER BY round(0.6 * score, 9) DESC, s.id) AS p FROM s JOIN sc ON sc.id = s.id), "
+        f"ti AS (SELECT id, lower(title) AS title_lower FROM v_articles WHERE archive = '{archive}'), gm AS (SELECT id, title_lower, {grams} AS g, {_GRAMS.format(chr(39) + q + chr(39))} AS h FROM ti), sm AS (SELECT id, title_lower, 0.4 * CASE WHEN len(g) = 0 THEN 0 ELSE CAST({_SIM} AS DOUBLE) END AS score FROM gm), "
+        f"pre AS ({arm} WHERE starts_with(title_lower, '{q}')), con AS ({arm} WHERE contains(title_lower, '{q}')), si AS ({arm} WHERE score > 0.4 * 0.3), "
+        f"u AS (SELECT id, score, 0 AS o, p FROM pre WHERE p <= {fetch} UNION ALL SELECT id, score, 1, p FROM con WHERE p <= {fetch} UNION ALL SELECT id, score, 2, p FROM si WHERE p <= {fetch}), one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, p) AS r FROM u), trg AS (SELECT id, score, row_number() OVER (ORDER BY o, p) AS p FROM one WHERE r = 1), {near}, "
+        f"al AS (SELECT id, score, 0 AS arm, p FROM fts WHERE p <= {fetch} UNION ALL SELECT id, score, 1, p FROM trg UNION ALL SELECT id, score, 2, p FROM vec WHERE p <= {4 * fetch}), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, arm, p) AS r FROM al), k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, arm, p) AS rank FROM f WHERE r = 1) "
+        f"SELECT id, round(score, 6) AS score, ['fts', 'trgm', 'vector'][arm + 1] AS arm, rank FROM k WHERE rank > {offset} AND rank <= {offset + limit}"
+    )
+
+
+@query("M3_hybrid_scoped", _hybrid_sql(("the", "of"), "src1", 10, 5, 1))
+def _(spark, d):
+    # two words, an archive, a page and a vector of the query's own
+    a = view(spark, d, "v_articles")
+    q = table(spark, d, "embeddings").where("vec_id = 1").select(F.lit(0).cast("bigint").alias("query_id"), F.lit("the of").alias("q"), F.lit("src1").alias("archive"), F.lit(10).alias("limit"), F.lit(5).alias("offset"), F.col("embedding").alias("vector"))
+    return R.hybrid_search(q, a, R.postings(a), _all_vectors(spark, d)).select("id", F.round("score", 6).alias("score"), "arm", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("M4_page", "WITH r AS (SELECT id, row_number() OVER (ORDER BY id % 13 DESC, id) AS rank FROM v_titles) SELECT id, rank FROM r WHERE rank > 120 AND rank <= 130")
 def _(spark, d):
-    ranked = R.top_k(view(spark, d, "v_titles").select(F.lit(0).alias("query_id"), "id", (F.col("id") % 13).alias("score")), 10**9, "fts")
+    # an arm keeps as many rows as the page reaches
+    ranked = R.top_k(view(spark, d, "v_titles").select(F.lit(0).alias("query_id"), "id", (F.col("id") % 13).alias("score")), 130, "fts")
     return R.page(ranked.withColumn("rank", F.col("arm_pos").cast("bigint")), 10, 120).select("id", "rank")
 
 
@@ -185,5 +233,4 @@ def _(spark, d):
 
 @query("M11_set_difference", "SELECT name, 'removed' AS side FROM (SELECT name FROM v_catalog EXCEPT SELECT name FROM v_snapshot) UNION ALL SELECT name, 'added' FROM (SELECT name FROM v_snapshot EXCEPT SELECT name FROM v_catalog) UNION ALL SELECT name, 'both' FROM (SELECT name FROM v_catalog INTERSECT SELECT name FROM v_snapshot)")
 def _(spark, d):
-    a, b = view(spark, d, "v_catalog").select("name"), view(spark, d, "v_snapshot").select("name")
-    return a.join(b, "name", "left_anti").withColumn("side", F.lit("removed")).union(b.join(a, "name", "left_anti").withColumn("side", F.lit("added"))).union(a.intersect(b).withColumn("side", F.lit("both")))
+    return set_difference(view(spark, d, "v_catalog"), view(spark, d, "v_snapshot"))

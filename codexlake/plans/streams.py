@@ -1,22 +1,24 @@
 """Queries over the streaming jobs (R), each checked against the batch form of its rule."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from codexlake.cluster import shared_dir
+from codexlake.cluster import scratch
 from codexlake.plans.registry import query
 from codexlake.streaming import jobs as S
 
 
 @query("R1_stream_ingest", "SELECT branch, seq FROM (SELECT branch, seq, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) AS r FROM v_outcomes) WHERE r = 1")
 def _(spark, d):
-    path = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    path = scratch(spark, "upsert")
     S.upsert_latest(S.outcomes(S.events(spark, d)).select("branch", "seq"), path, ["branch"], "seq")
-    return spark.read.parquet(f"{path}/version=0").select("branch", "seq")
+    return S.read_latest(spark, path, "branch bigint, seq bigint")
+
+
+#: Failures of a branch counted from the first within a week; the second locks, a success clears. One row after the other.
+_BURST = "WITH RECURSIVE e AS (SELECT user_id AS branch, event_id AS seq, epoch_us(ts) AS t, event_type NOT IN ('error', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (SELECT branch, seq, n, CAST(CASE WHEN ok THEN 0 ELSE 1 END AS BIGINT) AS c, CASE WHEN ok THEN 0 ELSE t END AS f FROM e WHERE n = 1 UNION ALL SELECT e.branch, e.seq, e.n, CAST(CASE WHEN ok THEN 0 WHEN c > 0 AND t - f <= 604800000000 THEN c + 1 ELSE 1 END AS BIGINT), CASE WHEN ok THEN 0 WHEN c > 0 AND t - f <= 604800000000 THEN f ELSE t END FROM r JOIN e ON e.branch = r.branch AND e.n = r.n + 1) SELECT branch, seq FROM r WHERE c = 2"
 
 
-@query("R2_stream_failures")
+@query("R2_stream_failures", _BURST)
 def _(spark, d):
     return S.run_available(S.failure_bursts(S.outcomes(S.events(spark, d)), 2, 60 * 24 * 7))
 
@@ -35,7 +37,10 @@ def _(spark, d):
     return S.run_available(S.retry_guard(e))
 
 
-@query("R5_stream_stats_delta")
+_DELTA = "WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (SELECT key, seq, n, v AS last, true AS sent FROM e WHERE n = 1 UNION ALL SELECT e.key, e.seq, e.n, CASE WHEN abs(e.v - r.last) >= 10.0 THEN e.v ELSE r.last END, abs(e.v - r.last) >= 10.0 FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) SELECT key, seq, last AS value FROM r WHERE sent"
+
+
+@query("R5_stream_stats_delta", _DELTA)
 def _(spark, d):
     return S.run_available(S.stats_delta(S.events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value"), 10.0))
 
@@ -45,16 +50,18 @@ def _(spark, d):
     return S.run_available(S.drift(S.events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("digest"))))
 
 
-@query("R7_stream_missing")
+@query("R7_stream_missing", "SELECT user_id AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + 600000 < (SELECT epoch_ms(max(ts)) - 60000 FROM events)")
 def _(spark, d):
-    return S.run_available(S.missing(S.events(spark, d).select(F.col("user_id").alias("key"), "ts")))
+    gone = S.run_available(S.missing(S.events(spark, d).select(F.col("user_id").alias("key"), "ts")))
+    return gone.select("key", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
-@query("R8_stream_wait_stats")
+@query("R8_stream_wait_stats", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS site, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
 def _(spark, d):
-    return S.run_available(S.window_stats(S.events(spark, d)))
+    return S.run_available(S.window_stats(S.events(spark, d))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("R9_stream_dedup_events", "SELECT event_id FROM events")
 def _(spark, d):
-    return S.run_available(S.distinct_events(S.events(spark, d)).select("event_id"))
+    # every event comes twice
+    return S.run_available(S.distinct_events(S.events(spark, d).unionByName(S.events(spark, d))).select("event_id"))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from codexlake.functions.text import access_error, is_direct, retryable_error
 from codexlake.operators import embedding as E
 from codexlake.operators import ledger as G
 from codexlake.plans.registry import query
@@ -12,15 +11,15 @@ _BACK = "b AS (SELECT a.archive, a.id, row_number() OVER (PARTITION BY a.archive
 
 
 def _backlog(spark, d):
-    return E.backlog(view(spark, d, "v_articles"), view(spark, d, "v_archives"), view(spark, d, "v_vectors"), 20)
+    return E.backlog(view(spark, d, "v_articles"), view(spark, d, "v_archives"), view(spark, d, "v_vectors"))
 
 
-@query("E1_backlog", f"WITH {_BACK} SELECT archive, id, fifo FROM b WHERE fifo <= 20")
+@query("E1_backlog", f"WITH {_BACK} SELECT archive, id, fifo FROM b WHERE fifo <= 100000")
 def _(spark, d):
     return _backlog(spark, d).withColumn("fifo", F.col("fifo").cast("bigint"))
 
 
-@query("E3_assign_batches", f"WITH {_BACK} SELECT archive, id, (fifo - 1) // 8 AS batch FROM b WHERE fifo <= 20")
+@query("E3_assign_batches", f"WITH {_BACK} SELECT archive, id, (fifo - 1) // 8 AS batch FROM b WHERE fifo <= 100000")
 def _(spark, d):
     return E.batches(_backlog(spark, d), 8).select("archive", "id", "batch")
 
@@ -36,13 +35,12 @@ def _(spark, d):
 
 @query("E5_dimension_check", "SELECT len(embedding) AS dimension, count(*) AS n, len(embedding) = 64 AS fits FROM v_vectors GROUP BY len(embedding)")
 def _(spark, d):
-    return view(spark, d, "v_vectors").groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n")).withColumn("fits", F.col("dimension") == 64)
+    return E.dimension_check(view(spark, d, "v_vectors"), 64)
 
 
 @query("E6_apply_vectors", "SELECT a.id, v.id IS NOT NULL AS has_vector, CASE WHEN v.id IS NOT NULL THEN 'm1' END AS model FROM v_articles a LEFT JOIN v_vectors v ON v.id = a.id")
 def _(spark, d):
-    v = view(spark, d, "v_vectors").select("id", "embedding")
-    return view(spark, d, "v_articles").join(v, "id", "left").select("id", F.col("embedding").isNotNull().alias("has_vector"), F.when(F.col("embedding").isNotNull(), "m1").alias("model"))
+    return E.apply_vectors(view(spark, d, "v_articles"), view(spark, d, "v_vectors"), "m1").select("id", F.col("embedding").isNotNull().alias("has_vector"), "model")
 
 
 @query("E7_drop_poison", "WITH l AS (SELECT branch, max(CASE WHEN ok = 1 THEN seq END) AS last FROM v_outcomes GROUP BY branch), p AS (SELECT o.branch FROM v_outcomes o JOIN l ON l.branch = o.branch WHERE ok = 0 AND (last IS NULL OR seq > last) GROUP BY o.branch HAVING count(*) >= 3) SELECT DISTINCT branch AS id FROM v_outcomes WHERE branch NOT IN (SELECT branch FROM p)")
@@ -51,9 +49,11 @@ def _(spark, d):
     return o.select("id").distinct().join(E.poison(o), "id", "left_anti")
 
 
-@query("E9_embed_articles")
+@query("E9_embed_articles", "WITH w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content_preview, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM v_articles), c AS (SELECT id, CAST(CAST('0x' || substring(md5(w), 1, 12) AS BIGINT) % 64 AS INT) AS k, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS norm FROM c GROUP BY id) SELECT c.id, k, round(c / norm, 9) AS share FROM c JOIN n ON n.id = c.id")
 def _(spark, d):
-    return E.hashing_vectors(view(spark, d, "v_articles"), "content_preview")
+    # one row for each component that is not zero
+    v = E.hashing_vectors(view(spark, d, "v_articles"), "content_preview")
+    return v.select("id", F.posexplode("embedding").alias("k", "share")).where("share <> 0").withColumn("share", F.round("share", 9))
 
 
 @query("L1_transition_allowed", "SELECT a.status AS source, b.status AS target, concat(a.status, '>', b.status) IN ('queued>downloading', 'queued>error', 'queued>cancelled', 'downloading>complete', 'downloading>seeding', 'downloading>error', 'downloading>cancelled', 'downloading>queued', 'error>queued', 'seeding>complete') AS ok FROM (SELECT DISTINCT status FROM v_transfers) a, (SELECT DISTINCT status FROM v_transfers) b")
@@ -62,7 +62,7 @@ def _(spark, d):
     return s.select(F.col("status").alias("source"), F.explode(F.array(*[F.lit(x) for x in G.TRANSITIONS])).alias("target")).withColumn("ok", G.allowed(F.col("source"), F.col("target")))
 
 
-@query("L2_apply_transitions")
+@query("L2_apply_transitions", "WITH RECURSIVE c AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, ['queued', 'downloading', 'error', 'seeding', 'complete', 'cancelled'][CAST(l_quantity % 6 AS INT) + 1] AS to_ FROM lineitem), t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'downloading' WHEN 2 THEN 'complete' WHEN 3 THEN 'seeding' WHEN 4 THEN 'error' ELSE 'cancelled' END AS status FROM orders), r AS (SELECT id, status, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS rejected FROM t UNION ALL SELECT r.id, CASE WHEN ok THEN to_ ELSE r.status END, x.n, applied + CAST(ok AS BIGINT), rejected + CAST(NOT ok AS BIGINT) FROM r JOIN (SELECT c.id, c.n, c.to_ FROM c) x ON x.id = r.id AND x.n = r.n + 1, LATERAL (SELECT concat(r.status, '>', x.to_) IN ('queued>downloading', 'queued>error', 'queued>cancelled', 'downloading>complete', 'downloading>seeding', 'downloading>error', 'downloading>cancelled', 'downloading>queued', 'error>queued', 'seeding>complete') AS ok) o) SELECT id, status, applied, rejected FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM r) WHERE k = 1 AND n > 0")
 def _(spark, d):
     t = view(spark, d, "v_transfers")
     names = F.array(*[F.lit(x) for x in G.TRANSITIONS])
@@ -109,8 +109,8 @@ def _(spark, d):
 
 @query("L8_apply_stats", "SELECT t.id, coalesce(CAST(l.progress AS DOUBLE), 0.0) AS progress, CASE WHEN l.seq IS NOT NULL THEN TIMESTAMP '2030-01-01 00:00:00' ELSE t.updated_at END AS updated_at FROM v_transfers t LEFT JOIN v_listing l ON l.seq = t.id")
 def _(spark, d):
-    l = view(spark, d, "v_listing").select(F.col("seq").alias("id"), F.col("progress").cast("double").alias("p"))
-    return view(spark, d, "v_transfers").join(l, "id", "left").select("id", F.coalesce("p", F.lit(0.0)).alias("progress"), F.when(F.col("p").isNotNull(), F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'")).otherwise(F.col("updated_at")).alias("updated_at"))
+    stats = view(spark, d, "v_listing").select(F.col("seq").alias("id"), "progress")
+    return G.apply_stats(view(spark, d, "v_transfers"), stats, F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'"))
 
 
 @query("L9_reconcile", f"WITH {_MATCH} SELECT t.id, CASE WHEN t.status = 'queued' AND m.state IS NOT NULL THEN 'bind' WHEN t.status = 'downloading' AND m.progress >= 0.999 AND m.state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') THEN 'finish' WHEN t.status IN ('downloading', 'seeding') AND m.state IN ('error', 'missingFiles') THEN 'settle' WHEN t.status IN ('downloading', 'seeding') AND m.state IS NOT NULL THEN 'refresh' WHEN t.status = 'downloading' AND NOT lower(trim(regexp_replace(t.url, '[?#].*$', ''))) LIKE '%.zim' AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'error' WHEN t.status = 'seeding' AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'done' ELSE 'keep' END AS action FROM v_transfers t LEFT JOIN m ON m.id = t.id, x")
@@ -122,9 +122,9 @@ def _(spark, d):
 
 @query("L10_interrupted_to_queued", "SELECT id, CASE WHEN status = 'downloading' AND lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim' THEN 'queued' ELSE status END AS status FROM v_transfers")
 def _(spark, d):
-    return view(spark, d, "v_transfers").select("id", F.when((F.col("status") == "downloading") & is_direct("url"), "queued").otherwise(F.col("status")).alias("status"))
+    return G.requeue_interrupted(view(spark, d, "v_transfers")).select("id", "status")
 
 
 @query("L11_drain_cancelled", "SELECT id, CASE WHEN status = 'cancelled' THEN NULL ELSE digest END AS digest FROM v_transfers")
 def _(spark, d):
-    return view(spark, d, "v_transfers").select("id", F.when(F.col("status") != "cancelled", F.col("digest")).alias("digest"))
+    return G.drain_cancelled(view(spark, d, "v_transfers")).select("id", "digest")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.cluster import ship
@@ -19,8 +19,9 @@ BLOCK_TAGS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section art
 HIDDEN_TAGS = frozenset(("script", "style", "noscript", "template"))
 
 
-def read_pages(spark: SparkSession, path: str, mime: str = "text/html") -> DataFrame:
-    return spark.read.parquet(path).withColumn("mime", F.lit(mime)).where(F.col("mime").startswith("text/"))
+def read_pages(spark: SparkSession, path: str, mime: str | Column = "text/html") -> DataFrame:
+    """Pages of text types; `mime` is one type for all or a column of the table. Upper and lower case are alike; a null type is left out."""
+    return spark.read.parquet(path).withColumn("mime", F.lower(F.lit(mime) if isinstance(mime, str) else mime)).where(F.col("mime").startswith("text/"))
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,6 @@ there into a Parquet sink, with its checkpoint beside it, and may be called agai
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codexlake.cluster import shared_dir, ship
+from codexlake.cluster import delete_path, scratch, ship
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def run_available(job: DataFrame, mode: str = "append", folder: str | None = Non
     """Run a job over all that is there and return what its sink holds."""
     spark = job.sparkSession
     ship(spark)
-    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "stream")
     query = job.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(job.schema).parquet(f"{folder}/out")
@@ -156,17 +155,34 @@ def missing(stream: DataFrame, minutes: int = 10) -> DataFrame:
     return stream.withWatermark("ts", "1 minute").groupBy("key").applyInPandasWithState(run, "key bigint, last_seen timestamp", "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Keep the latest row per key at a path: each micro-batch is merged with the version before and written beside it."""
+def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, keep: int = 2) -> None:
+    """Keep the latest row per key at a path: each micro-batch is merged with the version before and written beside it.
+
+    A micro-batch that runs again writes its own version again. Versions older than the last `keep` are
+    removed. Read the result with `read_latest`.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
-
         both = batch
         if number:
             both = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        latest = both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
-        latest.write.mode("overwrite").parquet(f"{path}/version={number}")
+        # the greatest row by order, then by all columns; combined before the shuffle, so a hot key is no task's burden
+        best = F.max_by(F.struct(*both.columns), F.struct(order, *both.columns))
+        both.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("row")).select("row.*").write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number >= keep:
+            delete_path(spark, f"{path}/version={number - keep}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The newest whole version that `upsert_latest` left at a path; with a schema, no version at all gives no rows."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(hadoop.Path(f"{path}/version=*/_SUCCESS")) or []
+    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    if not numbers and schema:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{path}/version={max(numbers)}")

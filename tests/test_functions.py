@@ -21,10 +21,10 @@ def test_dates(spark):
 
 
 def test_versions(spark):
-    names = ["wikipedia_en_all_maxi_2024-06", "books_fr_all_2024-01-15", "stellarium_en_202311", "openstreetmap_us_2024x", "plain"]
+    names = ["maps_of_rivers_2024-06", "recipes_fr_2024-01-15", "star_charts_202311", "tide_tables_2024x", "plain"]
     v = column(spark, names, X.version("v"))
     assert [x and (x.year, x.month) for x in v] == [(2024, 6), (2024, 1), (2023, 11), None, None]
-    assert column(spark, names, X.base_name("v"))[0] == "wikipedia_en_all_maxi"
+    assert column(spark, names, X.base_name("v"))[0] == "maps_of_rivers"
 
 
 def test_entities(spark):
@@ -70,7 +70,8 @@ def test_similarity_is_symmetric(spark):
 
 
 def test_chunk_example():
-    assert chunk_text("one\n\ntwo\n\nthree\n\nfour", 15, 4) == [(0, 10, "one\n\ntwo"), (6, 21, "wo\n\nthree\n\nfour")]
+    # 12 bytes reach into "green", so the cut is after the line before it; the next begins 3 bytes earlier
+    assert chunk_text("red\nblue\ngreen\ngrey", 12, 3) == [(0, 9, "red\nblue"), (6, 15, "ue\ngreen"), (12, 19, "en\ngrey")]
 
 
 @settings(max_examples=60, deadline=None)

@@ -5,28 +5,35 @@ from pyspark.sql import functions as F
 from codexlake.operators import ledger as G
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
+from codexlake.operators import websearch as W
 from codexlake.plans import search  # noqa: F401  it registers its queries
 from codexlake.plans.registry import QUERIES
 from codexlake.sources import reader
 
-#: The words of the golden corpus.
-WORDS = "amber basalt cedar dune ember fjord granite harbor island jasper".split()
+COLOURS, THINGS = ["teal", "ochre", "mauve", "sepia"], ["kettle", "ladder", "piano", "rudder", "sickle", "thimble"]
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    n = len(WORDS)
-    w = F.array(*[F.lit(x) for x in WORDS])
-    i = F.col("id").cast("int")
-    title = F.concat_ws(" ", F.element_at(w, i % n + 1), F.element_at(w, (i / n).cast("int") % n + 1), F.lit("entry"), i.cast("string"))
-    return spark.range(3000).select("id", F.lit("a").alias("archive"), F.lit("p").alias("path"), title.alias("title"), title.alias("content_preview"), F.lit("en").alias("language"))
+    """Article i is about a thing of a colour: 24 pairs, each of 50 articles; a third of them names the thing first."""
+    rows = []
+    for i in range(1200):
+        c, t = COLOURS[i % 4], THINGS[i // 4 % 6]
+        title = f"{t} painted {c}" if i % 3 == 0 else f"{c} {t}"
+        rows.append((i, f"a{i % 5}", "p", title, f"no {i} of the well-kept {t} list", "en" if i % 2 else "fr"))
+    return spark.createDataFrame(rows, "id bigint, archive string, path string, title string, content_preview string, language string")
+
+
+def asked(spark, *queries):
+    return spark.createDataFrame(list(enumerate(queries)), "query_id bigint, q string")
 
 
 def test_exact_answers_and_pages(spark, corpus):
-    q = spark.createDataFrame([(0, "granite amber"), (1, "")], "query_id bigint, q string")
+    q = asked(spark, "mauve piano", "")
     posted = R.postings(corpus)
     found = R.fts_match(q, posted).collect()
-    assert len(found) == 60 and {r.query_id for r in found} == {0}
+    want = {i for i in range(1200) if COLOURS[i % 4] == "mauve" and THINGS[i // 4 % 6] == "piano"}
+    assert {(r.query_id, r.id) for r in found} == {(0, i) for i in want} and len(found) == 50
     first = R.hybrid_search(q, corpus, posted, limit=10).orderBy("rank").collect()
     second = R.hybrid_search(q, corpus, posted, limit=10, offset=10).orderBy("rank").collect()
     assert len(first) == 10 and not {r.id for r in first} & {r.id for r in second}
@@ -35,8 +42,54 @@ def test_exact_answers_and_pages(spark, corpus):
     assert R.scope_filter(corpus, "absent").count() == 0
 
 
+def test_query_language(spark, corpus):
+    """Phrases, or, minus and hyphens against a plain reading of each query."""
+    plain = {r.id: f" {r.title} {r.content_preview} ".replace("-", " ") for r in corpus.collect()}
+    cases = {
+        "mauve piano": lambda t: " mauve " in t and " piano " in t, '"mauve piano"': lambda t: " mauve piano " in t, '"piano mauve"': lambda t: False, "MAUVE or rudder": lambda t: " mauve " in t or " rudder " in t,
+        "mauve -piano": lambda t: " mauve " in t and " piano " not in t, 'mauve -"mauve piano"': lambda t: " mauve " in t and " mauve piano " not in t, "well-kept": lambda t: " well kept " in t,
+        "kept-well": lambda t: False, 'teal kettle or "sepia thimble" -painted': lambda t: (" teal " in t and " kettle " in t) or " sepia thimble " in t and " painted " not in t,
+        "-mauve": lambda t: False, "or or": lambda t: False, '"unclosed mauve': lambda t: False, "...": lambda t: False, 'ladder or': lambda t: " ladder " in t,
+    }
+    got = {}
+    for r in R.fts_match(asked(spark, *cases), R.postings(corpus)).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    for k, (q, want) in enumerate(cases.items()):
+        assert got.get(k, set()) == {i for i, t in plain.items() if want(t)}, q
+
+
+def test_stored_index_answers_alike(spark, corpus, tmp_path):
+    q = asked(spark, "mauve piano", '"teal kettle" or sickle -painted', "ladder")
+    W.write_index(R.postings(corpus), str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    key = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
+    assert key(R.fts_match(q, stored)) == key(R.fts_match(q, R.postings(corpus)))
+    assert "PartitionFilters: [isnotnull(part" in R.fts_match(q, stored)._jdf.queryExecution().toString()
+
+
+def test_each_query_has_its_own_scope_and_page(spark, corpus):
+    rows = [(0, "mauve piano", None, None, 5, 0), (1, "mauve piano", "a2", None, 50, 0), (2, "mauve piano", None, "fr", 7, 2), (3, "piano", "absent", None, 10, 0)]
+    q = spark.createDataFrame(rows, "query_id bigint, q string, archive string, language string, limit int, offset int")
+    got = {}
+    for r in R.hybrid_search(q, corpus, R.postings(corpus), highlighted=True).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert len(got[0]) == 5 and 3 not in got
+    assert {r.archive for r in got[1]} == {"a2"} and sum("mauve" in r.title and "piano" in r.title for r in got[1]) == 10
+    assert {r.language for r in got[2]} == {"fr"} and sorted(r.rank for r in got[2]) == [3, 4, 5, 6, 7, 8, 9]
+    assert any("<b>piano</b>" in r.snippet for r in got[1]) and all(r.snippet for rs in got.values() for r in rs)
+
+
+def test_vectors_may_be_missing_and_ties_go_by_id(spark, corpus):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 8, 7, 3, 2, 1)] + [(4, None), (5, [0.0, 0.0]), (6, [1.0, 2.0, 3.0])], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(0, [2.0, 0.0]), (1, [3.0, 6.0, 9.0]), (2, None), (3, [0.0, 0.0])], "query_id bigint, q array<double>")
+    assert sorted((r.query_id, r.id, r.arm_pos) for r in R.vector_arm(q, v, 2).collect()) == [(0, 1, 1), (0, 2, 2), (1, 6, 1)]
+    assert R.vector_arm(q.limit(0), v, 2).count() == 0
+    none = spark.createDataFrame([(0, "mauve", "fts", [1.0, 0.0]), (1, "ab", None, [1.0, 0.0])], "query_id bigint, q string, mode string, vector array<double>")
+    assert {r.query_id for r in R.hybrid_search(none, corpus, R.postings(corpus), v).collect()} == {0}
+
+
 def test_plans_have_no_products(spark, corpus):
-    q = spark.createDataFrame([(0, "granite amber")], "query_id bigint, q string")
+    q = spark.createDataFrame([(0, "mauve piano")], "query_id bigint, q string")
     for df in (R.fts_match(q, R.postings(corpus)), R.similar_titles(q, corpus.select("id", F.lower("title").alias("title_lower")))):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -114,3 +167,30 @@ def test_streams_continue(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         got = jobs.run_available(jobs.degradation(stream), folder=str(tmp_path / "job"))
     assert [(r.seq, r.failures) for r in got.orderBy("seq").collect()] == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1)]
+
+
+def test_upserts_of_several_batches(spark, tmp_path):
+    from codexlake.streaming import jobs
+
+    schema = "k bigint, seq bigint"
+    for lo in (0, 10, 20):
+        spark.createDataFrame([(i % 7, i) for i in range(lo, lo + 10)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.upsert_latest(stream, str(tmp_path / "out"), ["k"], "seq")
+    got = {r.k: r.seq for r in jobs.read_latest(spark, str(tmp_path / "out")).collect()}
+    assert got == {k: max(i for i in range(30) if i % 7 == k) for k in range(7)}
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2
+
+
+def test_matching_uses_up_rows(spark):
+    ledger = spark.createDataFrame([(1, "A", "u", "h1"), (2, "b", "u", None), (3, "B", "u", None), (4, "x", "C", None), (5, "b", "u", "gone")], "id bigint, name string, url string, digest string")
+    listing = spark.createDataFrame([("h1", "zz", 10), ("h2", "B", 11), (None, "c", 12), ("h4", "b", 13)], "hash string, name string, seq bigint")
+    assert sorted((r.id, r.seq) for r in G.match_listing(ledger, listing).collect()) == [(1, 10), (2, 13), (4, 12)]
+
+
+def test_listing_candidates(spark):
+    ledger = spark.createDataFrame([(1, "A")], "id bigint, name string")
+    listing = spark.createDataFrame([("a", "Cat", 1), ("a", None, 2), ("A", "dog", 3)], "name string, category string, seq bigint")
+    assert [r.seq for r in G.listing_candidates(ledger, listing, "cAT").collect()] == [1]
+    assert [r.seq for r in G.listing_candidates(ledger, listing, "").collect()] == [2]
+    assert G.listing_candidates(ledger, listing.drop("category"), "cat").count() == 0
