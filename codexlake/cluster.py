@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How often the driver is asked to collect, at most.
+SWEEP_SECONDS = 4
 _SHIPPED: set[str] = set()
 
 
@@ -66,17 +69,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(kept: DataFrame) -> None:
-    """Remove a stored table that nothing reads any more."""
-    for spark, path in [s for s in _SCRATCH if any(f"{s[1]}/" in f for f in kept.inputFiles()[:1])]:
-        _SCRATCH.remove((spark, path))
-        delete_path(spark, path)
+_SWEPT = [0.0]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
+    """Cut lineage with a reliable checkpoint in the shared folder; survives the loss of executors.
+
+    Spark deletes shuffle files once the driver's collector finds nothing that refers to them. On a driver
+    with little to collect that may be long after a cut, so it is asked for every few seconds here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _SWEPT[0] > SWEEP_SECONDS:
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
