@@ -24,5 +24,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Records that revisit another name the largest page_id of their payload; the digest's 160 bits are spelled five hex digits, four letters, at a time.
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, strlen(body) AS payload_bytes, body, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substring(h, CAST(5 * i + 1 AS INT), 5) AS BIGINT)) AS groups FROM d),
+s AS (SELECT *, list_transform(flatten(list_transform(groups, lambda g: [g // 32768, g // 1024 % 32, g // 32 % 32, g % 32])), lambda v: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INT), 1)) AS letters FROM b)
+SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM s"""
+
+#: Links between all pairs, then the least node that is reached.
+_REACH = "r AS (SELECT DISTINCT a AS node, a AS seen FROM links UNION SELECT r.node, links.b FROM r JOIN links ON links.a = r.seen), c AS (SELECT node, least(node, min(seen)) AS low FROM r GROUP BY node)"
+
+_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+f AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id"""
+
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w),
+z AS (SELECT doc_id, len(sh) AS n FROM s), t AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM t x JOIN t y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM i JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)), {_REACH}
+SELECT z.doc_id, n AS n_shingles, coalesce(low, z.doc_id) AS component_id FROM z LEFT JOIN c ON c.node = z.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the results that SQL can express; the others' methods (sketches, models, packing, permutations) are held against plain versions in the tests."""
+    return {"op2_warc": _WARC, "op3_embeddings": _VECTORS, "op5_jaccard": _JACCARD}

@@ -7,7 +7,6 @@ all rows; dealing it out in turn gives shards whose row counts are at most one a
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,20 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexlake.cluster import shared_dir
+from codexlake.cluster import scratch
 from codexlake.llm.common import only, prepare, table, utf8
 
 #: Text bytes a bucket should hold: what one task keeps in memory.
 BUCKET_BYTES = 12 << 20
 #: Bytes a row counts besides its text, so that many tiny rows fill a bucket too.
 ROW_BYTES = 64
+#: Buckets that one task of the second pass takes, about.
+TASK_BUCKETS = 8
 #: Buckets under one window when offsets are summed; totals of such runs are summed in turn.
 RUN = 4096
 
 
 def scatter(docs: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """Pass 1: a bucket for every row. The row's place in the scan is hashed with its id, so that repeated ids scatter too."""
-    return docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.monotonically_increasing_id()), F.lit(n_buckets)))
+    """Pass 1: a bucket for every row, from its id and text alone, so that any two evaluations of the input agree. Rows equal in both share a bucket."""
+    return docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(n_buckets)))
 
 
 def bucket_offsets(scattered: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def bucket_offsets(scattered: DataFrame) -> DataFrame:
     totals = sizes.groupBy("run").agg(F.sum("n").alias("t"))
     before = totals.select("run", (F.sum("t").over(Window.orderBy("run")) - F.col("t")).alias("base"))
     inner = F.sum("n").over(Window.partitionBy("run").orderBy("bucket")) - F.col("n")
-    return sizes.withColumn("inner", inner).join(F.broadcast(before), "run").select("bucket", (F.col("base") + F.col("inner")).alias("offset"))
+    return sizes.withColumn("inner", inner).join(before, "run").select("bucket", (F.col("base") + F.col("inner")).alias("offset"))
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -51,8 +52,10 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 11, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Rows (doc_id, text, size, text_crc32, shard, slot) in their shuffled order.
 
-    A null text counts as none: size 1, crc32 0. Null and repeated ids are rows like any other. An
-    empty table gives no rows. Columns other than doc_id and text are not carried.
+    A null text counts as none: size 1, crc32 0. Null and repeated ids are rows like any other; rows equal
+    in id and text are interchangeable. A text larger than a bucket is a bucket's row like others. An
+    empty table gives no rows. Columns other than doc_id and text are not carried. Rows are dealt to as
+    many tasks as hold TASK_BUCKETS buckets each, so a task's share does not grow with the input.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -60,12 +63,14 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 11, buck
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("b")).first().b or 0
     n_buckets = max(1, -(-total // bucket_bytes))
     scattered = scatter(docs, n_buckets, seed)
-    # one row of 16 bytes a bucket of `bucket_bytes`: under a millionth of the input
     offsets = bucket_offsets(scattered)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_buckets // TASK_BUCKETS))
 
     def permute(group: pa.Table) -> pa.Table:
         bucket, offset = group["bucket"][0].as_py(), group["offset"][0].as_py()
         place = offset + np.arange(len(group))
+        # the order before is the data's own, whatever order the rows were fetched in
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         out = group.select(["doc_id", "text"]).take(fisher_yates(len(group), seed, bucket))
         raw, off = utf8(out["text"])
         view = memoryview(raw)
@@ -76,22 +81,25 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 11, buck
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     return (
-        scattered.join(F.broadcast(offsets), "bucket").groupBy("bucket")
+        scattered.repartition(tasks, "bucket").join(offsets, "bucket").groupBy("bucket")
         .applyInArrow(permute, f"doc_id {kinds['doc_id']}, text string, size bigint, text_crc32 bigint, shard int, slot bigint")
     )
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 11, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write the shards as Parquet folders shard=0, shard=1, ... below the path."""
+    """Write the shards as Parquet folders shard=0, shard=1, ... below the path. A shard without rows has no folder; odd rows as in `shuffle_into_shards`."""
     shuffle_into_shards(docs, n_shards, seed, bucket_bytes).write.partitionBy("shard").parquet(path)
 
 
 def read_shard(spark: SparkSession, path: str, shard: int) -> Iterator:
-    """One shard's rows in slot order."""
+    """One shard's rows in slot order; none of a shard that has no rows."""
     return spark.read.parquet(path).where(F.col("shard") == shard).orderBy("slot").toLocalIterator()
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(table(spark, sf_dir, "documents"), path)
-    return spark.read.parquet(path).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All `documents` dealt to eight shards, written and read back; an empty table gives no rows."""
+    path = scratch(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    write_shards(docs, path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return spark.read.schema(f"doc_id {kind}, text string, size bigint, text_crc32 bigint, slot bigint, shard int").parquet(path).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
