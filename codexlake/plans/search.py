@@ -27,7 +27,7 @@ def _(spark, d):
 
 
 #: Places of all tokens in title and preview, and which documents hold a phrase.
-_POS = f"tk AS (SELECT id, {_TOK.format('title')} AS t, {_TOK.format('content_preview')} AS p FROM v_articles), pos AS (SELECT id, unnest(t) AS token, CAST(1.0 AS DOUBLE) AS w, unnest(range(len(t))) AS at FROM tk UNION ALL SELECT id, unnest(p), CAST(0.4 AS DOUBLE), unnest(range(len(t), len(t) + len(p))) FROM tk)"
+_POS = f"tk AS (SELECT id, {_TOK.format('title')} AS t, {_TOK.format('content_preview')} AS p FROM v_articles), pos AS (SELECT id, unnest(t) AS token, CAST(1.0 AS DOUBLE) AS w, unnest(range(len(t))) AS spot FROM tk UNION ALL SELECT id, unnest(p), CAST(0.4 AS DOUBLE), unnest(range(len(t), len(t) + len(p))) FROM tk)"
 _TEXT = "concat(' ', array_to_string(t, ' '), ' ', array_to_string(p, ' '), ' ')"
 
 
@@ -59,7 +59,7 @@ def _(spark, d):
 
 
 #: Of a query of two words the covers are neighbouring hits of different words.
-_COVER = "l AS (SELECT q.query_id, pos.*, lag(pos.token) OVER o AS lt, lag(w) OVER o AS lw, lag(at) OVER o AS la FROM pos JOIN q ON q.token = pos.token WINDOW o AS (PARTITION BY q.query_id, id ORDER BY at)), s AS (SELECT query_id, id, round(sum(2 / (1 / w + 1 / lw) / (at - la)), 9) AS score FROM l WHERE lt <> token GROUP BY query_id, id)"
+_COVER = "l AS (SELECT q.query_id, pos.*, lag(pos.token) OVER o AS lt, lag(w) OVER o AS lw, lag(spot) OVER o AS la FROM pos JOIN q ON q.token = pos.token WINDOW o AS (PARTITION BY q.query_id, id ORDER BY spot)), s AS (SELECT query_id, id, round(sum(2 / (1 / w + 1 / lw) / (spot - la)), 9) AS score FROM l WHERE lt <> token GROUP BY query_id, id)"
 
 
 @query("T3_cover_rank", f"WITH {_POS}, q AS (SELECT unnest([0, 0, 1, 1]) AS query_id, unnest(['the', 'of', 'der', 'die']) AS token), {_COVER}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20")

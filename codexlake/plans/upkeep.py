@@ -62,7 +62,7 @@ def _(spark, d):
     return s.select(F.col("status").alias("source"), F.explode(F.array(*[F.lit(x) for x in G.TRANSITIONS])).alias("target")).withColumn("ok", G.allowed(F.col("source"), F.col("target")))
 
 
-@query("L2_apply_transitions", "WITH RECURSIVE c AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, ['queued', 'downloading', 'error', 'seeding', 'complete', 'cancelled'][CAST(l_quantity % 6 AS INT) + 1] AS to_ FROM lineitem), t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'downloading' WHEN 2 THEN 'complete' WHEN 3 THEN 'seeding' WHEN 4 THEN 'error' ELSE 'cancelled' END AS status FROM orders), r AS (SELECT id, status, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS rejected FROM t UNION ALL SELECT r.id, CASE WHEN ok THEN to_ ELSE r.status END, x.n, applied + CAST(ok AS BIGINT), rejected + CAST(NOT ok AS BIGINT) FROM r JOIN (SELECT c.id, c.n, c.to_ FROM c) x ON x.id = r.id AND x.n = r.n + 1, LATERAL (SELECT concat(r.status, '>', x.to_) IN ('queued>downloading', 'queued>error', 'queued>cancelled', 'downloading>complete', 'downloading>seeding', 'downloading>error', 'downloading>cancelled', 'downloading>queued', 'error>queued', 'seeding>complete') AS ok) o) SELECT id, status, applied, rejected FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM r) WHERE k = 1 AND n > 0")
+@query("L2_apply_transitions", "WITH RECURSIVE c AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, to_) AS n, to_ FROM (SELECT *, ['queued', 'downloading', 'error', 'seeding', 'complete', 'cancelled'][CAST(floor(l_quantity % 6) AS INT) + 1] AS to_ FROM lineitem)), t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'downloading' WHEN 2 THEN 'complete' WHEN 3 THEN 'seeding' WHEN 4 THEN 'error' ELSE 'cancelled' END AS status FROM orders), r AS (SELECT id, status, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS rejected FROM t UNION ALL SELECT r.id, CASE WHEN ok THEN to_ ELSE r.status END, x.n, applied + CAST(ok AS BIGINT), rejected + CAST(NOT ok AS BIGINT) FROM r JOIN (SELECT c.id, c.n, c.to_ FROM c) x ON x.id = r.id AND x.n = r.n + 1, LATERAL (SELECT concat(r.status, '>', x.to_) IN ('queued>downloading', 'queued>error', 'queued>cancelled', 'downloading>complete', 'downloading>seeding', 'downloading>error', 'downloading>cancelled', 'downloading>queued', 'error>queued', 'seeding>complete') AS ok) o) SELECT id, status, applied, rejected FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM r) WHERE k = 1 AND n > 0")
 def _(spark, d):
     t = view(spark, d, "v_transfers")
     names = F.array(*[F.lit(x) for x in G.TRANSITIONS])
