@@ -217,29 +217,35 @@ class Pieces:
         runs = [[known.setdefault(s, len(known)) for s in _SEGMENT.findall(BLANK + t.replace(" ", BLANK))] if t else [] for t in texts]
         segments = list(known)
         done: dict[int, np.ndarray] = {}
-        parts: list[tuple[int, int, str]] = []
+        # (segment, where the window begins); a segment that fits into a window is one of its own
+        parts: list[tuple[int, int]] = []
         for k, s in enumerate(segments):
             if s.startswith(BLANK * 2):
                 # runs of blanks have pieces of equal scores, which only merging itself orders
                 done[k] = np.array([i for p in self.merge(s)[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64)
             elif len(s) <= WINDOW + OVERLAP:
-                parts.append((k, 0, s))
+                parts.append((k, 0))
             else:
-                parts += [(k, at, s[at : at + WINDOW + OVERLAP]) for at in range(0, len(s) - OVERLAP, WINDOW)]
-        matched: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+                parts += [(k, at) for at in range(0, len(s) - OVERLAP, WINDOW)]
+        long: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         lo = 0
         while lo < len(parts):
-            hi, size = lo, 0
-            while hi < len(parts) and size < INDEX_CHARS:
-                size += len(parts[hi][2])
-                hi += 1
-            ids, ends, cuts = self.match([p[2] for p in parts[lo:hi]])
-            for (k, at, _), a, b in zip(parts[lo:hi], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                matched.setdefault(k, []).append((at, ids[a:b], ends[a:b] + at))
-            lo = hi
-        for k, windows in matched.items():
-            ids, ends = windows[0][1:] if len(windows) == 1 else self.joined(segments[k], windows)
-            done[k] = self.spelled(ids, ends, segments[k])
+            batch, size = [], 0
+            while lo + len(batch) < len(parts) and size < INDEX_CHARS:
+                k, at = parts[lo + len(batch)]
+                batch.append(segments[k][at : at + WINDOW + OVERLAP])
+                size += len(batch[-1])
+            ids, ends, cuts = self.match(batch)
+            odd = set(np.unique(np.searchsorted(cuts, np.flatnonzero(ids == self.unknown), "right") - 1).tolist())
+            for n, a, b in zip(range(len(batch)), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k, at = parts[lo + n]
+                if len(segments[k]) > WINDOW + OVERLAP:
+                    long.setdefault(k, []).append((at, ids[a:b], ends[a:b] + at))
+                else:
+                    done[k] = self.spelled(ids[a:b], ends[a:b], batch[n]) if n in odd else ids[a:b]
+            lo += len(batch)
+        for k, windows in long.items():
+            done[k] = self.spelled(*self.joined(segments[k], windows), segments[k])
         empty = np.zeros(0, np.int64)
         return [np.concatenate([done[k] for k in run]) if run else empty for run in runs]
 
