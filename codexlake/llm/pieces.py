@@ -215,39 +215,42 @@ class Pieces:
         """Ids of each text; equal segments of a batch are encoded once."""
         known: dict[str, int] = {}
         runs = [[known.setdefault(s, len(known)) for s in _SEGMENT.findall(BLANK + t.replace(" ", BLANK))] if t else [] for t in texts]
-        segments = list(known)
-        done: dict[int, np.ndarray] = {}
-        # (segment, where the window begins); a segment that fits into a window is one of its own
-        parts: list[tuple[int, int]] = []
-        for k, s in enumerate(segments):
-            if s.startswith(BLANK * 2):
-                # runs of blanks have pieces of equal scores, which only merging itself orders
-                done[k] = np.array([i for p in self.merge(s)[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64)
-            elif len(s) <= WINDOW + OVERLAP:
-                parts.append((k, 0))
-            else:
-                parts += [(k, at) for at in range(0, len(s) - OVERLAP, WINDOW)]
-        long: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        lo = 0
-        while lo < len(parts):
-            batch, size = [], 0
-            while lo + len(batch) < len(parts) and size < INDEX_CHARS:
-                k, at = parts[lo + len(batch)]
-                batch.append(segments[k][at : at + WINDOW + OVERLAP])
-                size += len(batch[-1])
-            ids, ends, cuts = self.match(batch)
-            odd = set(np.unique(np.searchsorted(cuts, np.flatnonzero(ids == self.unknown), "right") - 1).tolist())
-            for n, a, b in zip(range(len(batch)), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                k, at = parts[lo + n]
-                if len(segments[k]) > WINDOW + OVERLAP:
-                    long.setdefault(k, []).append((at, ids[a:b], ends[a:b] + at))
-                else:
-                    done[k] = self.spelled(ids[a:b], ends[a:b], batch[n]) if n in odd else ids[a:b]
-            lo += len(batch)
-        for k, windows in long.items():
-            done[k] = self.spelled(*self.joined(segments[k], windows), segments[k])
-        empty = np.zeros(0, np.int64)
-        return [np.concatenate([done[k] for k in run]) if run else empty for run in runs]
+        segments, room = list(known), WINDOW + OVERLAP
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        blank = np.fromiter((s.startswith(BLANK * 2) for s in segments), bool, len(segments))
+        # where each segment's ids are in all of them laid end to end
+        start, count = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        laid, total = [np.zeros(0, np.int64)], 0
+
+        def lay(k: int, ids: np.ndarray) -> None:
+            nonlocal total
+            start[k], count[k] = total, len(ids)
+            laid.append(ids)
+            total += len(ids)
+
+        for k in np.flatnonzero(blank).tolist():
+            # runs of blanks have pieces of equal scores, which only merging itself orders
+            lay(k, np.array([i for p in self.merge(segments[k])[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64))
+        short = np.flatnonzero(~blank & (size <= room))
+        for batch in np.split(short, np.searchsorted(np.cumsum(size[short]), np.arange(INDEX_CHARS, int(size[short].sum()), INDEX_CHARS))):
+            ids, ends, cuts = self.match([segments[k] for k in batch.tolist()])
+            start[batch], count[batch] = total + cuts[:-1], np.diff(cuts)
+            laid.append(ids)
+            total += len(ids)
+            for n in np.unique(np.searchsorted(cuts, np.flatnonzero(ids == self.unknown), "right") - 1).tolist():
+                lay(int(batch[n]), self.spelled(ids[cuts[n] : cuts[n + 1]], ends[cuts[n] : cuts[n + 1]], segments[batch[n]]))
+        for k in np.flatnonzero(~blank & (size > room)).tolist():
+            begins, windows = range(0, len(segments[k]) - OVERLAP, WINDOW), []
+            for lo in range(0, len(begins), INDEX_CHARS // room):
+                some = begins[lo : lo + INDEX_CHARS // room]
+                ids, ends, cuts = self.match([segments[k][at : at + room] for at in some])
+                windows += [(at, ids[a:b], ends[a:b] + at) for at, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            lay(k, self.spelled(*self.joined(segments[k], windows), segments[k]))
+        every, flat = np.concatenate(laid), np.fromiter((k for run in runs for k in run), np.int64)
+        own = count[flat]
+        place = np.arange(int(own.sum())) + np.repeat(start[flat] - (np.cumsum(own) - own), own)
+        last = np.cumsum(np.bincount(np.repeat(np.arange(len(runs)), [len(r) for r in runs]), weights=own, minlength=len(runs))).astype(np.int64) if runs else []
+        return np.split(every[place], last[:-1]) if runs else []
 
     def seams(self, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, int]]:
         """For each window, where its chain and the next one's may be joined: the last piece to keep and the first to go on with; windows without such a place are left out."""
