@@ -38,8 +38,16 @@ def write_index(posted: DataFrame, path: str) -> None:
     posted.withColumn("part", part_of("token")).repartition(PARTS, "part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
+def narrowed(posted: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the batch's tokens. Of postings made on the fly, others go before they are grouped and shuffled; of stored ones, only the parts of these tokens are read."""
+    tokens_ = terms.select("token").distinct()
+    if "part" in posted.columns:
+        return posted.join(tokens_.withColumn("part", part_of("token")), ["part", "token"], "left_semi")
+    return posted.join(tokens_, "token", "left_semi")
+
+
 def meeting(posted: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms' tokens with the terms. Of a stored index, whose parts are folders, only the parts of these tokens are read."""
+    """Postings of the terms' tokens with the terms."""
     if "part" in posted.columns:
         return posted.join(terms.withColumn("part", part_of("token")), ["part", "token"])
     return posted.join(terms, "token")
@@ -65,6 +73,8 @@ def ranked(terms: DataFrame, posted: DataFrame) -> DataFrame:
     by one plus the words between. These documents reach an Arrow function, one at a time.
     """
     ship(terms.sparkSession)
+    # narrowed once, so that both uses read one shuffle
+    posted = narrowed(posted, terms)
     wanted = terms.where("not barred")
     shape = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("words"), F.collect_list(F.struct("clause", "item", "k", "token")).alias("query"))
     found = matches(terms, posted).join(shape, "query_id")
