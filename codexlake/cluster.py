@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import time
 import uuid
@@ -51,7 +52,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, for tables that a result still reads; `release` removes it, at the latest when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _SCRATCH:
-        atexit.register(release)
+        atexit.register(_release_at_exit)
     _SCRATCH.append((spark, path))
     return path
 
@@ -62,6 +63,12 @@ def release() -> None:
         delete_path(*_SCRATCH.pop())
 
 
+def _release_at_exit() -> None:
+    # the session may be gone by then
+    with contextlib.suppress(Exception):
+        release()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: later steps read only the columns that they need."""
     path = scratch(df.sparkSession, name)

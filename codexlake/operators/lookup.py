@@ -19,7 +19,14 @@ def fetch_by_key(articles: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def seek(targets: DataFrame, at: str, ids: DataFrame) -> DataFrame:
-    """For each target the least id from it on, else the greatest up to it.
+    """For each target the least id from it on, else the greatest up to it. Equal targets are sought once; a null target finds nothing."""
+    wanted = targets.select(F.col(at).cast("long").alias("_sought")).where("_sought is not null").distinct()
+    found = _nearest(wanted, "_sought", ids)
+    return targets.withColumn("_sought", F.col(at).cast("long")).join(found, "_sought", "left").drop("_sought")
+
+
+def _nearest(targets: DataFrame, at: str, ids: DataFrame) -> DataFrame:
+    """`seek` for distinct targets.
 
     Ids and targets are laid in spans; within a span a window finds the next id, and the spans' own
     bounds, a row each, answer for targets whose span has none ahead.

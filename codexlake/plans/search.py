@@ -91,6 +91,24 @@ def _(spark, d):
     return R.similar_titles(_q(spark, "red widget"), view(spark, d, "v_titles")).select("id", F.round("sim", 6).alias("sim"))
 
 
+_BATCH = f"q AS (SELECT id AS query_id, title_lower AS q, {_GRAMS.format('title_lower')} AS h FROM v_titles WHERE id % 100 = 0), t AS (SELECT id, title_lower, {_GRAMS.format('title_lower')} AS g FROM v_titles), s AS (SELECT query_id, id, q, title_lower, CAST({_SIM} AS DOUBLE) AS sim FROM q, t)"
+
+
+@query("T7_similarity_batch", f"WITH {_BATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.4 * sim, 9) DESC, id) AS rank FROM s WHERE sim > 0.3) SELECT query_id, id, CAST(round(0.4 * sim, 6) AS DOUBLE) AS score, rank FROM r WHERE rank <= 10")
+def _(spark, d):
+    # every hundredth title is a query against all titles
+    t = view(spark, d, "v_titles")
+    q = t.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title_lower").alias("q"))
+    return R.similarity_arm(q, t, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("rank"))
+
+
+@query("M2_premerge_batch", f"WITH {_BATCH}, a AS (SELECT *, 0 AS o FROM s WHERE starts_with(title_lower, q) UNION ALL SELECT *, 1 FROM s WHERE contains(title_lower, q) AND length(q) >= 3 UNION ALL SELECT *, 2 FROM s WHERE sim > 0.3), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY round(0.4 * sim, 9) DESC, id) AS p FROM a), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY o, p) AS r FROM p WHERE p <= 10) SELECT query_id, id, CAST(round(0.4 * sim, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o, p) AS pos FROM u WHERE r = 1")
+def _(spark, d):
+    t = view(spark, d, "v_titles")
+    q = t.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title_lower").alias("q"))
+    return R.trigram_arms(q, t, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("pos"))
+
+
 @query("T8_trigram_similarity", f"WITH {_TITLES} SELECT id, CAST(round(sim, 6) AS DOUBLE) AS sim FROM ts")
 def _(spark, d):
     return view(spark, d, "v_titles").select("id", F.round(similarity(trigrams("title_lower"), trigrams(F.lit("red widget"))), 6).alias("sim"))
