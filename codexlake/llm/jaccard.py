@@ -12,6 +12,7 @@ Sets are arrays of 64-bit shingle hashes. Equal sets are one node, named by a 64
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexlake.cluster import settle
+from codexlake.cluster import settle, stored
 from codexlake.llm.common import bounds, distinct_by_row, mix, only, prepare, shingles, table, utf8, words
 from codexlake.llm.components import components
 
@@ -33,8 +34,8 @@ BLOCK = 2048
 BUNDLE = 2000
 #: Names of sets that a task remembers (8 bytes each) so that copies enter the index once; older ones are forgotten, and deduplicated later.
 REMEMBERED = 1 << 20
-#: Up to so many nodes (8 bytes each) are broadcast to pick the sets to verify; more are joined.
-MOST_BROADCAST = 1 << 20
+#: Up to so many nodes are picked by a broadcast, of their names (8 bytes each) or of a bitmap of MARKS bits; more are joined.
+MOST_BROADCAST, MARKS = 1 << 22, 1 << 26
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,25 +56,58 @@ def fresh_rows(cuts: np.ndarray, names: np.ndarray) -> np.ndarray:
     return first[np.diff(cuts)[first] > 0]
 
 
+def distinct_sets(n: int):
+    """A function of a column of texts that gives (hashes, cuts, names, rows): a batch's sets, and the rows that bring a set to the task first."""
+    known = [np.zeros(0, np.int64)]
+
+    def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, cuts, names = sets(*utf8(column), n)
+        rows = fresh_rows(cuts, names)
+        rows = rows[~np.isin(names[rows], known[0])]
+        known[0] = np.concatenate([known[0], names[rows]])[-REMEMBERED:]
+        return h, cuts, names, rows
+
+    return read
+
+
 def _take(h: np.ndarray, cuts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of some rows, and which of these rows each is in."""
+    """Hashes of some rows, and the size of each of these."""
     size = np.diff(cuts)[rows]
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    own = np.repeat(np.arange(len(rows)), size)
-    return h[np.arange(int(size.sum())) - begin[own] + cuts[:-1][rows][own]], own
+    begin = np.repeat(cuts[:-1][rows] - (np.cumsum(size) - size), size)
+    return h[np.arange(int(size.sum())) + begin], size
+
+
+def marked(wanted: DataFrame):
+    """A broadcast bitmap of the wanted nodes' hashes, which tells most others apart; None beyond MOST_BROADCAST nodes."""
+    if wanted.count() > MOST_BROADCAST:
+        return None
+    slots = wanted.select(F.col("node").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
+    bits = np.zeros(MARKS // 8, np.uint8)
+    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return wanted.sparkSession.sparkContext.broadcast(bits)
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, body) of every row; body is the set's bitmap, with the first row of a batch that has the set."""
+def _among(marks, names: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    if marks is None:
+        return rows
+    at = names[rows] & (MARKS - 1)
+    return rows[(marks.value[at >> 3] >> (at & 7) & 1) == 1]
+
+
+def document_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, node, body) of every row; body is the set's bitmap, with the first row that brings a wanted node's set to a task. Some other nodes have one too."""
+    marks = marked(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = distinct_sets(n)
         for b in batches:
-            h, cuts, names = sets(*utf8(b.column(1)), n)
-            rows, body = fresh_rows(cuts, names), np.full(len(names), None, object)
-            body[rows] = bitmaps(*_take(h, cuts, rows), np.diff(cuts)[rows])
+            h, cuts, names, rows = read(b.column(1))
+            rows, size, body = _among(marks, names, rows), np.diff(cuts), np.full(len(names), None, object)
+            taken, own = _take(h, cuts, rows)
+            body[rows] = bitmaps(taken, np.repeat(np.arange(len(own)), own), own)
             for lo in range(0, len(names), 500):
                 part = slice(lo, lo + 500)
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(np.diff(cuts)[part]), pa.array(names[part]), pa.array(body[part], pa.binary())], names=["doc_id", "n_shingles", "node", "body"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(size[part]), pa.array(names[part]), pa.array(body[part], pa.binary())], names=["doc_id", "n_shingles", "node", "body"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, body binary")
 
@@ -86,10 +120,10 @@ def frequent_shingles(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = distinct_sets(n)
         for b in batches:
-            h, cuts, names = sets(*utf8(b.column(0)), n)
-            h, _ = _take(h, cuts, fresh_rows(cuts, names))
-            u, c = np.unique(h, return_counts=True)
+            h, cuts, _, rows = read(b.column(0))
+            u, c = np.unique(_take(h, cuts, rows)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["token", "c"])
 
     counted = docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
@@ -123,26 +157,25 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rank = shared.value
-        known = np.zeros(0, np.int64)
+        read = distinct_sets(n)
         for b in batches:
-            h, cuts, names = sets(*utf8(b.column(0)), n)
-            rows = fresh_rows(cuts, names)
-            rows = rows[~np.isin(names[rows], known)]
-            known = np.concatenate([known, names[rows]])[-REMEMBERED:]
-            size = np.diff(cuts)[rows]
-            h, own = _take(h, cuts, rows)
+            h, cuts, names, rows = read(b.column(0))
+            names = names[rows]
+            h, size = _take(h, cuts, rows)
+            own = np.repeat(np.arange(len(size)), size)
             order = np.zeros(len(h), np.int64)
             if len(token):
                 at = np.minimum(np.searchsorted(token, h), len(token) - 1)
                 order = np.where(token[at] == h, rank[at], 0)
-            by = np.lexsort((h, order, own))
+            # hashes ascend within a set, so a stable sort leaves those of one rank ascending
+            by = np.argsort(own * (len(token) + 1) + order, kind="stable")
             h = h[by]
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(rows) else np.zeros(0, np.int64)
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
             pos = np.arange(len(h)) - begin[own]
             prefix = size - (num * size + den - 1) // den + 1
             on = pos < prefix[own]
             own, pos = own[on], pos[on]
-            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(names[rows][own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "node", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(names[own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "node", "size", "pos"])
 
     # dealt by token alone, so that the lists need no second shuffle; a task has sent each of its sets once already
     return docs.select("text").mapInArrow(run, "token bigint, node bigint, size int, pos int").repartition("token").dropDuplicates(["token", "node"])
@@ -150,27 +183,18 @@ def index_entries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def node_bodies(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """(node, body) of the wanted distinct sets: all their hashes, ascending."""
-    few = None
-    if wanted.count() <= MOST_BROADCAST:
-        few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy()))
+    marks = marked(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = distinct_sets(n)
         for b in batches:
-            h, cuts, names = sets(*utf8(b.column(0)), n)
-            rows = fresh_rows(cuts, names)
-            if few is not None:
-                at = np.minimum(np.searchsorted(few.value, names[rows]), max(0, len(few.value) - 1))
-                rows = rows[few.value[at] == names[rows]] if len(few.value) else rows[:0]
-            h, _ = _take(h, cuts, rows)
-            size = np.diff(cuts)[rows]
-            ends = np.cumsum(size)
-            body = [h[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)]
+            h, cuts, names, rows = read(b.column(0))
+            rows = _among(marks, names, rows)
             for lo in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows][lo : lo + 500]), pa.array(body[lo : lo + 500], pa.binary())], names=["node", "body"])
+                some = rows[lo : lo + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([h[cuts[r] : cuts[r + 1]].tobytes() for r in some.tolist()], pa.binary())], names=["node", "body"])
 
-    found = docs.select("text").mapInArrow(run, "node bigint, body binary")
-    if few is None:
-        found = found.join(wanted, "node", "left_semi")
+    found = docs.select("text").mapInArrow(run, "node bigint, body binary").join(wanted, "node", "left_semi")
     return found.groupBy("node").agg(F.first("body").alias("body"))
 
 
@@ -238,7 +262,7 @@ class Lists:
 
     def blocks(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Pairs of row blocks, by size and position, whose best case reaches the threshold."""
-        code = np.floor(np.log(self.size[rows]) / np.log(self.den / self.num) * 2).astype(np.int64) * 64 + np.minimum(63, self.pos[rows] * 64 // self.size[rows])
+        code = np.floor(np.log(self.size[rows]) / np.log(max(self.den / self.num, 1.001)) * 2).astype(np.int64) * 64 + np.minimum(63, self.pos[rows] * 64 // self.size[rows])
         kinds, at = np.unique(code, return_inverse=True)
         parts = [rows[at == k] for k in range(len(kinds))]
         lo, hi = np.array([self.size[p].min() for p in parts]), np.array([self.size[p].max() for p in parts])
@@ -344,7 +368,7 @@ def candidate_pairs(entries: DataFrame, num: int, den: int, tried: str) -> DataF
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): the distinct labels la, lb of the pairs whose sets reach the threshold, from the whole sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     body = settle(node_bodies(docs, n, nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,13 +386,10 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
     return wide.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; documents link when den * |A and B| >= num * |A or B|.
+def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, node, component) of every row: the name of its set, and the set that its links lead to.
 
-    A text's set is its distinct runs of n words; with fewer words, the whole sequence; null texts and
-    texts without words have an empty set and link with nothing. component_id is the smallest doc_id
-    reached by links. Rows of one text or id repeat in the result as they do in the input; a null
-    doc_id is kept and names no component. An empty table gives no rows.
+    Rows whose set is empty have a null component.
     """
     prepare(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
@@ -390,24 +411,33 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     listed = listed.withColumn("part", F.xxhash64("least.node", F.pmod(F.xxhash64("token"), F.ceil(lists * F.col("n") / BUNDLE)))).drop("least")
     # one shuffle by node finds its home: the first of its lists
     listed = listed.withColumn("home", F.first("token").over(Window.partitionBy("node").orderBy("pos")))
-    listed = listed.withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int"))
+    # long lists are cut into blocks by size and hash; a set has partners in its own size band and two on either side at most
+    listed = listed.withColumn("band", F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) * (2 / math.log(max(den / num, 1.001))) + 1e-9)).cast("int"))
+    listed = listed.withColumn("s", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("token", "band")) / BLOCK).cast("int"))
+    listed = listed.withColumn("own", F.col("band") * (1 << 20) + F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int"))
     listed = settle(listed)
     rows = listed.count()
-    own = settle(document_sets(docs, n))
-    bodies = settle(own.where("body is not null").groupBy("node").agg(F.first("body").alias("body")))
+    # all rows, and the bitmaps of sets that have a list in common with another
+    own = stored(document_sets(docs, n, settle(listed.select("node").distinct())), "sets")
+    maps = settle(own.where("body is not null").groupBy("node").agg(F.first("body").alias("body")))
 
     def dealt(part: DataFrame) -> DataFrame:
-        out = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        blocks = part.where(F.col("n") > BLOCK).groupBy("token", "band").agg(F.first("s").alias("s")).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "s"))).alias("blocks"))
+        out = part.where(F.col("n") <= BLOCK).withColumn("other", F.col("own"))
+        near = F.filter(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.col("band") + d), lambda b: F.map_contains_key("blocks", b))
+        others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda k: b * (1 << 20) + k)))
+        out = out.unionByName(part.where(F.col("n") > BLOCK).join(blocks, "token").withColumn("other", F.explode(others)).drop("blocks"))
         out = out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
         out = out.withColumn("bundle", F.pmod(F.xxhash64("part", "i", "j"), F.lit(max(1, rows // BUNDLE))))
-        return out.join(bodies, "node").select("bundle", "token", "node", "size", "pos", "home", "label", "own", "i", "j", "body")
+        return out.join(maps, "node").select("bundle", "token", "node", "size", "pos", "home", "label", "own", "i", "j", "body")
 
     listed = listed.withColumn("label", F.col("node"))
     links = settle(components(verified(docs, settle(candidate_pairs(dealt(listed), num, den, "homes")), n, num, den)))
+    long = listed.where(F.col("n") > SHORT)
     for tried in ("teams", "pairs"):
-        long = listed.where(F.col("n") > SHORT).drop("label").join(links.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # lists whose sets are all joined already answer nothing new
-        long = long.withColumn("apart", F.min("label").over(by_token) < F.max("label").over(by_token)).where("apart").drop("apart")
+        long = long.drop("label").join(links.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # lists whose sets are all joined already answer nothing new, in this round and the next
+        long = settle(long.withColumn("apart", F.min("label").over(by_token) < F.max("label").over(by_token)).where("apart").drop("apart"))
         pairs = settle(candidate_pairs(dealt(long), num, den, tried))
         if pairs.isEmpty():
             break
@@ -415,30 +445,60 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
         # a node without a link until now is a group of its own
         links = links.union(pairs.select("a", "la")).union(pairs.select("b", "lb")).distinct()
         links = settle(links.join(joined, "component", "left").select("node", F.coalesce("wider", "component").alias("component")))
+    out = own.select("doc_id", "n_shingles", "node").join(links, "node", "left")
+    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
 
-    ids = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    grouped = ids.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "component").select("node", "component_id")
-    out = own.join(named.withColumn("real", F.lit(True)), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("real") & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; documents link when den * |A and B| >= num * |A or B|.
+
+    A text's set is its distinct runs of n words; with fewer words, the whole sequence; null texts and
+    texts without words have an empty set and link with nothing. component_id is the smallest doc_id
+    reached by links. Rows of one text or id repeat in the result as they do in the input; a null
+    doc_id is kept and names no component. Other columns are not carried. An empty table gives no rows.
+    """
+    rows = settle(grouped(docs, n, num, den))
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with the others of each group of linked documents gone: the smallest doc_id stays, once.
+    """The documents, with all their columns, but of each group of linked rows only the one of the smallest doc_id.
 
-    Documents with a null doc_id stay.
+    Rows, not ids, are decided: of rows that share an id, those of other texts stay unless they are
+    linked to a kept row. Of a group's rows of one smallest id, that with the smallest set hash stays,
+    then that with the smallest text. Rows with a null id, and those without words, link with nothing
+    and stay. Columns may have any names. An empty table gives no rows.
     """
-    found = similar(docs, n, num, den)
-    gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct())
-    few = gone.count() <= MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    again = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    names = docs.columns
+    rows = settle(grouped(docs, n, num, den))
+    first = rows.where("component is not null and doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("kept"))
+    judged = rows.where("doc_id is not null").join(first, "component", "left").select("doc_id", "node", F.coalesce(F.struct("doc_id", "node") == F.col("kept"), F.lit(True)).alias("stays"), F.col("n_shingles").alias("size"))
+    # ids of one row are settled by id alone
+    ids = settle(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("stays").alias("stays")).where("n > 1 or not stays"))
+    few = ids.count() <= MOST_BROADCAST // 4
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at, body = (plain.columns[next((i for i, c in enumerate(names) if c == x), None) or [c.lower() for c in names].index(x)] for x in ("doc_id", "text"))
+    named = ids.select(F.col("doc_id").alias("id_of_row"), "n")
+    single = plain.join(F.broadcast(named) if few else named, F.col(at) == F.col("id_of_row"), "left_anti")
+    repeated = named.where("n > 1")
+    if repeated.isEmpty():
+        return single.toDF(*names)
+    many = plain.join(F.broadcast(repeated) if few else repeated, F.col(at) == F.col("id_of_row"), "left_semi")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    place = plain.columns.index(body)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sets(*utf8(b.column(place)), n)[2])], names=[*b.schema.names, "set_name"])
+
+    verdict = judged.select(F.col("doc_id").alias("judged_id"), F.col("node").alias("judged_name"), "stays", "size").distinct()
+    told = many.mapInArrow(name, f"{kinds}, set_name bigint").join(verdict, (F.col(at) == F.col("judged_id")) & (F.col("set_name") == F.col("judged_name"))).where("stays")
+    wordless = told.where("size = 0").select(*plain.columns)
+    rest = told.where("size > 0").groupBy("judged_id", "judged_name").agg(F.min_by(F.struct(*plain.columns), F.struct(body, F.to_json(F.struct(*plain.columns)))).alias("row"))
+    return single.union(wordless).union(rest.select("row.*")).toDF(*names)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of `documents` alike by 0.9 in words of three; nulls, repeats and empty tables as in `similar`."""
     return similar(table(spark, sf_dir, "documents"), 3, 90, 100)
