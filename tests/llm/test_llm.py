@@ -538,73 +538,19 @@ def test_spelling_spreads_one_over_bytes(spark, docs):
     assert abs(np.exp(first).sum() - 1) < 1e-4
 
 
-def test_codes_spread_one_over_symbols():
-    """In any context, seen or not, the shares of all codes add up to one, and frequent symbols have the shorter codes."""
-    rng = np.random.default_rng(2)
-    hashes = np.unique(rng.integers(-(2**62), 2**62, 300))
-    counts = np.sort(rng.integers(1, 5000, len(hashes)))
-    table = scoring.Codes(hashes, counts, 77)
-    assert (table.symbols(hashes) == np.arange(len(hashes))).all() and table.symbols(np.array([5]))[0] == table.escape
-    assert abs((2.0 ** -table.length).sum() - 1) < 1e-12 and table.length[0] >= table.length[len(hashes) - 1]
-    bits, every = 16, np.arange(table.escape + 1)
-    counted = rng.integers(0, 9, (2, 3, 1 << bits)).astype(np.uint8)
-    counted[:, 2] = np.minimum(counted[:, 1], counted[:, 2])
-    weights, refine = rng.normal(size=(scoring.GATES, 4)).astype(np.float32), rng.random((scoring.GATES, scoring.MAP_CELLS)).astype(np.float32)
-    contexts = [np.full(len(every), c, np.uint64) for c in (123, 2**63 + 5)]
-    logs = scoring.code_logs(table, every, contexts, counted, weights, refine, bits)
-    assert abs((10.0**logs).sum() - 1) < 1e-2
-    # alone, the codes' own counts give each symbol its share of the mass
-    one = table.logit[table.node[table.start[3] : table.start[3] + table.length[3]]]
-    bit = table.bit[table.start[3] : table.start[3] + table.length[3]]
-    share = np.prod(np.where(bit == 1, 1 / (1 + np.exp(-one)), 1 / (1 + np.exp(one))))
-    assert abs(share / (counts[3] / (counts.sum() + 77)) - 1) < 0.2
-
-
-def test_word_contexts_brute_force(spark):
-    """Slots count the bits of every token after its context, over all texts, batches and parts."""
-    texts = list(enumerate(["a b a b c", "a b c", "", None, "b a z q", "c c c c c c"] * 3))
-    docs = spark.createDataFrame(texts, SCHEMA).repartition(3)
-    names = sorted({w for _, t in texts for w in words(t)} - {"z"})
-    raw = np.frombuffer("".join(names).encode(), np.uint8)
-    hashes = scoring.word_hashes(raw, np.arange(len(names)), np.arange(len(names)) + 1).view(np.int64)
-    table = scoring.Codes(np.append(hashes, scoring.END_HASH), np.arange(1, len(names) + 2), 3)
-    got = scoring.word_contexts(docs, spark.sparkContext.broadcast(table), 20)
-    seen, ones = Counter(), Counter()
-    for _, t in texts:
-        raw = (t or "").encode()
-        for _, _, _, _, _, _, every, _, contexts in scoring.stream(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])):
-            assert len(every) == len(words(t)) + 1 and every[-1] == scoring.END_HASH
-            for s, c1, c2 in zip(table.symbols(every), *contexts):
-                for path in range(table.start[s], table.start[s] + table.length[s]):
-                    for k, c in enumerate((c1, c2)):
-                        key = (k, int(scoring._key(np.array([c]), table.node[[path]])[0]))
-                        seen[key] += 1
-                        ones[key] += int(table.bit[path])
-    assert len(seen) > 40 and len({int(scoring._place(np.array([x], np.uint64), 20)[0][0]) + (k << 30) for k, x in seen}) == len(seen)
-    for (k, x), n in seen.items():
-        found = scoring.evidence(got[k], np.array([x], np.uint64), 20)
-        assert (found[0][0], found[1][0]) == (n, ones[k, x])
-    other = scoring.evidence(got[0], np.array([x ^ 1 for k, x in seen if k == 0], np.uint64), 20)
-    assert not other[0].any()
-
-
-def test_scoring_knows_the_words_before(spark, docs):
-    """Held-out texts of known words need fewer bits than by the unigram base, which gives all unknown words one share without spelling them; a text in known order scores above one in no order."""
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    held = [r for r in scoring.score_texts(d).collect() if r.held_out]
-    for got in (held, [r for r in held if r.n_known == r.n_tokens]):
-        score, base, n = (sum(getattr(r, k) for r in got) for k in ("score", "base_score", "n_tokens"))
-        print(len(got), n, "bits a token", -score * math.log2(10) / n, "base", -base * math.log2(10) / n)
-    assert len(got) > 20 and score > base
-    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
-    rng = random.Random(1)
-    rows = [(i, " ".join(line * 4)) for i in range(120) if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    mixed = line * 4
-    rng.shuffle(mixed)
-    rows += [(held[0], " ".join(line * 4)), (held[1], " ".join(mixed))]
-    by = {r.doc_id: r for r in scoring.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert abs(by[held[0]].base_score - by[held[1]].base_score) < 1e-9 and by[held[0]].score > by[held[1]].score + 20
+def test_learning_reads_every_word_type(spark, docs):
+    """Tasks learn over all types, as often as they occur; the weights of two tasks are averaged by what each has read."""
+    counts = scoring.token_counts(docs)
+    seen, ones = scoring.predictor_counts(counts)
+    again = scoring.predictor_counts(counts, 3)
+    assert np.allclose(seen, again[0], rtol=1e-5) and np.allclose(ones, again[1], rtol=1e-5)
+    total = sum(8 * (len(r.word) + 1) * r.c for r in counts.collect())
+    assert abs(seen.sum(axis=1) / total - 1).max() < 1e-4
+    for tasks in (1, 3):
+        model = scoring.learn_spelling(counts, seen, ones, tasks)
+        assert abs(model.weights[:, :5] - 0.3).max() > 0.05 and np.isfinite(model.weights).all() and 0 < model.refine.min() and model.refine.max() < 1
+    known, junk = model.logs([b"the", b"and", b"of"]), model.logs([b"xqz", b"qqv", b"zx"])
+    assert known.sum() > junk.sum() + 3
 
 
 def test_sharding(docs, odd, none):
