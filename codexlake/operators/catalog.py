@@ -9,13 +9,14 @@ from codexlake.cluster import settle
 from codexlake.functions.text import base_name, catalog_name, version
 
 
-def reindex(old: DataFrame, new: DataFrame, spans: int = 256) -> DataFrame:
+def reindex(old: DataFrame, new: DataFrame, spans: int | None = None) -> DataFrame:
     """Articles after a run: those of the new extraction, with the old id and embedding where (archive, path) was known; others go.
 
     New rows get ids after the greatest, in order of (archive, path). Rows are ranged by (archive, path),
     numbered within each range and shifted by the ranges' totals, so an archive of any size is shared by
-    many tasks. An empty catalog starts at 0.
+    many tasks; there are as many ranges as shuffle partitions unless given. An empty catalog starts at 0.
     """
+    spans = spans or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = old.select("archive", "path", F.col("id").alias("old_id"), "embedding")
     both = new.join(kept, ["archive", "path"], "left")
     top = old.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
