@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import embeddings, fingerprints, jaccard, packing, pieces, quality, scoring, sharding, toxicity, warc
+from codexlake.llm import embeddings, extraction, fingerprints, jaccard, packing, pieces, quality, scoring, sharding, toxicity, variants, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_scoring": scoring.op8_scoring,
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
+        "op11_variants": variants.op11_variants,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_extraction": extraction.op13_extraction,
     }
 
 
@@ -46,7 +49,27 @@ i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM t x JOIN t y
 links AS (SELECT a, b FROM i JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)), {_REACH}
 SELECT z.doc_id, n AS n_shingles, coalesce(low, z.doc_id) AS component_id FROM z LEFT JOIN c ON c.node = z.doc_id"""
 
+#: crc32 of bytes by its table of 256 steps; near words share what is left without one place, or one is what is left of the other.
+_VARIANTS = """WITH RECURSIVE table_of AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substring(x, CAST(2 * k + 1 AS INT), 2) AS BIGINT))), lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295) AS h FROM d, table_of),
+c AS (SELECT CASE WHEN doc_id IS NOT NULL AND h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) + 2 AS INT)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, k, substring(word, 1, CAST(k AS INT)) || substring(word, CAST(k + 2 AS INT)) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS k FROM w)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = cut.rest UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = cut.rest),
+ranked AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM pairs),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN ranked ON ranked.word = w.word AND place = 1),
+way AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN way ON way.word = f.word AND next IS NULL"""
+
+#: The given pages name their article; there the cut keeps just that element.
+_EXTRACTION = """WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM d"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the results that SQL can express; the others' methods (sketches, models, packing, permutations) are held against plain versions in the tests."""
-    return {"op2_warc": _WARC, "op3_embeddings": _VECTORS, "op5_jaccard": _JACCARD}
+    return {"op2_warc": _WARC, "op3_embeddings": _VECTORS, "op5_jaccard": _JACCARD, "op11_variants": _VARIANTS, "op13_extraction": _EXTRACTION}
