@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Openings of lines that lead away from an article, and how connection errors and access errors read.
-HATNOTES = ("for other uses", "this article is about", "not to be confused", "redirects here", "see also", "main article", "from wikipedia", "coordinates:", "may refer to")
+HATNOTES = ("Main article", "Main topic", "For other uses", "Part of a series on", "This article is about", "Not to be confused", "This list is incomplete", "See also", "In other")
 RETRYABLE = "(?i)connect|timeout|refused|unreachable|connection"
 ACCESS = r"(^|[^\p{L}\p{N}])(401|403)([^\p{L}\p{N}]|$)"
 FATAL_STATES = ("error", "missingFiles")
@@ -53,7 +53,7 @@ def sentence_cut(c, limit: int) -> Column:
 
 def snippet(c) -> Column:
     """The first line of 50 bytes and more that is no hatnote, cut at a sentence; else the first 200 characters."""
-    lines = F.filter(F.split(code(c), "\n"), lambda x: (F.octet_length(F.trim(x)) >= 50) & ~F.lower(F.trim(x)).rlike("^(" + "|".join(HATNOTES) + ")"))
+    lines = F.filter(F.split(code(c), "\n"), lambda x: (F.octet_length(F.trim(x)) >= 50) & ~F.trim(x).rlike("^(" + "|".join(HATNOTES) + ")"))
     line = F.trim(F.get(lines, F.lit(0)))
     return F.coalesce(sentence_cut(line, 300), F.left(code(c), F.lit(200)))
 
@@ -124,7 +124,7 @@ def embed_text(snip, body) -> Column:
 
 
 def eta_seconds(remaining, rate) -> Column:
-    return F.when(code(rate) > 0, F.expr("1") * F.floor(code(remaining) / code(rate)).cast("bigint"))
+    return F.when(code(rate) > 0, F.call_function("div", code(remaining), code(rate)))
 
 
 def kib_to_bytes(rate) -> Column:

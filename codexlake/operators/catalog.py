@@ -51,12 +51,23 @@ def index_or_skip(catalog: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def find_updates(feed: DataFrame, local: DataFrame) -> DataFrame:
-    """(name, href, feed_pos): for each local name the newest newer entry of its base name; of equals, the first in the feed."""
+    """(name, href, feed_pos): for each local archive (name and, if known, date) the newest newer entry of its base name.
+
+    If both names carry a date these are compared; else the month of the feed's `updated` with that of the local date, and
+    without either the entry is not newer. Entries rank by the date in their name, else by the month of `updated`; of
+    equals the first in the feed is taken. Entries whose link names no archive are passed over.
+    """
+    month = F.left("updated", F.lit(7))
+    shape = month.rlike("^[^-]{4}-[^-]{2}$")
+    stamped = F.struct(*(F.when(shape, F.coalesce(F.substring(month, at, n).try_cast("int"), F.lit(0))).otherwise(0).alias(c) for c, at, n in (("year", 1, 4), ("month", 6, 2))))
     f = feed.withColumn("stem", catalog_name("href")).withColumn("base", F.lower(base_name("stem"))).withColumn("v", version("stem"))
-    mine = local.withColumn("base", F.lower(base_name("name"))).withColumn("own", version("name"))
-    newer = mine.join(f, "base").where("v > own")
-    best = newer.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("v"), "feed_pos"))).where("r = 1")
-    return best.select("name", "href", "feed_pos")
+    f = f.select("base", "href", "feed_pos", "v", month.alias("u"), F.coalesce("v", stamped).alias("rank"))
+    date = F.left(F.col("date").cast("string"), F.lit(7)) if "date" in local.columns else F.lit(None).cast("string")
+    mine = local.select("name", F.lower(base_name("name")).alias("base"), version("name").alias("own"), date.alias("at"))
+    newer = F.when(F.col("v").isNotNull() & F.col("own").isNotNull(), F.col("v") > F.col("own")).otherwise(F.col("u") > F.col("at"))
+    # the greatest rank, and of these the least place in the feed; found by an aggregate, so a hot base is no task's burden
+    best = F.max_by(F.struct("href", "feed_pos"), F.struct("rank", -F.col("feed_pos")))
+    return mine.join(f, "base").where(newer).groupBy("name").agg(best.alias("b")).select("name", "b.href", "b.feed_pos")
 
 
 def download_link(links):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,7 +44,14 @@ def dimension_check(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n")).withColumn("fits", F.col("dimension") == size)
 
 
-def apply_vectors(articles: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
-    """The articles with their new vector and the model that made it; both null where there is none."""
-    new = vectors.select("id", "embedding")
-    return articles.drop("embedding", "model").join(new, "id", "left").withColumn("model", F.when(F.col("embedding").isNotNull(), model))
+def apply_vectors(articles: DataFrame, vectors: DataFrame, model: str, now: Column | None = None) -> DataFrame:
+    """The articles with the new vectors (id, embedding), the model that made them and the time; articles without a new one keep what they have.
+
+    Columns embedding, model and embed_at that the articles lack start as null. `vectors` has one row for an id.
+    """
+    kinds = {"embedding": vectors.schema["embedding"].dataType.simpleString(), "model": "string", "embed_at": "timestamp"}
+    rows = articles.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in articles.columns})
+    new = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"))
+    stamps = {"model": F.lit(model), "embed_at": now if now is not None else F.lit(None).cast("timestamp")}
+    rows = rows.join(new, "id", "left").withColumns({c: F.when(F.col("_new").isNotNull(), v).otherwise(F.col(c)) for c, v in stamps.items()})
+    return rows.withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.functions.text import COMPLETE_STATES, FATAL_STATES, access_error, is_direct, retryable_error
+from codexlake.functions.text import COMPLETE_STATES, FATAL_STATES, access_error, eta_seconds, is_direct, kib_to_bytes, retryable_error
 
 #: Which states follow which.
 TRANSITIONS = {
@@ -100,20 +100,26 @@ def listing_candidates(ledger: DataFrame, listing: DataFrame, category: str = ""
     return ledger.select("id", F.lower("name").alias("_name")).join(named, "_name").select("id", "seq")
 
 
-def match_listing(ledger: DataFrame, listing: DataFrame) -> DataFrame:
-    """(id, seq): the listing row of each ledger row.
+def match_listing(ledger: DataFrame, listing: DataFrame, by_name_too: bool = False) -> DataFrame:
+    """(id, seq): the listing row of each ledger row, in the order of the ledger's ids.
 
-    A row with a digest matches by hash only; one without takes the last listing row of its name or,
-    failing that, of its url, upper and lower case alike. Of several ledger rows without a digest that
-    reach one listing row the smallest id gets it, since a row found by name is used up.
+    A row with a digest matches by hash only; one without takes the last listing row of its name or, failing that, of
+    its url, upper and lower case alike, unless an earlier ledger row has taken it by either way. With `by_name_too` a
+    row whose digest is not listed goes by name as well. Listing rows of one hash are one entry, and those without a
+    hash one for each name. Every ledger row reaches one entry at most, so the first of those that reach an entry
+    decides, and it is found by an aggregate that a hot name does not burden.
     """
-    by_hash = listing.where("hash is not null and hash <> ''").groupBy("hash").agg(F.max("seq").alias("seq"))
-    bound = ledger.where("digest is not null").join(by_hash, F.col("digest") == F.col("hash")).select("id", "seq")
-    by_name = listing.groupBy(F.lower("name").alias("_key")).agg(F.max("seq").alias("seq"))
-    free = ledger.where("digest is null").select("id", F.lower("name").alias("_name"), F.lower("url").alias("_url"))
-    first = free.join(by_name.toDF("_name", "_named"), "_name", "left").join(by_name.toDF("_url", "_linked"), "_url", "left")
-    found = first.select("id", F.coalesce("_named", "_linked").alias("seq")).where("seq is not null")
-    return bound.unionByName(found.groupBy("seq").agg(F.min("id").alias("id")).select("id", "seq"))
+    key = F.lower("name")
+    listed = listing.select("seq", "hash", key.alias("_key"), F.when(F.col("hash") != "", F.concat(F.lit("h"), "hash")).otherwise(F.concat(F.lit("n"), key)).alias("_who"))
+    by_hash = listed.where("hash <> ''").groupBy("hash").agg(F.max("seq").alias("seq"), F.first("_who").alias("_who"))
+    by_name = listed.groupBy("_key").agg(F.max(F.struct("seq", "_who")).alias("_last"))
+    hashed = ledger.join(by_hash, F.col("digest") == F.col("hash"), "left").select("id", "name", "url", "digest", "seq", "_who")
+    bound = hashed.where("seq is not null").select("id", "seq", "_who", F.lit(True).alias("bound"))
+    free = hashed.where("seq is null" if by_name_too else "seq is null and digest is null").select("id", F.lower("name").alias("_name"), F.lower("url").alias("_url"))
+    named = free.join(by_name.toDF("_name", "_named"), "_name", "left").join(by_name.toDF("_url", "_linked"), "_url", "left")
+    named = named.select("id", F.coalesce("_named", "_linked").alias("_at")).where("_at is not null").select("id", "_at.seq", "_at._who", F.lit(False).alias("bound"))
+    first = bound.unionByName(named).groupBy("_who").agg(F.min(F.struct("id", "bound", "seq")).alias("f"))
+    return bound.select("id", "seq").unionByName(first.where("not f.bound").select("f.id", "f.seq"))
 
 
 def duplicate_active(ledger: DataFrame) -> DataFrame:
@@ -133,10 +139,34 @@ def apply_live(ledger: DataFrame, live: DataFrame) -> DataFrame:
     return ledger.join(said, "id", "left").select("id", F.coalesce("_p", F.lit(0.0)).alias("progress"), F.coalesce("_s", F.lit("unknown")).alias("state"))
 
 
-def apply_stats(ledger: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
-    """(id, progress, updated_at): rows with new stats (id, progress) get them and the time `now`; others keep theirs, with no progress."""
-    new = stats.select("id", F.col("progress").cast("double").alias("_p"))
-    return ledger.join(new, "id", "left").select("id", F.coalesce("_p", F.lit(0.0)).alias("progress"), F.when(F.col("_p").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"))
+#: The columns of a ledger row that the transfer client's figures fill.
+STATS = {"progress": "double", "speed_bps": "bigint", "eta_secs": "bigint", "ratio": "double", "up_speed_bps": "bigint", "num_seeds": "bigint"}
+
+
+def changed(old: dict[str, Column], new: dict[str, Column]) -> Column:
+    """Whether fresh figures (progress, ratio, num_seeds, dlspeed, upspeed) differ enough from a row's to be written. Unknown old ones count as 0."""
+    known = {k: F.coalesce(v, F.lit(0)) for k, v in old.items()}
+    return (
+        (F.abs(new["progress"] - known["progress"]) >= 0.01) | (new["ratio"] != known["ratio"]) | (new["num_seeds"] != known["num_seeds"])
+        | (new["dlspeed"] != 0) | (new["upspeed"] != 0)
+    )
+
+
+def apply_stats(ledger: DataFrame, stats: DataFrame, now: Column, idle_seconds: int = 60) -> DataFrame:
+    """The ledger with the client's figures (id, progress, ratio, num_seeds, dlspeed and upspeed in KiB/s, remaining bytes).
+
+    Rows whose figures changed by the rule of `changed` get all of STATS and the time `now`. A row that the client shows
+    unchanged keeps its figures, and gets the time only if it is older than `idle_seconds`. All others keep all they have.
+    Columns of STATS that the ledger lacks start as null; `stats` has one row for an id.
+    """
+    rows = ledger.withColumns({c: F.col(c).cast(kind) if c in ledger.columns else F.lit(None).cast(kind) for c, kind in STATS.items()})
+    seen = stats.select("id", F.struct(F.col("progress").cast("double").alias("progress"), F.col("ratio").cast("double").alias("ratio"), "num_seeds", "dlspeed", "upspeed", "remaining").alias("_new"))
+    new = {c: F.col(f"_new.{c}") for c in ("progress", "ratio", "num_seeds", "dlspeed", "upspeed", "remaining")}
+    rows = rows.join(seen, "id", "left").withColumn("_write", F.coalesce(changed({c: F.col(c) for c in ("progress", "ratio", "num_seeds")}, new), F.lit(False)))
+    fresh = {"progress": new["progress"], "speed_bps": kib_to_bytes(new["dlspeed"]), "eta_secs": eta_seconds(new["remaining"], kib_to_bytes(new["dlspeed"])), "ratio": new["ratio"], "up_speed_bps": kib_to_bytes(new["upspeed"]), "num_seeds": new["num_seeds"]}
+    due = F.col("_write") | (F.col("_new").isNotNull() & (F.col("updated_at") < now - F.expr(f"INTERVAL {idle_seconds} SECOND")))
+    written = {c: F.when(F.col("_write"), v.cast(STATS[c])).otherwise(F.col(c)) for c, v in fresh.items()}
+    return rows.withColumns(written | {"updated_at": F.when(due, now).otherwise(F.col("updated_at"))}).drop("_new", "_write")
 
 
 def requeue_interrupted(ledger: DataFrame) -> DataFrame:
@@ -163,9 +193,25 @@ def reconcile_actions(ledger: DataFrame, matched: DataFrame, as_of: DataFrame, g
     return row.select("id", action.alias("action"))
 
 
+def reconcile(ledger: DataFrame, listing: DataFrame, as_of: DataFrame, grace_minutes: int = 10) -> DataFrame:
+    """(id, seq, action): `reconcile_actions` for each ledger row by the listing row that it matches, and `adopt` for each listing row that none knows.
+
+    Matching is that of `match_listing` with names for digests that are not listed; direct downloads match nothing. A
+    listing row is adopted if no ledger row has its hash as digest and none matched it; its id is null.
+    """
+    met = match_listing(ledger.where(~is_direct("url")), listing, by_name_too=True)
+    told = listing.select("seq", F.col("progress").cast("double").alias("progress"), "state")
+    actions = reconcile_actions(ledger, met.join(told, "seq"), as_of, grace_minutes).join(met, "id", "left").select("id", "seq", "action")
+    taken = met.join(listing.select("seq", "hash"), "seq")
+    new = listing.join(taken.select("seq"), "seq", "left_anti").join(taken.where("hash <> ''").select("hash"), "hash", "left_anti")
+    new = new.join(ledger.where(~is_direct("url")).select(F.col("digest").alias("hash")), "hash", "left_anti")
+    return actions.unionByName(new.select(F.lit(None).cast(ledger.schema["id"].dataType).alias("id"), "seq", F.lit("adopt").alias("action")))
+
+
 def stats_changed(rows: DataFrame) -> DataFrame:
-    """Rows (old_*, new_*, speed) that differ enough to be written."""
-    return rows.where((F.abs(F.col("new_progress") - F.col("old_progress")) >= 0.01) | ~F.col("new_ratio").eqNullSafe(F.col("old_ratio")) | (F.col("speed") != 0))
+    """Rows (old_ and new_ of progress, ratio and num_seeds, dlspeed, upspeed) that differ enough to be written."""
+    three = ("progress", "ratio", "num_seeds")
+    return rows.where(changed({c: F.col(f"old_{c}") for c in three}, {c: F.col(f"new_{c}") for c in three} | {c: F.col(c) for c in ("dlspeed", "upspeed")}))
 
 
 def requeue(ledger: DataFrame, as_of: DataFrame) -> DataFrame:

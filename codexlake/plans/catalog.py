@@ -22,9 +22,23 @@ def _(spark, d):
     return C.snapshot_diff(view(spark, d, "v_catalog"), view(spark, d, "v_snapshot"))
 
 
-@query("K3_find_updates", "SELECT name, href, feed_pos FROM (SELECT l.name, f.href, f.feed_pos, row_number() OVER (PARTITION BY l.name ORDER BY regexp_extract(f.href, '_(\\d{4}-\\d{2})\\.zim$', 1) DESC, f.feed_pos) AS r FROM v_local l JOIN v_feed f ON regexp_replace(l.name, '_\\d{4}-\\d{2}$', '') = regexp_extract(f.href, '/([^/]+)_\\d{4}-\\d{2}\\.zim$', 1) WHERE regexp_extract(f.href, '_(\\d{4}-\\d{2})\\.zim$', 1) > regexp_extract(l.name, '_(\\d{4}-\\d{2})$', 1)) WHERE r = 1")
+#: Some names and entries carry no date; entries differ in their `updated`, and some have none.
+_HREF = "CASE WHEN feed_pos % 4 = 1 THEN regexp_replace(href, '_2024-0[0-9]', '') ELSE href END"
+_UPDATED = "CASE feed_pos % 5 WHEN 0 THEN NULL WHEN 1 THEN '2024-09-01T00:00:00Z' WHEN 2 THEN 'soon' ELSE updated END"
+_NAME = "CASE WHEN length(name) % 3 = 0 THEN regexp_replace(name, '_2024-0[0-9]', '') ELSE name END"
+_DATE = "CASE WHEN length(name) % 2 = 0 THEN '2024-06-30' END"
+_FOUND = (
+    f"f AS (SELECT feed_pos, {_HREF} AS href, {_UPDATED} AS updated FROM v_feed), l AS (SELECT {_NAME} AS name, {_DATE} AS d FROM v_local), "
+    "fe AS (SELECT *, regexp_extract(href, '/([^/]+)\\.zim$', 1) AS stem FROM f), fv AS (SELECT *, regexp_replace(stem, '_\\d{4}-\\d{2}$', '') AS base, nullif(regexp_extract(stem, '_(\\d{4}-\\d{2})$', 1), '') AS v FROM fe), "
+    "lv AS (SELECT *, regexp_replace(name, '_\\d{4}-\\d{2}$', '') AS base, nullif(regexp_extract(name, '_(\\d{4}-\\d{2})$', 1), '') AS v FROM l), "
+    "c AS (SELECT lv.name, href, feed_pos, coalesce(fv.v, CASE WHEN regexp_matches(updated, '^\\d{4}-\\d{2}') THEN left(updated, 7) ELSE '0' END) AS rank FROM lv JOIN fv USING (base) WHERE CASE WHEN lv.v IS NOT NULL AND fv.v IS NOT NULL THEN fv.v > lv.v ELSE left(updated, 7) > left(d, 7) END)"
+)
+
+
+@query("K3_find_updates", f"WITH {_FOUND} SELECT name, href, feed_pos FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank DESC, feed_pos) = 1")
 def _(spark, d):
-    return C.find_updates(view(spark, d, "v_feed"), view(spark, d, "v_local"))
+    feed = view(spark, d, "v_feed").selectExpr("feed_pos", f"{_HREF} AS href", f"{_UPDATED} AS updated")
+    return C.find_updates(feed, view(spark, d, "v_local").selectExpr(f"{_NAME} AS name", f"{_DATE} AS date"))
 
 
 @query("K4_download_link", "SELECT feed_pos, CASE WHEN feed_pos % 2 = 0 THEN href ELSE concat('http://m/', feed_pos) END AS href FROM v_feed")

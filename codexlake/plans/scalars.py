@@ -19,11 +19,10 @@ def _(spark, d):
 
 #: The longest start of a text within some bytes, in DuckDB.
 _HEAD = "substring({0}, 1, list_max(list_filter(range(0, {1} + 1), lambda n: strlen(substring({0}, 1, n)) <= {1})))"
-_SNIPPET = f"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: strlen(trim(x)) >= 50 AND NOT regexp_matches(lower(trim(x)), '^(for other uses|this article is about|not to be confused|redirects here|see also|main article|from wikipedia|coordinates:|may refer to)'))[1] AS line FROM documents), t AS (SELECT doc_id, text, trim(line) AS s FROM l), h AS (SELECT *, {_HEAD.format('s', 300)} AS head FROM t), u AS (SELECT *, regexp_extract(head, '^(.*[.!?])', 1, 's') AS upto FROM h) SELECT doc_id, coalesce(CASE WHEN s IS NULL THEN NULL WHEN strlen(s) <= 300 THEN s ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE head END), '…') END, substring(text, 1, 200)) AS snippet FROM u"""
+_SNIPPET = f"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: strlen(trim(x)) >= 50 AND NOT regexp_matches(trim(x), '^(Main article|Main topic|For other uses|Part of a series on|This article is about|Not to be confused|This list is incomplete|See also|In other)'))[1] AS line FROM documents), t AS (SELECT doc_id, text, trim(line) AS s FROM l), h AS (SELECT *, {_HEAD.format('s', 300)} AS head FROM t), u AS (SELECT *, regexp_extract(head, '^(.*[.!?])', 1, 's') AS upto FROM h) SELECT doc_id, coalesce(CASE WHEN s IS NULL THEN NULL WHEN strlen(s) <= 300 THEN s ELSE concat(rtrim(CASE WHEN upto <> '' THEN upto ELSE head END), '…') END, substring(text, 1, 200)) AS snippet FROM u"""
 
 
 @query("C5_snippet", _SNIPPET)
-@query("C5_snippet_all", _SNIPPET)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.snippet("text").alias("snippet"))
 
@@ -37,7 +36,6 @@ _CUT = f"WITH h AS (SELECT doc_id, text, {_HEAD.format('text', 300)} AS head FRO
 
 
 @query("C7_truncate_at_sentence", _CUT)
-@query("C7_truncate_at_sentence_all", _CUT)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.sentence_cut("text", 300).alias("cut"))
 

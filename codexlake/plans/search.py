@@ -127,12 +127,6 @@ def _all_vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query("T9_vector_arm_all", _VEC.replace("v_vectors v", "(SELECT vec_id AS id, embedding FROM embeddings) v"))
-def _(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_arm(q, _all_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"))
-
-
 @query("T10_vector_arm_ann")
 def _(spark, d):
     q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -230,13 +224,14 @@ def _(spark, d):
     return L.recent(view(spark, d, "v_transfers"), "updated_at", 500).select("id", "updated_at")
 
 
-_SEEK = "SELECT o_orderkey AS target, coalesce((SELECT min(id) FROM v_vectors WHERE id >= o_orderkey % 700), (SELECT max(id) FROM v_vectors WHERE id <= o_orderkey % 700)) AS found FROM orders"
+_SEEK = "SELECT l_orderkey * 7 + l_linenumber AS target, coalesce((SELECT min(id) FROM v_transfers WHERE id >= l_orderkey * 7 + l_linenumber), (SELECT max(id) FROM v_transfers WHERE id <= l_orderkey * 7 + l_linenumber)) AS found FROM lineitem"
 
 
 @query("M8_seek", _SEEK)
 def _(spark, d):
-    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("target"), F.expr("o_orderkey % 700").alias("at"))
-    return L.seek(t, "at", view(spark, d, "v_vectors").select("id")).select("target", F.col("id").alias("found"))
+    # targets within all ids and beyond the last
+    t = table(spark, d, "lineitem").select(F.expr("l_orderkey * 7 + l_linenumber").alias("target"))
+    return L.seek(t, "target", view(spark, d, "v_transfers").select("id")).select("target", F.col("id").alias("found"))
 
 
 @query("M9_random_pick", "WITH b AS (SELECT min(id) AS lo, max(id) AS hi FROM v_articles WHERE archive = 'src1') SELECT coalesce((SELECT min(id) FROM v_articles, b WHERE archive = 'src1' AND id >= lo + 12345 % (hi - lo + 1)), (SELECT max(id) FROM v_articles WHERE archive = 'src1')) AS id")

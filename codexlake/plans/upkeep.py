@@ -33,14 +33,17 @@ def _(spark, d):
     return E.check_batches(e, got)
 
 
-@query("E5_dimension_check", "SELECT len(embedding) AS dimension, count(*) AS n, len(embedding) = 64 AS fits FROM v_vectors GROUP BY len(embedding)")
+@query("E5_dimension_check", "SELECT len(embedding) AS dimension, count(*) AS n, len(embedding) = 64 AS fits FROM embeddings GROUP BY len(embedding)")
 def _(spark, d):
-    return E.dimension_check(view(spark, d, "v_vectors"), 64)
+    return E.dimension_check(table(spark, d, "embeddings"), 64)
 
 
-@query("E6_apply_vectors", "SELECT a.id, v.id IS NOT NULL AS has_vector, CASE WHEN v.id IS NOT NULL THEN 'm1' END AS model FROM v_articles a LEFT JOIN v_vectors v ON v.id = a.id")
+@query("E6_apply_vectors", "SELECT a.id, CASE WHEN v.id IS NOT NULL THEN v.embedding[1] WHEN a.id % 2 = 0 THEN 7.0 END::DOUBLE AS first, CASE WHEN v.id IS NOT NULL THEN 'm1' WHEN a.id % 2 = 0 THEN 'm0' END AS model, CASE WHEN v.id IS NOT NULL THEN '2024-05-01' WHEN a.id % 2 = 0 THEN '2020-01-01' END AS at FROM v_articles a LEFT JOIN v_vectors v ON v.id = a.id")
 def _(spark, d):
-    return E.apply_vectors(view(spark, d, "v_articles"), view(spark, d, "v_vectors"), "m1").select("id", F.col("embedding").isNotNull().alias("has_vector"), "model")
+    # every other article has a vector of an older model
+    old = view(spark, d, "v_articles").withColumns({"embedding": F.expr("CASE WHEN id % 2 = 0 THEN array(7.0F) END"), "model": F.expr("CASE WHEN id % 2 = 0 THEN 'm0' END"), "embed_at": F.expr("CASE WHEN id % 2 = 0 THEN TIMESTAMP '2020-01-01' END")})
+    out = E.apply_vectors(old, view(spark, d, "v_vectors"), "m1", F.expr("TIMESTAMP '2024-05-01'"))
+    return out.select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"), "model", F.date_format("embed_at", "yyyy-MM-dd").alias("at"))
 
 
 @query("E7_drop_poison", "WITH l AS (SELECT branch, max(CASE WHEN ok = 1 THEN seq END) AS last FROM v_outcomes GROUP BY branch), p AS (SELECT o.branch FROM v_outcomes o JOIN l ON l.branch = o.branch WHERE ok = 0 AND (last IS NULL OR seq > last) GROUP BY o.branch HAVING count(*) >= 3) SELECT DISTINCT branch AS id FROM v_outcomes WHERE branch NOT IN (SELECT branch FROM p)")
@@ -90,34 +93,56 @@ def _(spark, d):
     return G.requeue(t, G.as_of_last(t)).select("id")
 
 
-_MATCH = "m AS (SELECT seq AS id, CAST(progress AS DOUBLE) AS progress, state FROM v_listing WHERE seq % 2 = 0), x AS (SELECT max(updated_at) + INTERVAL 1 DAY AS as_of FROM v_transfers)"
+#: The listing's rows that name a ledger id, all of them; and what each row then calls for.
+_MATCH = "m AS (SELECT seq AS id, CAST(progress AS DOUBLE) AS progress, state FROM v_listing), x AS (SELECT max(updated_at) + INTERVAL 1 DAY AS as_of FROM v_transfers)"
+_DIRECT = "lower(trim(regexp_replace({}, '[?#].*$', ''))) LIKE '%.zim'"
+_ACTION = f"CASE WHEN t.status = 'queued' AND m.state IS NOT NULL THEN 'bind' WHEN t.status = 'downloading' AND m.progress >= 0.999 AND m.state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') THEN 'finish' WHEN t.status IN ('downloading', 'seeding') AND m.state IN ('error', 'missingFiles') THEN 'settle' WHEN t.status IN ('downloading', 'seeding') AND m.state IS NOT NULL THEN 'refresh' WHEN t.status = 'downloading' AND NOT {_DIRECT.format('t.url')} AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'error' WHEN t.status = 'seeding' AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'done' ELSE 'keep' END"
 
 
 @query("L6_seeding_action", f"WITH {_MATCH} SELECT t.id, CASE WHEN m.state IN ('error', 'missingFiles') THEN 'settle' WHEN m.state IS NOT NULL THEN 'refresh' WHEN t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'done' ELSE 'keep' END AS action FROM v_transfers t LEFT JOIN m ON m.id = t.id, x WHERE t.status = 'seeding'")
 def _(spark, d):
     t = view(spark, d, "v_transfers")
-    m = view(spark, d, "v_listing").where("seq % 2 = 0").select(F.col("seq").alias("id"), F.col("progress").cast("double"), "state")
+    m = view(spark, d, "v_listing").select(F.col("seq").alias("id"), F.col("progress").cast("double"), "state")
     return G.reconcile_actions(t.where("status = 'seeding'"), m, G.as_of_last(t))
 
 
-@query("L7_stats_changed", "SELECT t.id FROM v_transfers t JOIN v_listing l ON l.seq = t.id WHERE abs(CAST(l.progress AS DOUBLE) - 0.5) >= 0.01 OR t.id % 3 = 0")
+_SHOWN = "SELECT seq AS id, CAST(progress AS DOUBLE) AS progress, (seq % 7) / 2.0 AS ratio, CASE WHEN seq % 4 = 0 THEN seq % 5 + 1 ELSE seq % 5 END AS num_seeds, CASE WHEN seq % 3 = 0 THEN 5 ELSE 0 END AS dlspeed, CASE WHEN seq % 11 = 0 THEN 2 ELSE 0 END AS upspeed, seq * 100000 AS remaining FROM v_listing"
+_HELD = "SELECT *, CASE WHEN id % 9 = 0 THEN NULL ELSE (id % 100) / 100.0 END AS progress, (id % 7) / 2.0 AS ratio, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 5 END AS num_seeds, 3 AS speed_bps, 4 AS eta_secs, 5 AS up_speed_bps FROM v_transfers"
+_CHANGED = f"o AS ({_HELD}), s AS ({_SHOWN}), w AS (SELECT o.*, s.id AS sid, s.progress AS p, s.ratio AS r, s.num_seeds AS ns, dlspeed, upspeed, remaining, coalesce(abs(s.progress - coalesce(o.progress, 0)) >= 0.01 OR s.ratio <> coalesce(o.ratio, 0) OR s.num_seeds <> coalesce(o.num_seeds, 0) OR dlspeed <> 0 OR upspeed <> 0, false) AS wr FROM o LEFT JOIN s ON s.id = o.id)"
+
+
+def _held_and_shown(spark, d):
+    held = view(spark, d, "v_transfers").selectExpr("*", *_HELD[len("SELECT *, ") : -len(" FROM v_transfers")].replace("100.0", "100.0D").replace("2.0", "2.0D").split(", "))
+    shown = view(spark, d, "v_listing").selectExpr(*_SHOWN[len("SELECT ") : -len(" FROM v_listing")].replace("2.0", "2.0D").split(", "))
+    return held, shown
+
+
+@query("L7_stats_changed", f"WITH {_CHANGED} SELECT id FROM w WHERE wr")
 def _(spark, d):
-    l = view(spark, d, "v_listing").select(F.col("seq").alias("id"), F.col("progress").cast("double").alias("new_progress"))
-    rows = view(spark, d, "v_transfers").join(l, "id").withColumns({"old_progress": F.lit(0.5), "old_ratio": F.lit(None).cast("double"), "new_ratio": F.lit(None).cast("double"), "speed": F.expr("CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END")})
-    return G.stats_changed(rows).select("id")
+    held, shown = _held_and_shown(spark, d)
+    three = ("progress", "ratio", "num_seeds")
+    both = held.select("id", *(F.col(c).alias(f"old_{c}") for c in three)).join(shown.select("id", "dlspeed", "upspeed", *(F.col(c).alias(f"new_{c}") for c in three)), "id")
+    return G.stats_changed(both).select("id")
 
 
-@query("L8_apply_stats", "SELECT t.id, coalesce(CAST(l.progress AS DOUBLE), 0.0) AS progress, CASE WHEN l.seq IS NOT NULL THEN TIMESTAMP '2030-01-01 00:00:00' ELSE t.updated_at END AS updated_at FROM v_transfers t LEFT JOIN v_listing l ON l.seq = t.id")
+@query("L8_apply_stats", f"WITH {_CHANGED} SELECT id, CASE WHEN wr THEN p ELSE progress END::DOUBLE AS progress, CASE WHEN wr THEN dlspeed * 1024 ELSE speed_bps END::BIGINT AS speed_bps, CASE WHEN NOT wr THEN eta_secs WHEN dlspeed > 0 THEN remaining // (dlspeed * 1024) END::BIGINT AS eta_secs, CASE WHEN wr THEN r ELSE ratio END::DOUBLE AS ratio, CASE WHEN wr THEN upspeed * 1024 ELSE up_speed_bps END::BIGINT AS up_speed_bps, CASE WHEN wr THEN ns ELSE num_seeds END::BIGINT AS num_seeds, CASE WHEN wr OR (sid IS NOT NULL AND updated_at < TIMESTAMP '1995-01-01 00:00:00' - INTERVAL 60 SECOND) THEN TIMESTAMP '1995-01-01 00:00:00' ELSE updated_at END AS updated_at FROM w")
 def _(spark, d):
-    stats = view(spark, d, "v_listing").select(F.col("seq").alias("id"), "progress")
-    return G.apply_stats(view(spark, d, "v_transfers"), stats, F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'"))
+    held, shown = _held_and_shown(spark, d)
+    return G.apply_stats(held, shown, F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'")).select("id", *G.STATS, "updated_at")
+
+
+#: Matching as in J9, with names for digests that are not listed; direct downloads take no part in it.
+_RECONCILE = (
+    f"tl AS (SELECT id, name, url, digest FROM v_transfers WHERE NOT {_DIRECT.format('url')}), li AS (SELECT *, lower(name) AS k, max(seq) OVER (PARTITION BY hash) = seq AS last_h, max(seq) OVER (PARTITION BY lower(name)) = seq AS last_n FROM v_listing), "
+    "hit AS (SELECT t.id, t.name, t.url, l.seq, l.hash FROM tl t LEFT JOIN li l ON l.hash = t.digest AND last_h), cand AS (SELECT id, seq, hash, 1 AS bound FROM hit WHERE seq IS NOT NULL UNION ALL SELECT t.id, coalesce(a.seq, b.seq), coalesce(a.hash, b.hash), 0 FROM hit t LEFT JOIN li a ON a.k = lower(t.name) AND a.last_n LEFT JOIN li b ON b.k = lower(t.url) AND b.last_n WHERE t.seq IS NULL AND coalesce(a.seq, b.seq) IS NOT NULL), "
+    "met AS (SELECT id, seq, hash FROM cand QUALIFY bound = 1 OR row_number() OVER (PARTITION BY hash ORDER BY id) = 1), m AS (SELECT met.id, met.seq, CAST(progress AS DOUBLE) AS progress, state FROM met JOIN v_listing l ON l.seq = met.seq), x AS (SELECT max(updated_at) + INTERVAL 1 DAY AS as_of FROM v_transfers)"
+)
 
 
-@query("L9_reconcile", f"WITH {_MATCH} SELECT t.id, CASE WHEN t.status = 'queued' AND m.state IS NOT NULL THEN 'bind' WHEN t.status = 'downloading' AND m.progress >= 0.999 AND m.state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') THEN 'finish' WHEN t.status IN ('downloading', 'seeding') AND m.state IN ('error', 'missingFiles') THEN 'settle' WHEN t.status IN ('downloading', 'seeding') AND m.state IS NOT NULL THEN 'refresh' WHEN t.status = 'downloading' AND NOT lower(trim(regexp_replace(t.url, '[?#].*$', ''))) LIKE '%.zim' AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'error' WHEN t.status = 'seeding' AND t.updated_at < as_of - INTERVAL 10 MINUTE THEN 'done' ELSE 'keep' END AS action FROM v_transfers t LEFT JOIN m ON m.id = t.id, x")
+@query("L9_reconcile", f"WITH {_RECONCILE} SELECT t.id, m.seq, {_ACTION} AS action FROM v_transfers t LEFT JOIN m ON m.id = t.id, x UNION ALL SELECT NULL, seq, 'adopt' FROM v_listing l WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.hash = l.hash OR met.seq = l.seq) AND NOT EXISTS (SELECT 1 FROM tl WHERE tl.digest = l.hash)")
 def _(spark, d):
     t = view(spark, d, "v_transfers")
-    m = view(spark, d, "v_listing").where("seq % 2 = 0").select(F.col("seq").alias("id"), F.col("progress").cast("double"), "state")
-    return G.reconcile_actions(t, m, G.as_of_last(t))
+    return G.reconcile(t, view(spark, d, "v_listing"), G.as_of_last(t))
 
 
 @query("L10_interrupted_to_queued", "SELECT id, CASE WHEN status = 'downloading' AND lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim' THEN 'queued' ELSE status END AS status FROM v_transfers")

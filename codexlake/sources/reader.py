@@ -24,10 +24,10 @@ def read_pages(spark: SparkSession, path: str, mime: str | Column = "text/html")
     return spark.read.parquet(path).withColumn("mime", F.lower(F.lit(mime) if isinstance(mime, str) else mime)).where(F.col("mime").startswith("text/"))
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, path, mtime, size) of the archives in a folder, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][mM]").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[zZ][iI][mM]$", 1).alias("name"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+def read_snapshot(spark: SparkSession, folder: str, files: str = "*.[zZ][iI][mM]") -> DataFrame:
+    """(name, path, mtime, size) of the archives in a folder, without reading them; `files` is the pattern of their names."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 LINK = "array<struct<_rel:string,_href:string,_type:string,_hash:string,_digest:string>>"

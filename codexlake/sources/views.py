@@ -21,7 +21,7 @@ VIEWS: dict[str, str] = {
     "v_local": "SELECT concat(lower(n_name), '_2024-', CASE WHEN n_nationkey % 2 = 0 THEN '03' ELSE '06' END) AS name FROM nation",
     "v_feed": "SELECT n_nationkey * 3 + k AS feed_pos, concat('http://h/', lower(n_name), '_2024-0', CAST(k + 4 AS VARCHAR(4)), '.zim') AS href, '2024-07-15T00:00:00Z' AS updated FROM nation CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE n_nationkey % 4 <> 0",
     "v_outcomes": "SELECT user_id AS branch, event_id AS seq, ts, CASE WHEN event_type IN ('error','view') THEN 0 ELSE 1 END AS ok FROM events",
-    "v_listing": "SELECT md5(CAST(o_custkey AS VARCHAR(20))) AS hash, concat('T', CAST(o_custkey AS VARCHAR(20))) AS name, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE (o_orderkey % 100) / 100.0 END AS progress, CASE o_orderkey % 4 WHEN 0 THEN 'uploading' WHEN 1 THEN 'downloading' WHEN 2 THEN 'error' ELSE 'stalledUP' END AS state, o_orderkey AS seq FROM orders WHERE o_orderkey % 7 = 0",
+    "v_listing": "SELECT md5(concat(CAST(o_custkey AS VARCHAR(20)), o_orderpriority)) AS hash, concat('T', CAST(o_custkey AS VARCHAR(20))) AS name, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE (o_orderkey % 100) / 100.0 END AS progress, CASE o_orderkey % 4 WHEN 0 THEN 'uploading' WHEN 1 THEN 'downloading' WHEN 2 THEN 'error' ELSE 'stalledUP' END AS state, o_orderkey AS seq FROM orders WHERE o_orderkey % 7 = 0",
 }
 
 

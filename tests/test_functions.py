@@ -54,11 +54,11 @@ def test_sentence_cut_in_bytes(spark):
 
 def test_snippets_and_cuts_of_all_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = QUERIES["C7_truncate_at_sentence_all"](spark, "/root/testdata/sf0.001")
+    got = QUERIES["C7_truncate_at_sentence"](spark, "/root/testdata/sf0.001")
     texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
     assert any(t and len(t) < len(t.encode()) for _, t in texts)
     assert sorted(((r.doc_id, r.cut) for r in got.collect()), key=repr) == sorted(((i, floored(t, 300)) for i, t in texts), key=repr)
-    cut = QUERIES["C5_snippet_all"](spark, "/root/testdata/sf0.001").collect()
+    cut = QUERIES["C5_snippet"](spark, "/root/testdata/sf0.001").collect()
     assert len(cut) == len(texts) and all(r.snippet is None or len(r.snippet.encode()) <= 303 or len(r.snippet) == 200 for r in cut)
 
 
@@ -107,3 +107,16 @@ def test_highlight(spark):
 
     df = spark.createDataFrame([("no one here but The fox, the end",)], "v string")
     assert df.select(highlight(F.col("v"), "the", 4).alias("o")).first().o.count("<b>") == 2
+
+
+def test_snippet_passes_over_the_nine_openings(spark):
+    tail = " and so on, in a line that is long enough for a snippet of the page."
+    skipped = ["Main article: x", "Main topic: x", "For other uses, see x", "Part of a series on x", "This article is about x", "Not to be confused with x", "This list is incomplete", "See also x", "In other words x"]
+    taken = ["see also x", "FOR OTHER USES x", "From wikipedia x", "Coordinates: x", "Redirects here x", "May refer to x"]
+    last = "The last line holds what the page is about, in fifty bytes and more."
+    assert column(spark, [f"{s}{tail}\n{last}" for s in skipped], X.snippet("v")) == [last] * len(skipped)
+    assert column(spark, [f"{s}{tail}\n{last}" for s in taken], X.snippet("v")) == [f"{s}{tail}" for s in taken]
+
+
+def test_eta_beyond_doubles(spark):
+    assert column(spark, ["9007199254740993", "-7", "7"], X.eta_seconds(F.col("v").cast("bigint"), F.lit(1).cast("bigint"))) == [9007199254740993, -7, 7]
