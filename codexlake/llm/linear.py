@@ -86,15 +86,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, s:
     """Fit on at most `train_rows` labelled texts outside the held-out fold, those of the smallest id hashes.
 
     Only the bounded sample of sparse features reaches the one task that runs the sequential updates,
-    and only the nonzero weights reach the driver. Labels of a null id, null labels and labels of unknown
-    ids are passed over; of several labels of an id the greatest counts; rows that repeat an id train each,
-    up to the bound. With no usable label, or an empty table, every text scores `prior`.
+    and only the nonzero weights reach the driver. Labels of a null id, null labels and labels of ids that no text
+    has are passed over before the bound is taken, so they use up none of it; of several labels of an id the
+    greatest counts; rows that repeat an id train each, up to the bound. With no usable label, or an empty table,
+    every text scores `prior`.
     """
     spark = docs.sparkSession
     prepare(spark)
     marked = only(labels, "doc_id", label).toDF("doc_id", "label").where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     usable = marked.where(~held_out(folds=folds, fold=fold))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
+    # ids alone are joined here; the bounded choice then fetches its texts
+    known = usable.join(only(docs, "doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
     texts = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, s:
         yield as_batch(_WEIGHTS, [*model.index, -1], [*model.weight, model.bias])
 
     sparse = texts.mapInArrow(extract, "doc_id bigint, name bigint, label int, i array<int>, x array<float>")
-    # in one order whatever the partitions were, and no further than the bound on features
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "name", "label")
-    within = sparse.withColumn("before", F.sum(F.size("i")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # in one order whatever the partitions were: each task sends its first rows only, and what they hold is taken up to the bound on features
+    place = [F.xxhash64("doc_id"), "doc_id", "name", "label"]
+    order = Window.orderBy(*place)
+    within = sparse.orderBy(*place).limit(s.train_rows).withColumn("before", F.sum(F.size("i")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     bounded = within.where(F.coalesce("before", F.lit(0)) <= s.train_features).select("label", "i", "x")
     fitted = bounded.coalesce(1).mapInArrow(learn, "i bigint, w double").toArrow()
     index, weight = fitted["i"].to_numpy(), fitted["w"].to_numpy()

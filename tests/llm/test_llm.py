@@ -387,6 +387,23 @@ def test_classifiers(spark, odd, none):
         assert toxicity.score(odd, model, features, threshold).count() == len(ODD) and toxicity.score(none, model, features, threshold).count() == 0
 
 
+def test_labels_of_unknown_ids_use_up_no_bound(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", "quality", "toxic")
+    unknown = spark.range(1_000_000, 1_060_000).select(F.col("id").alias("doc_id"), F.lit(1).cast(labels.schema["quality"].dataType).alias("quality"), F.lit(1).cast(labels.schema["toxic"].dataType).alias("toxic"))
+    for fit in (quality.fit_quality, toxicity.fit_toxicity):
+        a, b = fit(docs, labels), fit(docs, labels.union(unknown))
+        assert (a.index == b.index).all() and (a.weight == b.weight).all() and a.bias == b.bias and len(a.index)
+
+
+def test_classifiers_held_out_at_scale(spark):
+    """Recall and precision of the rarer label, not accuracy alone."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    for op, label, rare, recall, precision in ((toxicity.op6_toxicity, "toxic", 1, 0.6, 0.9), (quality.op9_quality, "quality", 0, 0.9, 0.9)):
+        held = op(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("predicted", label).collect()
+        hits = sum(r.predicted == rare == r[label] for r in held)
+        assert hits >= recall * sum(r[label] == rare for r in held) and hits >= precision * sum(r.predicted == rare for r in held)
+
+
 def test_classifiers_without_labels_reject_nothing(docs, odd, none):
     labels = docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for part in (docs, odd, none):
