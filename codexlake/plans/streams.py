@@ -4,14 +4,17 @@ from pyspark.sql import functions as F
 
 from codexlake.cluster import scratch
 from codexlake.plans.registry import query
+from codexlake.sources.views import table
 from codexlake.streaming import jobs as S
 
 
-@query("R1_stream_ingest", "SELECT branch, seq FROM (SELECT branch, seq, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) AS r FROM v_outcomes) WHERE r = 1")
+@query("R1_stream_ingest", "SELECT url AS path, max(page_id) AS page_id FROM pages GROUP BY url")
 def _(spark, d):
-    path = scratch(spark, "upsert")
-    S.upsert_latest(S.outcomes(S.events(spark, d)).select("branch", "seq"), path, ["branch"], "seq")
-    return S.read_latest(spark, path, "branch bigint, seq bigint")
+    # the pages arrive in three files, and each micro-batch takes one; urls that come again take the later page
+    folder = scratch(spark, "ingest")
+    table(spark, d, "pages").repartition(3, "page_id").write.parquet(f"{folder}/in")
+    S.ingest_pages(S.pages(spark, f"{folder}/in", 1), f"{folder}/articles")
+    return S.read_latest(spark, f"{folder}/articles").select("path", "page_id")
 
 
 #: Failures of a branch counted from the first within a week; the second locks, a success clears. One row after the other.

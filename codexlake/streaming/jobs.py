@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codexlake.cluster import delete_path, scratch, ship
+from codexlake.cluster import scratch, settle, ship
+from codexlake.sources.reader import pages_to_articles
+from codexlake.sources.versions import latest, read_version, versions, write_version
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,34 +157,41 @@ def missing(stream: DataFrame, minutes: int = 10) -> DataFrame:
     return stream.withWatermark("ts", "1 minute").groupBy("key").applyInPandasWithState(run, "key bigint, last_seen timestamp", "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, keep: int = 2) -> None:
-    """Keep the latest row per key at a path: each micro-batch is merged with the version before and written beside it.
+def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, buckets: int = 16, keep: int = 2) -> None:
+    """Keep the latest row per key at a path, in buckets by the hash of the key.
 
-    A micro-batch that runs again writes its own version again. Versions older than the last `keep` are
-    removed. Read the result with `read_latest`.
+    A micro-batch rewrites only the buckets that its keys fall into, as one version; one that runs again writes its own
+    version again. The number of buckets stays what it was when the table was begun. Versions older than the last
+    `keep` are removed. Read the result with `read_latest`.
     """
-    spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number:
-            both = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        # the greatest row by order, then by all columns; combined before the shuffle, so a hot key is no task's burden
-        best = F.max_by(F.struct(*both.columns), F.struct(order, *both.columns))
-        both.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("row")).select("row.*").write.mode("overwrite").parquet(f"{path}/version={number}")
-        if number >= keep:
-            delete_path(spark, f"{path}/version={number - keep}")
+        spark, names = batch.sparkSession, batch.columns
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
+        # the batch is used twice, and what made it may be dear
+        fresh = settle(latest(batch, keys, order).withColumn("part", bucket))
+        touched = {r.part for r in fresh.select("part").distinct().collect()}
+        if not touched:
+            return
+        before = [v for v in versions(spark, path) if v < number]
+        old = read_version(spark, path, batch.schema, before[-1], touched) if before else batch.limit(0)
+        both = latest(fresh.select(*names).unionByName(old.select(*names)), keys, order).withColumn("part", bucket)
+        write_version(both.repartition("part"), path, number, touched, keep)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The newest whole version that `upsert_latest` left at a path; with a schema, no version at all gives no rows."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = store.globStatus(hadoop.Path(f"{path}/version=*/_SUCCESS")) or []
-    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
-    if not numbers and schema:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/version={max(numbers)}")
+    return read_version(spark, path, schema)
+
+
+def pages(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """Page files (page_id, url, html) of a folder as a stream, new files as they arrive."""
+    reader = spark.readStream.schema("page_id bigint, url string, html string")
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
+
+
+def ingest_pages(stream: DataFrame, path: str, buckets: int = 16) -> None:
+    """Turn arriving pages into articles and keep the latest of each path, by page_id; see `upsert_latest`."""
+    upsert_latest(pages_to_articles(stream), path, ["path"], "page_id", buckets)
