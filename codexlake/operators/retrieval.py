@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codexlake.cluster import ship
 from codexlake.functions.text import similarity, tokens, trigrams
 from codexlake.operators import websearch
+from codexlake.operators.grams import GramIndex, contains_indexed, prefix_indexed, similar_indexed
 
 #: Weights of the arms, the least similarity, limits of a page, and the weights of title and preview.
 WEIGHTS = {"fts": 0.6, "trgm": 0.4, "vector": 0.5}
@@ -84,8 +85,10 @@ def highlight(text, terms, words: int = 30):
     return F.regexp_replace(F.array_join(F.slice(w, best, words), " "), pattern, F.lit("<b>$1</b>"))
 
 
-def prefix_scores(queries: DataFrame, titles: DataFrame, weight: float) -> DataFrame:
-    """Titles that start with the query: titles are cut to each length that the batch's queries have, and meet the queries by equality."""
+def prefix_scores(queries: DataFrame, titles: DataFrame | GramIndex, weight: float) -> DataFrame:
+    """Titles that start with the query: titles are cut to each length that the batch's queries have, and meet the queries by equality. A stored index is asked instead."""
+    if isinstance(titles, GramIndex):
+        return prefix_indexed(queries, titles, weight)
     q = queries.select("query_id", F.lower("q").alias("q")).where("q <> ''")
     lengths = q.agg(F.array_sort(F.collect_set(F.length("q"))).alias("lengths"))
     cut = titles.select("id", "title_lower").join(F.broadcast(lengths)).select("id", "title_lower", F.explode(F.filter("lengths", lambda n: n <= F.length("title_lower"))).alias("n"))
@@ -93,13 +96,15 @@ def prefix_scores(queries: DataFrame, titles: DataFrame, weight: float) -> DataF
     return hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score"))
 
 
-def prefix_arm(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+def prefix_arm(queries: DataFrame, titles: DataFrame | GramIndex, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
     """The k best titles that start with each query."""
     return top_k(prefix_scores(queries, titles, weight), k, "prefix")
 
 
-def contains_scores(queries: DataFrame, titles: DataFrame, weight: float) -> DataFrame:
-    """Titles that contain the query of three characters and more: candidates share its first three, then are checked."""
+def contains_scores(queries: DataFrame, titles: DataFrame | GramIndex, weight: float) -> DataFrame:
+    """Titles that contain the query of three characters and more: candidates share its first three, then are checked. A stored index is asked instead."""
+    if isinstance(titles, GramIndex):
+        return contains_indexed(queries, titles, weight)
     q = queries.select("query_id", F.lower("q").alias("q")).where("length(q) >= 3").withColumn("g", F.left("q", F.lit(3)))
     raw = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("title_lower") - 2), lambda i: F.substring("title_lower", i, F.lit(3))))
     t = titles.where("length(title_lower) >= 3").select("id", "title_lower", F.explode(raw).alias("g"))
@@ -107,14 +112,16 @@ def contains_scores(queries: DataFrame, titles: DataFrame, weight: float) -> Dat
     return hit.select("query_id", "id", (F.lit(weight) * similarity(trigrams("title_lower"), trigrams("q"))).alias("score"))
 
 
-def contains_arm(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+def contains_arm(queries: DataFrame, titles: DataFrame | GramIndex, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
     """The k best titles that contain each query."""
     return top_k(contains_scores(queries, titles, weight), k, "contains")
 
 
-def similar_titles(queries: DataFrame, titles: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(query_id, id, sim) with trigram similarity above the threshold, by counting shared grams."""
+def similar_titles(queries: DataFrame, titles: DataFrame | GramIndex, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(query_id, id, sim) with trigram similarity above the threshold, by counting shared grams. A stored index is asked instead."""
     least = max(least, LEAST_SIMILARITY)
+    if isinstance(titles, GramIndex):
+        return similar_indexed(queries, titles, least)
     q = queries.select("query_id", trigrams("q").alias("g")).where(F.size("g") > 0).select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
     t = titles.select("id", trigrams("title_lower").alias("g")).where(F.size("g") > 0).select("id", F.size("g").alias("nt"), F.explode("g").alias("gram"))
     # sizes decide first which pairs can pass at all
@@ -123,7 +130,7 @@ def similar_titles(queries: DataFrame, titles: DataFrame, least: float = LEAST_S
     return shared.select("query_id", "id", (F.col("n") / (F.col("nq") + F.col("nt") - F.col("n"))).alias("sim")).where(F.col("sim") > least)
 
 
-def similarity_arm(queries: DataFrame, titles: DataFrame, k: int, least: float = LEAST_SIMILARITY, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+def similarity_arm(queries: DataFrame, titles: DataFrame | GramIndex, k: int, least: float = LEAST_SIMILARITY, weight: float = WEIGHTS["trgm"]) -> DataFrame:
     return top_k(similar_titles(queries, titles, least).select("query_id", "id", (F.lit(weight) * F.col("sim")).alias("score")), k, "similarity")
 
 
@@ -299,7 +306,7 @@ def page(ranked: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def trigram_arms(queries: DataFrame, titles: DataFrame, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
+def trigram_arms(queries: DataFrame, titles: DataFrame | GramIndex, k: int, weight: float = WEIGHTS["trgm"]) -> DataFrame:
     return premerge_trigram(prefix_arm(queries, titles, k, weight), contains_arm(queries, titles, k, weight), similarity_arm(queries, titles, k, weight=weight))
 
 
@@ -360,7 +367,7 @@ def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame, ve
     return out.withColumn("snippet", shown).drop("_text", "_snippet", "_words")
 
 
-def suggest(queries: DataFrame, titles: DataFrame, limit: int = 10) -> DataFrame:
+def suggest(queries: DataFrame, titles: DataFrame | GramIndex, limit: int = 10) -> DataFrame:
     """(query_id, id, score, grp, rank): titles by prefix first, then by content and similarity; at most 20."""
     n = min(limit, 20)
     first = prefix_arm(queries, titles, n, 1.0).withColumn("grp", F.lit(0))

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from codexlake.cluster import scratch
 from codexlake.functions.text import similarity, tokens, trigrams, truncate
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
+from codexlake.operators.grams import open_gram_index, write_gram_index
 from codexlake.operators.library import set_difference
 from codexlake.plans.registry import query
 from codexlake.sources.views import table, view
@@ -102,13 +104,26 @@ def _(spark, d):
     return R.similarity_arm(q, t, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("rank"))
 
 
-@query("M2_premerge_batch", f"WITH {_BATCH}, a AS (SELECT *, 0 AS o FROM s WHERE starts_with(title_lower, q) UNION ALL SELECT *, 1 FROM s WHERE contains(title_lower, q) AND length(q) >= 3 UNION ALL SELECT *, 2 FROM s WHERE sim > 0.3), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY round(0.4 * sim, 9) DESC, id) AS p FROM a), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY o, p) AS r FROM p WHERE p <= 10) SELECT query_id, id, CAST(round(0.4 * sim, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o, p) AS pos FROM u WHERE r = 1")
+_PREMERGED = f"WITH {_BATCH}, a AS (SELECT *, 0 AS o FROM s WHERE starts_with(title_lower, q) UNION ALL SELECT *, 1 FROM s WHERE contains(title_lower, q) AND length(q) >= 3 UNION ALL SELECT *, 2 FROM s WHERE sim > 0.3), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY round(0.4 * sim, 9) DESC, id) AS p FROM a), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY o, p) AS r FROM p WHERE p <= 10) SELECT query_id, id, CAST(round(0.4 * sim, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o, p) AS pos FROM u WHERE r = 1"
+
+
+@query("M2_premerge_batch", _PREMERGED)
 def _(spark, d):
     t = view(spark, d, "v_titles")
     q = t.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title_lower").alias("q"))
     return R.trigram_arms(q, t, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("pos"))
 
 
+@query("M2_premerge_index", _PREMERGED)
+def _(spark, d):
+    # the same batch over stored grams
+    t = view(spark, d, "v_titles")
+    path = scratch(spark, "grams")
+    write_gram_index(t, path)
+    q = t.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title_lower").alias("q"))
+    return R.trigram_arms(q, open_gram_index(spark, path), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("arm_pos").cast("bigint").alias("pos"))
+
+
 @query("T8_trigram_similarity", f"WITH {_TITLES} SELECT id, CAST(round(sim, 6) AS DOUBLE) AS sim FROM ts")
 def _(spark, d):
     return view(spark, d, "v_titles").select("id", F.round(similarity(trigrams("title_lower"), trigrams(F.lit("red widget"))), 6).alias("sim"))

@@ -2,8 +2,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from codexlake.functions.text import trigrams
 from codexlake.operators import catalog as C
 from codexlake.operators import embedding as E
+from codexlake.operators import grams as G_
 from codexlake.operators import ledger as G
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
@@ -282,3 +284,19 @@ def test_listing_candidates(spark):
     assert [r.seq for r in G.listing_candidates(ledger, listing, "cAT").collect()] == [1]
     assert [r.seq for r in G.listing_candidates(ledger, listing, "").collect()] == [2]
     assert G.listing_candidates(ledger, listing.drop("category"), "cat").count() == 0
+
+
+def test_gram_index_answers_alike(spark, corpus, tmp_path):
+    """Stored grams give the rows of the arms over titles, whatever the parts; hot grams go on in other parts."""
+    titles = corpus.select("id", F.lower("title").alias("title_lower")).unionByName(spark.createDataFrame([(5000, None), (5001, ""), (5002, "ab"), (5003, "%_a\\"), (5004, "mauve"), (5005, "zz top zz"), (5006, "é字é")], "id bigint, title_lower string"))
+    q = asked(spark, "mauve piano", "MAUVE", "ma", "m", "", None, "xyz", "zz t", "%_a", "é字é", "kettle teal", "rudder painted oc")
+    G_.write_gram_index(titles, str(tmp_path / "grams"), rows_a_part=300)
+    index = G_.open_gram_index(spark, str(tmp_path / "grams"))
+    assert index.similar.parts > 1 and index.raw.parts > 1
+    key = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    for f in (lambda t: R.similar_titles(q, t), lambda t: R.similar_titles(q, t, 0.6), lambda t: R.prefix_scores(q, t, 0.4), lambda t: R.contains_scores(q, t, 1.0), lambda t: R.trigram_arms(q, t, 7).select("query_id", "id", "arm_pos"), lambda t: R.suggest(q, t, 9).select("query_id", "id", "rank")):
+        assert key(f(index)) == key(f(titles))
+    assert "PartitionFilters: [part" in R.prefix_scores(q, index, 0.4)._jdf.queryExecution().toString()
+    # places and sizes leave fewer pairs than shared grams do
+    each = lambda df, c: df.select(F.col(df.columns[0]).alias("k"), F.explode(trigrams(c)).alias("gram"))
+    assert G_.candidates(q, index, 0.6).count() * 2 < each(q, "q").join(each(titles, "title_lower").withColumnRenamed("k", "t"), "gram").count()
