@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.cluster import ship
+from codexlake.cluster import scratch, ship
 from codexlake.functions.text import similarity, tokens, trigrams
 from codexlake.operators import websearch
+from codexlake.operators.cells import Cells, open_cells, search_cells, write_cells
 from codexlake.operators.grams import GramIndex, contains_indexed, prefix_indexed, similar_indexed
 
 #: Weights of the arms, the least similarity, limits of a page, and the weights of title and preview.
@@ -196,64 +197,16 @@ def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     return q[on], i[on], s[on]
 
 
-def vector_arm_ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, from_rows: int = 10_000, weight: float = WEIGHTS["vector"], seed: int = 1, most_queries: int = 10_000) -> DataFrame:
-    """Approximate nearest vectors: k-means cells, the nearest `probes` of each query searched exactly.
-
-    Below `from_rows` vectors the exact arm answers. Cells number max(100, floor(sqrt(n))) and half of
-    them, 8 at least, are probed unless given: vectors without clear clusters need as many for a
-    recall of 0.9. Query matrices are broadcast in parts of about `most_queries` rows.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = vectors.count()
-    if n < from_rows:
-        return vector_arm(queries, vectors, k, weight)
-    lists = lists or max(100, int(n**0.5))
-    unit = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    model = KMeans(k=lists, seed=seed, maxIter=8, featuresCol="f").fit(unit.withColumn("f", array_to_vector("embedding")))
-    cells = model.transform(unit.withColumn("f", array_to_vector("embedding"))).select("id", "embedding", F.col("prediction").alias("cell"))
-    centres = np.array(model.clusterCenters())
-    probes = probes or max(8, -(-len(centres) // 2))
-    spark = queries.sparkSession
-    ship(spark)
-
-    def searched(part: DataFrame) -> DataFrame:
-        rows = part.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
-        matrix = np.array(rows["q"].to_pylist(), np.float64).reshape(len(rows), centres.shape[1])
-        near = np.argsort((centres * centres).sum(axis=1) - 2 * matrix @ centres.T, axis=1)[:, :probes]
-        probed = np.zeros((len(rows), len(centres)), bool)
-        np.put_along_axis(probed, near, True, axis=1)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0), probed))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m, probed = shared.value
-            best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
-                size = np.linalg.norm(v, axis=1)
-                names, cell = b.column(0).to_numpy(), b.column(2).to_numpy()
-                for c in np.unique(cell):
-                    at, q = np.flatnonzero((cell == c) & (size > 0)), np.flatnonzero(probed[:, c])
-                    if not len(at) or not len(q):
-                        continue
-                    sims = (v[at] / size[at, None]) @ m[q].T
-                    top = np.lexsort((np.broadcast_to(names[at][:, None], sims.shape), -np.round(sims, 9)), axis=0)[:k]
-                    col = np.broadcast_to(np.arange(len(q)), top.shape)
-                    best = tuple(np.concatenate([o, x]) for o, x in zip(best, (ids[q][col].ravel(), names[at][top].ravel(), sims[top, col].ravel()), strict=True))
-                    if len(best[0]) > 20 * k * max(1, len(ids)):
-                        best = _best(best, k)
-            q, i, s = _best(best, k)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "id", "sim"])
-
-        return cells.mapInArrow(run, "query_id bigint, id bigint, sim double")
-
-    parts = -(-queries.count() // most_queries)
-    marked = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))))
-    found = reduce(DataFrame.unionByName, [searched(marked.where(F.col("_part") == i)) for i in range(max(1, parts))])
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id"))).where(F.col("r") <= k)
-    return top_k(ranked.select("query_id", "id", (F.lit(weight) * F.greatest("sim", F.lit(0.0))).alias("score")), k, "vector")
+def vector_arm_ann(queries: DataFrame, vectors: DataFrame | Cells, k: int, lists: int | None = None, probes: int | None = None, from_rows: int = 10_000, weight: float = WEIGHTS["vector"]) -> DataFrame:
+    """Approximate nearest vectors over stored cells, see `cells`; a table of vectors is indexed for this call, and below `from_rows` rows searched exactly."""
+    if not isinstance(vectors, Cells):
+        if vectors.limit(from_rows).count() < from_rows:
+            return vector_arm(queries, vectors, k, weight)
+        path = scratch(queries.sparkSession, "cells")
+        write_cells(vectors, path, lists)
+        vectors = open_cells(queries.sparkSession, path)
+    found = search_cells(queries, vectors, k, probes)
+    return top_k(found.select("query_id", "id", (F.lit(weight) * F.greatest("sim", F.lit(0.0))).alias("score")), k, "vector")
 
 
 def with_vectors(queries: DataFrame, known: DataFrame, model: str, size: int) -> DataFrame:

@@ -145,7 +145,8 @@ def _all_vectors(spark, d):
 @query("T10_vector_arm_ann")
 def _(spark, d):
     q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_arm_ann(q, _all_vectors(spark, d), 10)
+    # indexed whatever the size
+    return R.vector_arm_ann(q, _all_vectors(spark, d), 10, from_rows=1)
 
 
 @query("T11_arm_gate", "SELECT p_partkey AS query_id, m = 'fts' AND l OR m = 'hybrid' AND l AS run_fts, m IN ('trgm', 'hybrid') OR NOT l AS run_prefix, m IN ('trgm', 'hybrid') AND l AS run_long, m IN ('vector', 'hybrid') AND l AS run_vec FROM (SELECT p_partkey, length(substring(p_name, 1, p_partkey % 5 + 1)) >= 3 AS l, CASE p_partkey % 4 WHEN 0 THEN 'fts' WHEN 1 THEN 'trgm' WHEN 2 THEN 'vector' ELSE 'hybrid' END AS m FROM part)")

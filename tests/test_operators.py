@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codexlake.functions.text import trigrams
 from codexlake.operators import catalog as C
+from codexlake.operators import cells as C_
 from codexlake.operators import embedding as E
 from codexlake.operators import grams as G_
 from codexlake.operators import ledger as G
@@ -125,15 +126,6 @@ def test_transitions_in_order(spark):
     assert got == {1: ("complete", 2, 1), 2: ("complete", 0, 1)}
 
 
-def test_ann_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    v = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = {(r.query_id, r.id) for r in R.vector_arm(q, v, 5).collect()}
-    near = {(r.query_id, r.id) for r in R.vector_arm_ann(q, v, 5, lists=10, probes=7, from_rows=10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-
-
 def test_vector_queries_search_every_row(spark):
     for name in ("T9_vector_arm", "T10_vector_arm_ann"):
         rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
@@ -141,15 +133,35 @@ def test_vector_queries_search_every_row(spark):
         assert found == {r.query_id for r in rows} and all(i % 100 == 0 for i in found)
 
 
-def test_ann_recall_by_its_own_rules(spark):
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    v = e.select(F.col("vec_id").alias("id"), "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    assert v.count() >= 10_000
+def test_cells_recall(spark, tmp_path):
+    """The ten nearest of 10,000 vectors, with and without clusters, with a tenth of them and less compared exactly."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    loose = rng.standard_normal((5000, 64))
+    close = rng.standard_normal((50, 64)).repeat(100, axis=0) + 0.6 * rng.standard_normal((5000, 64))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([loose, close]))], "id bigint, embedding array<double>")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    C_.write_cells(v, str(tmp_path / "cells"))
+    index = C_.open_cells(spark, str(tmp_path / "cells"))
+    assert len(index.centres) == 100 and spark.read.parquet(str(tmp_path / "cells" / "rows")).count() == 10_000
     exact = {(r.query_id, r.id) for r in R.vector_arm(q, v, 10).collect()}
-    near = {(r.query_id, r.id) for r in R.vector_arm_ann(q, v, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-    assert {(r.query_id, r.id) for r in R.vector_arm_ann(q, v, 10, most_queries=40).collect()} == near
+    found = R.vector_arm_ann(q, index, 10).collect()
+    assert len(exact & {(r.query_id, r.id) for r in found}) / len(exact) >= 0.9 and max(C_.RERANKED, 10 * C_.RERANKED_EACH) < 1000
+    assert {r.query_id for r in found if r.id == r.query_id and r.arm_pos == 1} == set(range(0, 10_000, 100))
+    # in parts of the batch; and only the parts of the probed cells are read
+    assert {(r.query_id, r.id) for r in C_.search_cells(q, index, 10, most_queries=30).collect()} == {(r.query_id, r.id) for r in found}
+    assert "PartitionFilters: [part" in C_.search_cells(q.limit(1), index, 10, probes=8)._jdf.queryExecution().toString()
+
+
+def test_cells_odd(spark, tmp_path):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [-2.0, 0.0]), (7, [3.0, 0.0])], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(0, [5.0, 0.0]), (1, None), (2, [0.0, 0.0])], "query_id bigint, q array<double>")
+    for name, rows, want in (("some", v, [(0, 1), (0, 7)]), ("none", v.limit(0), []), ("odd", v.where("id between 2 and 5"), [])):
+        C_.write_cells(rows, str(tmp_path / name))
+        assert sorted((r.query_id, r.id) for r in C_.search_cells(q, C_.open_cells(spark, str(tmp_path / name)), 2).collect()) == want
+    with pytest.raises(Exception, match="dimensions"):
+        C_.search_cells(spark.createDataFrame([(0, [1.0])], "query_id bigint, q array<double>"), C_.open_cells(spark, str(tmp_path / "some")), 2).collect()
 
 
 def test_feed_and_articles(spark, tmp_path):
