@@ -32,6 +32,7 @@ class Cells:
     """Centres (cells, dims) and pieces (pieces, 256, dims of one) of an index at a path. The last piece is filled up with zeros."""
 
     path: str
+    kind: str
     centres: np.ndarray
     pieces: np.ndarray
 
@@ -104,14 +105,14 @@ def write_cells(vectors: DataFrame, path: str, lists: int | None = None, pieces:
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"part int, cell int, id {kind}, code binary, unit array<double>") if lists else spark.createDataFrame([], f"part int, cell int, id {kind}, code binary, unit array<double>")
     found.repartition("part").sortWithinPartitions("part", "cell", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-    spark.createDataFrame([(centres.tobytes(), books.tobytes(), dims, pieces)], "centres binary, books binary, dims int, pieces int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    spark.createDataFrame([(kind, centres.tobytes(), books.tobytes(), dims, pieces)], "kind string, centres binary, books binary, dims int, pieces int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def open_cells(spark: SparkSession, path: str) -> Cells:
     a = spark.read.parquet(f"{path}/about").first()
     centres = np.frombuffer(bytes(a.centres)).reshape(-1, max(1, a.dims))
     books = np.frombuffer(bytes(a.books))
-    return Cells(path, centres, books.reshape(a.pieces, -1, max(1, -(-a.dims // a.pieces))))
+    return Cells(path, a.kind, centres, books.reshape(a.pieces, -1, max(1, -(-a.dims // a.pieces))))
 
 
 def search_cells(queries: DataFrame, index: Cells, k: int, probes: int | None = None, rerank: int | None = None, most_queries: int = 2_000) -> DataFrame:
@@ -134,7 +135,7 @@ def _searched(queries: DataFrame, index: Cells, k: int, probes: int, rerank: int
     rows = queries.toArrow()
     at, q = units(rows["q"].combine_chunks(), index.centres.shape[1] if len(index.centres) else None)
     names = rows["query_id"].combine_chunks().take(pa.array(at))
-    kinds = {"q": queries.schema["query_id"].dataType.simpleString(), "id": spark.read.parquet(f"{index.path}/rows").schema["id"].dataType.simpleString()}
+    kinds = {"q": queries.schema["query_id"].dataType.simpleString(), "id": index.kind}
     if not len(at) or not len(index.centres):
         return spark.createDataFrame([], f"query_id {kinds['q']}, id {kinds['id']}, sim double")
     to_centre = q @ index.centres.T

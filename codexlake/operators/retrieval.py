@@ -19,6 +19,7 @@ from codexlake.functions.text import similarity, tokens, trigrams
 from codexlake.operators import websearch
 from codexlake.operators.cells import Cells, open_cells, search_cells, write_cells
 from codexlake.operators.grams import GramIndex, contains_indexed, prefix_indexed, similar_indexed
+from codexlake.sources.inverted import Inverted
 
 #: Weights of the arms, the least similarity, limits of a page, and the weights of title and preview.
 WEIGHTS = {"fts": 0.6, "trgm": 0.4, "vector": 0.5}
@@ -26,6 +27,8 @@ LEAST_SIMILARITY = 0.3
 MOST_ROWS, MOST_OFFSET, MOST_FETCH = 50, 5000, 5500
 CLASS = {"A": 1.0, "B": 0.4}
 ARM_RANK = {"fts": 0, "trgm": 1, "vector": 2}
+#: Articles whose postings are made at a time.
+POSTED_ROWS = 1000
 
 
 def scope_filter(articles: DataFrame, archive: str | None = None, language: str | None = None) -> DataFrame:
@@ -37,12 +40,37 @@ def scope_filter(articles: DataFrame, archive: str | None = None, language: str
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """(token, id, weight, positions): occurrences of each token in title (class A) and preview (class B)."""
-    a = articles.select("id", tokens("title").alias("t"), tokens("content_preview").alias("p"))
-    title = a.select("id", F.lit(CLASS["A"]).alias("weight"), F.posexplode("t").alias("pos", "token"))
-    body = a.select("id", F.lit(CLASS["B"]).alias("weight"), F.posexplode("p").alias("at", "token"), F.size("t").alias("shift")).select("id", "weight", (F.col("at") + F.col("shift")).alias("pos"), "token")
-    both = title.unionByName(body)
-    return both.groupBy("token", "id", "weight").agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("token", "id", "weight", "positions")
+    """(token, id, weight, positions): occurrences of each token in title (class A) and preview (class B).
+
+    All occurrences of a token in an article are in its row, so they are gathered there and nothing is shuffled.
+    """
+    ship(articles.sparkSession)
+    cut = articles.select("id", tokens("title").alias("t"), tokens("content_preview").alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), POSTED_ROWS):
+                yield _posted(batch.slice(lo, POSTED_ROWS))
+
+    return cut.mapInArrow(run, f"token string, id {cut.schema['id'].dataType.simpleString()}, weight double, positions array<int>")
+
+
+def _posted(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of some rows (id, title's tokens, preview's tokens); positions go on from the title into the preview."""
+    title, body = b.column(1), b.column(2)
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (title, body)]
+    named = pa.concat_arrays([title.flatten(), body.flatten()]).dictionary_encode()
+    code = named.indices.to_numpy().astype(np.int64)
+    row = np.concatenate([np.repeat(np.arange(len(b)), s) for s in sizes])
+    lower = np.arange(len(code)) >= sizes[0].sum()
+    first = np.concatenate([np.cumsum(s) - s for s in sizes]) + np.repeat([0, sizes[0].sum()], len(b))
+    place = np.arange(len(code)) - first[row + lower * len(b)] + np.where(lower, sizes[0][row], 0)
+    key = (row * 2 + lower) * max(1, len(named.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+    at = order[starts]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(code[at])), b.column(0).take(pa.array(row[at])), pa.array(np.where(lower[at], CLASS["B"], CLASS["A"])), positions], names=["token", "id", "weight", "positions"])
 
 
 def top_k(scored: DataFrame, k: int, arm: str) -> DataFrame:
@@ -51,18 +79,21 @@ def top_k(scored: DataFrame, k: int, arm: str) -> DataFrame:
     return scored.withColumn("arm_pos", F.row_number().over(w)).where(F.col("arm_pos") <= k).select("query_id", "id", "score", F.lit(arm).alias("arm"), "arm_pos")
 
 
-def fts_match(queries: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the documents that satisfy each query: words, "quoted phrases", or, -barred; ranked by cover density."""
-    return websearch.ranked(websearch.parsed(queries), posted)
+def fts_match(queries: DataFrame, posted: DataFrame | Inverted, best: int | None = None) -> DataFrame:
+    """(query_id, id, score) of the documents that satisfy each query: words, "quoted phrases", or, -barred; ranked by cover density.
+
+    With `best`, documents whose bound shows that they are not among so many best of their query may be left out.
+    """
+    return websearch.ranked(websearch.parsed(queries), posted, best)
 
 
-def phrase_match(queries: DataFrame, posted: DataFrame) -> DataFrame:
+def phrase_match(queries: DataFrame, posted: DataFrame | Inverted) -> DataFrame:
     """(query_id, id): documents where the query's words stand one after the other."""
     quoted = queries.withColumn("q", F.concat(F.lit('"'), F.translate(F.coalesce("q", F.lit("")), '"', " "), F.lit('"')))
     return websearch.matches(websearch.parsed(quoted), posted)
 
 
-def cover_rank(queries: DataFrame, posted: DataFrame) -> DataFrame:
+def cover_rank(queries: DataFrame, posted: DataFrame | Inverted) -> DataFrame:
     """(query_id, id, score) of matching documents by cover density; the same as `fts_match`."""
     return fts_match(queries, posted)
 
@@ -275,7 +306,7 @@ def within_scope(scored: DataFrame, asked: DataFrame, articles: DataFrame, arm:
     return best.select("query_id", "id", "score", F.lit(arm).alias("arm"), "arm_pos")
 
 
-def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame, vectors: DataFrame | None = None, limit: int = 10, offset: int = 0, highlighted: bool = False) -> DataFrame:
+def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame | Inverted, vectors: DataFrame | None = None, limit: int = 10, offset: int = 0, highlighted: bool = False) -> DataFrame:
     """Ranked articles of every query: full text, titles and vectors merged, one page each, texts joined last.
 
     queries: query_id, q and optionally mode, vector, archive, language, limit and offset; a null of the
@@ -300,7 +331,9 @@ def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame, ve
     titles = articles.select("id", F.lower("title").alias("title_lower"))
     weight = WEIGHTS["trgm"]
     terms = websearch.parsed(gated.where("run_fts"))
-    fts = best(websearch.ranked(terms, posted).withColumn("score", F.col("score") * WEIGHTS["fts"]), "fts")
+    # of unscoped queries the full-text arm needs its best rows only
+    whole = not scoped and not {"limit", "offset"} & set(queries.columns)
+    fts = best(websearch.ranked(terms, posted, min(min(limit, MOST_ROWS) + min(offset, MOST_OFFSET), MOST_FETCH) if whole else None).withColumn("score", F.col("score") * WEIGHTS["fts"]), "fts")
     similar = similar_titles(gated.where("run_long"), titles).select("query_id", "id", (F.lit(weight) * F.col("sim")).alias("score"))
     trgm = premerge_trigram(best(prefix_scores(gated.where("run_prefix"), titles, weight), "prefix"), best(contains_scores(gated.where("run_long"), titles, weight), "contains"), best(similar, "similarity"))
     arms = [fts, trgm]

@@ -10,14 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexlake.cluster import ship
+from codexlake.cluster import settle, ship
 from codexlake.functions.text import tokens
-
-#: Parts of the stored index; a query reads only the parts of its words.
-PARTS = 64
+from codexlake.sources.inverted import ROWS_A_PART, Inverted, open_inverted, write_inverted
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -29,59 +27,96 @@ def parsed(queries: DataFrame) -> DataFrame:
     return items.select("query_id", "clause", "item", "barred", F.size("t").alias("width"), F.posexplode("t").alias("k", "token"))
 
 
-def part_of(token) -> F.Column:
-    return F.pmod(F.xxhash64(token), F.lit(PARTS)).cast("int")
-
-
-def write_index(posted: DataFrame, path: str) -> None:
-    """Store postings by token parts, sorted by token within each, so that a batch reads only what its words need."""
-    posted.withColumn("part", part_of("token")).repartition(PARTS, "part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
+def write_index(posted: DataFrame, path: str, rows_a_part: int = ROWS_A_PART) -> None:
+    """Store postings by token, with the number of postings of each token; see `inverted`."""
+    write_inverted(posted, "token", path, rows_a_part=rows_a_part)
 
 
-def narrowed(posted: DataFrame, terms: DataFrame) -> DataFrame:
-    """The postings of the batch's tokens. Of postings made on the fly, others go before they are grouped and shuffled; of stored ones, only the parts of these tokens are read."""
-    tokens_ = terms.select("token").distinct()
-    if "part" in posted.columns:
-        return posted.join(tokens_.withColumn("part", part_of("token")), ["part", "token"], "left_semi")
-    return posted.join(tokens_, "token", "left_semi")
+def open_index(spark: SparkSession, path: str) -> Inverted:
+    return open_inverted(spark, path)
 
 
-def meeting(posted: DataFrame, terms: DataFrame) -> DataFrame:
+def met(terms: DataFrame, posted: DataFrame) -> DataFrame:
     """Postings of the terms' tokens with the terms."""
-    if "part" in posted.columns:
-        return posted.join(terms.withColumn("part", part_of("token")), ["part", "token"])
     return posted.join(terms, "token")
 
 
-def matches(terms: DataFrame, posted: DataFrame) -> DataFrame:
+def met_rarest_first(terms: DataFrame, posted: DataFrame, counted: DataFrame) -> DataFrame:
+    """Postings with the terms, of documents that have the rarest wanted token of a clause; a clause with a token that no document has is dropped.
+
+    The rarest tokens' postings name the documents, and those of the clause's other tokens are looked up by token
+    and document, so a frequent token costs no more than the documents that are still in question.
+    """
+    wanted = terms.where("not barred").join(counted.select("token", "df"), "token", "left")
+    rarest = wanted.groupBy("query_id", "clause").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("x")).where("x.df > 0").select("query_id", "clause", F.col("x.token").alias("token"))
+    named = posted.select("token", "id").join(rarest, "token").select("query_id", "clause", "id").distinct()
+    return posted.join(named.join(terms, ["query_id", "clause"]), ["token", "id"])
+
+
+def matches(terms: DataFrame, posted: DataFrame | Inverted) -> DataFrame:
     """(query_id, id) of the documents that satisfy a clause of the parsed query: all its items and none of the barred. A clause of barred items only matches nothing."""
-    hits = meeting(posted, terms)
+    if isinstance(posted, Inverted):
+        counted = posted.counts(terms.select("token").distinct())
+        return _satisfied(terms, met_rarest_first(terms, posted.rows(counted), counted))
+    return _satisfied(terms, met(terms, posted))
+
+
+def _satisfied(terms: DataFrame, hits: DataFrame) -> DataFrame:
     key = ["query_id", "clause", "item", "barred", "id"]
     words = hits.where("width = 1").select(*key)
     starts = hits.where("width > 1").select(*key, "k", "width", F.explode("positions").alias("p")).groupBy(*key, "width", (F.col("p") - F.col("k")).alias("start")).agg(F.countDistinct("k").alias("n"))
     found = words.union(starts.where("n = width").select(*key))
     need = terms.where("not barred").groupBy("query_id", "clause").agg(F.countDistinct("item").alias("need"))
-    met = found.groupBy("query_id", "clause", "id").agg(F.countDistinct(F.when(~F.col("barred"), F.col("item"))).alias("met"), F.max("barred").alias("hit"))
-    return met.where("not hit").join(need, ["query_id", "clause"]).where("met = need").select("query_id", "id").distinct()
+    held = found.groupBy("query_id", "clause", "id").agg(F.countDistinct(F.when(~F.col("barred"), F.col("item"))).alias("met"), F.max("barred").alias("hit"))
+    return held.where("not hit").join(need, ["query_id", "clause"]).where("met = need").select("query_id", "id").distinct()
 
 
-def ranked(terms: DataFrame, posted: DataFrame) -> DataFrame:
+def ranked(terms: DataFrame, posted: DataFrame | Inverted, best: int | None = None) -> DataFrame:
     """(query_id, id, score) of the matching documents by cover density.
 
     A query of one word scores the sum of its occurrences' weights, natively. Of others, every minimal
     window that satisfies the query is a cover; one of n entries counts n / (sum of 1 / weight), divided
     by one plus the words between. These documents reach an Arrow function, one at a time.
+
+    With `best`, documents of queries of several words that cannot be among so many best of their query are left
+    out: covers end at different hits, and none counts more than the greatest weight among them, so hits times
+    that weight bound a score. The documents of the greatest bounds are scored first, and of the others only those whose
+    bound reaches the last of these scores.
     """
     ship(terms.sparkSession)
-    # narrowed once, so that both uses read one shuffle
-    posted = narrowed(posted, terms)
-    wanted = terms.where("not barred")
-    shape = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("words"), F.collect_list(F.struct("clause", "item", "k", "token")).alias("query"))
-    found = matches(terms, posted).join(shape, "query_id")
-    hits = meeting(posted, wanted.select("query_id", "token").distinct())
-    rows = hits.join(found, ["query_id", "id"])
+    shape = terms.where("not barred").groupBy("query_id").agg(F.count(F.lit(1)).alias("words"), F.collect_list(F.struct("clause", "item", "k", "token")).alias("query"))
+    rows = _answers(terms, posted).join(shape, "query_id")
     single = rows.where("words = 1").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.size("positions")).alias("score"))
-    several = rows.where("words > 1").select("query_id", "id", "token", "weight", "query", F.explode("positions").alias("pos"))
+    several = rows.where("words > 1").select("query_id", "id", "token", "weight", "query", "positions")
+    if best is None:
+        return single.unionByName(_densities(several))
+    several = settle(several)
+    bounds = several.groupBy("query_id", "id").agg((F.sum(F.size("positions")) * F.max("weight")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "id"))
+    bounds = settle(bounds.withColumn("place", place))
+    key = ["query_id", "id"]
+    first = settle(_densities(several.join(bounds.where(F.col("place") <= best).select(*key), key, "left_semi")))
+    last = first.groupBy("query_id").agg(F.min("score").alias("last"))
+    rest = bounds.where(F.col("place") > best).join(last, "query_id").where("bound >= last - 1e-8").select(*key)
+    return single.unionByName(first).unionByName(_densities(several.join(rest, key, "left_semi")))
+
+
+def _answers(terms: DataFrame, posted: DataFrame | Inverted) -> DataFrame:
+    """(query_id, id, token, weight, positions): the wanted tokens' postings of the documents that match each query."""
+    wanted = terms.where("not barred").select("query_id", "token").distinct()
+    if isinstance(posted, Inverted):
+        counted = settle(posted.counts(terms.select("token").distinct()))
+        rows = posted.rows(counted)
+        found = settle(_satisfied(terms, met_rarest_first(terms, rows, counted)))
+        return rows.join(found.join(wanted, "query_id"), ["token", "id"]).select("query_id", "id", "token", "weight", "positions")
+    # narrowed once, for both uses
+    rows = settle(posted.join(terms.select("token").distinct(), "token", "left_semi"))
+    return met(wanted, rows).join(_satisfied(terms, met(terms, rows)), ["query_id", "id"]).select("query_id", "id", "token", "weight", "positions")
+
+
+def _densities(rows: DataFrame) -> DataFrame:
+    """(query_id, id, score) by cover density of documents' postings with their queries."""
+    several = rows.select("query_id", "id", "token", "weight", "query", F.explode("positions").alias("pos"))
     several = several.groupBy("query_id", "id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("pos", "token", "weight"))).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +125,7 @@ def ranked(terms: DataFrame, posted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], names=["query_id", "id", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in several.schema}
-    return single.unionByName(several.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"))
+    return several.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
 
 
 def items_of(query: list[dict]) -> list[list[tuple[str, ...]]]:

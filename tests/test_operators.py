@@ -65,12 +65,35 @@ def test_query_language(spark, corpus):
 
 
 def test_stored_index_answers_alike(spark, corpus, tmp_path):
-    q = asked(spark, "mauve piano", '"teal kettle" or sickle -painted', "ladder")
-    W.write_index(R.postings(corpus), str(tmp_path / "index"))
-    stored = spark.read.parquet(str(tmp_path / "index"))
+    q = asked(spark, "mauve piano", '"teal kettle" or sickle -painted', "ladder", "absent piano", "-mauve piano", '"well-kept teal"', "piano or absent thing", "the", "mauve mauve")
+    W.write_index(R.postings(corpus), str(tmp_path / "index"), rows_a_part=500)
+    stored = W.open_index(spark, str(tmp_path / "index"))
+    assert stored.parts > 10
     key = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
-    assert key(R.fts_match(q, stored)) == key(R.fts_match(q, R.postings(corpus)))
-    assert "PartitionFilters: [isnotnull(part" in R.fts_match(q, stored)._jdf.queryExecution().toString()
+    plain = key(R.fts_match(q, R.postings(corpus)))
+    assert key(R.fts_match(q, stored)) == plain and len({r[0] for r in plain}) > 4
+    assert "PartitionFilters: [part" in R.phrase_match(q.limit(1), stored)._jdf.queryExecution().toString()
+    # a token of more rows than a part holds lies in several parts
+    held = spark.read.parquet(str(tmp_path / "index" / "rows"))
+    assert held.where("token = 'list'").select("part").distinct().count() > 1 and held.count() == R.postings(corpus).count()
+
+
+def test_bounds_leave_the_best_alone(spark, tmp_path):
+    """The best rows are those of all rows, for two-word queries over texts of few words, with and without an index."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    text = lambda n: " ".join(rng.choices(words, range(1, 13), k=n))
+    a = spark.createDataFrame([(i, text(rng.randint(0, 4)), text(rng.randint(0, 60))) for i in range(400)], "id bigint, title string, content_preview string")
+    q = asked(spark, *[f"{x} {y}" for x in words[::2] for y in words[1::3]], "w11 or w10 w9", '"w11 w10" w9', "w3")
+    W.write_index(R.postings(a), str(tmp_path / "index"))
+    key = lambda df: sorted((r.query_id, r.id, r.arm_pos, round(r.score, 9)) for r in df.collect())
+    whole = key(R.top_k(R.fts_match(q, R.postings(a)), 5, "fts"))
+    stored = W.open_index(spark, str(tmp_path / "index"))
+    few = R.fts_match(q, stored, 5)
+    assert key(R.top_k(few, 5, "fts")) == whole and key(R.top_k(R.fts_match(q, R.postings(a), 5), 5, "fts")) == whole
+    assert few.count() < R.fts_match(q, stored).count()
 
 
 def test_each_query_has_its_own_scope_and_page(spark, corpus):
