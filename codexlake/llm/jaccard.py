@@ -415,11 +415,12 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataF
     listed = listed.withColumn("band", F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) * (2 / math.log(max(den / num, 1.001))) + 1e-9)).cast("int"))
     listed = listed.withColumn("s", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("token", "band")) / BLOCK).cast("int"))
     listed = listed.withColumn("own", F.col("band") * (1 << 20) + F.pmod(F.xxhash64("node", F.lit(9)), F.col("s")).cast("int"))
-    listed = settle(listed)
+    # as columns on disk: a third of what the rows of a checkpoint take
+    listed = stored(listed, "lists")
     rows = listed.count()
     # all rows, and the bitmaps of sets that have a list in common with another
     own = stored(document_sets(docs, n, settle(listed.select("node").distinct())), "sets")
-    maps = settle(own.where("body is not null").groupBy("node").agg(F.first("body").alias("body")))
+    maps = stored(own.where("body is not null").groupBy("node").agg(F.first("body").alias("body")), "maps")
 
     def dealt(part: DataFrame) -> DataFrame:
         blocks = part.where(F.col("n") > BLOCK).groupBy("token", "band").agg(F.first("s").alias("s")).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "s"))).alias("blocks"))
