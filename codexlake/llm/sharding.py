@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexlake.cluster import scratch
+from codexlake.cluster import scratch, settle
 from codexlake.llm.common import only, prepare, table, utf8
 
 #: Text bytes a bucket should hold: what one task keeps in memory.
 BUCKET_BYTES = 12 << 20
+#: Rows equal in id and text that may share a bucket; more of them are spread over all buckets.
+MOST_COPIES = 1000
 #: Bytes a row counts besides its text, so that many tiny rows fill a bucket too.
 ROW_BYTES = 64
 #: Buckets that one task of the second pass takes, about.
@@ -28,9 +30,26 @@ TASK_BUCKETS = 8
 RUN = 4096
 
 
+def numbered_copies(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """The rows (doc_id, text) with a column copy: 0, but for rows that come more than `most` times, which are numbered.
+
+    Rows equal in id and text are interchangeable, so those of one kind are counted and laid out anew from the count,
+    block by block in many tasks; the numbers are the same in any two evaluations.
+    """
+    name = F.xxhash64("doc_id", "text")
+    hot = settle(docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("name"))
+    if hot.isEmpty():
+        return docs.withColumn("copy", F.lit(0).cast("long"))
+    named = docs.withColumn("name", name)
+    blocks = named.join(hot, "name", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}")))).repartition("block", "doc_id")
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * most, F.least((F.col("block") + 1) * most, F.col("n")) - 1)))
+    return named.join(hot, "name", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("copy")).unionByName(copies.select("doc_id", "text", "copy"))
+
+
 def scatter(docs: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """Pass 1: a bucket for every row, from its id and text alone, so that any two evaluations of the input agree. Rows equal in both share a bucket."""
-    return docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(n_buckets)))
+    """Pass 1: a bucket for every row (doc_id, text), from its id, text and copy alone, so that any two evaluations of the input agree."""
+    return numbered_copies(only(docs, "doc_id", "text")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("copy")), F.lit(n_buckets))).drop("copy")
 
 
 def bucket_offsets(scattered: DataFrame) -> DataFrame:

@@ -375,6 +375,19 @@ def test_components_raise_when_rounds_run_out(spark):
     assert {r.component for r in components(path).collect()} == {0}
 
 
+def test_many_equal_rows_are_spread_over_buckets(spark):
+    rows = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text " * 20).alias("text")).union(spark.range(3000).select(F.col("id") + 100, F.concat(F.lit("own text "), "id")))
+    n = 64
+    buckets = sharding.scatter(rows, n, 3)
+    sizes = [r["count"] for r in buckets.groupBy("bucket").count().collect()]
+    assert len(sizes) == n and max(sizes) < 2 * 43_000 / n
+    again = sharding.scatter(rows.repartition(5), n, 3)
+    key = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id", "bucket").count().collect())
+    assert key(again) == key(buckets)
+    out = sharding.shuffle_into_shards(rows, 8, 3, 1 << 20)
+    assert out.count() == 43_000 and {r["count"] for r in out.groupBy("shard").count().collect()} == {5375} and out.select("shard", "slot").distinct().count() == 43_000
+
+
 def test_classifiers(spark, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
