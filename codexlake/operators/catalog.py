@@ -2,33 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.cluster import settle
 from codexlake.functions.text import base_name, catalog_name, version
+from codexlake.sources.versions import read_version, versions, write_version
 
 
-def reindex(old: DataFrame, new: DataFrame, spans: int | None = None) -> DataFrame:
-    """Articles after a run: those of the new extraction, with the old id and embedding where (archive, path) was known; others go.
+def reindex(old: DataFrame, new: DataFrame, spans: int | None = None, top: DataFrame | None = None) -> DataFrame:
+    """Articles after a run: all columns of the new extraction, with the old id and embedding where (archive, path) was known; others go.
 
     New rows get ids after the greatest, in order of (archive, path). Rows are ranged by (archive, path),
     numbered within each range and shifted by the ranges' totals, so an archive of any size is shared by
-    many tasks; there are as many ranges as shuffle partitions unless given. An empty catalog starts at 0.
+    many tasks; there are as many ranges as shuffle partitions unless given. An empty catalog starts at 0; `top`, one row,
+    has the greatest id if `old` is not all of the catalog.
     """
     spans = spans or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = old.select("archive", "path", F.col("id").alias("old_id"), "embedding")
     both = new.join(kept, ["archive", "path"], "left")
-    top = old.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    fresh = settle(both.where("old_id is null").select("archive", "path", "title", "embedding").repartitionByRange(spans, "archive", "path").withColumn("span", F.spark_partition_id()))
+    top = old.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")) if top is None else top
+    cols = [*new.columns, "embedding"]
+    fresh = settle(both.where("old_id is null").select(*cols).repartitionByRange(spans, "archive", "path").withColumn("span", F.spark_partition_id()))
     totals = fresh.groupBy("span").agg(F.count(F.lit(1)).alias("t"))
     base = totals.select("span", (F.sum("t").over(Window.orderBy("span")) - F.col("t")).alias("base"))
     numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("span").orderBy("archive", "path")))
     numbered = numbered.join(F.broadcast(base), "span").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("base") + F.col("n"))
-    cols = ["archive", "path", "title", "embedding"]
     return both.where("old_id is not null").select(F.col("old_id").alias("id"), *cols).unionByName(numbered.select("id", *cols))
 
 
+def merge_reindex(path: str, new: DataFrame, links: DataFrame, run_ts: Column) -> int:
+    """Write the articles of the archives that a run extracted, their links and a stamp of the run, as one version; its number.
+
+    Of these archives, articles that the run did not find go, and links (archive, path, ...) without an article; their ids
+    and vectors are as in `reindex`. Other archives' files are not read, but for their greatest id, nor written. `new`
+    needs archive, path and title; rows of no archive at all change nothing. Readers see the articles' newest version, and the
+    tables beside it by that number, so a run that fails in between leaves the last version as it was.
+    """
+    spark = new.sparkSession
+    part = F.md5(F.col("archive").cast("binary"))
+    new = settle(new)
+    archives = settle(new.select("archive").distinct().withColumn("part", part))
+    touched = {r.part for r in archives.select("part").collect()}
+    there = versions(spark, f"{path}/articles")
+    number = there[-1] + 1 if there else 0
+    if not touched:
+        return number - 1
+    kinds = f"id bigint, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in new.schema)}, embedding array<float>"
+    old = read_version(spark, f"{path}/articles", kinds, parts=touched)
+    top = read_version(spark, f"{path}/articles", "id bigint").agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
+    articles = settle(reindex(old, new, top=top).withColumn("part", part))
+    kept = links.join(articles.select("archive", "path"), ["archive", "path"], "left_semi").withColumn("part", part)
+    for name, rows in (("links", kept), ("archives", archives.withColumn("updated_at", run_ts)), ("articles", articles)):
+        write_version(rows.repartition("part"), f"{path}/{name}", number, touched)
+    return number
+
+
 def orphan_links(links: DataFrame, articles: DataFrame) -> DataFrame:
     return links.join(articles, ["archive_id", "path"], "left_anti")
 

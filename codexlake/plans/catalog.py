@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from codexlake.cluster import scratch
 from codexlake.operators import catalog as C
 from codexlake.operators import ledger as G
 from codexlake.plans.registry import query
+from codexlake.sources.versions import read_version
 from codexlake.sources.views import table, view
 
 
@@ -17,6 +19,22 @@ def _(spark, d):
     return out.select("id", "archive", "path", "title", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+_TWICE = "a AS (SELECT * FROM v_articles WHERE id % 4 <> 0), n AS (SELECT archive, path FROM v_articles WHERE id % 5 <> 0 AND archive <= 'src4'), r AS (SELECT archive, path FROM n UNION ALL SELECT archive, path FROM a WHERE archive NOT IN (SELECT archive FROM n)), l AS (SELECT archive, path, id % 97 AS qid FROM v_articles WHERE id % 5 <> 1)"
+
+
+@query("K1_reindex_merge", f"WITH {_TWICE} SELECT 'article' AS kind, archive, path FROM r UNION ALL SELECT 'link', archive, path FROM l JOIN r USING (archive, path) UNION ALL SELECT 'archive', archive, CASE WHEN archive IN (SELECT archive FROM n) THEN '2024-02-02' ELSE '2024-01-01' END FROM (SELECT DISTINCT archive FROM r)")
+def _(spark, d):
+    # a first run over all archives, and a second over some of them
+    path = scratch(spark, "reindex")
+    a = view(spark, d, "v_articles").select("id", "archive", "path", "title")
+    links = a.where("id % 5 <> 1").select("archive", "path", (F.col("id") % 97).alias("qid"))
+    C.merge_reindex(path, a.where("id % 4 <> 0").drop("id"), links, F.expr("DATE '2024-01-01'"))
+    C.merge_reindex(path, a.where("id % 5 <> 0 and archive <= 'src4'").drop("id"), links, F.expr("DATE '2024-02-02'"))
+    articles, kept, runs = (read_version(spark, f"{path}/{t}") for t in ("articles", "links", "archives"))
+    out = articles.select(F.lit("article").alias("kind"), "archive", "path").unionByName(kept.select(F.lit("link").alias("kind"), "archive", "path"))
+    return out.unionByName(runs.select(F.lit("archive").alias("kind"), "archive", F.col("updated_at").cast("string").alias("path")))
+
+
 @query("K2_snapshot_diff", "SELECT coalesce(c.name, s.name) AS name, CASE WHEN c.name IS NULL THEN 'added' WHEN s.name IS NULL THEN 'removed' WHEN s.file_size IS NULL THEN 'unreadable' WHEN c.file_size <> s.file_size THEN 'changed' ELSE 'same' END AS change, CASE WHEN c.name IS NULL OR (s.file_size IS NOT NULL AND c.file_size <> s.file_size) THEN 'pending' ELSE c.index_status END AS index_status FROM v_catalog c FULL JOIN v_snapshot s ON c.name = s.name")
 def _(spark, d):
     return C.snapshot_diff(view(spark, d, "v_catalog"), view(spark, d, "v_snapshot"))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from codexlake.cluster import scratch
 from codexlake.plans.registry import query
-from codexlake.sources.views import table
+from codexlake.sources.versions import versions
+from codexlake.sources.views import table, view
 from codexlake.streaming import jobs as S
 
 
@@ -34,10 +35,14 @@ def _(spark, d):
     return S.run_available(S.degradation(S.outcomes(S.events(spark, d))))
 
 
-@query("R4_stream_retry_guard", "WITH c AS (SELECT user_id AS key, event_id AS seq, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM events), g AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM c) SELECT key, seq, row_number() OVER (PARTITION BY key, g ORDER BY seq) AS streak FROM g")
+#: Every third type of event reads as an access error; a day without an error starts a key anew.
+_MESSAGE = "CASE WHEN event_type LIKE '%c%' THEN concat(event_type, ' 403') ELSE event_type END"
+
+
+@query("R4_stream_retry_guard", f"WITH m AS (SELECT user_id AS key, event_id AS seq, ts, {_MESSAGE} AS message FROM events), c AS (SELECT *, CASE WHEN lag(message) OVER o IS DISTINCT FROM message OR epoch_us(ts) - lag(epoch_us(ts)) OVER o > 86400000000 THEN 1 ELSE 0 END AS c FROM m WINDOW o AS (PARTITION BY key ORDER BY seq)), g AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM c), s AS (SELECT key, seq, CASE WHEN message LIKE '% 403' THEN 0 ELSE row_number() OVER (PARTITION BY key, g ORDER BY seq) END AS streak FROM g) SELECT key, seq, streak, streak >= 3 AS give_up FROM s")
 def _(spark, d):
-    e = S.events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("message"))
-    return S.run_available(S.retry_guard(e))
+    e = S.events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.expr(_MESSAGE).alias("message"))
+    return S.run_available(S.retry_guard(e, idle_minutes=24 * 60))
 
 
 _DELTA = "WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (SELECT key, seq, n, v AS last, true AS sent FROM e WHERE n = 1 UNION ALL SELECT e.key, e.seq, e.n, CASE WHEN abs(e.v - r.last) >= 10.0 THEN e.v ELSE r.last END, abs(e.v - r.last) >= 10.0 FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) SELECT key, seq, last AS value FROM r WHERE sent"
@@ -59,7 +64,7 @@ def _(spark, d):
     return gone.select("key", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
-@query("R8_stream_wait_stats", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS site, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
+@query("R8_stream_wait_stats", "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS site, CAST(trunc(value) AS BIGINT) AS v FROM events) SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, site, count(*) AS n, max(v) AS most, coalesce(sum(v) // count(*), 0)::BIGINT AS mean FROM e WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY GROUPING SETS ((w, site), (w))")
 def _(spark, d):
     return S.run_available(S.window_stats(S.events(spark, d))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -68,3 +73,13 @@ def _(spark, d):
 def _(spark, d):
     # every event comes twice
     return S.run_available(S.distinct_events(S.events(spark, d).unionByName(S.events(spark, d))).select("event_id"))
+
+
+@query("R9_stream_snapshots", "SELECT name, file_size, CAST(2 AS BIGINT) AS versions FROM v_snapshot")
+def _(spark, d):
+    # three snapshots: the catalog, the same in another order, and the one that followed
+    folder = scratch(spark, "snapshots")
+    for k, (name, by) in enumerate((("v_catalog", "name"), ("v_catalog", "file_size"), ("v_snapshot", "name"))):
+        view(spark, d, name).select("name", "file_size").repartition(1 + k % 2, by).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        S.keep_snapshots(spark.readStream.schema("name string, file_size bigint").parquet(f"{folder}/in"), f"{folder}/out")
+    return S.read_latest(spark, f"{folder}/out", "name string, file_size bigint").withColumn("versions", F.lit(len(versions(spark, f"{folder}/out"))).cast("bigint"))

@@ -65,3 +65,24 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that is greatest by `order`, then by all columns; combined before the shuffle, so a hot key is no task's burden."""
     best = F.max_by(F.struct(*rows.columns), F.struct(order, *rows.columns))
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("row")).select("row.*")
+
+
+def digest(rows: DataFrame) -> str:
+    """A digest of all rows in whatever order: how many there are, and sums of two hashes of each. Repeated rows count."""
+    named = rows.select(*(F.xxhash64(F.lit(seed), F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})).alias(f"h{seed}") for seed in (1, 2)))
+    r = named.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in named.columns)).first()
+    return f"{r.n}:{r.h1}:{r.h2}"
+
+
+def write_snapshot(rows: DataFrame, path: str, version: int, buckets: int = 16) -> bool:
+    """Make the rows all that the table holds, as a version; if the newest version below it has the same rows, nothing is written. Whether it was."""
+    spark = rows.sparkSession
+    now = digest(rows)
+    before = [v for v in versions(spark, path) if v < version]
+    if before and spark.read.schema("digest string").parquet(f"{path}/digest/version={before[-1]}").first().digest == now:
+        return False
+    spark.createDataFrame([(now,)], "digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/digest/version={version}")
+    touched = set(manifest(spark, path, before[-1])) if before else set()
+    part = F.pmod(F.xxhash64(F.to_json(F.struct(*rows.columns))), F.lit(buckets)).cast("string")
+    write_version(rows.withColumn("part", part).repartition("part"), path, version, touched | {str(k) for k in range(buckets)})
+    return True

@@ -12,10 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from codexlake.cluster import scratch, settle, ship
+from codexlake.functions.text import access_error
 from codexlake.sources.reader import pages_to_articles
-from codexlake.sources.versions import latest, read_version, versions, write_version
+from codexlake.sources.versions import latest, read_version, versions, write_snapshot, write_version
+
+#: Where Spark's setting names what holds the state of streams, and the one that lies on disk.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,19 +35,31 @@ def outcomes(stream: DataFrame) -> DataFrame:
 
 
 def run_available(job: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a job over all that is there and return what its sink holds."""
+    """Run a job over all that is there and return what its sink holds. State lies in RocksDB, which timers need."""
     spark = job.sparkSession
     ship(spark)
     folder = folder or scratch(spark, "stream")
-    query = job.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = job.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
     query.awaitTermination()
     return spark.read.schema(job.schema).parquet(f"{folder}/out")
 
 
-def window_stats(stream: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, site, n): rows per window and site, when the watermark has passed the window."""
-    w = stream.withWatermark("ts", late).groupBy(F.window("ts", every), F.col("event_type").alias("site")).agg(F.count(F.lit(1)).alias("n"))
-    return w.select(F.col("window.start").alias("start"), "site", "n")
+def window_stats(stream: DataFrame, every: str = "1 hour", late: str = "10 minutes", site: str = "event_type", value: str = "value") -> DataFrame:
+    """(start, site, n, most, mean): rows, greatest and whole mean value per window and site, when the watermark has passed the window.
+
+    A null site is the total of the window: each row counts for its site and once more for that, as streams have no rollup.
+    """
+    both = stream.withWatermark("ts", late).select("ts", F.explode(F.array(F.col(site), F.lit(None).cast("string"))).alias("site"), F.col(value).cast("bigint").alias("v"))
+    w = both.groupBy(F.window("ts", every), "site").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("most"), F.sum("v").alias("total"))
+    return w.select(F.col("window.start").alias("start"), "site", "n", "most", F.call_function("div", F.coalesce("total", F.lit(0)), F.col("n")).alias("mean"))
 
 
 def distinct_events(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -61,24 +78,57 @@ def _per_key(stream: DataFrame, key: str, out: str, state: str, step: Callable[[
     return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def failure_bursts(stream: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """(branch, seq): the failures that lock a branch: the fifth within 15 minutes of the first; a success clears, a lock ends 15 minutes after its first failure."""
+class _Bursts(StatefulProcessor):
+    """Failures of a key counted from the first within a window; the state goes with a success, or by a timer when the window has passed."""
 
-    def step(key, rows, state):
-        count, first = state or (0, 0)
+    def __init__(self, limit: int, minutes: int):
+        self.limit, self.window = limit, minutes * 60 * 10**6
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("burst", "count bigint, first bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        data = pd.concat(list(rows)).sort_values("seq")
+        count, first = self.state.get() if self.state.exists() else (0, 0)
         hits = []
-        for seq, ts, ok in zip(rows["seq"], rows["ts"].astype("int64") // 10**3, rows["ok"], strict=True):
+        for seq, ts, ok in zip(data["seq"], data["ts"].astype("datetime64[us]").astype("int64"), data["ok"], strict=True):
             if ok:
                 count, first = 0, 0
-            elif count and ts - first <= minutes * 60 * 10**6:
+            elif count and ts - first <= self.window:
                 count += 1
-                if count == limit:
+                if count == self.limit:
                     hits.append(seq)
             else:
                 count, first = 1, int(ts)
-        return pd.DataFrame({"branch": [key[0]] * len(hits), "seq": hits}), (count, first)
+        held = (count, first) if count else None
+        _hold(self.handle, self.state, held, (first + self.window) // 1000 + 1)
+        yield pd.DataFrame({"branch": [key[0]] * len(hits), "seq": hits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
 
-    return _per_key(stream, "branch", "branch bigint, seq bigint", "count bigint, first bigint", step)
+    def close(self) -> None:
+        pass
+
+
+def _hold(handle, state, value: tuple | None, until_ms: int) -> None:
+    """Keep a state until a time of the events, or let it go; a key has one timer at most."""
+    for at in list(handle.listTimers()):
+        handle.deleteTimer(at)
+    if value is None:
+        state.clear()
+    else:
+        state.update(value)
+        handle.registerTimer(until_ms)
+
+
+def failure_bursts(stream: DataFrame, limit: int = 5, minutes: int = 15, late: str = "10 minutes") -> DataFrame:
+    """(branch, seq): the failures that lock a branch: the fifth within 15 minutes of the first; a success clears, a lock ends 15 minutes after its first failure.
+
+    What is held of a branch goes when the watermark passes the end of its window, so idle branches cost nothing.
+    """
+    return stream.withWatermark("ts", late).groupBy("branch").transformWithStateInPandas(_Bursts(limit, minutes), "branch bigint, seq bigint", "append", "EventTime")
 
 
 def degradation(stream: DataFrame, limit: int = 3) -> DataFrame:
@@ -96,18 +146,44 @@ def degradation(stream: DataFrame, limit: int = 3) -> DataFrame:
     return _per_key(stream, "branch", "branch bigint, seq bigint, failures bigint, degraded boolean", "failures bigint", step)
 
 
-def retry_guard(stream: DataFrame) -> DataFrame:
-    """(key, seq, streak) at each error (key, seq, message): how often in a row this message came."""
+class _Guard(StatefulProcessor):
+    """How often in a row a key has had its last message; forgotten after an idle time, by a timer."""
 
-    def step(key, rows, state):
-        n, last = state or (0, "")
-        counts = []
-        for m in rows["message"]:
-            n, last = (n + 1 if m == last else 1), m
-            counts.append(n)
-        return pd.DataFrame({"key": rows["key"].to_numpy(), "seq": rows["seq"].to_numpy(), "streak": counts}), (n, last)
+    def __init__(self, give_up: int, idle_minutes: int):
+        self.give_up, self.idle = give_up, idle_minutes * 60 * 10**6
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("streak", "n bigint, message string, seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        data = pd.concat(list(rows)).sort_values("seq")
+        n, last, seen = self.state.get() if self.state.exists() else (0, None, 0)
+        streaks = []
+        for message, exempt, ts in zip(data["message"], data["exempt"], data["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+            # by the rows' own times, so that the answer does not depend on when the timer runs
+            n = n + 1 if message == last and ts - seen <= self.idle else 1
+            last, seen = message, int(ts)
+            streaks.append(0 if exempt else n)
+        _hold(self.handle, self.state, (n, last, seen), (seen + self.idle) // 1000 + 1)
+        out = pd.DataFrame({"key": data["key"].to_numpy(), "seq": data["seq"].to_numpy(), "streak": streaks})
+        yield out.assign(give_up=out["streak"] >= self.give_up)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
 
-    return _per_key(stream, "key", "key bigint, seq bigint, streak bigint", "n bigint, last string", step)
+    def close(self) -> None:
+        pass
+
+
+def retry_guard(stream: DataFrame, give_up: int = 3, idle_minutes: int = 100, late: str = "10 minutes") -> DataFrame:
+    """(key, seq, streak, give_up) at each error (key, seq, ts, message): how often in a row this message came.
+
+    Access errors (401, 403) have no streak and are never given up; others are at the third. A key without an error for
+    `idle_minutes` starts anew, and what is held of it goes when the watermark has passed that time.
+    """
+    told = stream.select("key", "seq", "ts", "message", access_error("message").alias("exempt")).withWatermark("ts", late)
+    return told.groupBy("key").transformWithStateInPandas(_Guard(give_up, idle_minutes), "key bigint, seq bigint, streak bigint, give_up boolean", "append", "EventTime")
 
 
 def stats_delta(stream: DataFrame, least: float = 1.0) -> DataFrame:
@@ -195,3 +271,8 @@ def pages(spark: SparkSession, path: str, files_a_batch: int | None = None) -> D
 def ingest_pages(stream: DataFrame, path: str, buckets: int = 16) -> None:
     """Turn arriving pages into articles and keep the latest of each path, by page_id; see `upsert_latest`."""
     upsert_latest(pages_to_articles(stream), path, ["path"], "page_id", buckets)
+
+
+def keep_snapshots(stream: DataFrame, path: str) -> None:
+    """Each micro-batch is a whole snapshot: it becomes the next version at a path, and one equal to the last does nothing; see `write_snapshot`."""
+    stream.writeStream.foreachBatch(lambda batch, number: write_snapshot(batch, path, number)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()

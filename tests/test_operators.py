@@ -335,3 +335,49 @@ def test_gram_index_answers_alike(spark, corpus, tmp_path):
     # places and sizes leave fewer pairs than shared grams do
     each = lambda df, c: df.select(F.col(df.columns[0]).alias("k"), F.explode(trigrams(c)).alias("gram"))
     assert G_.candidates(q, index, 0.6).count() * 2 < each(q, "q").join(each(titles, "title_lower").withColumnRenamed("k", "t"), "gram").count()
+
+
+def test_reindex_writes_touched_archives_only(spark, tmp_path):
+    rows = lambda *xs: spark.createDataFrame([(a, p, p.upper()) for a, p in xs], "archive string, path string, title string")
+    links = spark.createDataFrame([("a/x", "p1", 1), ("a/x", "p9", 2), ("b", "p1", 3)], "archive string, path string, qid bigint")
+    path = str(tmp_path / "t")
+    C.merge_reindex(path, rows(("a/x", "p1"), ("a/x", "p2"), ("b", "p1")), links, F.expr("DATE '2024-01-01'"))
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in tmp_path.glob("t/articles/data/version=0/*/*.parquet")}
+    ids = lambda: {(r.archive, r.path): r.id for r in V.read_version(spark, f"{path}/articles").collect()}
+    before, first = files(), ids()
+    assert C.merge_reindex(path, rows(("a/x", "p3"), ("a/x", "p2")), links, F.expr("DATE '2024-02-02'")) == 1
+    assert C.merge_reindex(path, rows(), links, F.expr("DATE '2024-02-02'")) == 1
+    assert files() == before and sorted(first.values()) == [0, 1, 2]
+    assert ids() == {("a/x", "p2"): first["a/x", "p2"], ("a/x", "p3"): 3, ("b", "p1"): first["b", "p1"]}
+    assert [(r.archive, r.qid) for r in V.read_version(spark, f"{path}/links").collect()] == [("b", 3)]
+    assert {(r.archive, str(r.updated_at)) for r in V.read_version(spark, f"{path}/archives").collect()} == {("a/x", "2024-02-02"), ("b", "2024-01-01")}
+
+
+def test_guards_forget_idle_keys(spark, tmp_path):
+    """State goes by timers; a run in two parts gives the rows of one."""
+    from codexlake.streaming import jobs
+
+    minute = lambda k: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k)
+    errors = [(1, 0, minute(0), "timeout"), (1, 1, minute(1), "timeout"), (2, 2, minute(2), "HTTP 403"), (2, 3, minute(3), "HTTP 403"), (1, 4, minute(4), "timeout"), (3, 5, minute(500), "other"), (1, 6, minute(600), "timeout"), (1, 7, minute(601), "timeout")]
+    schema = "key bigint, seq bigint, ts timestamp, message string"
+    want = [(0, 1, False), (1, 2, False), (2, 0, False), (3, 0, False), (4, 3, True), (5, 1, False), (6, 1, False), (7, 2, False)]
+    for parts in ((8,), (3, 5, 6, 8)):
+        folder, lo = tmp_path / str(len(parts)), 0
+        for hi in parts:
+            spark.createDataFrame(pd.DataFrame(errors[lo:hi], columns=["key", "seq", "ts", "message"]), schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            got = jobs.run_available(jobs.retry_guard(spark.readStream.schema(schema).parquet(str(folder / "in")), idle_minutes=100), folder=str(folder / "job"))
+            lo = hi
+        assert [(r.seq, r.streak, r.give_up) for r in got.orderBy("seq").collect()] == want
+    fails = [(1, k, minute(k), 0) for k in range(5)] + [(2, 5, minute(5), 0), (2, 6, minute(6), 1)] + [(2, 7 + k, minute(7 + k), 0) for k in range(4)] + [(1, 20, minute(40), 0), (2, 21, minute(41), 0)]
+    schema = "branch bigint, seq bigint, ts timestamp, ok int"
+    for lo, hi in ((0, 4), (4, 13)):
+        spark.createDataFrame(pd.DataFrame(fails[lo:hi], columns=["branch", "seq", "ts", "ok"]), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "fails"))
+        locks = jobs.run_available(jobs.failure_bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "fails"))), folder=str(tmp_path / "locks"))
+    assert [(r.branch, r.seq) for r in locks.collect()] == [(1, 4)]
+
+
+def test_equal_snapshots_do_nothing(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "a bigint, b string")
+    path = str(tmp_path / "s")
+    assert [V.write_snapshot(a, path, 0), V.write_snapshot(a.orderBy(F.desc("a")), path, 1), V.write_snapshot(a.distinct(), path, 2), V.write_snapshot(a.limit(0), path, 3), V.write_snapshot(a.limit(0), path, 4)] == [True, False, True, True, False]
+    assert V.versions(spark, path) == [2, 3] and V.read_version(spark, path, "a bigint, b string").count() == 0 and V.read_version(spark, path, version=2).count() == 2
