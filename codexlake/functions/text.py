@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 HATNOTES = ("Main article", "Main topic", "For other uses", "Part of a series on", "This article is about", "Not to be confused", "This list is incomplete", "See also", "In other")
 RETRYABLE = "(?i)connect|timeout|refused|unreachable|connection"
 ACCESS = r"(^|[^\p{L}\p{N}])(401|403)([^\p{L}\p{N}]|$)"
+#: The greatest 4-byte float.
+GREATEST_FLOAT = 3.4028234663852886e38
 FATAL_STATES = ("error", "missingFiles")
 COMPLETE_STATES = ("uploading", "stalledUP", "pausedUP", "forcedUP")
+ACTIVE_STATES = ("downloading", "forcedDL", "stalledDL", "metaDL", "forcedMetaDL", "checking", "allocating", "moving")
 
 
 def code(c: str | Column) -> Column:
@@ -166,16 +171,23 @@ def starts_with_text(c, part) -> Column:
     return F.like(code(c), F.concat(like_escape(part), F.lit("%")), F.lit("\\"))
 
 
-def is_wiki_archive(name, language) -> Column:
-    """Whether an archive is a wiki: its language is a code and its name says so."""
-    lower = F.lower(code(name))
-    return code(language).rlike("^[A-Za-z]") & (lower.contains("wikipedia") | lower.contains("wiki_"))
+def is_wiki_archive(name, language, description=None, publisher=None) -> Column:
+    """Whether an archive is a wiki: its language begins with a letter, and its name, description or publisher says so. Unknown ones say nothing."""
+    says = lambda c, *words: F.coalesce(reduce(Column.__or__, [F.lower(code(c)).contains(w) for w in words]), F.lit(False))
+    said = says(name, "wikipedia", "wiki_")
+    for c in (description, publisher):
+        said = said | says(c, "wikipedia") if c is not None else said
+    return F.coalesce(code(language).rlike("^[A-Za-z]"), F.lit(False)) & said
 
 
 def is_complete(progress, state) -> Column:
     return (code(progress) >= 0.999) & code(state).isin(*COMPLETE_STATES)
 
 
+def is_active(state) -> Column:
+    return code(state).isin(*ACTIVE_STATES)
+
+
 def is_fatal(state) -> Column:
     return code(state).isin(*FATAL_STATES)
 
@@ -189,6 +201,15 @@ def clean_fraction(c) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(code(c), F.lit(0.0)), F.lit(0.0))))
 
 
+def clean_ratio(c) -> Column:
+    """A ratio of 0 and more that a 4-byte float can hold; none for what is no number."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(GREATEST_FLOAT), F.nanvl(F.coalesce(code(c), F.lit(0.0)), F.lit(0.0))))
+
+
+def clean_count(c) -> Column:
+    return F.greatest(F.coalesce(code(c), F.lit(0)), F.lit(0))
+
+
 def trigrams(c) -> Column:
     """Distinct 3-grams of each alphanumeric word, lower-cased and padded with two blanks before and one after."""
     words = F.filter(F.split(F.lower(code(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

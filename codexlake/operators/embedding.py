@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexlake.cluster import ship
+from codexlake.functions.text import embed_text
+
 
-def backlog(articles: DataFrame, archives: DataFrame, vectors: DataFrame, most: int = 100_000) -> DataFrame:
-    """(archive, id, fifo): per ready and enabled archive its oldest articles without a vector, at most `most`."""
+def backlog(articles: DataFrame, archives: DataFrame, vectors: DataFrame, most: int = 100_000, as_of: Column | None = None, minutes: int = 10) -> DataFrame:
+    """(archive, id, fifo): per ready and enabled archive its oldest articles without a vector, at most `most`.
+
+    With `as_of`, articles that another run claimed (embed_at) within the last `minutes` are left to it.
+    """
+    if as_of is not None:
+        articles = articles.where(F.col("embed_at").isNull() | (F.col("embed_at") < as_of - F.expr(f"INTERVAL {minutes} MINUTE")))
     fit = archives.where("embed_enabled and index_status = 'ready'").select(F.col("name").alias("archive"))
     bare = articles.join(fit, "archive", "left_semi").join(vectors.select("id"), "id", "left_anti")
     return bare.withColumn("fifo", F.row_number().over(Window.partitionBy("archive").orderBy("id"))).where(F.col("fifo") <= most).select("archive", "id", "fifo")
@@ -39,6 +51,45 @@ def hashing_vectors(df: DataFrame, text: str, size: int = 64) -> DataFrame:
     return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
 
 
+def embed_articles(waiting: DataFrame, vectorise: Callable[[list[str]], list[list[float]]], size: int, batch: int = 64) -> DataFrame:
+    """(id, embedding, error) of texts (id, text) by a function that turns a list of texts into as many vectors.
+
+    It is called in the tasks, with `batch` texts at a time. A call that fails, or whose answer has not one finite vector
+    of `size` numbers for each text, gives its rows no vector and says why; the other calls go on. Null texts are empty.
+    """
+    ship(waiting.sparkSession)
+    rows = waiting.select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), batch):
+                part = b.slice(lo, batch)
+                try:
+                    found = np.array(vectorise(part.column(1).to_pylist()), np.float64)
+                    if found.shape != (len(part), size) or not np.isfinite(found).all():
+                        raise ValueError(f"expected {len(part)} finite vectors of {size}, got shape {found.shape}")
+                    vectors, error = list(found), None
+                except Exception as e:  # whatever the user's function raises is that batch's answer
+                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"[:500]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array([error] * len(part), pa.string())], names=["id", "embedding", "error"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<double>, error string")
+
+
+def embed_backlog(articles: DataFrame, archives: DataFrame, vectors: DataFrame, failures: DataFrame, vectorise: Callable[[list[str]], list[list[float]]], size: int, batch: int = 64, most: int = 100_000) -> DataFrame:
+    """(id, embedding, error) of one run over the backlog, without articles that failed three times (failures: id, seq, ok) since they last succeeded."""
+    left = backlog(articles, archives, vectors, most).join(poison(failures), "id", "left_anti").select("id")
+    snippet = F.col("snippet") if "snippet" in articles.columns else F.lit("")
+    return embed_articles(articles.join(left, "id").select("id", embed_text(snippet, "content_preview").alias("text")), vectorise, size, batch)
+
+
+def require_dimension(vectors: DataFrame, size: int) -> None:
+    """An error unless all stored vectors have this dimension; no vectors have any."""
+    other = [r.dimension for r in dimension_check(vectors.where("embedding is not null"), size).where("not fits").orderBy("dimension").collect()]
+    if other:
+        raise ValueError(f"vectors of {size} numbers are asked for, but there are some of {', '.join(map(str, other))}")
+
+
 def dimension_check(vectors: DataFrame, size: int) -> DataFrame:
     """(dimension, n, fits): how many vectors have each dimension, and whether it is the one asked for."""
     return vectors.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n")).withColumn("fits", F.col("dimension") == size)

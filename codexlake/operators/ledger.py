@@ -50,11 +50,11 @@ def admit(ledger: DataFrame, requests: DataFrame) -> DataFrame:
     return first.withColumn("m", F.row_number().over(Window.partitionBy("name").orderBy("req"))).where("m = 1").drop("u", "m")
 
 
-def name_conflicts(ledger: DataFrame) -> DataFrame:
-    """Live rows whose name another live row has too."""
+def name_conflicts(ledger: DataFrame, column: str = "name") -> DataFrame:
+    """Live rows whose name, or another column such as the file's path, another live row has too. Nulls conflict with nothing."""
     live = ledger.where(F.col("status").isin(*LIVE))
-    twice = live.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return live.join(twice, "name", "left_semi")
+    twice = live.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return live.join(twice, column, "left_semi")
 
 
 def newest_duplicate(ledger: DataFrame) -> DataFrame:
@@ -170,8 +170,10 @@ def apply_stats(ledger: DataFrame, stats: DataFrame, now: Column, idle_seconds:
 
 
 def requeue_interrupted(ledger: DataFrame) -> DataFrame:
-    """The ledger after a restart: direct downloads under way are queued again."""
-    return ledger.withColumn("status", F.when((F.col("status") == "downloading") & is_direct("url"), "queued").otherwise(F.col("status")))
+    """The ledger after a restart: direct downloads under way are queued again, without the path and error that they had."""
+    again = (F.col("status") == "downloading") & is_direct("url")
+    cleared = {c: F.when(~again, F.col(c)) for c in ("file_path", "error") if c in ledger.columns}
+    return ledger.withColumns(cleared | {"status": F.when(again, "queued").otherwise(F.col("status"))})
 
 
 def drain_cancelled(ledger: DataFrame) -> DataFrame:
@@ -215,6 +217,8 @@ def stats_changed(rows: DataFrame) -> DataFrame:
 
 
 def requeue(ledger: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Failed rows to try again: stale, with a passing error, the newest of their name, none active of it."""
+    """Failed rows to try again: stale, with a passing error, the newest of their name, none active of it, and not the third and more in a row with one message."""
+    told = ledger.where("error is not null").select(F.col("name").alias("key"), F.col("id").alias("seq"), F.col("error").alias("message"))
+    hopeless = error_streak(told).where("give_up").select(F.col("seq").alias("id"))
     fit = stale(ledger, as_of, ["error"]).where(retryable_error("error") & ~access_error("error"))
-    return newest_duplicate(ledger).join(fit.select("id"), "id", "left_semi")
+    return newest_duplicate(ledger).join(fit.select("id"), "id", "left_semi").join(hopeless, "id", "left_anti")

@@ -15,8 +15,9 @@ def list_archives(archives: DataFrame) -> DataFrame:
 
 
 def result_projection(articles: DataFrame) -> DataFrame:
-    """What a search result carries of an article: its preview is cut to SHOWN characters."""
-    return articles.select("id", "archive_id", "path", "title", F.left("content_preview", F.lit(SHOWN)).alias("content_preview"), "language", "archive")
+    """What a search result carries of an article: its snippet, and its preview cut to SHOWN characters. Articles without a column snippet have none."""
+    snippet = F.col("snippet") if "snippet" in articles.columns else F.lit(None).cast("string")
+    return articles.select("id", "archive_id", "path", "title", snippet.alias("snippet"), F.left("content_preview", F.lit(SHOWN)).alias("content_preview"), "language", "archive")
 
 
 def with_archive(articles: DataFrame, archives: DataFrame, *columns: str) -> DataFrame:
@@ -62,6 +63,14 @@ def names_to_ids(wanted: DataFrame, archives: DataFrame) -> DataFrame:
     return wanted.join(archives.select("name", "id"), "name", "left").select("name", "id", F.col("id").isNull().alias("unknown"))
 
 
+def required_ids(wanted: DataFrame, archives: DataFrame, shown: int = 20) -> DataFrame:
+    """(name, id) of each wanted name; names that no archive has are an error that lists the first of them."""
+    unknown = [r.name for r in wanted.select("name").distinct().join(archives.select("name"), "name", "left_anti").orderBy("name").limit(shown).collect()]
+    if unknown:
+        raise ValueError(f"no such archives: {', '.join(map(str, unknown))}")
+    return wanted.join(archives.select("name", "id"), "name").select("name", "id")
+
+
 def set_difference(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
     """(key, side): which keys were removed, added or are in both. One full join over the distinct keys of either side."""
     a, b = old.select(key).distinct().withColumn("_a", F.lit(True)), new.select(key).distinct().withColumn("_b", F.lit(True))
@@ -91,8 +100,8 @@ def flag_presence(rows: DataFrame, key: str, valid: Column, some: Column) -> Dat
 
 
 def integrity_report(ledger: DataFrame) -> DataFrame:
-    """(name, with_digest, drifted) of names that have a digest or a failed row."""
-    return ledger.groupBy("name").agg(F.count("digest").alias("with_digest"), F.count_if(F.col("status") == "error").alias("drifted")).where("with_digest > 0 or drifted > 0")
+    """(name, with_digest, drifted) of names that have a digest or a failed row, and under a null name the totals."""
+    return ledger.where("name is not null").rollup("name").agg(F.count("digest").alias("with_digest"), F.count_if(F.col("status") == "error").alias("drifted")).where("with_digest > 0 or drifted > 0")
 
 
 def wait_stats(waits: DataFrame, site: str, value: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.cluster import scratch, ship
-from codexlake.functions.text import similarity, tokens, trigrams
+from codexlake.functions.text import similarity, tokens, trigrams, truncate
 from codexlake.operators import websearch
 from codexlake.operators.cells import Cells, open_cells, search_cells, write_cells
 from codexlake.operators.grams import GramIndex, contains_indexed, prefix_indexed, similar_indexed
@@ -353,6 +353,12 @@ def hybrid_search(queries: DataFrame, articles: DataFrame, posted: DataFrame | I
     return out.withColumn("snippet", shown).drop("_text", "_snippet", "_words")
 
 
+def deep_search(queries: DataFrame, articles: DataFrame, posted: DataFrame | Inverted, texts: DataFrame, vectors: DataFrame | None = None, n: int = 5, most: int = 4000) -> DataFrame:
+    """(query_id, id, rank, body): the n best articles of each query by `hybrid_search`, 10 at most, with their whole texts (id, text) cut to `most` characters."""
+    best = hybrid_search(queries.drop("limit", "offset"), articles, posted, vectors, limit=min(n, 10))
+    return best.select("query_id", "id", "rank").join(texts.select("id", "text"), "id").select("query_id", "id", "rank", truncate("text", most).alias("body"))
+
+
 def suggest(queries: DataFrame, titles: DataFrame | GramIndex, limit: int = 10) -> DataFrame:
     """(query_id, id, score, grp, rank): titles by prefix first, then by content and similarity; at most 20."""
     n = min(limit, 20)

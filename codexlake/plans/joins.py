@@ -152,7 +152,7 @@ def _(spark, d):
     return B.flag_presence(table(spark, d, "embeddings"), "label", F.expr("vec_id % 4 = 0"), F.expr("vec_id % 2 = 0"))
 
 
-@query("A5_integrity_report", "SELECT name, count(digest) AS with_digest, count(*) FILTER (WHERE status = 'error') AS drifted FROM v_transfers GROUP BY name HAVING count(digest) > 0 OR count(*) FILTER (WHERE status = 'error') > 0")
+@query("A5_integrity_report", "SELECT name, count(digest) AS with_digest, count(*) FILTER (WHERE status = 'error') AS drifted FROM v_transfers GROUP BY ROLLUP (name) HAVING count(digest) > 0 OR count(*) FILTER (WHERE status = 'error') > 0")
 def _(spark, d):
     return B.integrity_report(view(spark, d, "v_transfers"))
 

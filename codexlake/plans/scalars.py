@@ -1,5 +1,7 @@
 """Queries over the scalar functions and predicates (P and C)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from codexlake.functions import text as X
@@ -129,16 +131,20 @@ def _(spark, d):
     return t.select("id", *[X.contains_text("t", F.lit(q)).alias(n) for q, n in (("50%", "percent"), ("a_b", "underscore"), ("c\\d", "backslash"))], X.starts_with_text("t", F.lit("red_")).alias("head"))
 
 
-@query("P3_result_projection", "SELECT id, archive_id, path, title, substring(content_preview, 1, 600) AS content_preview, language, archive FROM v_articles")
+@query("P3_result_projection", "SELECT id, archive_id, path, title, substring(content_preview, 1, 40) AS snippet, substring(content_preview, 1, 600) AS content_preview, language, archive FROM v_articles")
 def _(spark, d):
     from codexlake.operators.library import result_projection
 
-    return result_projection(view(spark, d, "v_articles"))
+    return result_projection(view(spark, d, "v_articles").withColumn("snippet", F.left("content_preview", F.lit(40))))
+
+
+_ABOUT = "CASE id % 4 WHEN 0 THEN concat(name, '_Wiki_') ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '1' || language ELSE language END AS language, CASE WHEN id % 5 = 1 THEN 'Texts of WikiPedia' END AS description, CASE WHEN id % 7 = 2 THEN 'wikipedia' ELSE 'wiki_' END AS publisher"
 
 
-@query("P4_is_wiki_archive", "SELECT name, regexp_matches(language, '^[A-Za-z]') AND (contains(lower(concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)), 'wikipedia') OR contains(lower(concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)), 'wiki_')) AS wiki FROM v_archives")
+@query("P4_is_wiki_archive", f"SELECT id, coalesce(regexp_matches(language, '^[A-Za-z]'), false) AND (contains(lower(name), 'wikipedia') OR contains(lower(name), 'wiki_') OR contains(lower(coalesce(description, '')), 'wikipedia') OR contains(lower(coalesce(publisher, '')), 'wikipedia')) AS wiki FROM (SELECT id, {_ABOUT} FROM v_archives)")
 def _(spark, d):
-    return view(spark, d, "v_archives").select("name", X.is_wiki_archive(F.expr("concat(name, CASE WHEN id % 2 = 0 THEN '_wiki_' ELSE '' END)"), "language").alias("wiki"))
+    about = view(spark, d, "v_archives").selectExpr("id", *re.split(r", (?=CASE)", _ABOUT))
+    return about.select("id", X.is_wiki_archive("name", "language", "description", "publisher").alias("wiki"))
 
 
 @query("P5_is_direct_url", "SELECT id, lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim' AS direct FROM v_transfers")
@@ -166,15 +172,16 @@ def _(spark, d):
     return active_work(view(spark, d, "v_transfers"))
 
 
-@query("P9_state_flags", "SELECT seq, progress >= 0.999 AND state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') AS complete, state IN ('error', 'missingFiles') AS fatal FROM v_listing")
+@query("P9_state_flags", "SELECT seq, progress >= 0.999 AND state IN ('uploading', 'stalledUP', 'pausedUP', 'forcedUP') AS complete, state IN ('downloading', 'forcedDL', 'stalledDL', 'metaDL', 'forcedMetaDL', 'checking', 'allocating', 'moving') AS active, state IN ('error', 'missingFiles') AS fatal FROM v_listing")
 def _(spark, d):
-    return view(spark, d, "v_listing").select("seq", X.is_complete("progress", "state").alias("complete"), X.is_fatal("state").alias("fatal"))
+    return view(spark, d, "v_listing").select("seq", X.is_complete("progress", "state").alias("complete"), X.is_active("state").alias("active"), X.is_fatal("state").alias("fatal"))
 
 
-@query("P10_sanitize_numeric", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, value / 100)) END AS progress FROM events")
+@query("P10_sanitize_numeric", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, value / 100)) END AS progress, CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4028234663852886e38 ELSE greatest(0.0, value - 50) END AS ratio, greatest(event_id % 7 - 3, 0) AS seeds FROM events")
 def _(spark, d):
     v = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 100)
-    return table(spark, d, "events").select("event_id", X.clean_fraction(v).alias("progress"))
+    r = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).when(F.col("event_id") % 4 == 1, F.lit(1e300)).otherwise(F.col("value") - 50)
+    return table(spark, d, "events").select("event_id", X.clean_fraction(v).alias("progress"), X.clean_ratio(r).alias("ratio"), X.clean_count(F.col("event_id") % 7 - 3).alias("seeds"))
 
 
 @query("P11_digest_valid", "SELECT id, digest IS NULL OR regexp_matches(concat(digest, digest), '^[0-9a-f]{64}$') AS valid FROM v_transfers")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codexlake.cluster import scratch
-from codexlake.functions.text import similarity, tokens, trigrams, truncate
+from codexlake.functions.text import similarity, tokens, trigrams
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
 from codexlake.operators.grams import open_gram_index, write_gram_index
@@ -229,10 +229,12 @@ def _(spark, d):
     return R.suggest(_q(spark, "red"), view(spark, d, "v_titles"), 20).select("id", F.round("score", 6).alias("score"), "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("M6_deep_search", f"WITH {_POST}, k AS (SELECT id, row_number() OVER (ORDER BY sum(w) DESC, id) AS rank FROM post WHERE token = 'der' GROUP BY id) SELECT k.id, k.rank, CASE WHEN length(text) > 4000 THEN concat(substring(text, 1, 4000), '…') ELSE text END AS body FROM k JOIN documents ON doc_id = k.id WHERE rank <= 5")
+@query("M6_deep_search", f"SELECT h.id, h.rank, CASE WHEN length(text) > 4000 THEN concat(substring(text, 1, 4000), '…') ELSE text END AS body FROM ({_hybrid_sql(('the', 'of'), 'src1', 5, 0, 1)}) h JOIN documents ON doc_id = h.id")
 def _(spark, d):
-    best = R.top_k(R.fts_match(_q(spark, "der"), R.postings(view(spark, d, "v_articles"))), 5, "fts")
-    return best.join(table(spark, d, "documents"), F.col("id") == F.col("doc_id")).select("id", F.col("arm_pos").cast("bigint").alias("rank"), truncate("text", 4000).alias("body"))
+    a = view(spark, d, "v_articles")
+    q = table(spark, d, "embeddings").where("vec_id = 1").select(F.lit(0).cast("bigint").alias("query_id"), F.lit("the of").alias("q"), F.lit("src1").alias("archive"), F.col("embedding").alias("vector"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.deep_search(q, a, R.postings(a), texts, _all_vectors(spark, d)).select("id", F.col("rank").cast("bigint").alias("rank"), "body")
 
 
 @query("M7_recent", "SELECT id, updated_at FROM v_transfers ORDER BY updated_at DESC, id LIMIT 500")

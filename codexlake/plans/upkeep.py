@@ -14,9 +14,12 @@ def _backlog(spark, d):
     return E.backlog(view(spark, d, "v_articles"), view(spark, d, "v_archives"), view(spark, d, "v_vectors"))
 
 
-@query("E1_backlog", f"WITH {_BACK} SELECT archive, id, fifo FROM b WHERE fifo <= 100000")
+@query("E1_backlog", "SELECT a.archive, a.id, row_number() OVER (PARTITION BY a.archive ORDER BY a.id) AS fifo FROM v_articles a JOIN v_archives z ON z.name = a.archive WHERE embed_enabled AND index_status = 'ready' AND NOT EXISTS (SELECT 1 FROM v_vectors v WHERE v.id = a.id) AND (a.id % 3 <> 0 OR a.id % 20 < 10)")
 def _(spark, d):
-    return _backlog(spark, d).withColumn("fifo", F.col("fifo").cast("bigint"))
+    # every third article was claimed within the last twenty minutes
+    a = view(spark, d, "v_articles").withColumn("embed_at", F.expr("CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(id % 20), 0) END"))
+    waiting = E.backlog(a, view(spark, d, "v_archives"), view(spark, d, "v_vectors"), as_of=F.expr("TIMESTAMP '2024-01-01 00:20:00'"))
+    return waiting.withColumn("fifo", F.col("fifo").cast("bigint"))
 
 
 @query("E3_assign_batches", f"WITH {_BACK} SELECT archive, id, (fifo - 1) // 8 AS batch FROM b WHERE fifo <= 100000")
@@ -87,7 +90,13 @@ def _(spark, d):
     return G.name_conflicts(view(spark, d, "v_transfers")).select("id")
 
 
-@query("L5_requeue_candidates", "WITH n AS (SELECT name, max(id) AS id FROM v_transfers t WHERE status = 'error' AND NOT EXISTS (SELECT 1 FROM v_transfers a WHERE a.name = t.name AND a.status IN ('queued', 'downloading')) GROUP BY name) SELECT t.id FROM v_transfers t JOIN n ON n.id = t.id WHERE regexp_matches(error, '(?i)connect|timeout|refused|unreachable|connection') AND NOT regexp_matches(error, '(^|[^\\p{L}\\p{N}])(401|403)([^\\p{L}\\p{N}]|$)')")
+@query("L4_path_owner", "SELECT id FROM (SELECT id, status, id % 700 AS p FROM v_transfers WHERE id % 5 <> 0) t WHERE status IN ('queued', 'downloading', 'complete', 'seeding') AND EXISTS (SELECT 1 FROM v_transfers o WHERE o.id % 5 <> 0 AND o.id % 700 = t.p AND o.id <> t.id AND o.status IN ('queued', 'downloading', 'complete', 'seeding'))")
+def _(spark, d):
+    t = view(spark, d, "v_transfers").withColumn("file_path", F.expr("CASE WHEN id % 5 <> 0 THEN concat('/z/', id % 700) END"))
+    return G.name_conflicts(t, "file_path").select("id")
+
+
+@query("L5_requeue_candidates", "WITH n AS (SELECT name, max(id) AS id FROM v_transfers t WHERE status = 'error' AND NOT EXISTS (SELECT 1 FROM v_transfers a WHERE a.name = t.name AND a.status IN ('queued', 'downloading')) GROUP BY name), e AS (SELECT id, error = lag(error) OVER o AND error = lag(error, 2) OVER o AS third FROM v_transfers WHERE error IS NOT NULL WINDOW o AS (PARTITION BY name ORDER BY id)) SELECT t.id FROM v_transfers t JOIN n ON n.id = t.id JOIN e ON e.id = t.id WHERE NOT coalesce(third, false) AND regexp_matches(error, '(?i)connect|timeout|refused|unreachable|connection') AND NOT regexp_matches(error, '(^|[^\\p{L}\\p{N}])(401|403)([^\\p{L}\\p{N}]|$)')")
 def _(spark, d):
     t = view(spark, d, "v_transfers")
     return G.requeue(t, G.as_of_last(t)).select("id")
@@ -145,9 +154,10 @@ def _(spark, d):
     return G.reconcile(t, view(spark, d, "v_listing"), G.as_of_last(t))
 
 
-@query("L10_interrupted_to_queued", "SELECT id, CASE WHEN status = 'downloading' AND lower(trim(regexp_replace(url, '[?#].*$', ''))) LIKE '%.zim' THEN 'queued' ELSE status END AS status FROM v_transfers")
+@query("L10_interrupted_to_queued", f"SELECT id, CASE WHEN w THEN 'queued' ELSE status END AS status, CASE WHEN NOT w THEN '/z/' || id END AS file_path, CASE WHEN NOT w THEN 'e' || id END AS error FROM (SELECT *, status = 'downloading' AND {_DIRECT.format('url')} AS w FROM v_transfers)")
 def _(spark, d):
-    return G.requeue_interrupted(view(spark, d, "v_transfers")).select("id", "status")
+    t = view(spark, d, "v_transfers").withColumns({"file_path": F.concat(F.lit("/z/"), "id"), "error": F.concat(F.lit("e"), "id")})
+    return G.requeue_interrupted(t).select("id", "status", "file_path", "error")
 
 
 @query("L11_drain_cancelled", "SELECT id, CASE WHEN status = 'cancelled' THEN NULL ELSE digest END AS digest FROM v_transfers")

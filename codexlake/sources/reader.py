@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,6 +25,39 @@ def read_pages(spark: SparkSession, path: str, mime: str | Column = "text/html")
     return spark.read.parquet(path).withColumn("mime", F.lower(F.lit(mime) if isinstance(mime, str) else mime)).where(F.col("mime").startswith("text/"))
 
 
+_CHARSET = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)|<\?xml[^>]+encoding\s*=\s*["']([A-Za-z0-9_.:-]+)""", re.I)
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def decoded(raw: bytes) -> str | None:
+    """The text of a file by its byte order mark, or the encoding that its first 1024 bytes declare, else UTF-8; None if it is no text."""
+    charset = next((name for mark, name in _MARKS if raw.startswith(mark)), None)
+    if charset is None:
+        if b"\0" in raw[:1024]:
+            return None
+        said = _CHARSET.search(raw[:1024])
+        charset = (said[1] or said[2]).decode() if said else "utf-8"
+    try:
+        return raw.decode(charset, "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
+def read_html_folder(spark: SparkSession, folder: str, files: str = "*") -> DataFrame:
+    """(page_id, url, html) of the text files in a folder and those below it; what a file is shows in its content, not in its name.
+
+    page_id is a hash of the path, which is the url. A page is one cell, so files are those of single pages.
+    """
+    ship(spark)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", "true").load(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decoded(x) for x in b.column(1).to_pylist()], pa.string())], names=["url", "html"])
+
+    return found.select("path", "content").mapInArrow(run, "url string, html string").where("html is not null").select(F.xxhash64("url").alias("page_id"), "url", "html")
+
+
 def read_snapshot(spark: SparkSession, folder: str, files: str = "*.[zZ][iI][mM]") -> DataFrame:
     """(name, path, mtime, size) of the archives in a folder, without reading them; `files` is the pattern of their names."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder)

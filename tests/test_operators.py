@@ -381,3 +381,58 @@ def test_equal_snapshots_do_nothing(spark, tmp_path):
     path = str(tmp_path / "s")
     assert [V.write_snapshot(a, path, 0), V.write_snapshot(a.orderBy(F.desc("a")), path, 1), V.write_snapshot(a.distinct(), path, 2), V.write_snapshot(a.limit(0), path, 3), V.write_snapshot(a.limit(0), path, 4)] == [True, False, True, True, False]
     assert V.versions(spark, path) == [2, 3] and V.read_version(spark, path, "a bigint, b string").count() == 0 and V.read_version(spark, path, version=2).count() == 2
+
+
+def test_vectoriser_of_the_user(spark):
+    """Batches that fail give their ids back; three failures take an article out, and the others go on."""
+    articles = spark.createDataFrame([(i, "a", f"text {i}") for i in range(30)], "id bigint, archive string, content_preview string").repartition(1).sortWithinPartitions("id")
+    archives = spark.createDataFrame([("a", True, "ready")], "name string, embed_enabled boolean, index_status string")
+    vectors, failed = spark.createDataFrame([], "id bigint, embedding array<double>"), spark.createDataFrame([], "id bigint, seq bigint, ok int")
+
+    def vectorise(texts):
+        if any(t.strip() == "text 7" for t in texts):
+            raise RuntimeError("overloaded")
+        return [[1.0, float("nan") if t.strip() == "text 20" else len(t)] for t in texts]
+
+    for run in range(4):
+        got = E.embed_backlog(articles, archives, vectors, failed, vectorise, 2, batch=10).collect()
+        bad = sorted(r.id for r in got if r.embedding is None)
+        assert all((r.error is None) == (r.embedding is not None) for r in got)
+        if run < 3:
+            assert {7, 20} <= set(bad) and len(got) == (30 if run == 0 else len(left))
+        else:
+            assert not got
+        left = set(bad)
+        vectors = vectors.union(spark.createDataFrame([(r.id, r.embedding) for r in got if r.embedding], vectors.schema))
+        failed = failed.union(spark.createDataFrame([(i, run, 0) for i in bad], failed.schema))
+    assert any("overloaded" in r.error for r in E.embed_articles(articles.selectExpr("id", "content_preview AS text"), vectorise, 2, 10).where("error is not null").collect())
+    with pytest.raises(ValueError, match="some of 3"):
+        E.require_dimension(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0] * 3), (3, None)], "id bigint, embedding array<double>"), 2)
+    E.require_dimension(vectors.limit(0), 2)
+
+
+def test_html_files_by_their_content(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.html").write_bytes('<html><head><meta charset="iso-8859-1"><title>Caf\xe9</title></head><p>d\xe9j\xe0 vu</p>'.encode("latin-1"))
+    (tmp_path / "b").write_bytes("<title>Größe</title><p>straße</p>".encode())
+    (tmp_path / "sub" / "c.txt").write_bytes("<title>x</title><p>字</p>".encode("utf-16"))
+    (tmp_path / "d.html").write_bytes(b"\x89PNG\0\0\0")
+    (tmp_path / "e.html").write_bytes(b"<meta charset=nonsense><title>y</title><p>z</p>")
+    pages = reader.read_html_folder(spark, str(tmp_path))
+    got = sorted((r.title, r.content_preview) for r in reader.pages_to_articles(pages).collect())
+    assert got == [("Café", "déjà vu"), ("Größe", "straße"), ("x", "字"), ("y", "z")] and pages.select("page_id").distinct().count() == 4
+
+
+def test_unknown_names_are_listed(spark):
+    from codexlake.operators.library import required_ids
+
+    archives = spark.createDataFrame([("a", 1), ("b", 2)], "name string, id int")
+    assert sorted(map(tuple, required_ids(archives.select("name"), archives).collect())) == [("a", 1), ("b", 2)]
+    with pytest.raises(ValueError, match="no such archives: x, y"):
+        required_ids(spark.createDataFrame([("y",), ("a",), ("x",)], "name string"), archives)
+
+
+def test_third_failure_of_one_message_gives_up(spark):
+    rows = [(1, "a", "error", "timeout"), (2, "a", "error", "timeout"), (3, "a", "error", "timeout"), (4, "b", "error", "timeout"), (5, "b", "error", "refused"), (6, "b", "error", "timeout")]
+    ledger = spark.createDataFrame(rows, "id bigint, name string, status string, error string").withColumn("updated_at", F.expr("TIMESTAMP '2024-01-01'"))
+    assert [r.id for r in G.requeue(ledger, spark.sql("SELECT TIMESTAMP '2024-01-02' AS as_of")).collect()] == [6]
