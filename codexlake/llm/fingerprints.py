@@ -196,4 +196,5 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all `documents` and of their edited texts. Ids must be whole numbers; null and empty texts, repeats, null ids and an empty table as in `compare_with_edits`."""
     return compare_with_edits(table(spark, sf_dir, "documents"))

@@ -177,4 +177,5 @@ def pack(docs: DataFrame, cap: Capacity = Capacity(), tokenizer: str = TOKENIZER
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of all `documents`. Ids must be whole numbers; null, empty and very long texts, repeats and an empty table as in `pack`."""
     return pack(table(spark, sf_dir, "documents"))

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, and on odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -400,6 +401,58 @@ def test_classifiers(spark, odd, none):
         assert toxicity.score(odd, model, features, threshold).count() == len(ODD) and toxicity.score(none, model, features, threshold).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_word(word):
+    return plain_mix((sum((c + 1) * pow(0x100000001B3, k, 1 << 64) for k, c in enumerate(word)) + len(word) * 0x9E3779B97F4A7C15) & M64)
+
+
+def plain_toxic(text):
+    w = []
+    for x in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()):
+        inner = re.search(rb"[0-9a-z\x80-\xff](?:.*[0-9a-z\x80-\xff])?", x, re.S)
+        w.append(plain_word(inner[0] if inner else x))
+    pairs = [plain_mix((w[k] * f + w[k + gap]) & M64) for gap, f in ((1, 0xD6E8FEB86659FD93), (2, 0xA5A3564E27F8862B)) for k in range(len(w) - gap)]
+    bits = toxicity.SETTINGS.bits
+    tagged = {((g >> (64 - bits) << 1) | pair) & ((1 << bits) - 1) for grams, pair in ((w, 0), (pairs, 1)) for g in grams}
+    return {i: float(np.float32(toxicity.PAIR_VALUE)) if i & 1 else 1.0 for i in tagged}
+
+
+def plain_quality(text):
+    found = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    w = [plain_word(x.lower()) for x in found]
+    kind = lambda c: 1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else c
+    shape = [plain_word(bytes(k for k, _ in itertools.groupby(kind(c) for c in x))) for x in found]
+    grams = w + [plain_mix((s + 1) & M64) for s in shape] + [plain_mix((a * 0xD6E8FEB86659FD93 + b) & M64) for a, b in itertools.pairwise(shape)] + [plain_mix((a == b) + 77) for a, b in itertools.pairwise(w)]
+    return {i: math.sqrt(n / len(w)) for i, n in Counter(g >> (64 - quality.SETTINGS.bits) for g in grams).items()}
+
+
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_scores_rebuilt_plainly(spark, docs, kind):
+    """Features and scores of every text, one word after the other."""
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    op, plain, threshold = (toxicity, plain_toxic, 0.5) if kind == "toxic" else (quality, plain_quality, 0.3)
+    model = (op.fit_toxicity if kind == "toxic" else op.fit_quality)(docs, labels)
+    weights = dict(zip(model.index.tolist(), map(float, model.weight), strict=True))
+    both = docs.select("doc_id", "text").union(spark.createDataFrame([(i + 10**6 if i is not None else None, t) for i, t in ODD], SCHEMA))
+    got = linear.score(both.withColumn("doc_id", F.monotonically_increasing_id()), model, op.features, threshold).collect()
+    texts = {r.k: r.text for r in both.withColumn("k", F.monotonically_increasing_id()).collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        z = sum(weights.get(i, 0.0) * v for i, v in plain(texts[r.doc_id]).items()) + model.bias
+        want = 1 / (1 + math.exp(-max(-35, min(35, z))))
+        assert abs(r.score - want) < 1e-5 and (r.predicted == int(r.score >= threshold)) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_labels_of_unknown_ids_use_up_no_bound(spark, docs):
     labels = spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", "quality", "toxic")
     unknown = spark.range(1_000_000, 1_060_000).select(F.col("id").alias("doc_id"), F.lit(1).cast(labels.schema["quality"].dataType).alias("quality"), F.lit(1).cast(labels.schema["toxic"].dataType).alias("toxic"))
