@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codexlake.cluster import scratch
-from codexlake.functions.text import similarity, tokens, trigrams
+from codexlake.functions.text import similarity, trigrams
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
 from codexlake.operators.grams import open_gram_index, write_gram_index
