@@ -436,3 +436,20 @@ def test_third_failure_of_one_message_gives_up(spark):
     rows = [(1, "a", "error", "timeout"), (2, "a", "error", "timeout"), (3, "a", "error", "timeout"), (4, "b", "error", "timeout"), (5, "b", "error", "refused"), (6, "b", "error", "timeout")]
     ledger = spark.createDataFrame(rows, "id bigint, name string, status string, error string").withColumn("updated_at", F.expr("TIMESTAMP '2024-01-01'"))
     assert [r.id for r in G.requeue(ledger, spark.sql("SELECT TIMESTAMP '2024-01-02' AS as_of")).collect()] == [6]
+
+
+def test_titles_are_never_broadcast_and_equal_ones_scored_once(spark, tmp_path):
+    """Spark takes the titles' grams for as small as their file; the batch's own are broadcast. Of copies the smallest ids stand in each query's best rows."""
+    rows = [(i, ["red bolt", "red bolts", "blue anvil", "big red bolt", ""][i * 7 % 5]) for i in range(300)] + [(400, None)]
+    spark.createDataFrame(rows, "id bigint, title_lower string").write.parquet(str(tmp_path / "titles"))
+    titles = spark.read.parquet(str(tmp_path / "titles"))
+    q = asked(spark, "red bolt", "RED BOLT", "blue", None, "anvil", "red bolt")
+    for f in (lambda: R.similar_titles(q, titles), lambda: R.prefix_scores(q, titles, 1.0), lambda: R.contains_scores(q, titles, 1.0)):
+        plan = f()._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    whole = {"similarity": R.similar_titles(q, titles).withColumnRenamed("sim", "score"), "prefix": R.prefix_scores(q, titles, 1.0), "contains": R.contains_scores(q, titles, 1.0)}
+    arms = {"similarity": R.similarity_arm(q, titles, 70, weight=1.0), "prefix": R.prefix_arm(q, titles, 70, 1.0), "contains": R.contains_arm(q, titles, 70, 1.0)}
+    key = lambda df: sorted((r.query_id, r.arm_pos, r.id, round(r.score, 9)) for r in df.collect())
+    for arm, scored in whole.items():
+        assert key(arms[arm]) == key(R.top_k(scored, 70, arm)) != []
+    assert R._alike(titles, 70).once.count() == 5
