@@ -8,6 +8,7 @@ from codexlake.operators import cells as C_
 from codexlake.operators import embedding as E
 from codexlake.operators import grams as G_
 from codexlake.operators import ledger as G
+from codexlake.operators import library as B
 from codexlake.operators import lookup as L
 from codexlake.operators import retrieval as R
 from codexlake.operators import websearch as W
@@ -15,6 +16,7 @@ from codexlake.plans import search  # noqa: F401  it registers its queries
 from codexlake.plans.registry import QUERIES
 from codexlake.sources import reader
 from codexlake.sources import versions as V
+from codexlake.sources.views import view
 
 COLOURS, THINGS = ["teal", "ochre", "mauve", "sepia"], ["kettle", "ladder", "piano", "rudder", "sickle", "thimble"]
 
@@ -453,3 +455,19 @@ def test_titles_are_never_broadcast_and_equal_ones_scored_once(spark, tmp_path):
     for arm, scored in whole.items():
         assert key(arms[arm]) == key(R.top_k(scored, 70, arm)) != []
     assert R._alike(titles, 70).once.count() == 5
+
+
+def test_cross_language_in_blocks(spark, monkeypatch):
+    """Entities with many links meet block by block, each pair once; a link whose article is missing keeps a null title, one without an entity meets nothing."""
+    monkeypatch.setattr(B, "BLOCK", 3)
+    linked = [(i % 4, f"p{i}", i % 3 if i % 11 else None) for i in range(60)]
+    links = spark.createDataFrame(linked, "archive_id int, path string, qid bigint")
+    archives = spark.createDataFrame([(i, f"a{i}") for i in range(4)], "id int, name string")
+    articles = spark.createDataFrame([(a, p, f"T{p}") for a, p, _ in linked if p != "p7"], "archive_id int, path string, title string")
+    got = sorted(tuple(r) for r in B.cross_language(links, archives, articles).select("path", "qid", "archive", "other_path", F.coalesce("title", F.lit("-"))).collect())
+    assert got == sorted((p, f"Q{q}", f"a{b}", o, f"T{o}" if o != "p7" else "-") for a, p, q in linked for b, o, r in linked if q is not None and q == r and a != b)
+
+
+def test_texts_do_not_move_to_meet_archives(spark):
+    """Articles take their archive from a broadcast, so that texts are not shuffled."""
+    assert "SortMergeJoin" not in view(spark, "/root/testdata/sf0.001", "v_articles")._jdf.queryExecution().executedPlan().toString()
