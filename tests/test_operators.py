@@ -471,3 +471,13 @@ def test_cross_language_in_blocks(spark, monkeypatch):
 def test_texts_do_not_move_to_meet_archives(spark):
     """Articles take their archive from a broadcast, so that texts are not shuffled."""
     assert "SortMergeJoin" not in view(spark, "/root/testdata/sf0.001", "v_articles")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_meet_few_terms_without_a_shuffle(spark, corpus):
+    """A batch's terms are broadcast, so a frequent word's postings do not land in one task; only what lies in a query's scope is scored."""
+    terms = W.parsed(asked(spark, "mauve piano"))
+    posted = R.postings(corpus)
+    assert "SortMergeJoin" not in W.met(terms, posted)._jdf.queryExecution().executedPlan().toString()
+    every = {(r.id, round(r.score, 9)) for r in W.ranked(terms, posted).collect()}
+    some = {(r.id, round(r.score, 9)) for r in W.ranked(terms, posted, within=lambda found: found.where("id % 3 = 0")).collect()}
+    assert some == {x for x in every if x[0] % 3 == 0} and 0 < len(some) < len(every)
