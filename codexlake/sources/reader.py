@@ -16,6 +16,8 @@ from codexlake.functions.text import collapse_newlines, derive_title, entity_id,
 
 #: Bounds of what is read of a page, and the tags that end a line or hide what they hold.
 HEAD_BYTES, TEXT_CHARS = 256 * 1024, 64_000
+#: Characters of texts whose chunks a task holds before it sends them on.
+CHUNKED = 1 << 20
 BLOCK_TAGS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav blockquote pre hr td th title".split())
 HIDDEN_TAGS = frozenset(("script", "style", "noscript", "template"))
 
@@ -169,14 +171,25 @@ def chunk_text(text: str, size: int = 1000, overlap: int = 200) -> list[tuple[in
 
 
 def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(doc_id, index, start, end, chunk) of every text."""
+    """(doc_id, index, start, end, chunk) of every text; a task sends the chunks on after CHUNKED characters of texts."""
     ship(docs.sparkSession)
+    chunk = size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, *c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(chunk_text(t or "", size, overlap))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "index", "start", "end", "chunk"])
+            rows, size = [], 0
+            for d, t in zip(b.column(0), b.column(1), strict=True):
+                text = t.as_py() or ""
+                rows += [(d.as_py(), i, *c) for i, c in enumerate(chunk_text(text, size=chunk, overlap=overlap))]
+                size += len(text)
+                if size >= CHUNKED:
+                    yield batched(rows)
+                    rows, size = [], 0
+            yield batched(rows)
+
+    def batched(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "index", "start", "end", "chunk"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, index int, start bigint, end bigint, chunk string")
