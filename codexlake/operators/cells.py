@@ -25,6 +25,8 @@ SAMPLE, ROUNDS = 100_000, 10
 LEAST_CELLS, PIECES, CELLS_A_PART, PROBED = 100, 16, 16, 0.5
 #: Ids that a query compares exactly, at least and for each row that it asks for.
 RERANKED, RERANKED_EACH = 200, 20
+#: Guesses that a task gathers, about, before it keeps each query's best of them.
+MOST_PENDING = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -130,6 +132,15 @@ def search_cells(queries: DataFrame, index: Cells, k: int, probes: int | None =
     return reduce(DataFrame.unionByName, [_searched(marked.where(F.col("_part") == i), index, k, probes, rerank) for i in range(parts)])
 
 
+def _best(asked: list[np.ndarray], score: list[np.ndarray], row: list[np.ndarray], rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's `rerank` best guesses; of equal ones the first."""
+    a, s, r = (np.concatenate(x) for x in (asked, score, row))
+    order = np.lexsort((-s, a))
+    a, s, r = a[order], s[order], r[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < rerank
+    return a[keep], s[keep], r[keep]
+
+
 def _searched(queries: DataFrame, index: Cells, k: int, probes: int, rerank: int) -> DataFrame:
     spark = queries.sparkSession
     rows = queries.toArrow()
@@ -164,12 +175,11 @@ def _searched(queries: DataFrame, index: Cells, k: int, probes: int, rerank: int
                     asked.append(np.repeat(part, top.shape[1]))
                     score.append(np.take_along_axis(s, top, 1).ravel())
                     row.append(inside[top].ravel() + len(best[0]))
-            a, s, r = (np.concatenate(x) for x in (asked, score, row))
-            order = np.lexsort((-s, a))
-            a, s, r = a[order], s[order], r[order]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < rerank
-            ids = pa.concat_arrays([*best[2], b.column(1)]).take(pa.array(r[keep]))
-            best = (a[keep], s[keep], [ids])
+                if sum(map(len, asked)) > MOST_PENDING:
+                    asked, score, row = ([x] for x in _best(asked, score, row, rerank))
+            a, s, r = _best(asked, score, row, rerank)
+            ids = pa.concat_arrays([*best[2], b.column(1)]).take(pa.array(r))
+            best = (a, s, [ids])
         if n and len(best[0]):
             yield pa.RecordBatch.from_arrays([pa.array(best[0]), best[2][0], pa.array(best[1].astype(np.float64))], names=["asked", "id", "guess"])
 

@@ -500,3 +500,18 @@ def test_products_and_chunks_in_bounded_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, None if i == 3 else "word " * i * 9) for i in range(20)], "doc_id bigint, text string")
     rows = [tuple(r) for r in reader.chunks(docs, 100, 20).collect()]
     assert sorted(rows) == [(i, k, *c) for i in range(20) if i != 3 for k, c in enumerate(reader.chunk_text("word " * i * 9, 100, 20))]
+
+
+def test_guesses_are_kept_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """A task that keeps the best of few guesses at a time finds the same rows."""
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, embedding array<double>").coalesce(1)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    C_.write_cells(v, str(tmp_path / "cells"), 10)
+    index = C_.open_cells(spark, str(tmp_path / "cells"))
+    rows = lambda: sorted(tuple(r) for r in C_.search_cells(q, index, 5, rerank=20).collect())
+    whole = rows()
+    monkeypatch.setattr(C_, "MOST_PENDING", 30)
+    assert rows() == whole and len(whole) == 40
