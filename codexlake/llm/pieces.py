@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from codexlake.llm.common import only, prepare, table
@@ -177,7 +178,8 @@ class Pieces:
         extra = np.flatnonzero(alone)
         begin, end, piece = np.concatenate([begin, extra]), np.concatenate([end, extra + 1]), np.concatenate([piece, np.full(len(extra), self.unknown)])
         at = end - starts[segment[begin]]
-        by = np.argsort(at, kind="stable")
+        # whole numbers of 16 bits are sorted by radix
+        by = np.argsort(at.astype(np.uint16) if not len(lens) or lens.max() < 1 << 16 else at, kind="stable")
         begin, end, piece, at = begin[by], end[by], piece[by], at[by]
         chosen, back = np.full(len(text) + 1, -1, np.int64), np.full(len(text) + 1, -1, np.int64)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) if len(at) else np.zeros(1, np.int64)
@@ -205,17 +207,23 @@ class Pieces:
         ids, own, spots = np.concatenate(found_id)[by], np.concatenate(found_seg)[by], spots[by]
         return ids, spots + 1 - starts[own], np.searchsorted(own, np.arange(len(segments) + 1))
 
-    def spelled(self, ids: np.ndarray, ends: np.ndarray, segment: str) -> np.ndarray:
-        """The ids of one segment, its unknown symbols as their bytes."""
-        if not (ids == self.unknown).any():
-            return ids
-        return np.concatenate([self.byte[list(segment[e - 1].encode())] if i == self.unknown else [i] for i, e in zip(ids.tolist(), ends.tolist(), strict=True)]).astype(np.int64)
+    def spelled(self, ids: np.ndarray, ends: np.ndarray, cuts: np.ndarray, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts) of what `match` found in segments, unknown symbols as their bytes."""
+        gone = np.flatnonzero(ids == self.unknown)
+        if not len(gone):
+            return ids, cuts
+        own = np.searchsorted(cuts, gone, "right") - 1
+        raw = [segments[k][e - 1].encode() for k, e in zip(own.tolist(), ends[gone].tolist(), strict=True)]
+        size = np.ones(len(ids), np.int64)
+        size[gone] = list(map(len, raw))
+        out = np.repeat(ids, size)
+        out[out == self.unknown] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return out, np.concatenate([[0], np.cumsum(size)])[cuts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; equal segments of a batch are encoded once."""
-        known: dict[str, int] = {}
-        runs = [[known.setdefault(s, len(known)) for s in _SEGMENT.findall(BLANK + t.replace(" ", BLANK))] if t else [] for t in texts]
-        segments, room = list(known), WINDOW + OVERLAP
+        segments, flat, runs = segmented(texts)
+        room = WINDOW + OVERLAP
         size = np.fromiter(map(len, segments), np.int64, len(segments))
         blank = np.fromiter((s.startswith(BLANK * 2) for s in segments), bool, len(segments))
         # where each segment's ids are in all of them laid end to end
@@ -233,24 +241,23 @@ class Pieces:
             lay(k, np.array([i for p in self.merge(segments[k])[0] for i in ([self.id[p]] if p in self.id else self.byte[list(p.encode())])], np.int64))
         short = np.flatnonzero(~blank & (size <= room))
         for batch in np.split(short, np.searchsorted(np.cumsum(size[short]), np.arange(INDEX_CHARS, int(size[short].sum()), INDEX_CHARS))):
-            ids, ends, cuts = self.match([segments[k] for k in batch.tolist()])
+            some = [segments[k] for k in batch.tolist()]
+            ids, cuts = self.spelled(*self.match(some), some)
             start[batch], count[batch] = total + cuts[:-1], np.diff(cuts)
             laid.append(ids)
             total += len(ids)
-            for n in np.unique(np.searchsorted(cuts, np.flatnonzero(ids == self.unknown), "right") - 1).tolist():
-                lay(int(batch[n]), self.spelled(ids[cuts[n] : cuts[n + 1]], ends[cuts[n] : cuts[n + 1]], segments[batch[n]]))
         for k in np.flatnonzero(~blank & (size > room)).tolist():
             begins, windows = range(0, len(segments[k]) - OVERLAP, WINDOW), []
             for lo in range(0, len(begins), INDEX_CHARS // room):
                 some = begins[lo : lo + INDEX_CHARS // room]
                 ids, ends, cuts = self.match([segments[k][at : at + room] for at in some])
                 windows += [(at, ids[a:b], ends[a:b] + at) for at, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            lay(k, self.spelled(*self.joined(segments[k], windows), segments[k]))
-        every, flat = np.concatenate(laid), np.fromiter((k for run in runs for k in run), np.int64)
-        own = count[flat]
+            ids, ends = self.joined(segments[k], windows)
+            lay(k, self.spelled(ids, ends, np.array([0, len(ids)]), [segments[k]])[0])
+        every, own = np.concatenate(laid), count[flat]
         place = np.arange(int(own.sum())) + np.repeat(start[flat] - (np.cumsum(own) - own), own)
-        last = np.cumsum(np.bincount(np.repeat(np.arange(len(runs)), [len(r) for r in runs]), weights=own, minlength=len(runs))).astype(np.int64) if runs else []
-        return np.split(every[place], last[:-1]) if runs else []
+        last = np.concatenate([[0], np.cumsum(own)])[np.cumsum(runs)]
+        return np.split(every[place], last[:-1]) if len(runs) else []
 
     def seams(self, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, int]]:
         """For each window, where its chain and the next one's may be joined: the last piece to keep and the first to go on with; windows without such a place are left out."""
@@ -322,21 +329,53 @@ class Pieces:
         return out.removeprefix(" ")
 
 
+def segmented(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct segments of some texts, which of them follow each other in all texts, and how many there are in each text.
+
+    Every segment begins with a blank. Where no further blank follows that one, the segments are what lies between
+    blanks, which Arrow cuts and numbers; texts with blanks at the beginning or side by side are cut by the pattern.
+    """
+    named = pa.array(texts, pa.large_string())
+    named = pc.replace_substring(named, BLANK, " ") if pc.any(pc.match_substring(named, BLANK)).as_py() else named
+    odd = pc.or_(pc.starts_with(named, " "), pc.match_substring(named, "  ")).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(named), 0).to_numpy(zero_copy_only=False)
+    plain, rest = np.flatnonzero(full & ~odd), np.flatnonzero(odd)
+    cut = pc.split_pattern(named.take(pa.array(plain)), " ")
+    by_pattern = [[s[1:] for s in _SEGMENT.findall(BLANK + named[k].as_py().replace(" ", BLANK))] for k in rest.tolist()]
+    runs = np.zeros(len(texts), np.int64)
+    runs[plain], runs[rest] = pc.list_value_length(cut).to_numpy(zero_copy_only=False), list(map(len, by_pattern))
+    coded = pa.concat_arrays([cut.flatten(), pa.array([s for found in by_pattern for s in found], pa.large_string())]).dictionary_encode()
+    flat = coded.indices.to_numpy().astype(np.int64)
+    if len(rest):
+        flat = flat[np.argsort(np.repeat(np.concatenate([plain, rest]), runs[np.concatenate([plain, rest])]), kind="stable")]
+    return [BLANK + s for s in coded.dictionary.to_pylist()], flat, runs
+
+
 def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by the first `depth` characters, by doubling, and these characters in its order; suffixes end at their segment's end."""
+    """Suffix array by the first `depth` characters, by doubling, and these characters in its order; suffixes end at their segment's end.
+
+    As long as the ranks of two halves fit into 64 bits side by side they are set so, and only then ranked anew by a sort.
+    """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, f"U{depth}")
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    seen = np.unique(text)
+    rank, width = np.searchsorted(seen, text).astype(np.uint64) + np.uint64(1), len(seen).bit_length()
     step = 1
     while step < depth:
-        ahead = np.arange(n) + step
-        second = np.where(ahead < stop, rank[np.minimum(ahead, n - 1)], 0)
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-    order = np.argsort(rank, kind="stable")
-    grid = order[:, None] + np.arange(depth)[None, :]
-    chars = np.where(grid < stop[order][:, None], text[np.minimum(grid, n - 1)], 0).astype(np.uint32)
+        if 2 * width > 64:
+            order = np.argsort(rank)
+            new = np.concatenate([[True], rank[order[1:]] != rank[order[:-1]]])
+            rank[order] = np.cumsum(new).astype(np.uint64)
+            width = int(new.sum()).bit_length()
+        second = np.zeros(n, np.uint64)
+        second[:-step] = rank[step:]
+        second[np.arange(n) + step >= stop] = 0
+        rank = rank << np.uint64(width) | second
+        width, step = 2 * width, 2 * step
+    order = np.argsort(rank)
+    chars = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth - 1, np.uint32)]), depth)[order]
+    chars[np.arange(depth) >= (stop[order] - order)[:, None]] = 0
     return order, np.ascontiguousarray(chars).view(f"U{depth}").ravel()
 
 

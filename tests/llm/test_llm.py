@@ -558,6 +558,30 @@ def test_pieces_of_long_runs():
         assert time.perf_counter() - began < 15
 
 
+def test_pieces_segments_and_suffixes_are_cheap(monkeypatch):
+    # Arrow cuts what has no blanks side by side, as the pattern does; only other texts go to the pattern
+    pattern, asked = pieces._SEGMENT, []
+    texts = ["", "a b a", "a ", " a", "a  b a", " ", "  ", "▁", "a▁b", "a▁ b", "\x00 é\n漢", "a b a"]
+    monkeypatch.setattr(pieces, "_SEGMENT", type("Counted", (), {"findall": lambda _, t: asked.append(t) or pattern.findall(t)})())
+    segments, flat, runs = pieces.segmented(texts)
+    want = [pattern.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    assert [segments[k] for k in flat] == [s for w in want for s in w] and list(runs) == list(map(len, want))
+    assert len(segments) == len(set(segments)) and sorted(asked) == sorted("▁" + t.replace(" ", "▁") for t in (" a", "a  b a", " ", "  ", "▁", "a▁ b"))
+    # 16 letters of a small alphabet take two sorts
+    rng, sorts, sort = np.random.default_rng(3), [], np.argsort
+    for letters, most in ((40, 2), (3, 1), (60_000, 4)):
+        text = (rng.integers(1, letters + 1, 3000) * (1 if letters > 99 else rng.integers(0, 2, 3000))).astype(np.uint32) + 1
+        stop = np.repeat(np.arange(1, 301) * 10, 10)
+        stop[1000:] = 3000
+        monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or sort(*a, **b))
+        order, keys = pieces.suffixes(text, stop, 16)
+        monkeypatch.setattr(np, "argsort", sort)
+        plain = [tuple(text[i : min(i + 16, stop[i])]) for i in order]
+        assert plain == sorted(plain) and sorted(order) == list(range(3000)) and len(sorts) <= most
+        assert [tuple(map(ord, k)) for k in keys.tolist()] == plain
+        sorts.clear()
+
+
 def test_pieces_seams_without_a_fit(monkeypatch):
     """Windows so small that seams often do not fit are matched anew, and the ids stay the same."""
     rng = random.Random(5)
