@@ -113,12 +113,20 @@ def match_listing(ledger: DataFrame, listing: DataFrame, by_name_too: bool = Fal
     listed = listing.select("seq", "hash", key.alias("_key"), F.when(F.col("hash") != "", F.concat(F.lit("h"), "hash")).otherwise(F.concat(F.lit("n"), key)).alias("_who"))
     by_hash = listed.where("hash <> ''").groupBy("hash").agg(F.max("seq").alias("seq"), F.first("_who").alias("_who"))
     by_name = listed.groupBy("_key").agg(F.max(F.struct("seq", "_who")).alias("_last"))
-    hashed = ledger.join(by_hash, F.col("digest") == F.col("hash"), "left").select("id", "name", "url", "digest", "seq", "_who")
-    bound = hashed.where("seq is not null").select("id", "seq", "_who", F.lit(True).alias("bound"))
-    free = hashed.where("seq is null" if by_name_too else "seq is null and digest is null").select("id", F.lower("name").alias("_name"), F.lower("url").alias("_url"))
-    named = free.join(by_name.toDF("_name", "_named"), "_name", "left").join(by_name.toDF("_url", "_linked"), "_url", "left")
+    row = ["id", F.lower("name").alias("_name"), F.lower("url").alias("_url")]
+    # rows without a digest stay out of the join by it, where all of them would meet in one task
+    hashed = ledger.where("digest is not null").join(by_hash, F.col("digest") == F.col("hash"), "left" if by_name_too else "inner").select(*row, "seq", "_who")
+    bound = hashed.where("seq is not null")
+    free = ledger.where("digest is null").select(*row)
+    if by_name_too:
+        free = free.unionByName(hashed.where("seq is null").select("id", "_name", "_url"))
+    # rows of one name and url reach the same entry, so the first of them stands for all; a missing name or url is replaced
+    # by the other, which changes no answer and leaves no nulls to be joined
+    ways = free.groupBy("_name", "_url").agg(F.min("id").alias("id")).select("id", F.coalesce("_name", "_url").alias("_name"), F.coalesce("_url", "_name").alias("_url")).where("_name is not null")
+    named = ways.join(by_name.toDF("_name", "_named"), "_name", "left").join(by_name.toDF("_url", "_linked"), "_url", "left")
     named = named.select("id", F.coalesce("_named", "_linked").alias("_at")).where("_at is not null").select("id", "_at.seq", "_at._who", F.lit(False).alias("bound"))
-    first = bound.unionByName(named).groupBy("_who").agg(F.min(F.struct("id", "bound", "seq")).alias("f"))
+    known = bound.groupBy("_who").agg(F.min("id").alias("id"), F.max("seq").alias("seq")).withColumn("bound", F.lit(True))
+    first = known.unionByName(named).groupBy("_who").agg(F.min(F.struct("id", "bound", "seq")).alias("f"))
     return bound.select("id", "seq").unionByName(first.where("not f.bound").select("f.id", "f.seq"))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +285,29 @@ def test_matching_in_ledger_order(spark):
     assert [(r.id, r.seq) for r in G.match_listing(two, spark.createDataFrame([("h1", "B", 10)], "hash string, name string, seq bigint")).collect()] == [(1, 10)]
 
 
+def test_matching_joins_no_nulls(spark, tmp_path):
+    """Rows without a digest, a name or a url never meet in one task of a join, and rows of one name and url are joined as one; the answers stay."""
+    rows = [(i, [None, "a", "B", "gone"][i % 4], [None, "u", "A"][i % 3], "h1" if i % 50 == 49 else None) for i in range(1200)]
+    spark.createDataFrame(rows, "id bigint, name string, url string, digest string").write.parquet(str(tmp_path / "ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    listing = spark.createDataFrame([("h1", "x", 1), ("h2", "a", 2), (None, "b", 3)], "hash string, name string, seq bigint")
+    bound = [(i, 1) for i in range(49, 1200, 50)]
+    # the first without a digest that is named a, or else has that url, and the first that is named b
+    assert sorted((r.id, r.seq) for r in G.match_listing(ledger, listing).collect()) == sorted([*bound, (1, 2), (2, 3)])
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(c, v)
+        for too in (False, True):
+            plan = G.match_listing(ledger, listing, too)._jdf.queryExecution().executedPlan().toString()
+            # no join by digest sees a row without one, and names and urls are grouped before they are joined
+            outer = len(re.findall(r"SortMergeJoin \[digest#\d+\].*LeftOuter", plan))
+            assert (outer == 0 or too) and re.search(r"keys=\[_name#\d+, _url#\d+\]", plan) and re.search(r"isnotnull\(digest#", plan)
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_reconcile_adopts_what_none_knows(spark):
     ledger = spark.createDataFrame([(1, "a", "http://h/a.torrent", "h1", "downloading"), (2, "b", "http://h/b.torrent", None, "queued"), (3, "c", "http://h/c.zim", "h3", "downloading")], "id bigint, name string, url string, digest string, status string").withColumn("updated_at", F.expr("TIMESTAMP '2024-01-01'"))
     listing = spark.createDataFrame([("h1", "x", 1.0, "uploading", 5), ("h2", "B", 0.1, "downloading", 6), ("h3", "C", 0.5, "downloading", 7), (None, "new", 0.5, "downloading", 8)], "hash string, name string, progress double, state string, seq bigint")
