@@ -8,13 +8,18 @@ from codexlake.sources.versions import versions
 from codexlake.sources.views import table, view
 from codexlake.streaming import jobs as S
 
+#: Pages of an arriving file, if there are more than all cores take at once.
+FILE_PAGES = 20_000
+
 
 @query("R1_stream_ingest", "SELECT url AS path, max(page_id) AS page_id FROM pages GROUP BY url")
 def _(spark, d):
-    # the pages arrive in three files, and each micro-batch takes one; urls that come again take the later page
-    folder = scratch(spark, "ingest")
-    table(spark, d, "pages").repartition(3, "page_id").write.parquet(f"{folder}/in")
-    S.ingest_pages(S.pages(spark, f"{folder}/in", 1), f"{folder}/articles")
+    # the pages arrive in three micro-batches, each of so many files that all cores parse; urls that come again take the later page
+    folder, pages = scratch(spark, "ingest"), table(spark, d, "pages")
+    files = 3 * max(spark.sparkContext.defaultParallelism, pages.count() // (3 * FILE_PAGES))
+    pages.repartition(files, "page_id").write.parquet(f"{folder}/in")
+    there = len(spark.read.schema(pages.schema).parquet(f"{folder}/in").inputFiles())
+    S.ingest_pages(S.pages(spark, f"{folder}/in", -(-there // 3)), f"{folder}/articles")
     return S.read_latest(spark, f"{folder}/articles").select("path", "page_id")
 
 

@@ -253,6 +253,22 @@ def test_pages_in_batches_are_the_pages_at_once(spark, tmp_path):
     assert V.manifest(spark, str(tmp_path / "out"), 3) == {p: v for p, v in before.items() if p != part}
 
 
+def test_ingest_parses_on_all_cores(spark, monkeypatch):
+    """A micro-batch of the ingest query has a file for each core, as one file may be one task; there are three of them."""
+    from codexlake.plans import streams
+
+    seen, ingest, pages = [], streams.S.ingest_pages, streams.S.pages
+    monkeypatch.setattr(streams.S, "pages", lambda s, path, n: seen.append((path, n)) or pages(s, path, n))
+    monkeypatch.setattr(streams.S, "ingest_pages", lambda stream, path: seen.append(path) or ingest(stream, path))
+    got = QUERIES["R1_stream_ingest"](spark, "/root/testdata/sf0.01")
+    whole = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.groupBy(F.col("url").alias("path")).agg(F.max("page_id").alias("page_id")).collect()))
+    (folder, most), out = seen
+    files = spark.read.parquet(folder).inputFiles()
+    assert -(-len(files) // most) == 3 and most >= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(folder).count() == whole.count() and max(V.versions(spark, out)) == 2
+
+
 def test_matching_uses_up_rows(spark):
     ledger = spark.createDataFrame([(1, "A", "u", "h1"), (2, "b", "u", None), (3, "B", "u", None), (4, "x", "C", None), (5, "b", "u", "gone")], "id bigint, name string, url string, digest string")
     listing = spark.createDataFrame([("h1", "zz", 10), ("h2", "B", 11), (None, "c", 12), ("h4", "b", 13)], "hash string, name string, seq bigint")
