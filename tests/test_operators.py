@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from codexlake import cluster
 from codexlake.functions.text import trigrams
 from codexlake.operators import catalog as C
 from codexlake.operators import cells as C_
@@ -498,6 +499,27 @@ def test_titles_are_never_broadcast_and_equal_ones_scored_once(spark, tmp_path):
     assert R._alike(titles, 70).once.count() == 5
 
 
+def test_copies_of_titles_are_not_sorted_by_the_task_that_reads_them(spark, monkeypatch):
+    """A task leaves the smallest ids of each title of some bytes at a time, so what it holds does not grow with a row group; none of the best is lost."""
+    rows = [(i * 7919 % 5000 - 100, ["red bolt", "red bolts", "blue anvil", f"bolt {i}", None][i % 5]) for i in range(5000)]
+    titles = spark.createDataFrame(rows, "id bigint, title_lower string")
+    seen = []
+    monkeypatch.setattr(R, "settle", lambda df: seen.append(df) or cluster.settle(df))
+    want = sorted((t, i) for t in {t for _, t in rows if t} for i in sorted(i for i, x in rows if x == t)[:3])
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for held, batch in ((1 << 23, 10_000), (1 << 23, 300), (16_384, 300), (64, 300)):
+        monkeypatch.setattr(R, "HELD_BYTES", held, raising=False)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        alike = R._alike(titles, 3)
+        named = alike.once.withColumnRenamed("id", "first").join(alike.copies, "first")
+        assert sorted((r.title_lower, r.id) for r in named.collect()) == want
+        assert {(r.title_lower, r.id) for r in alike.once.collect()} == {(t, min(i for x, i in want if x == t)) for t, _ in want}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Sort [") == 1 and plan.index("Sort [") < plan.index("Exchange ")
+    assert R.foremost(titles.coalesce(1).where("title_lower is not null"), "title_lower", 3).count() == len(want) < 4000
+
+
 def test_cross_language_in_blocks(spark, monkeypatch):
     """Entities with many links meet block by block, each pair once; a link whose article is missing keeps a null title, one without an entity meets nothing."""
     monkeypatch.setattr(B, "BLOCK", 3)
