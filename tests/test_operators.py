@@ -531,6 +531,23 @@ def test_cross_language_in_blocks(spark, monkeypatch):
     assert got == sorted((p, f"Q{q}", f"a{b}", o, f"T{o}" if o != "p7" else "-") for a, p, q in linked for b, o, r in linked if q is not None and q == r and a != b)
 
 
+def test_cross_language_is_dealt_to_tasks_by_its_pairs(spark, monkeypatch):
+    """Few bytes make many pairs: tasks follow these, and no entity of two groups has to share one with all others. Copies, and links of archives without a name, are as in SQL."""
+    for name, most in (("TASK_PAIRS", 100), ("MOST_TASKS", 64)):
+        monkeypatch.setattr(B, name, most, raising=False)
+    linked = [(i % 5 if i % 17 else None, f"p{i % 190}" if i % 23 else None, i % 7) for i in range(200)]
+    links = spark.createDataFrame(linked, "archive_id int, path string, qid bigint")
+    archives = spark.createDataFrame([(i, f"a{i}") for i in range(4)], "id int, name string")
+    articles = spark.createDataFrame([(1, "p1", "T"), (1, "p1", "U"), (2, "p2", None)], "archive_id int, path string, title string")
+    got = B.cross_language(links, archives, articles)
+    for t, df in (("l", links), ("z", archives), ("a", articles)):
+        df.createOrReplaceTempView(f"cross_{t}")
+    want = spark.sql("SELECT l.path, concat('Q', l.qid) AS qid, z.name AS archive, o.path AS other_path, a.title FROM cross_l l JOIN cross_l o ON l.qid = o.qid AND l.archive_id <> o.archive_id JOIN cross_z z ON z.id = o.archive_id LEFT JOIN cross_a a ON a.archive_id = o.archive_id AND a.path = o.path")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    assert got.rdd.getNumPartitions() == 14
+    assert B.cross_language(links.where("qid > 7"), archives, articles).count() == 0
+
+
 def test_texts_do_not_move_to_meet_archives(spark):
     """Articles take their archive from a broadcast, so that texts are not shuffled."""
     assert "SortMergeJoin" not in view(spark, "/root/testdata/sf0.001", "v_articles")._jdf.queryExecution().executedPlan().toString()
