@@ -635,6 +635,24 @@ def test_scoring_knows_the_end_of_few_long_texts(spark, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
 
 
+def test_every_known_token_scores_by_its_count(spark, docs, monkeypatch):
+    """What is broadcast and what is joined give the same scores: no known token is spelled, and how often each came counts, the end too."""
+    key = lambda: {r.doc_id: r for r in scoring.score_texts(docs).collect()}
+    want = key()
+    for heavy in (40, 1):
+        monkeypatch.setattr(scoring, "HEAVY", heavy)
+        got = key()
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert (r.n_tokens, r.n_known) == (want[i].n_tokens, want[i].n_known) and math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9)
+            assert math.isclose(r.score, want[i].score, rel_tol=1e-5)
+            assert (r.bits_per_byte is None) == (want[i].bits_per_byte is None) and math.isclose(r.bits_per_byte or 0, want[i].bits_per_byte or 0, rel_tol=1e-5)
+    texts = [(i, f"word{i % 3} often often never{i}") for i in range(60)]
+    monkeypatch.setattr(scoring, "HEAVY", 2)
+    again = [sorted((r.doc_id, r.score) for r in scoring.score_texts(spark.createDataFrame(texts, SCHEMA).repartition(1)).collect()) for _ in range(2)]
+    assert again[0] == again[1] and len(again[0]) == 60
+
+
 def test_spelling_spreads_one_over_bytes(spark, docs):
     model, _ = scoring.learn_spelling(scoring.token_counts(docs))
     # a word's first byte takes one of 256 values: their shares add up to one
